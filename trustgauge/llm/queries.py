@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import bpe, quality_rules
 from .common import table
 
 
+#: Folder of the public vocabulary files.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/word_bpe_49k.json") -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
 
 
 QUERIES = {
+    "op3_bpe_encode_decode": op3_bpe_encode_decode,
     "op9_quality_rules": op9_quality_rules,
 }
 
@@ -23,7 +32,7 @@ WITH base AS (
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 lines AS (
   SELECT doc_id, t, source, w,
-         list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM base),
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM base),
 grams AS (
   SELECT r, i, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS g FROM (
     SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT row_number() OVER () AS r, w FROM base))),
