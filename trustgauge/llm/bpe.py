@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import Recent, parts
+
 #: Words, and as many pieces, whose encoding a Python worker remembers; twice as many at most.
 CACHE = 150_000
 _GAP = regex.compile(r"\p{White_Space}+")
@@ -171,25 +173,6 @@ class WordBpe:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
-class Recent:
-    """A bounded map: beyond its size the entries not used of late go."""
-
-    def __init__(self, most: int):
-        self.most, self.now, self.before = most, {}, {}
-
-    def find(self, keys: list) -> list:
-        """Values of keys, None where there is none."""
-        if len(self.now) > self.most:
-            self.now, self.before = {}, self.now
-        out = list(map(self.now.get, keys))
-        if self.before and None in out:
-            now, before = self.now, self.before
-            for i, v in enumerate(out):
-                if v is None and (v := before.get(keys[i])) is not None:
-                    out[i] = now[keys[i]] = v
-        return out
-
-
 class Encoder:
     """Remembers (number of ids, ids as text, decoded text) of words and of pieces."""
 
@@ -253,22 +236,6 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-#: Texts of a batch are handled in parts of about so many characters.
-PART = 2_000_000
-
-
-def _parts(texts: list[str]) -> Iterator[list[str]]:
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size > PART:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """docs with ``ids``, an array of token ids."""
     keep = [c for c in docs.columns if c != "ids"]
@@ -278,7 +245,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         encoder = _encoder(path)
         for pdf in batches:
             texts = pdf[text].where(pdf[text].notna(), "").tolist()
-            ids = [np.array(x[1].split(), np.int32) if x[0] else np.empty(0, np.int32) for p in _parts(texts) for x in encoder(p)]
+            ids = [np.array(x[1].split(), np.int32) if x[0] else np.empty(0, np.int32) for p in parts(texts) for x in encoder(p)]
             yield pdf.assign(ids=ids)
 
     return docs.select(*keep).mapInPandas(run, schema)
@@ -306,7 +273,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_i
         encoder = _encoder(path)
         for pdf in batches:
             texts = pdf[text].where(pdf[text].notna(), "").tolist()
-            rows = [(n, *(hashlib.sha256(x.encode()).hexdigest() for x in (a, b))) for p in _parts(texts) for n, a, b in encoder(p)]
+            rows = [(n, *(hashlib.sha256(x.encode()).hexdigest() for x in (a, b))) for p in parts(texts) for n, a, b in encoder(p)]
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield pd.DataFrame({id_col: pdf[id_col], "n_tokens": n, "ids_sha256": a, "decoded_sha256": b})
 

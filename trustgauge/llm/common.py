@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +68,38 @@ def let(value: Column, body) -> Column:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Recent:
+    """A bounded map: beyond its size the entries not used of late go."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.before = most, {}, {}
+
+    def find(self, keys: list) -> list:
+        """Values of keys, None where there is none."""
+        if len(self.now) > self.most:
+            self.now, self.before = {}, self.now
+        out = list(map(self.now.get, keys))
+        if self.before and None in out:
+            now, before = self.now, self.before
+            for i, v in enumerate(out):
+                if v is None and (v := before.get(keys[i])) is not None:
+                    out[i] = now[keys[i]] = v
+        return out
+
+
+#: Texts of a batch are handled in parts of about so many characters.
+PART = 2_000_000
+
+
+def parts(texts: list[str]) -> Iterator[list[str]]:
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size > PART:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part

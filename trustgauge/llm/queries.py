@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules
+from . import bpe, quality_rules, token_counts
 from .common import table
 
 
@@ -21,9 +21,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.with_counts(docs, vocabulary).select("doc_id", "n_tokens")
+
+
 QUERIES = {
     "op3_bpe_encode_decode": op3_bpe_encode_decode,
     "op9_quality_rules": op9_quality_rules,
+    "op10_token_counts": op10_token_counts,
 }
 
 _OP9 = r"""
