@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, token_counts
+from . import bpe, language_id, quality_rules, token_counts
 from .common import table
 
 
@@ -17,6 +17,12 @@ def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str, vocabulary: str = f"
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out())
+    model = language_id.train(docs.where(~F.col("held_out")))
+    return language_id.predict(docs, model, keep=("doc_id", "held_out"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
 
@@ -28,6 +34,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOK
 
 QUERIES = {
     "op3_bpe_encode_decode": op3_bpe_encode_decode,
+    "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
