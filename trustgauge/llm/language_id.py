@@ -231,14 +231,12 @@ def _predictor(model: Model) -> Predictor:
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> Model | None:
     """Fit on the ``SAMPLE`` rows of least id hash that have a text and a label."""
-    rows = (
-        labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-        .select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), text, lang)
-        .orderBy("h", "i", text, lang)
-        .limit(SAMPLE)
-        .collect()
-    )
-    return fit([(r[2], r[3]) for r in rows]) if rows else None
+    usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).withColumn("_h", F.xxhash64(id_col))
+    last = usable.select("_h").orderBy("_h").limit(SAMPLE).agg(F.max("_h")).first()[0]  # hashes go to the driver before any text does
+    if last is None:
+        return None
+    rows = usable.where(F.col("_h") <= last).select("_h", text, lang).toPandas().sort_values(["_h", text, lang])[:SAMPLE]
+    return fit(list(zip(rows[text], rows[lang], strict=True)))
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, quality_rules, token_counts
+from . import bpe, language_id, line_dedup, packing, quality_rules, token_counts
 from .common import table
 
 
@@ -17,6 +17,17 @@ def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str, vocabulary: str = f"
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = packing.with_length(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    packed = packing.pack(sized, length="n_tokens")
+    return packed.select("doc_id", "n_tokens", "bucket_end", "bucket_group", "batch", "padding")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out())
     model = language_id.train(docs.where(~F.col("held_out")))
@@ -34,6 +45,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOK
 
 QUERIES = {
     "op3_bpe_encode_decode": op3_bpe_encode_decode,
+    "op6_packing": op6_packing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
