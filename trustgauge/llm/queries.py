@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, packing, quality_rules, token_counts
+from . import bpe, language_id, line_dedup, packing, quality_rules, token_counts, vector_dedup
 from .common import table
 
 
@@ -13,6 +13,10 @@ from .common import table
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/word_bpe_49k.json") -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary)
 
@@ -44,6 +48,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOK
 
 
 QUERIES = {
+    "op1_vector_dedup": op1_vector_dedup,
     "op3_bpe_encode_decode": op3_bpe_encode_decode,
     "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
