@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, packing, quality_rules, token_counts, vector_dedup
+from . import bpe, jaccard_join, language_id, line_dedup, packing, quality_rules, token_counts, vector_dedup
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str, vocabulary: str = f"
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = packing.with_length(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     packed = packing.pack(sized, length="n_tokens")
@@ -50,6 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOK
 QUERIES = {
     "op1_vector_dedup": op1_vector_dedup,
     "op3_bpe_encode_decode": op3_bpe_encode_decode,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
     "op8_language_id": op8_language_id,
