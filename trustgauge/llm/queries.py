@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, language_id, line_dedup, packing, quality_rules, token_counts, vector_dedup
+from . import bpe, jaccard_join, language_id, line_dedup, packing, quality_rules, suffix_dedup, token_counts, vector_dedup
 from .common import table
 
 
@@ -17,6 +17,11 @@ def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/word_bpe_49k.json") -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary)
 
@@ -53,6 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOK
 
 QUERIES = {
     "op1_vector_dedup": op1_vector_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_bpe_encode_decode": op3_bpe_encode_decode,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
