@@ -86,7 +86,7 @@ def dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_lines
     keyed = docs.drop("n_deleted", "_key").withColumn("_key", F.xxhash64(id_col, text))
     runs = later_runs(keyed, scratch, text, id_col, min_lines)
     gone = scratch.keep(runs.groupBy("_key").agg(F.sort_array(F.collect_set("at")).alias("_starts")), "gone")
-    out = keyed.join(gone, "_key", "left")
+    out = keyed.join(gone.hint("merge"), "_key", "left")  # as for large tables, where what goes is too much to broadcast
     n = F.size(F.array_distinct(F.flatten(F.transform("_starts", lambda a: F.sequence(a, a + min_lines - 1)))))
     out = out.withColumn("n_deleted", F.coalesce(F.when(F.col("_starts").isNotNull(), n), F.lit(0)).cast("long"))
     short = _cut(min_lines)(F.when(F.col("_starts").isNotNull(), F.col(text)), F.col("_starts"))
