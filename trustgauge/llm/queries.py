@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, language_id, line_dedup, packing, quality_rules, suffix_dedup, token_counts, vector_dedup
+from . import bpe, jaccard_join, language_id, line_dedup, packing, passage_dedup, quality_rules, suffix_dedup, token_counts, vector_dedup
 from .common import table
 
 
@@ -26,6 +26,11 @@ def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str, vocabulary: str = f"
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op4_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passage_dedup.remove_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op1_vector_dedup": op1_vector_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_bpe_encode_decode": op3_bpe_encode_decode,
+    "op4_passage_dedup": op4_passage_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
