@@ -14,7 +14,7 @@ neighbours follows from the ranges between equal symbols; both live in files tha
 reads and writes once from front to back. Suffixes in one interval of common prefixes of
 ``length`` or more are equal strings, of which the earliest stays.
 
-An anchor with more than ``HOT`` different segments (a line that a third of all documents hold,
+An anchor with more different segments than a collection holds (a line that a third of all documents hold,
 say, between ever other neighbours) would be one task's work: its strings are dealt out by two
 64-bit hashes of their own.
 
@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, join_sized
-from .shingles import _BYTE, byte_parts, mix, powers
+from .shingles import _BYTE, PART_BYTES, byte_parts, mix, powers
 
 LENGTH = 100
-ANCHOR = 32
-HOT = 400
+ANCHOR = 48
+#: Segments of a collection, about; an anchor with more is hot.
 COLLECTION = 4000
 #: Segments that a task counts together before the shuffle.
 TOGETHER = 1_500_000
@@ -156,38 +156,57 @@ def _by_anchor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rest = out[out["kind"] == SEGMENT]
     _, where, count = np.unique(rest["anchor"].to_numpy(), return_inverse=True, return_counts=True)
     many = count[where]
-    rest = rest.assign(kind=np.where(many > HOT, HOTTER, SEGMENT))[many > 1]
+    rest = rest.assign(kind=np.where(many > COLLECTION, HOTTER, SEGMENT))[many > 1]
     yield from _slices(rest)
 
 
 def _fetch(length: int):
-    """Bytes of the segments of a document; of hot anchors two hashes of each string."""
+    """Bytes of the segments of each document; of hot anchors two hashes of each string."""
+
+    def strings(pieces: list[bytes], ids: list, at: list[int]) -> Iterator[pd.DataFrame]:
+        flat = np.frombuffer(b"".join(pieces), np.uint8)
+        up, down = powers(len(flat) + 1)
+        sums = np.r_[np.uint64(0), np.cumsum(_BYTE[flat] * up[: len(flat)])]
+        sizes = np.array([len(x) for x in pieces])
+        n = sizes - length + 1
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start = np.repeat(np.cumsum(sizes) - sizes, n) + nth
+        value = (sums[start + length] - sums[start]) * down[start]
+        two = {"anchor": mix(value, 3).view(np.int64), "hash": mix(value ^ (value >> np.uint64(17)), 4).view(np.int64)}
+        yield from _slices(pd.DataFrame({"kind": HOTTER, **two, "id": np.repeat(ids, n), "at": np.repeat(at, n) + nth, "n": 1, "piece": b""}))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i, text, parts in zip(pdf["id"], pdf["text"], pdf["parts"], strict=True):
+            columns = [[] for _ in range(5)]
+            anchor, ids, at, n, pieces = columns
+            hot_pieces, hot_ids, hot_at, size = [], [], [], 0
+            for i, text, kinds, anchors, starts, counts in zip(*(pdf[c] for c in ("id", "text", "kinds", "anchors", "starts", "counts")), strict=True):
                 raw = text.encode()
-                rows, hot = [], []
-                for p in parts:
-                    piece = raw[p["at"] : p["at"] + p["n"] + length - 1]
-                    if p["kind"] == SEGMENT:
-                        rows.append((SEGMENT, p["anchor"], 0, i, p["at"], p["n"], piece))
+                plain = kinds == SEGMENT
+                for k, a, s, c in zip(plain.tolist(), anchors.tolist(), starts.tolist(), counts.tolist(), strict=True):
+                    piece = raw[s : s + c + length - 1]
+                    size += len(piece)
+                    if k:
+                        anchor.append(a)
+                        ids.append(i)
+                        at.append(s)
+                        n.append(c)
+                        pieces.append(piece)
                     else:
-                        hot.append((p["at"], piece))
-                if rows:
-                    yield pd.DataFrame(rows, columns=["kind", "anchor", "hash", "id", "at", "n", "piece"])
-                if hot:
-                    flat = np.frombuffer(b"".join(x for _, x in hot), np.uint8)
-                    up, down = powers(len(flat) + 1)
-                    sums = np.r_[np.uint64(0), np.cumsum(_BYTE[flat] * up[: len(flat)])]
-                    sizes = np.array([len(x) for _, x in hot])
-                    n = sizes - length + 1
-                    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    start = np.repeat(np.cumsum(sizes) - sizes, n) + nth
-                    value = (sums[start + length] - sums[start]) * down[start]
-                    at = np.repeat([a for a, _ in hot], n) + nth
-                    out = pd.DataFrame({"kind": HOTTER, "anchor": mix(value, 3).view(np.int64), "hash": mix(value ^ (value >> np.uint64(17)), 4).view(np.int64), "id": i, "at": at, "n": 1, "piece": b""})
-                    yield from _slices(out)
+                        hot_pieces.append(piece)
+                        hot_ids.append(i)
+                        hot_at.append(s)
+                if size > PART_BYTES * 4:
+                    yield pd.DataFrame({"kind": SEGMENT, "anchor": anchor, "hash": 0, "id": ids, "at": at, "n": n, "piece": pieces})
+                    if hot_pieces:
+                        yield from strings(hot_pieces, hot_ids, hot_at)
+                    for c in (*columns, hot_pieces, hot_ids, hot_at):
+                        c.clear()
+                    size = 0
+            if pieces:
+                yield pd.DataFrame({"kind": SEGMENT, "anchor": anchor, "hash": 0, "id": ids, "at": at, "n": n, "piece": pieces})
+            if hot_pieces:
+                yield from strings(hot_pieces, hot_ids, hot_at)
 
     return run
 
@@ -210,11 +229,13 @@ def column_wise(texts: list[bytes], folder: Path, length: int) -> tuple[np.ndarr
         bwt, lcp = (np.fromfile(f, np.uint8) for f in files)
         n = len(bwt)
         order = np.argsort(bwt, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
         live = np.flatnonzero(size >= j)
-        r = place[live]
-        t = rank[r]
+        live = live[np.argsort(place[live])]
+        newest = np.zeros(n, bool)
+        newest[place[live]] = True
+        t = np.flatnonzero(newest[order])
+        r = order[t]
+        live = live[np.searchsorted(place[live], r)]
         new = t + len(live)  # behind the marks: as many texts as are live have not reached theirs
         symbol = bwt[r]
         before, after = order[np.maximum(t - 1, 0)], order[np.minimum(t + 1, n - 1)]
@@ -285,7 +306,8 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFram
     found = scratch.keep(spread.mapInPandas(_by_anchor, row), "anchors")
     gone = found.where(F.col("kind") == GONE).select("id", "at", "n")
     open_ = found.where(F.col("kind") != GONE)
-    lists = open_.groupBy("id").agg(F.collect_list(F.struct("kind", "anchor", "at", "n")).alias("parts"))
+    lists = open_.groupBy("id").agg(F.collect_list(F.struct("kind", "anchor", "at", "n")).alias("p"))
+    lists = lists.select("id", F.col("p.kind").alias("kinds"), F.col("p.anchor").alias("anchors"), F.col("p.at").alias("starts"), F.col("p.n").alias("counts"))
     lists = scratch.keep(lists, "lists")
     pieces = scratch.keep(docs.join(lists.hint("merge"), "id").mapInPandas(_fetch(length), f"{row}, piece binary"), "pieces")
     segment = pieces.where(F.col("kind") == SEGMENT)
