@@ -34,8 +34,8 @@ from .graph import components
 
 THRESHOLD = 0.95
 #: Rows that the quantisers are fitted on at most, and rows per cell aimed at.
-SAMPLE, PER_CELL, MAX_CELLS = 20_000, 100, 4096
-SUBSPACE, CODEWORDS = 4, 256
+SAMPLE, PER_CELL, MAX_CELLS = 20_000, 400, 4096
+SUBSPACE, CODEWORDS = 4, 16
 ROUNDS = 6
 REACH = 4.0
 BLOCK = 2048
@@ -98,8 +98,10 @@ class Quantiser:
         rest = x - self.cells[cell]
         total = np.zeros((len(x), len(codes)))
         for m, (s, b) in enumerate(zip(self.cuts(), self.books, strict=True)):
-            table = ((rest[:, s][:, None, :] - b[None]) ** 2).sum(2)
-            total += table[:, codes[:, m]]
+            own = rest[:, s]
+            table = (own**2).sum(1)[:, None] + (b**2).sum(1) - 2 * own @ b.T
+            total += np.take(table, codes[:, m], axis=1)
+        total = np.maximum(total, 0)
         return np.sqrt(total)
 
 
