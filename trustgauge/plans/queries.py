@@ -186,10 +186,10 @@ def auc_pairs(spark, sf):
     return rounded(C.auc_pairs(Z.check_points(spark, sf)))
 
 
-_SWEEP = points_sql("""SELECT i AS step, i / 20 AS threshold, n_auto, n, round(n_auto / n, 6) AS auto_rate, round(1 - n_auto / n, 6) AS review_rate, n_leaks, n_critical_leaks, round(coalesce(n_leaks / nullif(n_above, 0), 0), 6) AS leak_share
+_SWEEP = points_sql("""SELECT s AS step, s / 20 AS threshold, n_auto, n AS n_must_extract, round(n_auto / n, 6) AS auto_rate, round(1 - n_auto / n, 6) AS review_rate, n_leaks, n_critical_leaks, round(coalesce(n_leaks / nullif(n_above, 0), 0), 6) AS leak_share
   FROM (SELECT s, count_if(confidence >= s / 20)::BIGINT AS n_above, count_if(confidence >= s / 20 AND expectation = 'must_extract')::BIGINT AS n_auto,
     count_if(confidence >= s / 20 AND verdict IN ('WRONG', 'FABRICATED'))::BIGINT AS n_leaks, count_if(confidence >= s / 20 AND verdict IN ('WRONG', 'FABRICATED') AND severity = 'critical')::BIGINT AS n_critical_leaks
-    FROM scored, (SELECT unnest(range(0, 21)) AS s) GROUP BY s), (SELECT count(*) AS n FROM scored WHERE expectation = 'must_extract')""").replace("n_auto, n, round", "n_auto, n AS n_must_extract, round")
+    FROM scored, (SELECT unnest(range(0, 21)) AS s) GROUP BY s), (SELECT count(*) AS n FROM scored WHERE expectation = 'must_extract')""")
 
 
 @query(_SWEEP)
