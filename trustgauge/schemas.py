@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 CORRECT, WRONG, MISSED = "CORRECT", "WRONG", "MISSED"
 ABSTAIN_OK, FABRICATED, SYSTEM_ERROR = "ABSTAIN_OK", "FABRICATED", "SYSTEM_ERROR"
@@ -48,27 +47,27 @@ FIELDS = (
     Field("mau_01", "thu_nhap_hang_thang", "Thu nhập hàng tháng (đồng)", "medium", "money", ("Thu nhập hàng tháng:", "Thu nhap hang thang:")),
 )
 
-LABELS = T.StructType.fromDDL(
+LABELS = (
     "id string, path string, doc_type string, tier string, readable boolean, sampled boolean, "
     "fields array<struct<field:string,label:string,expectation:string,label_source:string,second_read:string,second_note:string>>"
 )
-RESULTS = T.StructType.fromDDL(
+RESULTS = (
     "id string, doc_type string, elapsed_ms double, error string, abstain_reason string, no_anchor boolean, "
     "fields array<struct<field:string,value:string,confidence:double,source:string>>"
 )
-MANIFEST = T.StructType.fromDDL(
+MANIFEST = (
     "seed long, images array<struct<id:string,path:string,doc_type:string,tier:string,seed:long,degradations:array<string>,size:array<int>,drawn:map<string,string>>>"
 )
-SECOND_READ = T.StructType.fromDDL("id string, field string, legible string, value string, note string")
-SNAPSHOT = T.StructType.fromDDL(
+SECOND_READ = ("id string, field string, legible string, value string, note string")
+SNAPSHOT = (
     "meta map<string,string>, fingerprint string, metrics map<string,double>, critical_leaks long, "
     "sigma map<string,double>, sigma_runs long, verdicts map<string,string>"
 )
-KNOWN_FAILURES = T.StructType.fromDDL(
+KNOWN_FAILURES = (
     "model string, version string, n_failing long, by_code map<string,long>, "
     "points map<string,struct<code:string,verdict:string,error_type:string,label:string,model:string>>"
 )
-LIMITS = T.StructType.fromDDL(
+LIMITS = (
     "limits array<struct<code:string,title:string,level:string,covers:array<string>,unproved:string,evidence_needed:string,"
     "status:string,evidence:string,consequence:string>>"
 )
