@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +35,35 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Rows of an Arrow batch at most: texts may be long, and a worker holds several copies of a batch.
+BATCH_ROWS = 2000
+
+
+def tidy() -> None:
+    """Give freed memory back before a Python worker idles: the JVM beside it may need it for the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def tidied(run):
+    """A function over batches that tidies up at its end."""
+
+    def whole(batches):
+        yield from run(batches)
+        tidy()
+
+    return whole
+
+
 class Scratch:
     """Tables written in the shared folder: they cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession):
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         self.spark, self.top = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:

@@ -1,18 +1,20 @@
 """N-gram Jaccard join: prefixes of single tokens where they are rare, of token combinations where they are frequent.
 
-Tokens are hashes of word shingles, ordered by hash. Two sets of the wanted similarity differ
-in so few tokens that they share one in their first X + 1, where X is how many tokens of a
-set may be missing in the other. Tokens of such prefixes found in at most ``RARE`` sets are
-index keys. Sets with a more frequent token in their prefix extend it, until the tokens they
-share with a partner cannot all be parted by tokens they don't share, and index runs of
-``RUN`` neighbouring tokens. A pair without a rare common token so has a common run, and no
-pair is lost.
+Tokens are hashes of word shingles, ordered by hash; those found in more than ``RARE`` of the
+sets' first tokens, up to ``MAX_LAST`` of them and the most frequent, come last instead. Any
+choice of these gives one order for all sets. Two sets of the wanted similarity differ in so few
+tokens that they share one in their first X + 1, where X is how many tokens of a set may be
+missing in the other. Tokens of such prefixes that are in at most ``RARE`` of them are index
+keys. Sets with a more frequent token left in their prefix extend it, until the tokens they
+share with a partner cannot all be parted by tokens they don't share, and index runs of ``RUN``
+neighbouring tokens. A pair without a rare common token so has a common run, and no pair is lost.
 
 Equal sets are one node first, the one of least id. As links are asked for by component, each
-key's nodes are first compared with one of them, in two rounds; only pairs under one key that
-these links leave in different components are then made. A pair passes a size filter and a
-bound of its difference from parity bitmaps (a bit a token or more, so sets of unlike tokens
-fail) before its texts are fetched and counted.
+key's nodes are first compared with one of them, in two rounds: the one that shares most of its
+tokens, which copies derive from, then one by chance. Only pairs under one key that these links
+leave in different components are then looked at, inside the tasks that hold the keys (a key with
+many nodes is dealt out as pairs of blocks of them). Pairs pass a size filter and a bound of their
+difference from parity bitmaps, a bit a token or more, before their texts are fetched and counted.
 
 Defined results: a null or empty text, or one without words, has no shingles and no links; with
 fewer words than a shingle the whole is one; very long texts count whole; rows of one id are
@@ -29,12 +31,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_sized
+from .common import Scratch, join_sized, tidied
 from .graph import components
 from .shingles import byte_parts, combined, mix, shingle_sets
 
 #: Sets that share a rare token at most, and tokens of a combination.
-RARE, RUN = 8, 3
+RARE, RUN = 32, 3
+#: Frequent tokens that come last, at most: 8 MB of them are broadcast.
+MAX_LAST = 1 << 20
+#: Nodes of a key that are compared as one block.
+BLOCK = 2000
 
 
 class Bounds:
@@ -94,8 +100,8 @@ def _sketches(width: int, bounds: Bounds):
                 for t in shingle_sets(raw, width):
                     u = t.view(np.uint64)
                     h1, h2 = (int(mix(u, k).sum(dtype=np.uint64).astype(np.int64)) for k in (1, 2))
-                    out.append((len(t), h1, h2, _bitmap(t) if len(t) else b"", t[: bounds.prefix(len(t))]))
-                made = pd.DataFrame(out, columns=["n", "h1", "h2", "bits", "prefix"])
+                    out.append((len(t), h1, h2, _bitmap(t) if len(t) else b"", t[: bounds.prefix(len(t)) * 5 // 4 + 4]))
+                made = pd.DataFrame(out, columns=["n", "h1", "h2", "bits", "first"])
                 made.insert(0, "id", pdf["id"].iloc[at : at + len(raw)].to_numpy())
                 at += len(raw)
                 yield made
@@ -103,23 +109,49 @@ def _sketches(width: int, bounds: Bounds):
     return run
 
 
-def _runs(width: int, bounds: Bounds):
+def _is_in(tokens: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    if not len(ascending):
+        return np.zeros(len(tokens), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, tokens), len(ascending) - 1)] == tokens
+
+
+def _prefixes(bounds: Bounds, last):
+    """Prefix of each node in the order with frequent tokens last; null where the first tokens kept of a set don't hold it."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            at = 0
+            out = []
+            for n, first in zip(pdf["n"].tolist(), pdf["first"], strict=True):
+                fine, p = first[~_is_in(first, last.value)], bounds.prefix(n)
+                out.append(fine[:p] if len(fine) >= p else None)
+            yield pdf[["id", "n"]].assign(prefix=out)
+
+    return run
+
+
+def _ordered(width: int, bounds: Bounds, last):
+    """Of whole texts the prefix (run 0) or the runs of an extended one, in the order with frequent tokens last."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at, wanted = 0, pdf["runs"].tolist()
             for raw in byte_parts(pdf["text"]):
                 ids, sizes, keys = [], [], []
                 for t in shingle_sets(raw, width):
-                    n = len(t)
-                    for k in {RUN, 2 if n <= bounds.short else RUN}:
-                        got = combined(t[: bounds.extended(n, k)].view(np.uint64), k).view(np.int64)
-                        ids.append(np.full(len(got), pdf["id"].iloc[at]))
-                        sizes.append(np.full(len(got), n))
-                        keys.append(got)
+                    n, back = len(t), _is_in(t, last.value)
+                    t = np.r_[t[~back], t[back]]
+                    if wanted[at]:
+                        got = [combined(t[: bounds.extended(n, k)].view(np.uint64), k).view(np.int64) for k in {RUN, 2 if n <= bounds.short else RUN}]
+                    else:
+                        got = [t[: bounds.prefix(n)]]
+                    for x in got:
+                        ids.append(np.full(len(x), pdf["id"].iloc[at]))
+                        sizes.append(np.full(len(x), n))
+                        keys.append(x)
                     at += 1
                 ids, sizes, keys = map(np.concatenate, (ids, sizes, keys))
-                for i in range(0, len(keys), 1 << 18):
-                    s = slice(i, i + (1 << 18))
+                for i in range(0, len(keys), 1 << 17):
+                    s = slice(i, i + (1 << 17))
                     yield pd.DataFrame({"id": ids[s], "n": sizes[s], "key": keys[s]})
 
     return run
@@ -135,6 +167,60 @@ def _near_bits(bounds: Bounds):
     return run
 
 
+def _across(bounds: Bounds):
+    """Pairs of nodes of a unit (a key, or two blocks of one) in different components that sizes and bitmaps don't rule out."""
+
+    def folded(bits: np.ndarray) -> np.ndarray:
+        half = bits.shape[1] // 2
+        return bits[:, :half] ^ bits[:, half:]
+
+    def pairs(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        unit, n, component = df["unit"].to_numpy(), df["n"].to_numpy(), df["component"].to_numpy()
+        ids, block, alone = df["id"].to_numpy(), df["block"].to_numpy(), (df["lo"] == df["hi"]).to_numpy()
+        width = df["bits"].map(len).to_numpy()
+        row = np.zeros(len(df), np.int64)
+        own, half = {}, {}
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            row[at] = np.arange(len(at))
+            own[w] = np.frombuffer(b"".join(df["bits"].iloc[at]), np.uint8).reshape(len(at), w)
+            half[w] = folded(own[w])
+        most = int(np.diff(np.r_[np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]), len(unit)]).max())
+        for d in range(1, most):
+            i = np.flatnonzero(unit[d:] == unit[:-d])
+            j = i + d
+            fine = (component[i] != component[j]) & (ids[i] != ids[j]) & (alone[i] | (block[i] != block[j]))
+            fine &= 100 * np.minimum(n[i], n[j]) >= bounds.percent * np.maximum(n[i], n[j])
+            i, j = i[fine], j[fine]
+            i, j = np.where(width[i] <= width[j], i, j), np.where(width[i] <= width[j], j, i)
+            for w in np.unique(width[i]).tolist():
+                for same in (True, False):  # sizes that fit differ by one halving at most
+                    k = np.flatnonzero((width[i] == w) & ((width[j] == w) == same))
+                    if not len(k):
+                        continue
+                    a, b = i[k], j[k]
+                    other = own[w][row[b]] if same else half[2 * w][row[b]]
+                    least = np.bitwise_count(own[w][row[a]] ^ other).sum(1, dtype=np.int64)
+                    near = least * (100 + bounds.percent) <= (n[a] + n[b]) * (100 - bounds.percent)
+                    if near.any():
+                        a, b = ids[a[near]], ids[b[near]]
+                        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:  # a partition comes in order of unit
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if len(held) >= BLOCK:
+                last = (held["unit"] != held["unit"].iloc[-1]).to_numpy()
+                if last.any():
+                    yield from pairs(held[last])
+                    held = held[~last].reset_index(drop=True)
+        if held is not None and len(held):
+            yield from pairs(held)
+
+    return run
+
+
 def _exact(width: int, bounds: Bounds):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -158,25 +244,36 @@ class Join:
         self.width, self.bounds, self.scratch = width, Bounds(percent), Scratch(docs.sparkSession)
 
     def nodes(self) -> DataFrame:
-        """(id, n, node, bits, prefix) of every row; the last two only for nodes, node is null without shingles or id."""
-        schema = f"id {self.kind}, n long, h1 long, h2 long, bits binary, prefix array<long>"
-        sketches = self.scratch.keep(self.docs.mapInPandas(_sketches(self.width, self.bounds), schema), "sketches")
+        """(id, n, node, bits, first) of every row; the last two only for nodes, node is null without shingles or id."""
+        schema = f"id {self.kind}, n long, h1 long, h2 long, bits binary, first array<long>"
+        sketches = self.scratch.keep(self.docs.mapInPandas(tidied(_sketches(self.width, self.bounds)), schema), "sketches")
         classes = sketches.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("node"))
         joined = sketches.join(classes, ["h1", "h2", "n"], "left")
         own = F.col("id") == F.col("node")
-        out = joined.select("id", "n", "node", F.when(own, F.col("bits")).alias("bits"), F.when(own, F.col("prefix")).alias("prefix"))
-        return self.scratch.keep(out, "nodes")
+        out = self.scratch.keep(joined.select("id", "n", "node", F.when(own, F.col("bits")).alias("bits"), F.when(own, F.col("first")).alias("first")), "nodes")
+        self.scratch.drop("sketches")
+        return out
 
     def shared(self, rows: DataFrame, tag: str) -> DataFrame:
         """Rows (id, n, key) whose key occurs twice or more, and how often, as c."""
         often = self.scratch.keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), f"{tag}-keys")
         return self.scratch.keep(rows.join(often, "key"), tag)
 
+    def of_texts(self, ids: DataFrame, last, runs: bool) -> DataFrame:
+        texts = join_sized(self.docs, ids, "id", "left_semi", 32).withColumn("runs", F.lit(runs))
+        return texts.mapInPandas(tidied(_ordered(self.width, self.bounds, last)), f"id {self.kind}, n long, key long")
+
     def index(self, nodes: DataFrame) -> DataFrame:
-        single = self.shared(nodes.where("prefix is not null").select("id", "n", F.explode("prefix").alias("key")), "singles")
+        own = nodes.where("first is not null").select("id", "n", "first")
+        counted = own.select(F.explode("first").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > RARE)
+        most = self.scratch.keep(counted, "counted").orderBy(F.desc("c"), "t").limit(MAX_LAST).toPandas()
+        last = self.docs.sparkSession.sparkContext.broadcast(np.sort(most["t"].to_numpy(np.int64)))
+        made = self.scratch.keep(own.mapInPandas(tidied(_prefixes(self.bounds, last)), f"id {self.kind}, n long, prefix array<long>"), "prefixes")
+        beyond = self.scratch.keep(made.where("prefix is null").select("id"), "beyond")
+        more = self.scratch.keep(self.of_texts(beyond, last, False), "more")
+        single = self.shared(made.select("id", "n", F.explode("prefix").alias("key")).unionByName(more), "singles")
         frequent = self.scratch.keep(single.where(F.col("c") > RARE).select("id").distinct(), "frequent")
-        texts = join_sized(self.docs, frequent, "id", "left_semi", 32)
-        runs = self.scratch.keep(texts.mapInPandas(_runs(self.width, self.bounds), f"id {self.kind}, n long, key long"), "runs")
+        runs = self.scratch.keep(self.of_texts(frequent, last, True), "runs")
         rare = single.where(F.col("c") <= RARE).select("id", "n", "key")
         return self.scratch.keep(rare.unionByName(self.shared(runs, "combinations").select("id", "n", "key")).distinct(), "index")
 
@@ -186,7 +283,7 @@ class Join:
         a = of.select(F.col("id").alias("a"), "n", F.col("bits").alias("x"))
         b = of.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
         joined = pairs.join(a, "a").join(b, "b").select("a", "b", "n", "m", "x", "y")
-        return joined.mapInPandas(_near_bits(self.bounds), f"a {self.kind}, b {self.kind}")
+        return joined.mapInPandas(tidied(_near_bits(self.bounds)), f"a {self.kind}, b {self.kind}")
 
     def linked(self, pairs: DataFrame, tag: str) -> DataFrame:
         """Pairs whose whole texts are similar enough."""
@@ -195,7 +292,7 @@ class Join:
         texts = self.scratch.keep(join_sized(self.docs, ids, "id", "left_semi", 32), f"{tag}-texts")
         a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
         joined = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y")
-        out = self.scratch.keep(joined.mapInPandas(_exact(self.width, self.bounds), f"a {self.kind}, b {self.kind}").distinct(), f"{tag}-links")
+        out = self.scratch.keep(joined.mapInPandas(tidied(_exact(self.width, self.bounds)), f"a {self.kind}, b {self.kind}").distinct(), f"{tag}-links")
         self.scratch.drop(f"{tag}-texts")
         return out
 
@@ -203,7 +300,12 @@ class Join:
         """A link of each node with one centre: of the centres of its keys the one that shares most keys."""
         step = float(np.log(100 / self.bounds.percent))  # sizes of a class are near enough for one centre
         sized = index.withColumn("size", F.floor(F.log("n") / step + 0.5 * turn))
-        centre = sized.groupBy("key", "size").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("b"))).alias("c"))
+        if turn:
+            rank = F.xxhash64("id")
+        else:
+            share = index.groupBy("id").agg(F.count(F.lit(1)).alias("keys"))
+            sized, rank = sized.join(share, "id"), -F.col("keys") / F.col("n")
+        centre = sized.groupBy("key", "size").agg(F.min(F.struct(rank.alias("rank"), F.col("id").alias("b"))).alias("c"))
         pairs = sized.join(centre, ["key", "size"]).select(F.col("id").alias("a"), F.col("c.b").alias("b")).where("a <> b")
         pairs = self.scratch.keep(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")), f"star{turn}")
         near = self.near(pairs.select("a", "b"), nodes).join(pairs, ["a", "b"])
@@ -215,13 +317,16 @@ class Join:
         of = components(links, self.scratch, "first")
         placed = index.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
         placed = self.scratch.keep(placed, "placed")
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        rest = self.scratch.keep(placed.join(open_keys, "key"), "open")
-        a = rest.select("key", F.col("id").alias("a"), F.col("n").alias("n"), F.col("component").alias("ca"))
-        b = rest.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"))
-        pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & self.bounds.size_fits(F.col("n"), F.col("m")))
-        pairs = self.scratch.keep(pairs.select("a", "b").distinct(), "open-pairs")
-        return self.linked(self.near(pairs, nodes), "rest")
+        spans = F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")
+        open_keys = self.scratch.keep(placed.groupBy("key").agg(*spans).where("low < high").drop("low", "high"), "open")
+        bits = nodes.where("bits is not null").select("id", "bits")
+        rows = placed.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), "blocks"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).withColumn("unit", F.xxhash64("key", "lo", "hi"))
+        rows = rows.join(bits, "id").select("unit", "id", "n", "component", "block", "lo", "hi", "bits")
+        dealt = rows.repartition("unit").sortWithinPartitions("unit")
+        pairs = dealt.mapInPandas(tidied(_across(self.bounds)), f"a {self.kind}, b {self.kind}").distinct()
+        return self.linked(pairs, "rest")
 
     def run(self) -> DataFrame:
         """(id, n_shingles, component_id) of every row."""

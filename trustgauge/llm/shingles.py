@@ -16,7 +16,7 @@ _BYTE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * n
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes hashed together, about.
-PART_BYTES = 1 << 21
+PART_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_sized
+from .common import Scratch, join_sized, tidied
 from .shingles import _BYTE, PART_BYTES, byte_parts, mix, powers
 
 LENGTH = 100
@@ -43,7 +43,7 @@ ANCHOR = 48
 #: Segments of a collection, about; an anchor with more is hot.
 COLLECTION = 4000
 #: Segments that a task counts together before the shuffle.
-TOGETHER = 1_500_000
+TOGETHER = 400_000
 #: Bits that hold a place in the bytes of a part, which no Arrow string column exceeds.
 _PLACE = np.uint64((1 << 31) - 1)
 
@@ -196,7 +196,7 @@ def _fetch(length: int):
                         hot_pieces.append(piece)
                         hot_ids.append(i)
                         hot_at.append(s)
-                if size > PART_BYTES * 4:
+                if size > PART_BYTES * 8:
                     yield pd.DataFrame({"kind": SEGMENT, "anchor": anchor, "hash": 0, "id": ids, "at": at, "n": n, "piece": pieces})
                     if hot_pieces:
                         yield from strings(hot_pieces, hot_ids, hot_at)
@@ -301,15 +301,15 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFram
     """(id, at, n): of the document, the ``n`` strings from byte ``at`` on also start earlier; docs is (id, text), an id once."""
     kind = docs.schema["id"].dataType.simpleString()
     row = _ROW.format(kind)
-    cut = docs.mapInPandas(_cut(length), row)
+    cut = docs.mapInPandas(tidied(_cut(length)), row)
     spread = cut.repartition(F.when(F.col("kind") == SEGMENT, F.col("anchor")).otherwise(F.xxhash64("id", "at")))
-    found = scratch.keep(spread.mapInPandas(_by_anchor, row), "anchors")
+    found = scratch.keep(spread.mapInPandas(tidied(_by_anchor), row), "anchors")
     gone = found.where(F.col("kind") == GONE).select("id", "at", "n")
     open_ = found.where(F.col("kind") != GONE)
     lists = open_.groupBy("id").agg(F.collect_list(F.struct("kind", "anchor", "at", "n")).alias("p"))
     lists = lists.select("id", F.col("p.kind").alias("kinds"), F.col("p.anchor").alias("anchors"), F.col("p.at").alias("starts"), F.col("p.n").alias("counts"))
     lists = scratch.keep(lists, "lists")
-    pieces = scratch.keep(docs.join(lists.hint("merge"), "id").mapInPandas(_fetch(length), f"{row}, piece binary"), "pieces")
+    pieces = scratch.keep(docs.join(lists.hint("merge"), "id").mapInPandas(tidied(_fetch(length)), f"{row}, piece binary"), "pieces")
     segment = pieces.where(F.col("kind") == SEGMENT)
     many = max(1, -(-segment.count() // COLLECTION))
     dealt = segment.select("id", "at", "n", "piece", F.pmod(F.xxhash64("anchor"), F.lit(many)).alias("part"))
