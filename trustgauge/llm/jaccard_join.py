@@ -256,7 +256,7 @@ class Join:
 
     def shared(self, rows: DataFrame, tag: str) -> DataFrame:
         """Rows (id, n, key) whose key occurs twice or more, and how often, as c."""
-        often = self.scratch.keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), f"{tag}-keys")
+        often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
         return self.scratch.keep(rows.join(often, "key"), tag)
 
     def of_texts(self, ids: DataFrame, last, runs: bool) -> DataFrame:
@@ -266,7 +266,7 @@ class Join:
     def index(self, nodes: DataFrame) -> DataFrame:
         own = nodes.where("first is not null").select("id", "n", "first")
         counted = own.select(F.explode("first").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > RARE)
-        most = self.scratch.keep(counted, "counted").orderBy(F.desc("c"), "t").limit(MAX_LAST).toPandas()
+        most = counted.orderBy(F.desc("c"), "t").limit(MAX_LAST).toPandas()
         last = self.docs.sparkSession.sparkContext.broadcast(np.sort(most["t"].to_numpy(np.int64)))
         made = self.scratch.keep(own.mapInPandas(tidied(_prefixes(self.bounds, last)), f"id {self.kind}, n long, prefix array<long>"), "prefixes")
         beyond = self.scratch.keep(made.where("prefix is null").select("id"), "beyond")
@@ -275,7 +275,8 @@ class Join:
         frequent = self.scratch.keep(single.where(F.col("c") > RARE).select("id").distinct(), "frequent")
         runs = self.scratch.keep(self.of_texts(frequent, last, True), "runs")
         rare = single.where(F.col("c") <= RARE).select("id", "n", "key")
-        return self.scratch.keep(rare.unionByName(self.shared(runs, "combinations").select("id", "n", "key")).distinct(), "index")
+        twice = runs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+        return self.scratch.keep(rare.unionByName(runs.join(twice, "key").select("id", "n", "key")).distinct(), "index")
 
     def near(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """Pairs (a, b) that the bitmaps don't rule out."""
@@ -289,12 +290,10 @@ class Join:
         """Pairs whose whole texts are similar enough."""
         pairs = self.scratch.keep(pairs.distinct(), f"{tag}-pairs")
         ids = self.scratch.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{tag}-ids")
-        texts = self.scratch.keep(join_sized(self.docs, ids, "id", "left_semi", 32), f"{tag}-texts")
+        texts = join_sized(self.docs, ids, "id", "left_semi", 32)
         a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
         joined = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y")
-        out = self.scratch.keep(joined.mapInPandas(tidied(_exact(self.width, self.bounds)), f"a {self.kind}, b {self.kind}").distinct(), f"{tag}-links")
-        self.scratch.drop(f"{tag}-texts")
-        return out
+        return self.scratch.keep(joined.mapInPandas(tidied(_exact(self.width, self.bounds)), f"a {self.kind}, b {self.kind}").distinct(), f"{tag}-links")
 
     def star(self, index: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
         """A link of each node with one centre: of the centres of its keys the one that shares most keys."""
@@ -318,7 +317,7 @@ class Join:
         placed = index.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
         placed = self.scratch.keep(placed, "placed")
         spans = F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")
-        open_keys = self.scratch.keep(placed.groupBy("key").agg(*spans).where("low < high").drop("low", "high"), "open")
+        open_keys = placed.groupBy("key").agg(*spans).where("low < high").drop("low", "high")
         bits = nodes.where("bits is not null").select("id", "bits")
         rows = placed.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), "blocks"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -333,8 +332,7 @@ class Join:
         nodes = self.nodes()
         index = self.index(nodes)
         links = self.star(index, nodes, 0).union(self.star(index, nodes, 1))
-        links = self.scratch.keep(links.union(self.apart(index, nodes, links)), "links")
-        of = components(links, self.scratch, "all").withColumnRenamed("id", "node")
+        of = components(links.union(self.apart(index, nodes, links)), self.scratch, "all").withColumnRenamed("id", "node")
         out = nodes.select("id", "n", "node").join(of, "node", "left")
         return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component_id"))
 
