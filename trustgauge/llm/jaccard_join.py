@@ -10,11 +10,12 @@ share with a partner cannot all be parted by tokens they don't share, and index
 neighbouring tokens. A pair without a rare common token so has a common run, and no pair is lost.
 
 Equal sets are one node first, the one of least id. As links are asked for by component, each
-key's nodes are first compared with one of them, in two rounds: the one that shares most of its
-tokens, which copies derive from, then one by chance. Only pairs under one key that these links
-leave in different components are then looked at, inside the tasks that hold the keys (a key with
-many nodes is dealt out as pairs of blocks of them). Pairs pass a size filter and a bound of their
-difference from parity bitmaps, a bit a token or more, before their texts are fetched and counted.
+key's nodes are first compared with one of them, the one that shares most of its tokens, which
+copies derive from. Then only pairs under one key that the links so far leave in different
+components are looked at, inside the tasks that hold the keys (a key with many nodes is dealt out
+as pairs of blocks of them): first each node's most similar one, then all that are left. Pairs pass
+a size filter and a bound of their difference from parity bitmaps, a bit a token or more, before
+their texts are fetched and counted.
 
 Defined results: a null or empty text, or one without words, has no shingles and no links; with
 fewer words than a shingle the whole is one; very long texts count whole; rows of one id are
@@ -167,14 +168,17 @@ def _near_bits(bounds: Bounds):
     return run
 
 
-def _across(bounds: Bounds):
-    """Pairs of nodes of a unit (a key, or two blocks of one) in different components that sizes and bitmaps don't rule out."""
+def _across(bounds: Bounds, best: bool):
+    """Pairs of nodes of a unit (a key, or two blocks of one) in different components that sizes and bitmaps don't rule out.
+
+    If best, only the least different one of each node outside the unit's largest component. ``d`` is the least difference.
+    """
 
     def folded(bits: np.ndarray) -> np.ndarray:
         half = bits.shape[1] // 2
         return bits[:, :half] ^ bits[:, half:]
 
-    def pairs(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def pairs(df: pd.DataFrame) -> pd.DataFrame:
         unit, n, component = df["unit"].to_numpy(), df["n"].to_numpy(), df["component"].to_numpy()
         ids, block, alone = df["id"].to_numpy(), df["block"].to_numpy(), (df["lo"] == df["hi"]).to_numpy()
         width = df["bits"].map(len).to_numpy()
@@ -185,6 +189,7 @@ def _across(bounds: Bounds):
             row[at] = np.arange(len(at))
             own[w] = np.frombuffer(b"".join(df["bits"].iloc[at]), np.uint8).reshape(len(at), w)
             half[w] = folded(own[w])
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         most = int(np.diff(np.r_[np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]), len(unit)]).max())
         for d in range(1, most):
             i = np.flatnonzero(unit[d:] == unit[:-d])
@@ -203,8 +208,20 @@ def _across(bounds: Bounds):
                     least = np.bitwise_count(own[w][row[a]] ^ other).sum(1, dtype=np.int64)
                     near = least * (100 + bounds.percent) <= (n[a] + n[b]) * (100 - bounds.percent)
                     if near.any():
-                        a, b = ids[a[near]], ids[b[near]]
-                        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+                        found.append((a[near], b[near], least[near]))
+        a, b, least = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+        if best:
+            sizes = pd.DataFrame({"unit": unit, "component": component}).groupby(["unit", "component"], sort=False).size().reset_index(name="c")
+            largest = sizes.sort_values("c", kind="stable").drop_duplicates("unit", keep="last").set_index("unit")["component"]
+            a, b, least = np.r_[a, b], np.r_[b, a], np.r_[least, least]
+            small = component[a] != largest.reindex(unit[a]).to_numpy()
+            a, b, least = a[small], b[small], least[small]
+            by = np.lexsort([b, least, a])
+            a, b, least = a[by], b[by], least[by]
+            one = np.r_[True, a[1:] != a[:-1]] if len(a) else np.empty(0, bool)
+            return pd.DataFrame({"a": ids[a[one]], "b": ids[b[one]], "d": least[one]})
+        x, y = ids[a], ids[b]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "d": least}).drop_duplicates()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -213,10 +230,10 @@ def _across(bounds: Bounds):
             if len(held) >= BLOCK:
                 last = (held["unit"] != held["unit"].iloc[-1]).to_numpy()
                 if last.any():
-                    yield from pairs(held[last])
+                    yield pairs(held[last])
                     held = held[~last].reset_index(drop=True)
         if held is not None and len(held):
-            yield from pairs(held)
+            yield pairs(held)
 
     return run
 
@@ -248,7 +265,7 @@ class Join:
         schema = f"id {self.kind}, n long, h1 long, h2 long, bits binary, first array<long>"
         sketches = self.scratch.keep(self.docs.mapInPandas(tidied(_sketches(self.width, self.bounds)), schema), "sketches")
         classes = sketches.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("node"))
-        joined = sketches.join(classes, ["h1", "h2", "n"], "left")
+        joined = sketches.join(classes.hint("merge"), ["h1", "h2", "n"], "left")
         own = F.col("id") == F.col("node")
         out = self.scratch.keep(joined.select("id", "n", "node", F.when(own, F.col("bits")).alias("bits"), F.when(own, F.col("first")).alias("first")), "nodes")
         self.scratch.drop("sketches")
@@ -292,47 +309,48 @@ class Join:
         ids = self.scratch.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{tag}-ids")
         texts = join_sized(self.docs, ids, "id", "left_semi", 32)
         a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-        joined = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y")
+        joined = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "x", "y")  # as for large tables
         return self.scratch.keep(joined.mapInPandas(tidied(_exact(self.width, self.bounds)), f"a {self.kind}, b {self.kind}").distinct(), f"{tag}-links")
 
-    def star(self, index: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
+    def star(self, index: DataFrame, nodes: DataFrame) -> DataFrame:
         """A link of each node with one centre: of the centres of its keys the one that shares most keys."""
         step = float(np.log(100 / self.bounds.percent))  # sizes of a class are near enough for one centre
-        sized = index.withColumn("size", F.floor(F.log("n") / step + 0.5 * turn))
-        if turn:
-            rank = F.xxhash64("id")
-        else:
-            share = index.groupBy("id").agg(F.count(F.lit(1)).alias("keys"))
-            sized, rank = sized.join(share, "id"), -F.col("keys") / F.col("n")
-        centre = sized.groupBy("key", "size").agg(F.min(F.struct(rank.alias("rank"), F.col("id").alias("b"))).alias("c"))
+        share = index.groupBy("id").agg(F.count(F.lit(1)).alias("keys"))
+        sized = index.withColumn("size", F.floor(F.log("n") / step)).join(share, "id")
+        centre = sized.groupBy("key", "size").agg(F.min(F.struct((-F.col("keys") / F.col("n")).alias("rank"), F.col("id").alias("b"))).alias("c"))
         pairs = sized.join(centre, ["key", "size"]).select(F.col("id").alias("a"), F.col("c.b").alias("b")).where("a <> b")
-        pairs = self.scratch.keep(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")), f"star{turn}")
+        pairs = self.scratch.keep(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")), "star")
         near = self.near(pairs.select("a", "b"), nodes).join(pairs, ["a", "b"])
         best = near.groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-        return self.linked(best, f"turn{turn}")
+        return self.linked(best, "centres")
 
-    def apart(self, index: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
-        """Links of pairs under one key that ``links`` leave in different components."""
-        of = components(links, self.scratch, "first")
+    def across(self, index: DataFrame, nodes: DataFrame, links: DataFrame, best: bool) -> DataFrame:
+        """Links of pairs under one key that ``links`` leave in different components: of each node's best one, or of all."""
+        tag = "best" if best else "all"
+        of = components(links, self.scratch, f"before-{tag}")
         placed = index.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        placed = self.scratch.keep(placed, "placed")
+        placed = self.scratch.keep(placed, f"placed-{tag}")
         spans = F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")
         open_keys = placed.groupBy("key").agg(*spans).where("low < high").drop("low", "high")
         bits = nodes.where("bits is not null").select("id", "bits")
         rows = placed.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), "blocks"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).withColumn("unit", F.xxhash64("key", "lo", "hi"))
-        rows = rows.join(bits, "id").select("unit", "id", "n", "component", "block", "lo", "hi", "bits")
+        rows = rows.join(bits.hint("merge"), "id").select("unit", "id", "n", "component", "block", "lo", "hi", "bits")
         dealt = rows.repartition("unit").sortWithinPartitions("unit")
-        pairs = dealt.mapInPandas(tidied(_across(self.bounds)), f"a {self.kind}, b {self.kind}").distinct()
-        return self.linked(pairs, "rest")
+        pairs = dealt.mapInPandas(tidied(_across(self.bounds, best)), f"a {self.kind}, b {self.kind}, d long")
+        if best:
+            pairs = pairs.groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b"))
+        return self.linked(pairs.select("a", "b"), tag)
 
     def run(self) -> DataFrame:
         """(id, n_shingles, component_id) of every row."""
         nodes = self.nodes()
         index = self.index(nodes)
-        links = self.star(index, nodes, 0).union(self.star(index, nodes, 1))
-        of = components(links.union(self.apart(index, nodes, links)), self.scratch, "all").withColumnRenamed("id", "node")
+        links = self.star(index, nodes)
+        for best in (True, False):
+            links = self.scratch.keep(links.union(self.across(index, nodes, links, best)), f"links-{best}")
+        of = components(links, self.scratch, "end").withColumnRenamed("id", "node")
         out = nodes.select("id", "n", "node").join(of, "node", "left")
         return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component_id"))
 

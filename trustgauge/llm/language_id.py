@@ -42,6 +42,8 @@ GRAMS = (2, 3, 4)
 #: Words of a training example: texts are cut so that short ones are learnt too.
 EXAMPLE_WORDS = 24
 EPOCHS = 3
+#: Steps of the descent at least: small samples are gone through more often.
+LEAST_STEPS = 300
 BATCH = 128
 RATE = 0.5
 SEED = 7
@@ -135,8 +137,10 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
     table = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     layer, bias = np.zeros((WIDTH, len(languages))), np.zeros(len(languages))
     at = [np.array([vocabulary[w] for w in t]) for t in texts]
-    steps, step = EPOCHS * -(-len(texts) // BATCH), 0
-    for _ in range(EPOCHS):
+    batches = -(-len(texts) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
+    steps, step = epochs * batches, 0
+    for _ in range(epochs):
         shuffled = rng.permutation(len(texts))
         for b in range(0, len(texts), BATCH):
             batch = shuffled[b : b + BATCH]
