@@ -137,15 +137,14 @@ def _slices(df: pd.DataFrame, most: int = 200_000) -> Iterator[pd.DataFrame]:
 
 def _by_anchor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of all segments of an anchor: copies as GONE, and those that still need comparing."""
-    rows = []
-    for pdf in batches:
-        gone = pdf["kind"] == GONE
-        yield pdf[gone]
-        rows.append(pdf.loc[~gone, _NAMES])
+    rows = list(batches)
     if not rows:
         return
     df = pd.concat(rows, ignore_index=True)
     rows.clear()
+    gone = df["kind"] == GONE
+    yield from _slices(df[gone])
+    df = df.loc[~gone, _NAMES]
     # hashes that occur once are most of all rows: drop them before sorting anything else
     _, where, count = np.unique(df["anchor"].to_numpy(), return_inverse=True, return_counts=True)
     df = df[count[where] > 1]
