@@ -69,7 +69,7 @@ METRIC_NAMES = {
     "ac3_ty_le_tu_choi_dung": "abstain_ok_rate",
     "ac3_ty_le_bia": "fabricated_rate",
 }
-LEVEL_NAMES = {"chan_ket_luan": "blocks_conclusion", "thu_hep": "narrows", "luu_y": "note"}
+LEVEL_NAMES = {"chan_ket_luan": "blocks_conclusion", "thu_hep": "narrows", "canh_bao": "note"}
 STATUS_NAMES = {"mo": "open", "da_go": "resolved"}
 
 
