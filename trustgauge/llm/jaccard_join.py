@@ -8,13 +8,16 @@ missing in the other. Tokens of such prefixes that are in at most ``RARE`` of th
 keys. Sets with a more frequent token left in their prefix extend it, until the tokens they
 share with a partner cannot all be parted by tokens they don't share, and index runs of ``RUN``
 neighbouring tokens. A pair without a rare common token so has a common run, and no pair is lost.
+A key holds a class of sizes too, each set having its own class and the next, so that sets of
+sizes too different to be similar seldom meet.
 
 Equal sets are one node first, the one of least id. As links are asked for by component, each
 key's nodes are first compared with one of them, the one that shares most of its tokens, which
 copies derive from. Then only pairs under one key that the links so far leave in different
 components are looked at, inside the tasks that hold the keys (a key with many nodes is dealt out
-as pairs of blocks of them): first each node's most similar one, then all that are left. Pairs pass
-a size filter and a bound of their difference from parity bitmaps, a bit a token or more, before
+as pairs of blocks of them): first each node's most similar one under an eighth of the keys, as
+similar ones share many, then all that are left under any key. Pairs pass
+a size filter and a bound of their difference from parity bitmaps, two bits a token or more, before
 their texts are fetched and counted.
 
 Defined results: a null or empty text, or one without words, has no shingles and no links; with
@@ -77,7 +80,7 @@ class Bounds:
 
 def _bitmap(tokens: np.ndarray) -> bytes:
     """Parities of the tokens of each slot; with the slots in halves, smaller maps are folds of larger ones."""
-    size = 1 << max(6, int(len(tokens)).bit_length())
+    size = 1 << max(7, int(2 * len(tokens)).bit_length())
     slots = (mix(tokens.view(np.uint64), 5) & np.uint64(size - 1)).astype(np.int64)
     return np.packbits((np.bincount(slots, minlength=size) & 1).astype(np.uint8)).tobytes()
 
@@ -224,16 +227,19 @@ def _across(bounds: Bounds, best: bool):
         return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "d": least}).drop_duplicates()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held, out = None, []
         for pdf in batches:  # a partition comes in order of unit
             held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             if len(held) >= BLOCK:
                 last = (held["unit"] != held["unit"].iloc[-1]).to_numpy()
                 if last.any():
-                    yield pairs(held[last])
+                    out.append(pairs(held[last]))
                     held = held[~last].reset_index(drop=True)
         if held is not None and len(held):
-            yield pairs(held)
+            out.append(pairs(held))
+        if out:  # a pair may meet under many keys
+            found = pd.concat(out, ignore_index=True)
+            yield found.sort_values(["a", "d", "b"]).drop_duplicates("a") if best else found.drop_duplicates()
 
     return run
 
@@ -292,8 +298,10 @@ class Join:
         frequent = self.scratch.keep(single.where(F.col("c") > RARE).select("id").distinct(), "frequent")
         runs = self.scratch.keep(self.of_texts(frequent, last, True), "runs")
         rare = single.where(F.col("c") <= RARE).select("id", "n", "key")
-        twice = runs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-        return self.scratch.keep(rare.unionByName(runs.join(twice, "key").select("id", "n", "key")).distinct(), "index")
+        step = float(np.log(100 / self.bounds.percent))  # the larger of two similar sets is in the class of the smaller or the next
+        own = F.floor(F.log("n") / step)
+        sized = rare.unionByName(runs).withColumn("class", F.explode(F.array(own, own + 1)))
+        return self.shared(sized.select("id", "n", F.xxhash64("key", "class").alias("key")).distinct(), "index").drop("c")
 
     def near(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """Pairs (a, b) that the bitmaps don't rule out."""
@@ -314,11 +322,10 @@ class Join:
 
     def star(self, index: DataFrame, nodes: DataFrame) -> DataFrame:
         """A link of each node with one centre: of the centres of its keys the one that shares most keys."""
-        step = float(np.log(100 / self.bounds.percent))  # sizes of a class are near enough for one centre
         share = index.groupBy("id").agg(F.count(F.lit(1)).alias("keys"))
-        sized = index.withColumn("size", F.floor(F.log("n") / step)).join(share, "id")
-        centre = sized.groupBy("key", "size").agg(F.min(F.struct((-F.col("keys") / F.col("n")).alias("rank"), F.col("id").alias("b"))).alias("c"))
-        pairs = sized.join(centre, ["key", "size"]).select(F.col("id").alias("a"), F.col("c.b").alias("b")).where("a <> b")
+        ranked = index.join(share, "id")
+        centre = ranked.groupBy("key").agg(F.min(F.struct((-F.col("keys") / F.col("n")).alias("rank"), F.col("id").alias("b"))).alias("c"))
+        pairs = index.join(centre, "key").select(F.col("id").alias("a"), F.col("c.b").alias("b")).where("a <> b")
         pairs = self.scratch.keep(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")), "star")
         near = self.near(pairs.select("a", "b"), nodes).join(pairs, ["a", "b"])
         best = near.groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
@@ -329,6 +336,8 @@ class Join:
         tag = "best" if best else "all"
         of = components(links, self.scratch, f"before-{tag}")
         placed = index.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        if best:
+            placed = placed.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(8)) == 0)
         placed = self.scratch.keep(placed, f"placed-{tag}")
         spans = F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")
         open_keys = placed.groupBy("key").agg(*spans).where("low < high").drop("low", "high")
