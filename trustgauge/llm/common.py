@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
-import os
 import shutil
 import tempfile
 import uuid
@@ -65,6 +65,7 @@ class Scratch:
         if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         self.spark, self.top = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        atexit.register(self.clear)  # results are lazy, so the tables are needed until the session ends
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.top}/{name}"
@@ -72,9 +73,14 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.top}/{name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.top}/{name}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def clear(self) -> None:
+        if self.spark._sc._jsc is not None:  # a stopped session can't
+            with contextlib.suppress(Exception):
+                self.drop("")
+
 
 def join_sized(left: DataFrame, right: DataFrame, on, how: str, width: int) -> DataFrame:
     """Join to a written table: broadcast it if its rows * width are within the bound, else shuffle."""

@@ -105,6 +105,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b LEFT JOIN v USING (source)
 """
 
+_OP7 = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+f AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS full_line FROM l),
+r AS (SELECT *, CASE WHEN full_line THEN sum(full_line::INT) OVER (PARTITION BY doc_id ORDER BY i) END AS n FROM f),
+g AS (
+  SELECT doc_id, n, line, lead(line, 1) OVER p AS second, lead(line, 2) OVER p AS third FROM r WHERE full_line
+  WINDOW p AS (PARTITION BY doc_id ORDER BY n)),
+later AS (SELECT doc_id, n FROM g WHERE third IS NOT NULL QUALIFY row_number() OVER (PARTITION BY line, second, third ORDER BY doc_id, n) > 1),
+gone AS (SELECT DISTINCT doc_id, n + k AS n FROM later, (SELECT unnest([0, 1, 2]) AS k)),
+m AS (SELECT r.*, gone.n IS NOT NULL AS cut FROM r LEFT JOIN gone ON r.doc_id = gone.doc_id AND r.n = gone.n),
+b AS (
+  SELECT *, CASE WHEN full_line THEN cut ELSE
+    coalesce(last_value(CASE WHEN full_line THEN cut END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)
+    AND coalesce(first_value(CASE WHEN full_line THEN cut END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) END AS goes
+  FROM m)
+SELECT doc_id, count_if(full_line AND goes)::BIGINT AS n_deleted, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT goes), '')) AS kept_sha256
+FROM b GROUP BY doc_id
+"""
+
 ORACLE_SQL = {
+    "op7_line_dedup": _OP7,
     "op9_quality_rules": _OP9,
 }
