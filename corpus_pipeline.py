@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from trustgauge.llm import jaccard_join, line_dedup, packing, passage_dedup, quality_rules
 
 
-def _like(out: DataFrame, docs: DataFrame) -> DataFrame:
+def _like(out: DataFrame, docs: DataFrame, gone: str) -> DataFrame:
+    """out with the columns of docs; a document of which nothing is left goes too."""
+    out = out.where((F.col(gone) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -25,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs go."""
-    return _like(line_dedup.dedup(docs), docs)
+    return _like(line_dedup.dedup(docs), docs, "n_deleted")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later near-equal passages of 50 words or more go."""
-    return _like(passage_dedup.remove_passages(docs), docs)
+    return _like(passage_dedup.remove_passages(docs), docs, "n_removed")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
