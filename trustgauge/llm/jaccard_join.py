@@ -45,6 +45,8 @@ RARE, RUN = 32, 3
 MAX_LAST = 1 << 20
 #: Nodes of a key that are compared as one block.
 BLOCK = 2000
+#: Bytes of the bitmaps that are compared first.
+SMALL = 64
 
 
 class Bounds:
@@ -85,6 +87,14 @@ def _bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits((np.bincount(slots, minlength=size) & 1).astype(np.uint8)).tobytes()
 
 
+def _small(bits: bytes) -> bytes:
+    """A bitmap folded to SMALL bytes at most: what travels with every key of a node."""
+    x = np.frombuffer(bits, np.uint8)
+    while len(x) > SMALL:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
+
+
 def _differ(a: bytes, b: bytes) -> int:
     """Tokens that two sets differ in, at least."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -104,8 +114,9 @@ def _sketches(width: int, bounds: Bounds):
                 for t in shingle_sets(raw, width):
                     u = t.view(np.uint64)
                     h1, h2 = (int(mix(u, k).sum(dtype=np.uint64).astype(np.int64)) for k in (1, 2))
-                    out.append((len(t), h1, h2, _bitmap(t) if len(t) else b"", t[: bounds.prefix(len(t)) * 5 // 4 + 4]))
-                made = pd.DataFrame(out, columns=["n", "h1", "h2", "bits", "first"])
+                    bits = _bitmap(t) if len(t) else b""
+                    out.append((len(t), h1, h2, bits, _small(bits), t[: bounds.prefix(len(t)) * 5 // 4 + 4]))
+                made = pd.DataFrame(out, columns=["n", "h1", "h2", "bits", "small", "first"])
                 made.insert(0, "id", pdf["id"].iloc[at : at + len(raw)].to_numpy())
                 at += len(raw)
                 yield made
@@ -267,13 +278,13 @@ class Join:
         self.width, self.bounds, self.scratch = width, Bounds(percent), Scratch(docs.sparkSession)
 
     def nodes(self) -> DataFrame:
-        """(id, n, node, bits, first) of every row; the last two only for nodes, node is null without shingles or id."""
-        schema = f"id {self.kind}, n long, h1 long, h2 long, bits binary, first array<long>"
+        """(id, n, node, bits, small, first) of every row; the last three only for nodes, node is null without shingles or id."""
+        schema = f"id {self.kind}, n long, h1 long, h2 long, bits binary, small binary, first array<long>"
         sketches = self.scratch.keep(self.docs.mapInPandas(tidied(_sketches(self.width, self.bounds)), schema), "sketches")
         classes = sketches.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("node"))
         joined = sketches.join(classes.hint("merge"), ["h1", "h2", "n"], "left")
         own = F.col("id") == F.col("node")
-        out = self.scratch.keep(joined.select("id", "n", "node", F.when(own, F.col("bits")).alias("bits"), F.when(own, F.col("first")).alias("first")), "nodes")
+        out = self.scratch.keep(joined.select("id", "n", "node", *(F.when(own, F.col(c)).alias(c) for c in ("bits", "small", "first"))), "nodes")
         self.scratch.drop("sketches")
         return out
 
@@ -341,7 +352,7 @@ class Join:
         placed = self.scratch.keep(placed, f"placed-{tag}")
         spans = F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")
         open_keys = placed.groupBy("key").agg(*spans).where("low < high").drop("low", "high")
-        bits = nodes.where("bits is not null").select("id", "bits")
+        bits = nodes.where("bits is not null").select("id", F.col("small").alias("bits"))
         rows = placed.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), "blocks"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).withColumn("unit", F.xxhash64("key", "lo", "hi"))
@@ -350,7 +361,8 @@ class Join:
         pairs = dealt.mapInPandas(tidied(_across(self.bounds, best)), f"a {self.kind}, b {self.kind}, d long")
         if best:
             pairs = pairs.groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b"))
-        return self.linked(pairs.select("a", "b"), tag)
+        pairs = self.scratch.keep(pairs.select("a", "b").distinct(), f"met-{tag}")
+        return self.linked(self.near(pairs, nodes), tag)
 
     def run(self) -> DataFrame:
         """(id, n_shingles, component_id) of every row."""
