@@ -15,8 +15,8 @@ Equal sets are one node first, the one of least id. As links are asked for by co
 key's nodes are first compared with one of them, the one that shares most of its tokens, which
 copies derive from. Then only pairs under one key that the links so far leave in different
 components are looked at, inside the tasks that hold the keys (a key with many nodes is dealt out
-as pairs of blocks of them): first each node's most similar one under an eighth of the keys, as
-similar ones share many, then all that are left under any key. Pairs pass
+as pairs of blocks of them): in ``ROUNDS`` rounds each node's most similar one under an eighth of
+the keys, as similar ones share many, then all that are left under any key. Pairs pass
 a size filter and a bound of their difference from parity bitmaps, two bits a token or more, before
 their texts are fetched and counted.
 
@@ -45,6 +45,8 @@ RARE, RUN = 32, 3
 MAX_LAST = 1 << 20
 #: Nodes of a key that are compared as one block.
 BLOCK = 2000
+#: Rounds in which each node is compared with its most similar one elsewhere: each joins two or more components to one.
+ROUNDS = 3
 #: Bytes of the bitmaps that are compared first.
 SMALL = 64
 
@@ -53,6 +55,8 @@ class Bounds:
     """What sets of n tokens with a Jaccard similarity of percent / 100 or more can differ in."""
 
     def __init__(self, percent: int):
+        if not 50 <= percent <= 100:  # sizes of similar sets are then within a factor of two
+            raise ValueError(f"a similarity of {percent} percent is not supported")
         self.percent = percent
         bad = [n for n in range(1, 2000) if self.apart(n) and self.extended(n, RUN) > n]
         #: Sets up to this size also index runs of two: a partner may be too small for longer ones.
@@ -342,9 +346,8 @@ class Join:
         best = near.groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
         return self.linked(best, "centres")
 
-    def across(self, index: DataFrame, nodes: DataFrame, links: DataFrame, best: bool) -> DataFrame:
+    def across(self, index: DataFrame, nodes: DataFrame, links: DataFrame, tag: str, best: bool) -> DataFrame:
         """Links of pairs under one key that ``links`` leave in different components: of each node's best one, or of all."""
-        tag = "best" if best else "all"
         of = components(links, self.scratch, f"before-{tag}")
         placed = index.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
         if best:
@@ -369,8 +372,9 @@ class Join:
         nodes = self.nodes()
         index = self.index(nodes)
         links = self.star(index, nodes)
-        for best in (True, False):
-            links = self.scratch.keep(links.union(self.across(index, nodes, links, best)), f"links-{best}")
+        for turn in range(1, ROUNDS + 1):
+            links = self.scratch.keep(links.union(self.across(index, nodes, links, f"best{turn}", True)), f"links{turn}")
+        links = self.scratch.keep(links.union(self.across(index, nodes, links, "all", False)), "links")
         of = components(links, self.scratch, "end").withColumnRenamed("id", "node")
         out = nodes.select("id", "n", "node").join(of, "node", "left")
         return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component_id"))
