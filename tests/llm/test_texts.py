@@ -207,6 +207,27 @@ def test_passages(spark):
     assert passage_dedup.remove_passages(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_passages_behind_halves(spark):
+    """Earlier texts with only the first half of a passage don't hide the one that holds all of it."""
+    rng = np.random.default_rng(6)
+    fill = lambda n: [f"u{rng.integers(0, 10**9)}" for _ in range(n)]
+    texts, later = {}, []
+    for k in range(60):
+        words = fill(50)
+        edited = [*words]
+        edited[int(rng.integers(27, 49))] = "edit"
+        for i, own in enumerate([words[:26], [*words[:26], *fill(3), *words[29:31]], words, edited]):
+            texts[10 * k + i] = " ".join([*fill(30), *own, *fill(30)])
+        later.append(10 * k + 3)
+    sets = {i: [tuple(t.split()[p : p + 5]) for p in range(len(t.split()) - 4)] for i, t in texts.items()}
+    for i in later:  # by brute force, each has a passage of 50 words near-equal to one before it
+        near = [len({*sets[i][30:76]} & {*sets[j][30:76]}) / len({*sets[i][30:76]} | {*sets[j][30:76]}) for j in range(i - 3, i)]
+        assert near[2] >= 0.8 > max(near[:2])
+    got = {r["doc_id"]: r["n_removed"] for r in passage_dedup.remove_passages(docs(spark, texts)).collect()}
+    assert sum(got[i] >= 49 for i in later) >= 59
+    assert not any(n for i, n in got.items() if i not in later)
+
+
 # ---- lines -------------------------------------------------------------------------------
 
 
