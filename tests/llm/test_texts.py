@@ -340,6 +340,18 @@ def test_token_counts(spark):
     assert got == {i: plain(t) for i, t in texts.items()}
 
 
+def test_merge_counts(spark, corpus):
+    """Against sentencepiece on whole texts."""
+    import sentencepiece
+
+    path = f"{TOKENIZERS}/piece_bpe_32k.model"
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    more = ["the government of the country", "<s> <unk> </s> <0x0A>", "a▁b ▁c", "trailing  ", "\n", " ", "\n \n  x\n", "internationalisation" * 20, "日本語" * 50, "    " * 30 + "x"]
+    texts = dict(enumerate([*ODD, *more, *corpus]))
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.with_merge_counts(docs(spark, texts), path).collect()}
+    assert got == {i: len(model.encode(t or "")) for i, t in texts.items()}
+
+
 # ---- language and quality ----------------------------------------------------------------
 
 

@@ -58,7 +58,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.with_counts(docs, vocabulary).select("doc_id", "n_tokens")
+    return token_counts.with_merge_counts(docs, vocabulary).select("doc_id", "n_tokens")
 
 
 QUERIES = {

@@ -1,13 +1,18 @@
-"""Token counts under a unigram vocabulary, without making the tokens.
+"""Token counts under a sentencepiece vocabulary, without making the ids.
 
-An Aho-Corasick automaton over the vocabulary finds all pieces that end at each character;
+``with_merge_counts`` counts by a BPE model's own rule: of all neighbouring symbols whose
+concatenation is a piece, those of the best score merge first, the leftmost of equal ones, and a
+character that is no piece counts as its UTF-8 bytes. ``with_counts`` is for unigram vocabularies,
+whose scores are log-probabilities; a BPE model's are merge ranks and no path is best under them.
+
+For unigram vocabularies an Aho-Corasick automaton over the vocabulary finds all pieces that end at each character;
 dynamic programming carries the best score and the number of pieces up to there. Of equal
 scores the piece that starts first wins, as in the tokenizers library's Unigram model; a
 character that no piece matches alone costs the least score less 10 and counts as its
 UTF-8 bytes where the vocabulary has byte pieces, else neighbouring ones count as one.
 
 A text becomes a leading word mark plus the text with spaces as word marks. Where no piece
-has a mark after another character, the best path never crosses the start of a run of
+has a mark after another character, neither a merge nor a best path crosses the start of a run of
 marks, so texts are counted word by word and a Python worker remembers words it has met.
 Sums of whole scores are exact in doubles, so cutting changes no tie.
 
@@ -18,12 +23,14 @@ named like the result is replaced; repeated rows are counted alike; no text is s
 from __future__ import annotations
 
 import gc
+import heapq
 import re
 from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
 import sentencepiece
+from sentencepiece import sentencepiece_model_pb2
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +43,19 @@ CACHE = 300_000
 
 
 def load_pieces(path: str) -> list[tuple[str, float]]:
+    """Pieces that stand for text, with scores; control, unknown, unused and byte pieces match none."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), float(model.get_score(i))) for i in range(model.get_piece_size())]
+    other = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i)
+    return [(model.id_to_piece(i), float(model.get_score(i))) for i in range(model.get_piece_size()) if not other(i)]
+
+
+def has_bytes(path: str) -> bool:
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return sum(model.is_byte(i) for i in range(model.get_piece_size())) == 256
 
 
 class Counter:
-    def __init__(self, pieces: list[tuple[str, float]]):
+    def __init__(self, pieces: list[tuple[str, float]], has_bytes: bool):
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             if piece:
@@ -50,7 +64,7 @@ class Counter:
         names = {p for p, _ in pieces}
         self.single = {p for p in names if len(p) == 1}
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
-        self.bytes = all(f"<0x{b:02X}>" in names for b in range(256))
+        self.bytes = has_bytes
         #: Words can be counted one by one.
         self.by_word = not any(MARK in p.lstrip(MARK) for p in names)
         #: A new line is in no piece, so it is one byte piece and a place to cut.
@@ -123,23 +137,87 @@ class Counter:
             at += len(keys)
 
 
-_COUNTERS: dict[str, Counter] = {}
+#: Characters from which on a heap finds the next merge.
+LONG = 40
+
 
+class MergeCounter(Counter):
+    """Counts by the merges of a BPE model with byte pieces, no normalisation and a leading mark."""
 
-def _counter(path: str) -> Counter:
+    def __init__(self, path: str):
+        spec = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as f:
+            spec.ParseFromString(f.read())
+        norm, kinds = spec.normalizer_spec, {x.type for x in spec.pieces}
+        plain = not norm.precompiled_charsmap and norm.add_dummy_prefix and not norm.remove_extra_whitespaces
+        piece = spec.SentencePiece
+        if spec.trainer_spec.model_type != spec.trainer_spec.BPE or not plain or not has_bytes(path) or kinds & {piece.USER_DEFINED, piece.UNUSED}:
+            raise ValueError(f"{path}: not a BPE model with byte pieces and unchanged text")
+        pieces = load_pieces(path)
+        super().__init__(pieces, True)
+        self.scores = dict(pieces)
+
+    def count(self, text: str) -> int:
+        symbols = self.merged_long(text) if len(text) >= LONG else self.merged(list(text))
+        scores = self.scores
+        return sum(1 if s in scores else len(s.encode()) for s in symbols)
+
+    def merged(self, symbols: list[str]) -> list[str]:
+        find, none = self.scores.get, float("-inf")
+        pairs = [find(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while pairs and (best := max(pairs)) > none:
+            i = pairs.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = find(symbols[i - 1] + symbols[i], none)
+            if i < len(pairs):
+                pairs[i] = find(symbols[i] + symbols[i + 1], none)
+        return symbols
+
+    def merged_long(self, text: str) -> list[str]:
+        find, n = self.scores.get, len(text)
+        symbols, before, after = list(text), list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = [(-x, i, 2) for i in range(n - 1) if (x := find(text[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, size = heapq.heappop(heap)
+            j = after[i]
+            if not symbols[i] or j < 0 or len(symbols[i]) + len(symbols[j]) != size:
+                continue  # one of both has merged since
+            symbols[i] += symbols[j]
+            symbols[j] = ""
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a >= 0 and b >= 0 and (x := find(symbols[a] + symbols[b])) is not None:
+                    heapq.heappush(heap, (-x, a, len(symbols[a]) + len(symbols[b])))
+        return [s for s in symbols if s]
+
+
+_COUNTERS: dict[tuple[str, bool], Counter] = {}
+
+
+def _counter(path: str, merges: bool) -> Counter:
     """One for a Python worker, which may serve many tasks."""
-    if path not in _COUNTERS:
+    if (path, merges) not in _COUNTERS:
         gc.disable()  # the maps hold no cycles, and scanning them takes long
-        _COUNTERS[path] = Counter(load_pieces(path))
-    return _COUNTERS[path]
+        _COUNTERS[path, merges] = MergeCounter(path) if merges else Counter(load_pieces(path), has_bytes(path))
+    return _COUNTERS[path, merges]
+
+
+def with_merge_counts(docs: DataFrame, path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
+    """docs with the number of tokens of each text under a BPE model."""
+    return with_counts(docs, path, text, out, True)
 
 
-def with_counts(docs: DataFrame, path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
-    """docs with the number of tokens of each text."""
+def with_counts(docs: DataFrame, path: str, text: str = "text", out: str = "n_tokens", merges: bool = False) -> DataFrame:
+    """docs with the number of tokens of each text under a unigram vocabulary, or by merges."""
 
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = _counter(path)
+        counter = _counter(path, merges)
         for s in batches:
             texts = s.where(s.notna(), "").tolist()
             yield pd.Series([n for p in parts(texts) for n in counter(p)], dtype="int64")
