@@ -288,6 +288,18 @@ def test_packing(spark, corpus, monkeypatch):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_one_long_text(spark):
+    """A very long text leaves the boundaries of the others where they are best."""
+    rng = np.random.default_rng(5)
+    lengths = [*rng.integers(1, 90, 300).tolist(), 1_000_000]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, size long")
+    ends = sorted({r["bucket_end"] for r in packing.pack(df, length="size").collect()})
+    assert ends == packing.boundaries(*np.unique(lengths, return_counts=True))
+    got = packing.histogram(df.withColumn("size", F.when(F.col("size") > 80, F.col("size") * 100).otherwise(F.col("size"))), "size", 20)
+    few = np.unique(lengths)[:10]
+    assert len(got[0]) <= 20 and got[0][:10].tolist() == few.tolist() and got[0][-1] == 10**8 and got[1].sum() == 301
+
+
 # ---- tokens ------------------------------------------------------------------------------
 
 ODD = [None, "", "  two  spaces ", "Ünïcödé ﬁ ΣΑΣ", "it's don't 1234 x3", "<|startoftext|>a<|endoftext|> b", "日本語 テキスト", "a\x1cb\x85c　d", "🙂🙂 ok", "x" * 3000, "\n\n\ttab"]

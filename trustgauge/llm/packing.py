@@ -1,7 +1,7 @@
 """Packing into length buckets of least padding, and batches of a token budget inside each.
 
 A document's length is its number of words, or a given column. The global histogram of
-lengths goes to the driver, at most ``BINS`` rows; dynamic programming over it chooses the
+lengths goes to the driver, every length told apart up to ``BINS`` of them; dynamic programming over it chooses the
 bucket boundaries for which all documents, each padded to its bucket's boundary, waste
 least. A bucket's documents are dealt by id hash to groups of about ``GROUP`` rows and
 numbered there, so no task gets a whole bucket, and budget // boundary of them make a batch.
@@ -23,8 +23,8 @@ from .common import Scratch, words
 #: Buckets at most, and tokens of a padded batch at most.
 BUCKETS = 16
 BUDGET = 16_384
-#: Lengths told apart: where there are more, neighbours share a bin, whose largest length counts.
-BINS = 1 << 14
+#: Different lengths told apart: where there are more, neighbours among the longest share a bin, whose largest length counts.
+BINS = 1 << 20
 #: Rows of a bucket that are numbered together, about.
 GROUP = 20_000
 
@@ -66,14 +66,17 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
 
 
 def histogram(lengths: DataFrame, col: str, bins: int = BINS) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths and how many rows have them, at most ``bins`` of each."""
+    """Lengths and how many rows have them, at most ``bins`` of each; the shorter half of them is always exact."""
     hist = lengths.groupBy(F.col(col).alias("len")).agg(F.count(F.lit(1)).alias("n"))
-    most = hist.agg(F.max("len")).first()[0]
-    if most is None:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    step = -(-(most + 1) // bins)
-    rows = hist.groupBy(F.expr(f"len div {step}").alias("bin")).agg(F.max("len").alias("len"), F.sum("n").alias("n")).collect()
-    got = np.array(sorted((r["len"], r["n"]) for r in rows), np.int64).reshape(-1, 2)
+    n, most = hist.agg(F.count(F.lit(1)), F.max("len")).first()
+    if n > bins:
+        own = bins // 2
+        exact = hist.select("len").orderBy("len").limit(own).agg(F.max("len")).first()[0]
+        step = -(-(most - exact) // (bins - own))
+        tail = F.expr(f"{exact} + 1 + (len - {exact} - 1) div {step}")
+        hist = hist.groupBy(F.when(F.col("len") <= exact, F.col("len")).otherwise(tail).alias("bin")).agg(F.max("len").alias("len"), F.sum("n").alias("n"))
+    got = hist.select(F.col("len").cast("long"), F.col("n").cast("long")).toPandas().to_numpy(dtype=np.int64)
+    got = got[got[:, 0].argsort()]
     return got[:, 0], got[:, 1]
 
 
