@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trustgauge.llm import bpe, graph, jaccard_join, language_id, line_dedup, packing, passage_dedup, quality_rules, suffix_dedup, token_counts
 from trustgauge.llm.common import Scratch
-from trustgauge.llm.queries import TOKENIZERS
+from trustgauge.llm.queries import vocabulary_file
 
 SCHEMA = "doc_id long, text string, source string, extra string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -308,7 +308,7 @@ ODD = [None, "", "  two  spaces ", "Ünïcödé ﬁ ΣΑΣ", "it's don't 1234 x3
 def test_bpe(spark, corpus):
     from tokenizers import Tokenizer
 
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    path = vocabulary_file("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
     texts = dict(enumerate([*ODD, *corpus[:40]]))
     got = {r["doc_id"]: r for r in bpe.digests(docs(spark, texts), path).collect()}
@@ -323,7 +323,7 @@ def test_bpe(spark, corpus):
 
 def test_token_counts(spark):
     """Against a plain dynamic programme over all pieces, on words with many of them."""
-    path = f"{TOKENIZERS}/piece_bpe_32k.model"
+    path = vocabulary_file("piece_bpe_32k.model")
     pieces = dict(token_counts.load_pieces(path))
     low = min(pieces.values()) - token_counts.UNKNOWN_PENALTY
 
@@ -356,7 +356,7 @@ def test_merge_counts(spark, corpus):
     """Against sentencepiece on whole texts."""
     import sentencepiece
 
-    path = f"{TOKENIZERS}/piece_bpe_32k.model"
+    path = vocabulary_file("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     more = ["the government of the country", "<s> <unk> </s> <0x0A>", "a▁b ▁c", "trailing  ", "\n", " ", "\n \n  x\n", "internationalisation" * 20, "日本語" * 50, "    " * 30 + "x"]
     texts = dict(enumerate([*ODD, *more, *corpus]))
@@ -377,11 +377,14 @@ def test_language(spark):
     got = {r["doc_id"]: r for r in language_id.predict(df, model).collect()}
     right = [got[i]["lang_pred"] == lang for i, _, lang in rows if i >= 150]
     assert sum(right) >= 0.97 * len(right) and all(0 <= r["score"] <= 1 for r in got.values())
-    odd = spark.createDataFrame([(1, None, None), (2, "123 !", None), (3, "", "aa")], "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(1, None, None), (2, "123 !", None), (3, "", "aa"), (4, "½ ² ① Ⅷ", None)], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in language_id.predict(odd, model).collect()} == {"und"}
     none = language_id.train(odd.where("lang is null"))
     assert none is None and {r["lang_pred"] for r in language_id.predict(df, none).collect()} == {"und"}
     assert language_id.train(df.limit(0)) is None
+    assert language_id.words_of("xⅧ½ abc²d É") == ["x", "abc", "d", "é"]
+    free_id = odd.limit(1).withColumn("doc_id", F.lit(None).cast("long")).select(language_id.held_out().alias("h"))
+    assert free_id.first()["h"] is True and language_id.predict(df.limit(0), model).count() == 0
 
 
 def test_quality(spark, corpus):

@@ -189,7 +189,7 @@ class Encoder:
             ids, cut = self.bpe.encode_words(new)
             texts, tokens = list(map(self.id_text.__getitem__, ids)), list(map(self.bpe.tokens.__getitem__, ids))
             got = {w: (b - a, " ".join(texts[a:b]), " ".join(tokens[a:b])) for w, a, b in zip(new, cut[:-1], cut[1:], strict=True)}
-            self.of_word.now |= got
+            self.of_word.add(got)
             out = [got[w] if v is None else v for w, v in zip(words, out, strict=True)]
         return out
 
@@ -213,7 +213,7 @@ class Encoder:
                     n, a, b = zip(*own, strict=True) if own else ((), (), ())
                     own = [(sum(n), " ".join(filter(None, a)), " ".join(filter(None, b)))]
                 new[p] = own[0]
-            self.of_piece.now |= new
+            self.of_piece.add(new)
             values = [new[p] if v is None else v for p, v in zip(flat, values, strict=True)]
         at = 0
         for pieces in cut:

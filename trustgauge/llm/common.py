@@ -26,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset (tests), a temporary folder."""
+    """The cluster's spark.checkpoint.dir; where it is unset and all runs on one machine (tests), a temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="shared-")
         atexit.register(shutil.rmtree, path, True)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -89,6 +91,32 @@ def join_sized(left: DataFrame, right: DataFrame, on, how: str, width: int) -> D
     return left.join(right, on, how)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as no column of df has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def most_frequent(counted: DataFrame, key: str, most: int) -> list[int]:
+    """Keys of a table (key, n) with the largest counts, ``most`` at most; those that share the count where the line falls all stay out.
+
+    The line comes from a histogram of the counts, a row for each eighth of a doubling, so no task sorts the keys.
+    """
+    step = F.floor(F.log2("n") * 8)
+    hist = counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("keys")).collect()
+    line, total = None, 0
+    for r in sorted(hist, key=lambda r: -r["step"]):
+        total += r["keys"]
+        if total > most:
+            break
+        line = r["step"]
+    return [] if line is None else counted.where(step >= line).select(key).toPandas()[key].tolist()
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")
@@ -103,15 +131,28 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Characters of keys that a bounded map holds at most, whatever their number; twice as many at most.
+KEPT_CHARACTERS = 16 << 20
+#: Keys longer than this are not remembered.
+LONGEST_KEY = 1000
+
+
 class Recent:
-    """A bounded map: beyond its size the entries not used of late go."""
+    """A bounded map: beyond its size, in entries or characters of keys, the entries not used of late go."""
 
     def __init__(self, most: int):
-        self.most, self.now, self.before = most, {}, {}
+        self.most, self.now, self.before, self.size = most, {}, {}, 0
+
+    def add(self, new: dict) -> None:
+        for k, v in new.items():
+            if len(k) <= LONGEST_KEY:
+                self.now[k] = v
+                self.size += len(k)
 
     def find(self, keys: list) -> list:
         """Values of keys, None where there is none."""
-        if len(self.now) > self.most:
+        if len(self.now) > self.most or self.size > KEPT_CHARACTERS:
+            self.size = 0
             self.now, self.before = {}, self.now
         out = list(map(self.now.get, keys))
         if self.before and None in out:

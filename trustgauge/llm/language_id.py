@@ -11,7 +11,7 @@ As the layer is linear in the mean, the scores of a text are the mean of its wor
 scores, and a Python worker remembers those of words it has met.
 
 Defined results: a null text or one without letters is ``und`` with score 0 and not
-accepted; without any labelled row every text is ``und``; of equal scores the language
+accepted; without any labelled row every text is ``und``; a row without id is held out; of equal scores the language
 that is first in the alphabet wins; repeated rows are predicted alike; whole texts count,
 however long; other columns are not read.
 """
@@ -59,7 +59,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters; numerals that are no digits (a half, a circled or a Roman one) part them."""
+    found = _WORD.findall(text.lower())
+    if text.isascii():
+        return found
+    return [p for w in found for p in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +212,7 @@ class Predictor:
         new = list(dict.fromkeys(w for w, v in zip(flat, rows, strict=True) if v is None))
         if new:
             got = dict(zip(new, m.of_words(new), strict=True))
-            self.known.now |= got
+            self.known.add(got)
             rows = [got[w] if v is None else v for w, v in zip(flat, rows, strict=True)]
         full = [i for i, t in enumerate(cut) if t]
         out = [(UNDEFINED, 0.0, False)] * len(texts)
@@ -263,4 +267,5 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: tupl
 
 
 def held_out(id_col: str = "doc_id"):
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    """Rows that training may not see; one without id is held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from . import bpe, jaccard_join, language_id, line_dedup, packing, passage_dedup, quality_rules, suffix_dedup, token_counts, vector_dedup
 from .common import table
 
+try:  # the installed vocabulary files
+    from public_tokenizers import path as vocabulary_file
+except ImportError:  # their documented folder
 
-#: Folder of the public vocabulary files.
-TOKENIZERS = "/opt/tokenizers"
+    def vocabulary_file(name: str) -> str:
+        return f"/opt/tokenizers/{name}"
 
 
 def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +25,8 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/word_bpe_49k.json") -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary)
+def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary or vocabulary_file("word_bpe_49k.json"))
 
 
 def op4_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +59,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
 
 
-def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.with_merge_counts(docs, vocabulary).select("doc_id", "n_tokens")
+    return token_counts.with_merge_counts(docs, vocabulary or vocabulary_file("piece_bpe_32k.model")).select("doc_id", "n_tokens")
 
 
 QUERIES = {
