@@ -289,15 +289,15 @@ def test_packing(spark, corpus, monkeypatch):
 
 
 def test_one_long_text(spark):
-    """A very long text leaves the boundaries of the others where they are best."""
+    """Very long texts are batches of their own and leave the boundaries of the others where they are best."""
     rng = np.random.default_rng(5)
-    lengths = [*rng.integers(1, 90, 300).tolist(), 1_000_000]
-    df = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, size long")
-    ends = sorted({r["bucket_end"] for r in packing.pack(df, length="size").collect()})
-    assert ends == packing.boundaries(*np.unique(lengths, return_counts=True))
-    got = packing.histogram(df.withColumn("size", F.when(F.col("size") > 80, F.col("size") * 100).otherwise(F.col("size"))), "size", 20)
-    few = np.unique(lengths)[:10]
-    assert len(got[0]) <= 20 and got[0][:10].tolist() == few.tolist() and got[0][-1] == 10**8 and got[1].sum() == 301
+    lengths = rng.integers(0, 90, 300).tolist()
+    df = spark.createDataFrame([(i, n) for i, n in enumerate([*lengths, 10_000_000, 700, 700, 700])], "doc_id long, size long")
+    rows = packing.pack(df, length="size", budget=600).collect()
+    ends = packing.boundaries(*np.unique(lengths, return_counts=True))
+    assert sorted({r["bucket_end"] for r in rows}) == [*ends, 700, 10_000_000]
+    own = [(r["bucket_end"], r["bucket_group"], r["batch"]) for r in rows if r["n_tokens"] > 600]
+    assert len(set(own)) == 4 and all(r["padding"] == 0 for r in rows if r["n_tokens"] > 600)
 
 
 # ---- tokens ------------------------------------------------------------------------------

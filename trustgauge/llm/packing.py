@@ -1,15 +1,15 @@
 """Packing into length buckets of least padding, and batches of a token budget inside each.
 
-A document's length is its number of words, or a given column. The global histogram of
-lengths goes to the driver, every length told apart up to ``BINS`` of them; dynamic programming over it chooses the
-bucket boundaries for which all documents, each padded to its bucket's boundary, waste
-least. A bucket's documents are dealt by id hash to groups of about ``GROUP`` rows and
-numbered there, so no task gets a whole bucket, and budget // boundary of them make a batch.
-
-Defined results: a null or empty text has length 0 and takes part; a document longer than
-the budget is a batch of its own; repeated rows are packed as often as they occur; of equal
-costs the lower boundary wins; no rows give no rows; other columns pass through, those
-named like an added one are replaced.
+A document's length is its number of words, or a given column. A document longer than the token
+budget is a bucket and a batch of its own, without padding. The global histogram of all other
+lengths, at most one row for each length up to the budget, goes to the driver; dynamic programming
+over it chooses the bucket boundaries for which all these documents, each padded to its bucket's
+boundary, waste least. A bucket's documents are dealt by hash to groups of about ``GROUP`` rows
+and numbered there, so no task gets a whole bucket, and budget // boundary of them make a batch.
+
+Defined results: a null or empty text has length 0 and takes part, as does a row without id;
+repeated rows are packed as often as they occur; of equal costs the lower boundary wins; no rows
+give no rows; other columns pass through, those named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ from .common import Scratch, words
 #: Buckets at most, and tokens of a padded batch at most.
 BUCKETS = 16
 BUDGET = 16_384
-#: Different lengths told apart: where there are more, neighbours among the longest share a bin, whose largest length counts.
-BINS = 1 << 20
 #: Rows of a bucket that are numbered together, about.
 GROUP = 20_000
 
@@ -65,23 +63,16 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
     return ends[::-1]
 
 
-def histogram(lengths: DataFrame, col: str, bins: int = BINS) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths and how many rows have them, at most ``bins`` of each; the shorter half of them is always exact."""
-    hist = lengths.groupBy(F.col(col).alias("len")).agg(F.count(F.lit(1)).alias("n"))
-    n, most = hist.agg(F.count(F.lit(1)), F.max("len")).first()
-    if n > bins:
-        own = bins // 2
-        exact = hist.select("len").orderBy("len").limit(own).agg(F.max("len")).first()[0]
-        step = -(-(most - exact) // (bins - own))
-        tail = F.expr(f"{exact} + 1 + (len - {exact} - 1) div {step}")
-        hist = hist.groupBy(F.when(F.col("len") <= exact, F.col("len")).otherwise(tail).alias("bin")).agg(F.max("len").alias("len"), F.sum("n").alias("n"))
-    got = hist.select(F.col("len").cast("long"), F.col("n").cast("long")).toPandas().to_numpy(dtype=np.int64)
+def histogram(lengths: DataFrame, col: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths up to ``most``, ascending, and how many rows have them."""
+    hist = lengths.where(F.col(col) <= most).groupBy(F.col(col).alias("len")).agg(F.count(F.lit(1)).alias("n"))
+    got = hist.select(F.col("len").cast("long"), "n").toPandas().to_numpy(dtype=np.int64)
     got = got[got[:, 0].argsort()]
     return got[:, 0], got[:, 1]
 
 
-def _of_length(value: dict[int, int], length: Column, ends: list[int]) -> Column:
-    out = F.lit(None).cast("long")
+def _of_length(value: dict[int, int], length: Column, ends: list[int], beyond: Column) -> Column:
+    out = beyond
     for e in reversed(ends):
         out = F.when(length <= e, F.lit(value[e]).cast("long")).otherwise(out)
     return out
@@ -99,19 +90,16 @@ def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: st
     docs = docs.drop(*(c for c in added if c != length))
     docs = with_length(docs, text) if length is None else docs.withColumn("n_tokens", F.coalesce(F.col(length), F.lit(0)).cast("long"))
     sized = scratch.keep(docs, "sized")
-    lens, counts = histogram(sized, "n_tokens")
+    lens, counts = histogram(sized, "n_tokens", budget)
     ends = boundaries(lens, counts, buckets)
-    if not ends:
-        return sized.withColumns({c: F.lit(None).cast("long") for c in added[1:]})
-    bucket = np.searchsorted(ends, lens)
-    rows = np.bincount(bucket, weights=counts, minlength=len(ends))
+    rows = np.bincount(np.searchsorted(ends, lens), weights=counts, minlength=len(ends))
     groups = {e: max(1, -(-int(r) // GROUP)) for e, r in zip(ends, rows, strict=True)}
+    beyond = max(1, -(-sized.where(F.col("n_tokens") > budget).count() // GROUP))
     size = {e: max(1, budget // max(e, 1)) for e in ends}
-    length_col = F.col("n_tokens")
-    out = sized.withColumn("bucket_end", _of_length({e: e for e in ends}, length_col, ends)).withColumn(
-        "bucket_group", F.pmod(F.xxhash64(id_col), _of_length(groups, length_col, ends))
+    n = F.col("n_tokens")
+    out = sized.withColumn("bucket_end", _of_length({e: e for e in ends}, n, ends, n)).withColumn(
+        "bucket_group", F.pmod(F.xxhash64(id_col, "n_tokens"), _of_length(groups, n, ends, F.lit(beyond).cast("long")))
     )
     w = Window.partitionBy("bucket_end", "bucket_group").orderBy("n_tokens", id_col)
-    return out.withColumn("batch", F.floor((F.row_number().over(w) - 1) / _of_length(size, length_col, ends)).cast("long")).withColumn(
-        "padding", F.col("bucket_end") - length_col
-    )
+    number = F.row_number().over(w) - 1
+    return out.withColumn("batch", F.floor(number / _of_length(size, n, ends, F.lit(1).cast("long"))).cast("long")).withColumn("padding", F.col("bucket_end") - n)
