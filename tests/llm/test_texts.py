@@ -362,6 +362,21 @@ def test_merge_counts(spark, corpus):
     texts = dict(enumerate([*ODD, *more, *corpus]))
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts.with_merge_counts(docs(spark, texts), path).collect()}
     assert got == {i: len(model.encode(t or "")) for i, t in texts.items()}
+    assert token_counts.with_merge_counts(docs(spark, []), path).count() == 0
+
+
+def test_unigram_counts(spark):
+    """Against the tokenizers library's Unigram model over the same pieces and scores."""
+    from tokenizers import Tokenizer
+    from tokenizers.models import Unigram
+
+    path = vocabulary_file("piece_bpe_32k.model")
+    pieces = [("<unk>", 0.0), *token_counts.load_pieces(path)]
+    model = Tokenizer(Unigram(pieces, unk_id=0))
+    counter = token_counts.Counter(token_counts.load_pieces(path), False)
+    rng = np.random.default_rng(9)
+    texts = ["▁" + "▁".join(prose(rng, 4).replace("w", "the").split()) for _ in range(40)] + ["▁internationalisation▁of▁governments", "▁aaaaaaaaaaaa"]
+    assert [counter.count(t) for t in texts] == [len(model.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 # ---- language and quality ----------------------------------------------------------------

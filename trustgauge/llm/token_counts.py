@@ -1,15 +1,18 @@
 """Token counts under a sentencepiece vocabulary, without making the ids.
 
-``with_merge_counts`` counts by a BPE model's own rule: of all neighbouring symbols whose
-concatenation is a piece, those of the best score merge first, the leftmost of equal ones, and a
-character that is no piece counts as its UTF-8 bytes. ``with_counts`` is for unigram vocabularies,
-whose scores are log-probabilities; a BPE model's are merge ranks and no path is best under them.
+An Aho-Corasick automaton over the vocabulary finds all pieces that end at each character, and
+dynamic programming carries what is needed of the one path that the tokenizer would take up to there.
 
-For unigram vocabularies an Aho-Corasick automaton over the vocabulary finds all pieces that end at each character;
-dynamic programming carries the best score and the number of pieces up to there. Of equal
-scores the piece that starts first wins, as in the tokenizers library's Unigram model; a
-character that no piece matches alone costs the least score less 10 and counts as its
-UTF-8 bytes where the vocabulary has byte pieces, else neighbouring ones count as one.
+``with_merge_counts`` is for BPE models, whose scores are merge ranks: of all neighbouring symbols whose
+concatenation is a piece, those of the best score merge first, the leftmost of equal ones. A sequence of
+pieces is the outcome of these merges just if every two neighbours of it are the outcome for their own
+text, so exactly one of the pieces that end at a character follows from the last piece of the path before it.
+The programme carries that piece and the number of tokens; a character that is no piece counts as its UTF-8 bytes.
+
+``with_counts`` is for unigram vocabularies, whose scores are log-probabilities: the programme carries the
+best score and the number of pieces. Of equal scores the piece that starts first wins, as in the
+tokenizers library's Unigram model; a character that no piece matches alone costs the least score less
+10 and counts as its UTF-8 bytes where the vocabulary has byte pieces, else neighbouring ones count as one.
 
 A text becomes a leading word mark plus the text with spaces as word marks. Where no piece
 has a mark after another character, neither a merge nor a best path crosses the start of a run of
@@ -23,7 +26,6 @@ named like the result is replaced; repeated rows are counted alike; no text is s
 from __future__ import annotations
 
 import gc
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -129,7 +131,7 @@ class Counter:
         if new:
             for k in new:
                 new[k] = self.of_key(k)
-            self.known.now |= new
+            self.known.add(new)
             counts = [new[k] if v is None else v for k, v in zip(flat, counts, strict=True)]
         at = 0
         for keys in cut:
@@ -137,8 +139,8 @@ class Counter:
             at += len(keys)
 
 
-#: Characters from which on a heap finds the next merge.
-LONG = 40
+#: Pairs of neighbouring pieces whose outcome a Python worker remembers.
+PAIRS = 500_000
 
 
 class MergeCounter(Counter):
@@ -157,10 +159,36 @@ class MergeCounter(Counter):
         super().__init__(pieces, True)
         self.scores = dict(pieces)
 
+        self.fits: dict[tuple[str, str], bool] = {}
+
     def count(self, text: str) -> int:
-        symbols = self.merged_long(text) if len(text) >= LONG else self.merged(list(text))
-        scores = self.scores
-        return sum(1 if s in scores else len(s.encode()) for s in symbols)
+        """Tokens of a text whose spaces are marks already."""
+        n, single = len(text), self.single
+        last, tokens = [""] * (n + 1), [0] * (n + 1)
+        ending: list[list[int]] = [[] for _ in range(n + 1)]
+        for at, (size, _) in self.automaton.iter(text):
+            ending[at + 1].append(size)
+        for end in range(1, n + 1):
+            c = text[end - 1]
+            if c not in single:
+                ending[end].append(1)
+            for size in ending[end]:
+                start = end - size
+                piece = text[start:end]
+                if self.follows(last[start], piece):
+                    last[end] = piece
+                    tokens[end] = tokens[start] + (len(c.encode("utf-8", "surrogatepass")) if size == 1 and c not in single else 1)
+                    break
+        return tokens[n]
+
+    def follows(self, a: str, b: str) -> bool:
+        """Whether the merges leave a and b of their concatenation; at the start of a text a is empty."""
+        known = self.fits.get((a, b))
+        if known is None:
+            if len(self.fits) > PAIRS:
+                self.fits.clear()
+            known = self.fits[a, b] = self.merged(list(a + b)) == ([a, b] if a else [b])
+        return known
 
     def merged(self, symbols: list[str]) -> list[str]:
         find, none = self.scores.get, float("-inf")
@@ -175,26 +203,6 @@ class MergeCounter(Counter):
                 pairs[i] = find(symbols[i] + symbols[i + 1], none)
         return symbols
 
-    def merged_long(self, text: str) -> list[str]:
-        find, n = self.scores.get, len(text)
-        symbols, before, after = list(text), list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(-x, i, 2) for i in range(n - 1) if (x := find(text[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, size = heapq.heappop(heap)
-            j = after[i]
-            if not symbols[i] or j < 0 or len(symbols[i]) + len(symbols[j]) != size:
-                continue  # one of both has merged since
-            symbols[i] += symbols[j]
-            symbols[j] = ""
-            after[i] = k = after[j]
-            if k >= 0:
-                before[k] = i
-            for a, b in ((before[i], i), (i, k)):
-                if a >= 0 and b >= 0 and (x := find(symbols[a] + symbols[b])) is not None:
-                    heapq.heappush(heap, (-x, a, len(symbols[a]) + len(symbols[b])))
-        return [s for s in symbols if s]
-
 
 _COUNTERS: dict[tuple[str, bool], Counter] = {}
 
