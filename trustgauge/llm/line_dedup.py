@@ -52,17 +52,16 @@ def later_runs(texts: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES) -
     named = F.transform(starts, lambda i: F.struct(i.alias("at"), first_name(i, "l").alias("x"), first_name(i, "m").alias("y")))
     names = lines.select(*_TEXT, F.inline(named))
     h, found = min_lines, None
-    while True:
+    while True:  # a round is one job and one table: both uses of names share their shuffle
         twice = names.groupBy(*_NAME).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_PLACE)).alias("first")).where("n > 1").drop("n")
-        twice = scratch.keep(twice, f"twice{h}")
-        if not twice.take(1):
+        shared = scratch.keep(names.join(twice.hint("merge"), list(_NAME)), f"shared{h}")
+        if not shared.take(1):
             break
-        names = scratch.keep(names.join(twice.hint("merge"), list(_NAME)), f"shared{h}")
-        later = names.where(F.struct(*_PLACE) != F.col("first")).select(*_PLACE, F.lit(h).alias("n"))
+        later = shared.where(F.struct(*_PLACE) != F.col("first")).select(*_PLACE, F.lit(h).alias("n"))
         found = later if found is None else found.unionByName(later)
         w = Window.partitionBy(*_TEXT).orderBy("at").rangeBetween(h, h)
-        ahead = names.select(*_PLACE, *_NAME, F.max(F.struct(*_NAME)).over(w).alias("next")).where("next is not null")
-        names = scratch.keep(ahead.select(*_PLACE, F.xxhash64("x", "next.x").alias("x"), F.xxhash64("y", "next.y").alias("y")), f"named{h}")
+        ahead = shared.select(*_PLACE, *_NAME, F.max(F.struct(*_NAME)).over(w).alias("next")).where("next is not null")
+        names = ahead.select(*_PLACE, F.xxhash64("x", "next.x").alias("x"), F.xxhash64("y", "next.y").alias("y"))
         h *= 2
     if found is None:
         return names.select(*_PLACE, F.lit(h).alias("n")).limit(0)
