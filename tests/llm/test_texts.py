@@ -419,3 +419,17 @@ def test_quality(spark, corpus):
     assert quality_rules.keep(df).columns == df.columns
     assert {r["doc_id"] for r in quality_rules.keep(df).collect()} == {i for i, r in got.items() if r["kept"]}
     assert quality_rules.score(df.limit(0)).count() == 0
+
+
+def test_prior(spark):
+    """Many small hosts of one true rate aren't taken for different ones, and really different ones are."""
+    rng = np.random.default_rng(2)
+    same = [(f"h{i}", 4, int(rng.binomial(4, 0.4))) for i in range(3000)]
+    differ = [(f"h{i}", 4, int(rng.binomial(4, rng.beta(0.8, 1.2)))) for i in range(3000)]
+    spread = {}
+    for name, hosts in (("same", same), ("differ", differ)):
+        out = quality_rules.host_verdicts(spark.createDataFrame(hosts, "host string, n_docs long, n_failed long")).collect()
+        at = {r["n_failed"]: r["host_rate"] for r in out}
+        spread[name] = (at[4] - at[0], any(r["host_rejected"] for r in out))
+    assert spread["same"][0] < 0.1 and not spread["same"][1]
+    assert abs(spread["differ"][0] - 4 / 6) < 0.06 and spread["differ"][1]

@@ -99,9 +99,10 @@ m AS (
   FROM numbered LEFT JOIN covered USING (r)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
-p AS (SELECT sum(f) / sum(n) AS mean, var_pop(f / n) AS spread FROM h),
-prior AS (
-  SELECT mean, CASE WHEN spread > 0 THEN least(1000.0, greatest(1.0, mean * (1 - mean) / spread - 1)) ELSE 1000.0 END AS k FROM p),
+p AS (SELECT sum(f) / sum(n) AS mean, avg(f / n) AS rate, avg((f / n) * (f / n)) AS square, avg(1 / n) AS noise FROM h),
+q AS (
+  SELECT mean, CASE WHEN mean > 0 AND mean < 1 AND noise < 1 THEN ((square - 2 * mean * rate + mean * mean) / (mean * (1 - mean)) - noise) / (1 - noise) END AS share FROM p),
+prior AS (SELECT mean, CASE WHEN share > 0 THEN least(1000.0, greatest(1.0, 1 / share - 1)) ELSE 1000.0 END AS k FROM q),
 v AS (SELECT source, (f + mean * k) / (n + k) AS rate FROM h, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        round(rate, 6) AS host_rate, NOT base_failed AND coalesce(rate <= 0.5, true) AS kept
