@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -43,6 +44,22 @@ def test_stages(spark, rows, tmp_path):
     assert all(seen["packing"][i] == data[i][1] for i in range(12))
 
 
+def test_run(spark, rows, tmp_path):
+    """run() itself gives what the stages give one after the other, with nulls, repeated rows and columns that clash."""
+    data, _, _ = rows
+    data = [*data, data[3], (None, data[4][1], None, None, None), (70, "", "en", "src1", 0), (71, "word " * 30_000, "en", None, 0)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").withColumn("_id", F.lit(1)).withColumn("_spans", F.lit("s"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    key = lambda df: sorted((r["doc_id"] or -1, r["text"], r["n_tokens"], r["bucket_end"]) for r in df.collect())
+    got = key(corpus_pipeline.run(spark, str(tmp_path)))
+    step = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        step = stage(spark, step, str(tmp_path))
+        step.write.parquet(str(tmp_path / f"stage{k}"))
+        step = spark.read.parquet(str(tmp_path / f"stage{k}"))
+    assert got == key(step) and {r[0] for r in got} >= set(range(12))
+
+
 def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:

@@ -8,7 +8,7 @@ import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,13 +61,18 @@ def tidied(run):
 
 
 class Scratch:
-    """Tables written in the shared folder: they cut lineage and outlive lost executors."""
+    """Tables written in the shared folder: they cut lineage and outlive lost executors.
+
+    Results are lazy, so the tables stay until the session ends, or until ``settle`` has written what needs them.
+    """
+
+    live: list[Scratch] = []
 
     def __init__(self, spark: SparkSession):
         if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         self.spark, self.top = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-        atexit.register(self.clear)  # results are lazy, so the tables are needed until the session ends
+        Scratch.live.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.top}/{name}"
@@ -82,6 +87,22 @@ class Scratch:
         if self.spark._sc._jsc is not None:  # a stopped session can't
             with contextlib.suppress(Exception):
                 self.drop("")
+        if self in Scratch.live:
+            Scratch.live.remove(self)
+
+    def settle(self, make: Callable[[], DataFrame], name: str) -> DataFrame:
+        """What ``make`` returns as a table of its own; all tables that were written for it go."""
+        before = len(Scratch.live)
+        out = self.keep(make(), name)
+        for other in Scratch.live[before:]:
+            other.clear()
+        return out
+
+
+@atexit.register
+def _clear_all() -> None:
+    for scratch in list(Scratch.live):
+        scratch.clear()
 
 
 def join_sized(left: DataFrame, right: DataFrame, on, how: str, width: int) -> DataFrame:
