@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustgauge.llm import jaccard_join, line_dedup, packing, passage_dedup, quality_rules
+from trustgauge.llm import common, jaccard_join, line_dedup, packing, passage_dedup, quality_rules
 
 
 def _like(out: DataFrame, docs: DataFrame, gone: str) -> DataFrame:
@@ -58,7 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents; what a stage returns is a table before the next one begins."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    scratch, before = common.Scratch(spark), None
+    for name, stage in STAGES[:-1]:
+        docs = scratch.settle(lambda d=docs, s=stage: s(spark, d, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
+    return STAGES[-1][1](spark, docs, sf_dir)
