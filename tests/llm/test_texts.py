@@ -2,9 +2,7 @@
 
 import hashlib
 import re
-import tempfile
 from collections import Counter
-from pathlib import Path
 
 import numpy as np
 import pytest
@@ -74,8 +72,7 @@ def suffix_brute(texts: dict, length: int):
 @given(st.integers(2, 6), st.lists(st.text("ab", min_size=6, max_size=25), min_size=1, max_size=8))
 def test_column_wise(length, texts):
     raw = [t.encode() for t in texts]
-    with tempfile.TemporaryDirectory() as folder:
-        owner, start, interval = suffix_dedup.column_wise(raw, Path(folder), length)
+    owner, start, interval = suffix_dedup.column_wise(raw, length)
     of = {}
     for o, s, i in zip(owner, start, interval, strict=True):
         of.setdefault(raw[o][s : s + length], set()).add(int(i))
@@ -83,9 +80,11 @@ def test_column_wise(length, texts):
     assert all(len(v) == 1 for v in of.values()) and len(set.union(*of.values())) == len(of)
 
 
-@pytest.mark.parametrize("collection", [4000, 3])
-def test_suffix_dedup(spark, corpus, monkeypatch, collection):
+@pytest.mark.parametrize(("collection", "chunk", "often"), [(4000, 200_000, 16), (3, 200_000, 16), (3, 7, 2)])
+def test_suffix_dedup(spark, corpus, monkeypatch, collection, chunk, often):
     monkeypatch.setattr(suffix_dedup, "COLLECTION", collection)  # 3: nearly all anchors are hot
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)  # 7: anchors are larger than what a task looks at together
+    monkeypatch.setattr(suffix_dedup, "OFTEN", often)
     texts = dict(enumerate(corpus))
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(docs(spark, texts)).collect()}
     assert got == suffix_brute(texts, 100)

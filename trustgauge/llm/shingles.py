@@ -14,7 +14,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x5851F42D4C957F2D
-_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes hashed together, about.
 PART_BYTES = 1 << 19
 
@@ -27,17 +26,20 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: A second base, for hashes that are independent of the first one's.
+_BASES = (_BASE, 0x2545F4914F6CDD1D)
+_POWERS = [[np.ones(1, np.uint64), np.ones(1, np.uint64)] for _ in _BASES]
 
 
-def powers(n: int) -> list[np.ndarray]:
-    """The first n powers of the base and of its inverse; kept for the next call."""
-    if len(_POWERS[0]) < n:
-        for i, b in enumerate((_BASE, _INVERSE)):
+def powers(n: int, base: int = 0) -> list[np.ndarray]:
+    """The first n powers of a base and of its inverse; kept for the next call."""
+    own = _POWERS[base]
+    if len(own[0]) < n:
+        for i, b in enumerate((_BASES[base], pow(_BASES[base], -1, 1 << 64))):
             p = np.full(n, b, np.uint64)
             p[0] = 1
-            _POWERS[i] = np.cumprod(p)
-    return _POWERS
+            own[i] = np.cumprod(p)
+    return own
 
 
 @dataclass

@@ -10,13 +10,15 @@ before and after the shuffle: all but the earliest go, and it alone stands for t
 of an anchor, different segments, is dealt by anchor to collections of about ``COLLECTION``. There,
 round after round, the next symbol of every segment from its end on is inserted into the
 collection's Burrows-Wheeler transform, and the common prefix of each new suffix with its
-neighbours follows from the ranges between equal symbols; both live in files that each round
-reads and writes once from front to back. Suffixes in one interval of common prefixes of
-``length`` or more are equal strings, of which the earliest stays.
+neighbours follows from the ranges between equal symbols; each round reads both sequences once from
+front to back and writes them anew. As a collection is small they are arrays in memory, not files. Suffixes
+in one interval of common prefixes of ``length`` or more are equal strings, of which the earliest stays.
 
 An anchor with more different segments than a collection holds (a line that a third of all documents hold,
-say, between ever other neighbours) would be one task's work: its strings are dealt out by two
-64-bit hashes of their own.
+say, between ever other neighbours) would be one task's work: its strings are dealt out by two independent
+64-bit hashes of their own. Those that are more than a fair share of a task are known from counts
+before anything is shuffled, and their segments are dealt by their own hash from the start; a task
+reads its segments in order of anchor and never holds an anchor whole that is larger.
 
 Defined results: a null text is empty; texts shorter than ``length`` stay whole; a row without id
 stays whole and is no copy's origin; repeated equal rows are one document; of different texts
@@ -26,16 +28,14 @@ other columns pass through, ``kept``, ``n_bytes``, ``n_removed`` and ``n_spans``
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_sized, tidied
+from .common import Scratch, free, join_sized, parallelism, tidied
 from .shingles import _BYTE, PART_BYTES, byte_parts, mix, powers
 
 LENGTH = 100
@@ -44,6 +44,10 @@ ANCHOR = 48
 COLLECTION = 4000
 #: Segments that a task counts together before the shuffle.
 TOGETHER = 400_000
+#: Rows of a task that are looked at together after it.
+CHUNK = 200_000
+#: Of the segments counted together, different ones of an anchor from which on it may be more than a fair share.
+OFTEN = 16
 #: Bits that hold a place in the bytes of a part, which no Arrow string column exceeds.
 _PLACE = np.uint64((1 << 31) - 1)
 
@@ -111,21 +115,43 @@ def _together(rows: list[pd.DataFrame]) -> pd.DataFrame:
     return out
 
 
-def _cut(length: int):
+def _chunks(batches: Iterator[pd.DataFrame], length: int) -> Iterator[list[pd.DataFrame]]:
+    """Segments of about ``TOGETHER`` at a time."""
+    rows, size = [], 0
+    for pdf in batches:
+        at, ids = 0, pdf["id"].to_numpy()
+        for raw in byte_parts(pdf["text"]):
+            text, first, n, anchor, whole = segments(raw, length)
+            rows.append(pd.DataFrame({"anchor": anchor, "hash": whole, "id": ids[at + text], "at": first, "n": n}))
+            at += len(raw)
+            size += len(text)
+            if size > TOGETHER:
+                yield rows
+                rows, size = [], 0
+    if rows:
+        yield rows
+
+
+def _often(length: int, often: int):
+    """Anchors that are often met in what a task counts together, and under null how many segments there are."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, size = [], 0
-        for pdf in batches:
-            at, ids = 0, pdf["id"].to_numpy()
-            for raw in byte_parts(pdf["text"]):
-                text, first, n, anchor, whole = segments(raw, length)
-                rows.append(pd.DataFrame({"anchor": anchor, "hash": whole, "id": ids[at + text], "at": first, "n": n}))
-                at += len(raw)
-                size += len(text)
-                if size > TOGETHER:
-                    yield from _slices(_together(rows))
-                    rows, size = [], 0
-        if rows:
-            yield from _slices(_together(rows))
+        for rows in _chunks(batches, length):
+            pairs = np.unique(np.concatenate([r[["anchor", "hash"]].to_numpy() for r in rows]), axis=0)
+            anchor, n = np.unique(pairs[:, 0], return_counts=True)
+            many = n >= often
+            yield pd.DataFrame({"anchor": pd.array([*anchor[many].tolist(), None], "Int64"), "n": [*n[many].tolist(), len(pairs)]})
+
+    return run
+
+
+def _cut(length: int, hot):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _chunks(batches, length):
+            out = _together(rows)
+            if len(hot.value):
+                out.loc[out["anchor"].isin(hot.value) & (out["kind"] == SEGMENT), "kind"] = HOTTER
+            yield from _slices(out)
 
     return run
 
@@ -135,28 +161,66 @@ def _slices(df: pd.DataFrame, most: int = 200_000) -> Iterator[pd.DataFrame]:
         yield df[i : i + most]
 
 
-def _by_anchor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of all segments of an anchor: copies as GONE, and those that still need comparing."""
-    rows = list(batches)
-    if not rows:
-        return
-    df = pd.concat(rows, ignore_index=True)
-    rows.clear()
-    gone = df["kind"] == GONE
-    yield from _slices(df[gone])
-    df = df.loc[~gone, _NAMES]
-    # hashes that occur once are most of all rows: drop them before sorting anything else
-    _, where, count = np.unique(df["anchor"].to_numpy(), return_inverse=True, return_counts=True)
-    df = df[count[where] > 1]
-    if df.empty:
-        return
-    out = _together([df])
-    yield from _slices(out[out["kind"] == GONE])
-    rest = out[out["kind"] == SEGMENT]
-    _, where, count = np.unique(rest["anchor"].to_numpy(), return_inverse=True, return_counts=True)
-    many = count[where]
-    rest = rest.assign(kind=np.where(many > COLLECTION, HOTTER, SEGMENT))[many > 1]
-    yield from _slices(rest)
+def _by_anchor(collection: int, chunk: int):
+    """Of rows in order of kind, anchor, hash and place: copies as GONE, and segments of anchors that have different ones."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        big: tuple | None = None  # kind, anchor and hash of what came last, if its anchor is too large to hold
+
+        def whole(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            """Of anchors that end here."""
+            nonlocal big
+            if big is not None:
+                more = int(((df["kind"] == big[0]) & (df["anchor"] == big[1])).sum())
+                if more:
+                    yield from part(df[:more])
+                    df = df[more:]
+                if len(df):
+                    big = None
+            if df.empty:
+                return
+            kind, anchor, fine = (df[c].to_numpy() for c in ("kind", "anchor", "hash"))
+            new = np.r_[True, (anchor[1:] != anchor[:-1]) | (kind[1:] != kind[:-1])]
+            first = new | np.r_[True, fine[1:] != fine[:-1]]
+            group = np.cumsum(new) - 1
+            different = np.bincount(group, weights=first)[group]
+            out = np.where(~first, GONE, np.where(different > collection, HOTTER, SEGMENT))
+            out[kind == HOTTER] = np.where(first, HOTTER, GONE)[kind == HOTTER]
+            out[kind == GONE] = GONE
+            stays = (out == GONE) | (kind == HOTTER) | (different > 1)
+            yield from _slices(df[stays].assign(kind=out[stays]))
+
+        def part(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            """Of one anchor that is larger than a chunk."""
+            nonlocal big
+            kind, anchor, fine = df["kind"].iloc[0], df["anchor"].iloc[0], df["hash"].to_numpy()
+            first = np.r_[big is None or big[2] != fine[0], fine[1:] != fine[:-1]]
+            big = kind, anchor, fine[-1]
+            yield from _slices(df.assign(kind=np.where(first & (kind != GONE), HOTTER, GONE)))
+
+        held: list[pd.DataFrame] = []
+        size = 0
+        for pdf in batches:
+            held.append(pdf)
+            size += len(pdf)
+            if size < chunk:
+                continue
+            df = pd.concat(held, ignore_index=True)
+            same = ((df["kind"] == df["kind"].iloc[-1]) & (df["anchor"] == df["anchor"].iloc[-1])).to_numpy()
+            begin = int(same.argmax())
+            if begin:
+                yield from whole(df[:begin])
+                df = df[begin:]
+            if len(df) >= chunk:
+                if big is not None and (big[0] != df["kind"].iloc[0] or big[1] != df["anchor"].iloc[0]):
+                    big = None
+                yield from part(df)
+                df = df[:0]
+            held, size = [df], len(df)
+        if size:
+            yield from whole(pd.concat(held, ignore_index=True))
+
+    return run
 
 
 def _fetch(length: int):
@@ -164,14 +228,15 @@ def _fetch(length: int):
 
     def strings(pieces: list[bytes], ids: list, at: list[int]) -> Iterator[pd.DataFrame]:
         flat = np.frombuffer(b"".join(pieces), np.uint8)
-        up, down = powers(len(flat) + 1)
-        sums = np.r_[np.uint64(0), np.cumsum(_BYTE[flat] * up[: len(flat)])]
         sizes = np.array([len(x) for x in pieces])
         n = sizes - length + 1
         nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         start = np.repeat(np.cumsum(sizes) - sizes, n) + nth
-        value = (sums[start + length] - sums[start]) * down[start]
-        two = {"anchor": mix(value, 3).view(np.int64), "hash": mix(value ^ (value >> np.uint64(17)), 4).view(np.int64)}
+        two = {}
+        for base, name in enumerate(("anchor", "hash")):
+            up, down = powers(len(flat) + 1, base)
+            sums = np.r_[np.uint64(0), np.cumsum(mix(_BYTE[flat], base) * up[: len(flat)])]
+            two[name] = mix((sums[start + length] - sums[start]) * down[start], 3 + base).view(np.int64)
         yield from _slices(pd.DataFrame({"kind": HOTTER, **two, "id": np.repeat(ids, n), "at": np.repeat(at, n) + nth, "n": 1, "piece": b""}))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,22 +275,19 @@ def _fetch(length: int):
     return run
 
 
-def column_wise(texts: list[bytes], folder: Path, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def column_wise(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, interval) of every string of ``length`` bytes; equal strings have one interval.
 
-    The transform and the common prefixes are files in ``folder``, which a round reads and replaces.
+    The transform and the common prefixes are sequences that a round reads once and replaces.
     No text may hold byte 255, as UTF-8 doesn't, and none may be longer than 254 bytes.
     """
     m = len(texts)
     size = np.array([len(t) for t in texts])
     flat = np.frombuffer(b"".join(texts), np.uint8)
     end = np.cumsum(size)
-    files = folder / "transform", folder / "prefixes"
-    (flat[end - 1] + np.uint8(1)).tofile(files[0])  # 0 is the end mark before a whole text
-    np.zeros(m, np.uint8).tofile(files[1])
+    bwt, lcp = flat[end - 1] + np.uint8(1), np.zeros(m, np.uint8)  # 0 is the end mark before a whole text
     place = np.arange(m)  # of each text's newest suffix
     for j in range(1, int(size.max()) + 1):
-        bwt, lcp = (np.fromfile(f, np.uint8) for f in files)
         n = len(bwt)
         order = np.argsort(bwt, kind="stable")
         live = np.flatnonzero(size >= j)
@@ -251,10 +313,8 @@ def column_wise(texts: list[bytes], folder: Path, length: int) -> tuple[np.ndarr
         to = np.r_[new[has_before], new[has_after] + 1]
         if len(lo):
             out_lcp[to] = _range_min(lcp, lo, hi) + 1
-        out_bwt.tofile(files[0])
-        out_lcp.tofile(files[1])
+        bwt, lcp = out_bwt, out_lcp
         place[live] = new
-    bwt, lcp = (np.fromfile(f, np.uint8) for f in files)
     rank = np.empty(len(bwt), np.int64)
     rank[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
     interval = np.cumsum(lcp < length)
@@ -281,8 +341,7 @@ def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
 
 def _collection(length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        with tempfile.TemporaryDirectory() as folder:
-            owner, start, interval = column_wise(pdf["piece"].tolist(), Path(folder), length)
+        owner, start, interval = column_wise(pdf["piece"].tolist(), length)
         ids, at = pdf["id"].to_numpy()[owner], pdf["at"].to_numpy()[owner] + start
         df = pd.DataFrame({"id": ids, "at": at})
         by, _, first = _first_of([interval], [ids, at])
@@ -300,9 +359,15 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFram
     """(id, at, n): of the document, the ``n`` strings from byte ``at`` on also start earlier; docs is (id, text), an id once."""
     kind = docs.schema["id"].dataType.simpleString()
     row = _ROW.format(kind)
-    cut = docs.mapInPandas(tidied(_cut(length)), row)
-    spread = cut.repartition(F.when(F.col("kind") == SEGMENT, F.col("anchor")).otherwise(F.xxhash64("id", "at")))
-    found = scratch.keep(spread.mapInPandas(tidied(_by_anchor), row), "anchors")
+    often = docs.mapInPandas(tidied(_often(length, OFTEN)), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    often = scratch.keep(often, "often")
+    share = (often.where("anchor is null").agg(F.sum("n")).first()[0] or 0) // (8 * parallelism(docs.sparkSession))
+    hot = often.where(F.col("anchor").isNotNull() & (F.col("n") > max(share, COLLECTION)))  # so many shares there are at most
+    hot = docs.sparkSession.sparkContext.broadcast(np.array([r["anchor"] for r in hot.collect()], np.int64))
+    cut = docs.mapInPandas(tidied(_cut(length, hot)), row)
+    own = F.when(F.col("kind") == SEGMENT, F.col("anchor")).when(F.col("kind") == HOTTER, F.xxhash64("anchor", "hash")).otherwise(F.xxhash64("id", "at"))
+    spread = cut.repartition(own).sortWithinPartitions("kind", "anchor", "hash", "id", "at")
+    found = scratch.keep(spread.mapInPandas(tidied(_by_anchor(COLLECTION, CHUNK)), row), "anchors")
     gone = found.where(F.col("kind") == GONE).select("id", "at", "n")
     open_ = found.where(F.col("kind") != GONE)
     lists = open_.groupBy("id").agg(F.collect_list(F.struct("kind", "anchor", "at", "n")).alias("p"))
@@ -312,6 +377,7 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFram
     segment = pieces.where(F.col("kind") == SEGMENT)
     many = max(1, -(-segment.count() // COLLECTION))
     dealt = segment.select("id", "at", "n", "piece", F.pmod(F.xxhash64("anchor"), F.lit(many)).alias("part"))
+    dealt = dealt.repartition(min(many, max(4 * parallelism(docs.sparkSession), many // 50)), "part")  # a given number, as few bytes are much work
     later = dealt.groupBy("part").applyInPandas(_collection(length), f"id {kind}, at long, n long")
     hot = pieces.where(F.col("kind") == HOTTER).select("anchor", "hash", "id", "at")
     firsts = hot.groupBy("anchor", "hash").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -343,20 +409,23 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     """docs with kept (the remaining bytes, which may cut a character), n_bytes, n_removed and n_spans (maximal removed runs)."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
-    ids = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
-    twice = scratch.keep(ids.agg(F.min(F.xxhash64(text)).alias("_h"), F.count(F.lit(1)).alias("_c")).where("_c > 1"), "twice")
-    judged = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    columns = docs.columns
+    own_id, own_h, other, own_spans, own_cut = free(docs, "_id", "_h", "_other", "_spans", "_cut")
+    ids = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(own_id))
+    twice = ids.agg(F.min(F.xxhash64(text)).alias(own_h), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    twice = scratch.keep(twice, "twice")
     full = F.coalesce(F.col(text), F.lit(""))
     if twice.take(1):  # rows of one id
-        other = join_sized(docs, twice.drop("_c"), F.col(id_col) == F.col("_id"), "left", 32).withColumn("_other", F.col("_h").isNotNull() & (F.xxhash64(text) != F.col("_h")))
-        docs = other.drop("_id", "_h")
-        judged = docs.where(F.col(id_col).isNotNull() & ~F.col("_other")).select(F.col(id_col).alias("id"), full.alias("text")).distinct()
+        docs = join_sized(docs, twice, F.col(id_col) == F.col(own_id), "left", 32)
+        docs = docs.withColumn(other, F.col(own_h).isNotNull() & (F.xxhash64(text) != F.col(own_h))).drop(own_id, own_h)
+        judged = docs.where(F.col(id_col).isNotNull() & ~F.col(other)).select(F.col(id_col).alias("id"), full.alias("text")).distinct()
     else:
-        docs = docs.withColumn("_other", F.lit(False))
-    spans = repeats(judged, scratch, length).groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("at", "n")).alias("_spans"))
+        docs = docs.withColumn(other, F.lit(False))
+        judged = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), full.alias("text"))
+    spans = repeats(judged, scratch, length).groupBy(F.col("id").alias(own_id)).agg(F.collect_list(F.struct("at", "n")).alias(own_spans))
     spans = scratch.keep(spans, "spans")
-    out = docs.join(spans.hint("merge"), (F.col(id_col) == F.col("_id")) & ~F.col("_other"), "left")
-    cut = _remove(length)(F.when(F.col("_spans").isNotNull(), full), F.col("_spans"))
-    out = out.withColumn("_cut", cut).withColumn("n_bytes", F.octet_length(full).cast("long"))
-    out = out.withColumn("kept", F.coalesce(F.col("_cut.kept"), full.cast("binary"))).withColumn("n_removed", F.col("_cut.n_removed")).withColumn("n_spans", F.col("_cut.n_spans"))
-    return out.drop("_cut", "_id", "_spans", "_other")
+    out = docs.join(spans.hint("merge"), (F.col(id_col) == F.col(own_id)) & ~F.col(other), "left")
+    cut = _remove(length)(F.when(F.col(own_spans).isNotNull(), full), F.col(own_spans))
+    out = out.withColumn(own_cut, cut).withColumn("n_bytes", F.octet_length(full).cast("long"))
+    parts = {"kept": F.coalesce(F.col(own_cut)["kept"], full.cast("binary")), "n_removed": F.col(own_cut)["n_removed"], "n_spans": F.col(own_cut)["n_spans"]}
+    return out.withColumns(parts).select(*columns, "n_bytes", *parts)
