@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_sized, tidied
+from .common import Scratch, free, join_sized, most_frequent, tidied
 from .graph import components
 from .shingles import byte_parts, combined, mix, shingle_sets
 
@@ -285,7 +285,8 @@ class Join:
         """(id, n, node, bits, small, first) of every row; the last three only for nodes, node is null without shingles or id."""
         schema = f"id {self.kind}, n long, h1 long, h2 long, bits binary, small binary, first array<long>"
         sketches = self.scratch.keep(self.docs.mapInPandas(tidied(_sketches(self.width, self.bounds)), schema), "sketches")
-        classes = sketches.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("node"))
+        # a table, so that both sides of the join are plain shuffles and one with very many copies can be split
+        classes = self.scratch.keep(sketches.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("node")), "classes")
         joined = sketches.join(classes.hint("merge"), ["h1", "h2", "n"], "left")
         own = F.col("id") == F.col("node")
         out = self.scratch.keep(joined.select("id", "n", "node", *(F.when(own, F.col(c)).alias(c) for c in ("bits", "small", "first"))), "nodes")
@@ -304,8 +305,8 @@ class Join:
     def index(self, nodes: DataFrame) -> DataFrame:
         own = nodes.where("first is not null").select("id", "n", "first")
         counted = own.select(F.explode("first").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > RARE)
-        most = counted.orderBy(F.desc("c"), "t").limit(MAX_LAST).toPandas()
-        last = self.docs.sparkSession.sparkContext.broadcast(np.sort(most["t"].to_numpy(np.int64)))
+        counted = self.scratch.keep(counted.withColumnRenamed("c", "n"), "counted")
+        last = self.docs.sparkSession.sparkContext.broadcast(np.sort(np.array(most_frequent(counted, "t", MAX_LAST), np.int64)))
         made = self.scratch.keep(own.mapInPandas(tidied(_prefixes(self.bounds, last)), f"id {self.kind}, n long, prefix array<long>"), "prefixes")
         beyond = self.scratch.keep(made.where("prefix is null").select("id"), "beyond")
         more = self.scratch.keep(self.of_texts(beyond, last, False), "more")
@@ -388,5 +389,6 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose id is the least of its group; those without id or shingles stay."""
     groups = Join(docs, text, id_col, width, percent)
-    gone = groups.scratch.keep(groups.run().where("component_id <> id").select(F.col("id").alias("_gone")).distinct(), "gone")
-    return join_sized(docs, gone, docs[id_col] == F.col("_gone"), "left_anti", 32)
+    (own,) = free(docs, "_gone")
+    gone = groups.scratch.keep(groups.run().where("component_id <> id").select(F.col("id").alias(own)).distinct(), "gone")
+    return join_sized(docs, gone, F.col(id_col) == F.col(own), "left_anti", 32)
