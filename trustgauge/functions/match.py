@@ -45,55 +45,75 @@ def _result(right: Column, error: Column, similarity: Column | None) -> Column:
     )
 
 
-def _ratio(wanted: Column, a: Column, b: Column, exact: bool) -> Column | None:
-    return None if not exact else similarity_ratio(F.when(wanted, a), F.when(wanted, b))
+def _judged(a: Column, b: Column, body: Callable[[Column, Column, Column], Column], close: Column | None = None) -> Column:
+    """body(a, b, similarity) with each in the plan once. Python can't run inside it, so the similarity is computed before."""
+    close = F.lit(None).cast("double") if close is None else close
+    return N.bind(F.struct(a.alias("a"), b.alias("b"), close.alias("close")), lambda t: body(t["a"], t["b"], t["close"]))
 
 
 def match_id(label: Column, model: Column, similarity: bool = False) -> Column:
     a, b = N.digits(label), N.digits(model)
-    error = F.when(F.length(a) != F.length(b), "wrong_length").when(hamming(a, b) == 1, "one_digit").otherwise("many_digits")
-    return _result(a == b, error, _ratio(a != b, a, b, similarity))
+
+    def body(a, b, close):
+        error = F.when(F.length(a) != F.length(b), "wrong_length").when(hamming(a, b) == 1, "one_digit").otherwise("many_digits")
+        return _result(a == b, error, close)
+
+    return _judged(a, b, body, similarity_ratio(F.when(a != b, a), b) if similarity else None)
 
 
 def match_name(label: Column, model: Column, similarity: bool = False) -> Column:
     """The last two error types need a similarity; without it both are ``some_or_all_characters``."""
     a, b = N.person_name(label), N.person_name(model)
-    bare_a, bare_b = N.strip_diacritics(a), N.strip_diacritics(b)
-    error = F.when(bare_a == bare_b, "diacritics").when(hamming(a, b) == 1, "one_character").when(F.contains(a, b) | F.contains(b, a), "part_missing_or_added")
+    close = None
     if similarity:
-        error = error.when(similarity_ratio(F.when(a != b, bare_a), F.when(a != b, bare_b)) >= NAME_NEAR, "some_characters").otherwise("all_wrong")
-    else:
-        error = error.otherwise("some_or_all_characters")
-    return _result(a == b, error, _ratio(a != b, a, b, similarity))
+        bare = similarity_ratio(F.when(a != b, N.strip_diacritics(a)), N.strip_diacritics(b))
+        close = F.struct(similarity_ratio(F.when(a != b, a), b).alias("whole"), bare.alias("bare"))
+
+    def body(a, b, close):
+        bare_equal = N.strip_diacritics(a) == N.strip_diacritics(b)
+        error = F.when(bare_equal, "diacritics").when(hamming(a, b) == 1, "one_character").when(F.contains(a, b) | F.contains(b, a), "part_missing_or_added")
+        if similarity:
+            error = error.when(close["bare"] >= NAME_NEAR, "some_characters").otherwise("all_wrong")
+        else:
+            error = error.otherwise("some_or_all_characters")
+        return _result(a == b, error, close["whole"] if similarity else None)
+
+    return _judged(a, b, body, close)
 
 
 def match_date(label: Column, model: Column, similarity: bool = False) -> Column:
     a, b = N.date(label), N.date(model)
-    error = F.when(b.isNull(), "not_a_date").otherwise("wrong_date")
-    close = None
-    if similarity:
-        close = F.when(b.isNull(), 0.0).otherwise(similarity_ratio(F.coalesce(a, F.lit("")), b))
-    return _result(a == b, error, close)
+
+    def body(a, b, close):
+        error = F.when(b.isNull(), "not_a_date").otherwise("wrong_date")
+        return _result(a == b, error, F.when(b.isNull(), 0.0).otherwise(close) if similarity else None)
+
+    return _judged(a, b, body, similarity_ratio(F.coalesce(a, F.lit("")), b) if similarity else None)
 
 
 def match_money(label: Column, model: Column, similarity: bool = False) -> Column:
     """By digits: separators are presentation."""
     a, b = N.digits(label), N.digits(model)
-    error = (
-        F.when(b == "", "not_a_number").when(F.length(a) != F.length(b), "wrong_digit_count").when(hamming(a, b) == 1, "one_digit").otherwise("many_digits")
-    )
-    close = None if not similarity else F.when(b == "", 0.0).otherwise(similarity_ratio(a, b))
-    return _result((a != "") & (a == b), error, close)
+
+    def body(a, b, close):
+        error = (
+            F.when(b == "", "not_a_number").when(F.length(a) != F.length(b), "wrong_digit_count").when(hamming(a, b) == 1, "one_digit").otherwise("many_digits")
+        )
+        return _result((a != "") & (a == b), error, F.when(b == "", 0.0).otherwise(close) if similarity else None)
+
+    return _judged(a, b, body, similarity_ratio(a, b) if similarity else None)
 
 
 def match_quantity(label: Column, model: Column, similarity: bool = False) -> Column:
     """By value: a decimal separator is information."""
-    a, b = N.number(label), N.number(model)
-    rounded = (a != 0) & (b != 0) & (F.abs(F.try_divide(b, a) - 1) < 0.001)
-    shifted = (a != 0) & ((b == a * 1000) | (b == a / 1000) | (b == a * 1e6) | (b == a / 1e6))
-    error = F.when(b.isNull(), "not_a_number").when(rounded, "rounding").when(shifted, "unit_scale").otherwise("wrong_value")
-    close = F.when(error == "rounding", 0.99).when(error == "unit_scale", 0.5).otherwise(0.0)
-    return _result(F.abs(a - b) < 1e-9, error, close)
+
+    def body(a, b, _):
+        rounded = (a != 0) & (b != 0) & (F.abs(F.try_divide(b, a) - 1) < 0.001)
+        shifted = (a != 0) & ((b == a * 1000) | (b == a / 1000) | (b == a * 1e6) | (b == a / 1e6))
+        error = F.when(b.isNull(), "not_a_number").when(rounded, "rounding").when(shifted, "unit_scale").otherwise("wrong_value")
+        return N.bind(error, lambda e: _result(F.abs(a - b) < 1e-9, e, F.when(e == "rounding", 0.99).when(e == "unit_scale", 0.5).otherwise(0.0)))
+
+    return _judged(N.number(label), N.number(model), body)
 
 
 def match_address(label: Column, model: Column, similarity: bool = True) -> Column:
