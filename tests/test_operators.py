@@ -13,7 +13,9 @@ from trustgauge.operators import extraction as X
 from trustgauge.operators import gate as G
 from trustgauge.operators import metrics as A
 from trustgauge.operators import points as P
+from trustgauge.operators import quality as Q
 from trustgauge.operators import review as R
+from trustgauge.operators.platform import Dossiers
 from trustgauge.sources import readers, report, writers
 from trustgauge.streaming import points as stream
 
@@ -131,7 +133,11 @@ def test_writers(spark, tmp_path):
     assert len(row["fingerprint"]) == 16 and row["critical_leaks"] == 0
     assert spark.read.parquet(str(tmp_path / "s/verdicts")).count() == 2
     writers.log(R.log_lines(spark.createDataFrame([(1, "eligible", 2, 0, None)], "id int, dossier_status string, n_fields int, n_flagged int, reason string"), "now"), str(tmp_path / "log"), ("# head",))
-    assert spark.read.text(str(tmp_path / "log/lines")).first()[0] == "now | 1 | eligible | 2 | 0 | -"
+    assert spark.read.text(str(tmp_path / "log/lines")).first()[0] == "now | 1 | - | - | eligible | 2 | 0 | -"
+    writers.json_lines(p.select("id", "label", "error_type"), str(tmp_path / "j"))
+    assert '"error_type":null' in spark.read.text(str(tmp_path / "j")).first()[0]
+    assert G.compare_fingerprints(print_row, None) == "no_baseline" and G.compare_fingerprints(print_row, "0" * 16) == "changed"
+    assert G.compare_fingerprints(print_row, print_row.first()[0]) == "same"
 
 
 def test_extraction(spark):
@@ -141,7 +147,82 @@ def test_extraction(spark):
     fields = S.field_dimension(spark).where("doc_type = 'cccd' and field in ('ho_ten', 'ngay_sinh')").select("field", "kind", "anchors")
     got = {(r["page"], r["field"]): (r["value"], r["confidence"]) for r in X.read_fields(words, fields).collect()}
     assert got == {(1, "ho_ten"): ("TRẦN THỊ MAI", 0.9), (1, "ngay_sinh"): ("01/03/1990", 0.9)}
-    assert X.anchor_at("zzzzzzzzzzzzz", "so:") is None
+
+
+def page_words(spark, lines):
+    data = [(1, n, i + 1, w, 10.0 if w == "~~" else 90.0) for n, t in enumerate(lines) for i, w in enumerate(t.split())]
+    return spark.createDataFrame(data, "page int, line int, pos int, word string, conf double")
+
+
+def test_second_address_line(spark):
+    """The next line belongs to an address, unless it holds another field's anchor."""
+    fields = S.field_dimension(spark).where("doc_type = 'cccd'").select("field", "kind", "anchors")
+    read = lambda *lines: {r["field"]: r["value"] for r in X.read_fields(page_words(spark, lines), fields).collect()}
+    assert read("Nơi thường trú: Số 5 Phố Mới", "Xã An Bình ~~", "nothing more")["noi_thuong_tru"] == "Số 5 Phố Mới Xã An Bình"
+    got = read("Nơi thường trú: Số 5 Phố Mới", "Ngày sinh: 07/11/2003")
+    assert (got["noi_thuong_tru"], got["ngay_sinh"]) == ("Số 5 Phố Mới", "07/11/2003")
+    assert read("Noi thuong tru:", "Xã An Bình", "and then")["noi_thuong_tru"] == "Xã An Bình"
+
+
+def test_anchors_and_options(spark):
+    rows = [("ho va ten: mai", "ho va ten:", 10), ("xx ho va tem mai", "ho va ten:", 11), ("zzzzzzzzzzzzz", "so:", None), ("", "so:", None), ("so", ": ", None)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(rows)], "i int, norm string, anchor_norm string")
+    got = {r["i"]: (r["score"], r["offset"]) for r in X.with_anchor(df).collect()}
+    assert {i: got[i][1] for i in got} == {i: o for i, (_, _, o) in enumerate(rows) if o is not None}
+    assert got[0][0] == 1.0 and 0.7 <= got[1][0] < 1
+    names = ["mua", "thuê", "thuê mua"]
+    lines = [("x thuê mua", "thuê mua"), ("x mua ", "mua"), ("x thuê nua", "thuê mua"), ("nothing", None), ("", None)]
+    df = spark.createDataFrame([(i, t, names) for i, (t, _) in enumerate(lines)], "i int, t string, o array<string>")
+    assert {r["i"]: r["option"] for r in X.with_option(df, "t", "o").collect()} == {i: o for i, (_, o) in enumerate(lines)}
+
+
+def test_platform(spark):
+    """Extraction runs once, flags follow the threshold."""
+    calls = []
+
+    class Fixed:
+        name, version = "fixed", "1"
+
+        def extract(self, records):
+            calls.append(1)
+            given = F.array(F.struct(F.lit("ho_ten").alias("field"), F.lit("Mai").alias("value"), F.lit(0.5).alias("confidence"), F.lit("ocr").alias("source")))
+            return X.AlwaysAbstain().extract(records).withColumn("fields", given).withColumn("abstain_reason", F.lit(None).cast("string"))
+
+        def self_test(self, spark):
+            return True, "fine"
+
+    p = Dossiers(Fixed(), S.field_dimension(spark), 0.8)
+    with pytest.raises(RuntimeError):
+        p.process()
+    p.open(spark.createDataFrame([("cccd_1",), ("form_2",)], "id string"))
+    assert {(r["doc_type"], r["n_flagged"]) for r in p.process().collect()} == {("cccd", 1), ("mau_01", 1)}
+    assert {r["n_flagged"] for r in p.process(0.5).collect()} == {0} and len(calls) == 1
+    assert p.self_test(spark)[0]
+    p.close()
+
+
+def test_quality_rows(spark):
+    labels = spark.createDataFrame([("cccd", [("ho_ten",)])], "doc_type string, fields array<struct<field:string>>")
+    got = {(r["doc_type"], r["violation"]) for r in Q.label_set_violations(labels, S.field_dimension(spark)).collect()}
+    assert got == {("cccd", "other fields"), (None, "too few records")}
+    a, b = (spark.createDataFrame([(x,) for x in xs], "k string") for xs in (["x", "y"], ["y"]))
+    assert [r["k"] for r in Q.unbound(a, b, "k").collect()] == ["x"]
+    drop = spark.createDataFrame([("trust_score", 0.6, 0.5, -0.1, 0.0, 0.05, True)], "metric string, baseline double, value double, delta double, sigma double, allowed double, over boolean")
+    assert report.regression_messages(drop) == ["tolerance: trust_score fell by 0.1000, more than 0.0500"]
+    cases = spark.createDataFrame([("TC-1", "f", "a", "b", "0.90", "FAIL")], "case_id string, field string, label string, model string, confidence string, outcome string")
+    assert "## TC-1" in report.case_dossiers(cases)
+
+
+def test_small_files(spark, tmp_path):
+    (tmp_path / "m.json").write_text(json.dumps({"seed_goc": 1, "so_anh": 1, "anh": [{"id": "a", "tep": "p", "doc_type": "cccd", "muc_chat_luong": "nang", "seed": 3, "bien_dang": ["x"],
+                                                 "kich_thuoc": [1, 2], "noi_dung_da_ve": {"ho_ten": "Mai"}}]}))
+    assert tuple(readers.manifest(spark, str(tmp_path / "m.json")).first()) == ("a", "cccd", "heavy", 3, "ho_ten", "Mai")
+    gate = {"diem_tin_cay_toi_thieu": 0.5, "accuracy_truong_nghiem_trong_toi_thieu": 0.6, "ac3_ty_le_bia_toi_da": 0.0, "so_ro_ri_nghiem_trong_toi_da": 2, "bien_do_tut_cho_phep": 0.05}
+    (tmp_path / "c.json").write_text(json.dumps({"nguong_hitl": 0.8, "cong_chat_luong": gate}))
+    assert readers.config(spark, str(tmp_path / "c.json")).limits()["critical_leaks_most"] == 2
+    (tmp_path / "l.json").write_text(json.dumps({"gioi_han": [{"ma": "G", "tieu_de": "t", "muc_do": "thu_hep", "chan_cac_chi_so": ["x"], "trang_thai": "mo"}]}))
+    row = readers.limits(spark, str(tmp_path / "l.json")).first()
+    assert (row["code"], row["level"], row["status"]) == ("G", "narrows", "open")
 
 
 def test_streaming(spark, tmp_path):

@@ -12,6 +12,8 @@ WATCHED = {"trust_score": True, "accuracy_readable": True, "critical_accuracy":
 #: Limits of the absolute gates, the least drop that counts, and how many deviations of repeated runs do.
 LIMITS = {"trust_score_least": 0.55, "critical_accuracy_least": 0.60, "fabricated_rate_most": 0.0, "critical_leaks_most": 2, "tolerance": 0.05}
 SIGMAS = 3
+#: Rows or hashes of a fingerprint that are hashed together.
+BLOCK = 4096
 
 
 def metric_rows(headline: DataFrame, metrics: tuple[str, ...] = tuple(WATCHED)) -> DataFrame:
@@ -78,12 +80,15 @@ def fingerprint(records: DataFrame) -> DataFrame:
     """First 16 hex digits of a SHA-256 that changes with any label, expectation, field or record.
 
     ``records`` is (ord, text), the text of each record or field in a fixed order. Hashes of blocks of
-    rows are hashed in order, so no task gets more than a block of texts and the last sees one hash a block.
+    rows are hashed in blocks again, so no task gets more than a block, and the last one a hash for 16.8 million places.
     """
-    block = records.groupBy(F.expr("ord div 4096").alias("block")).agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("rows"))
-    hashed = block.select("block", F.sha2(F.array_join(F.transform("rows", lambda r: r["text"]), ""), 256).alias("h"))
-    top = hashed.agg(F.sort_array(F.collect_list(F.struct("block", "h"))).alias("hs"))
-    return top.select(F.substring(F.sha2(F.array_join(F.transform("hs", lambda x: x["h"]), ""), 256), 1, 16).alias("fingerprint"))
+    level = records.select("ord", "text")
+    for _ in range(2):
+        rows = F.sort_array(F.collect_list(F.struct("ord", "text")))
+        blocks = level.groupBy(F.expr(f"ord div {BLOCK}").alias("block")).agg(rows.alias("rows"))
+        level = blocks.select(F.col("block").alias("ord"), F.sha2(F.array_join(F.transform("rows", lambda r: r["text"]), ""), 256).alias("text"))
+    top = level.agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("rows"))
+    return top.select(F.substring(F.sha2(F.array_join(F.transform("rows", lambda r: r["text"]), ""), 256), 1, 16).alias("fingerprint"))
 
 
 def compare_fingerprints(now: DataFrame, before: str | None) -> str:

@@ -34,14 +34,22 @@ def unreadable_records(expected: DataFrame) -> DataFrame:
     return expected.where(~F.col("readable")).select("id").distinct()
 
 
-def agreement(expected: DataFrame, kinds: tuple[str, ...] = tuple(match.RULES)) -> DataFrame:
-    """How often a legible, written second read matches what was drawn, under the rules that judge the model."""
+def _second_reads(expected: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Legible, written second reads under the rules that judge the model."""
     compared = expected.where(F.col("legible") & (F.trim("second_read") != ""))
     rows = compared.select("id", "field", F.col("value").alias("label"), F.col("second_read").alias("model"), "kind", F.lit(False).alias("infra"))
-    judged = match.with_verdict(rows, kinds, similarity=False)
-    return judged.agg(
-        F.count(F.lit(1)).alias("n_compared"), F.count_if(match.is_correct()).alias("n_match"), F.try_divide(F.count_if(match.is_correct()), F.count(F.lit(1))).alias("agreement")
-    )
+    return match.with_verdict(rows, kinds, similarity=False)
+
+
+def agreement(expected: DataFrame, kinds: tuple[str, ...] = tuple(match.RULES)) -> DataFrame:
+    """How often a second read matches what was drawn."""
+    n, right = F.count(F.lit(1)), F.count_if(match.is_correct())
+    return _second_reads(expected, kinds).agg(n.alias("n_compared"), right.alias("n_match"), F.try_divide(right, n).alias("agreement"))
+
+
+def disagreements(expected: DataFrame, kinds: tuple[str, ...] = tuple(match.RULES)) -> DataFrame:
+    """(id, field, drawn, read) of second reads that don't match."""
+    return _second_reads(expected, kinds).where(~match.is_correct()).select("id", "field", F.col("label").alias("drawn"), F.col("model").alias("read"))
 
 
 def records(expected: DataFrame) -> DataFrame:
@@ -61,5 +69,5 @@ def plan_records(plan: DataFrame, truths: DataFrame, seed: int, step: int = 977)
     items = plan.withColumn("before", before).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))))
     items = items.withColumn("number", (F.col("before") + F.col("k")).cast("long")).withColumn("seed", F.lit(seed) + F.col("number") * step)
     sizes = truths.groupBy("doc_type").agg(F.count(F.lit(1)).alias("n_truths"))
-    items = items.join(F.broadcast(sizes), "doc_type").withColumn("truth_ord", F.pmod(F.col("k") - 1, "n_truths"))
-    return items.join(F.broadcast(truths), ["doc_type", "truth_ord"]).select("number", "doc_type", "tier", "k", "seed", "truth_ord", "truth")
+    items = items.join(sizes, "doc_type").withColumn("truth_ord", F.pmod(F.col("k") - 1, "n_truths"))
+    return items.join(truths, ["doc_type", "truth_ord"]).select("number", "doc_type", "tier", "k", "seed", "truth_ord", "truth")

@@ -46,11 +46,6 @@ def label_violations(points: DataFrame) -> DataFrame:
     return points.where((F.col("expectation") == S.MUST_ABSTAIN) & ~blank(F.col("label"))).select("id", "field")
 
 
-def uncovered_tiers(records: DataFrame, tiers: tuple[str, ...] = S.TIERS) -> DataFrame:
-    want = records.sparkSession.createDataFrame([(t,) for t in tiers], "tier string")
-    return want.join(records.select("tier").distinct(), "tier", "left_anti")
-
-
 def uncovered_metrics(published: DataFrame, limits: DataFrame) -> DataFrame:
     """Published metrics that no limit covers."""
     covered = limits.select(F.explode("covers").alias("metric")).distinct()
@@ -85,3 +80,68 @@ def wrong_prefix(values: DataFrame, prefix: str) -> DataFrame:
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows in one of two tables only, repeats counted, with the side that has them."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def bad_hashes(ledger: DataFrame, files: DataFrame) -> DataFrame:
+    """Dossiers that don't lead back to the bytes they were read from: no link, no such file, or another hash. files is (path, sha256)."""
+    there = files.select("path", F.col("sha256").alias("_there"))
+    joined = ledger.select("id", "path", "sha256").join(there, "path", "left")
+    what = (
+        F.when(blank(F.col("path")) | blank(F.col("sha256")), "no link")
+        .when(F.col("_there").isNull(), "no file")
+        .when(F.col("_there") != F.col("sha256"), "other bytes")
+    )
+    return joined.select("id", what.alias("violation")).where("violation is not null")
+
+
+#: Bars in a whole log line, at least.
+LEAST_BARS = 6
+
+
+def bad_log_lines(records: DataFrame, lines: DataFrame) -> DataFrame:
+    """Records without exactly one log line (id, line), and lines with too few columns."""
+    bars = F.length("line") - F.length(F.replace("line", F.lit("|"), F.lit("")))
+    counted = lines.groupBy("id").agg(F.count(F.lit(1)).alias("n_lines"), F.min(bars).alias("bars"))
+    joined = records.select("id").join(counted, "id", "full")
+    what = F.when(F.coalesce("n_lines", F.lit(0)) != 1, "not one line").when(F.col("bars") < LEAST_BARS, "columns missing")
+    return joined.select("id", what.alias("violation")).where("violation is not null")
+
+
+#: Least share of second reads that agree, and least number of them.
+LEAST_AGREEMENT, LEAST_COMPARED = 0.95, 30
+
+
+def weak_agreement(agreed: DataFrame) -> DataFrame:
+    """The agreement row if it is too low or rests on too few fields."""
+    fine = (F.col("n_compared") >= LEAST_COMPARED) & F.coalesce(F.col("agreement") >= LEAST_AGREEMENT, F.lit(False))
+    return agreed.where(~fine)
+
+
+def uncovered(records: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
+    """Values that no record has."""
+    want = records.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")
+    return want.join(records.select(column).distinct(), column, "left_anti")
+
+
+#: Label records at least.
+LEAST_RECORDS = 30
+
+
+def label_set_violations(labels: DataFrame, dimension: DataFrame) -> DataFrame:
+    """(doc_type, violation): types whose records don't hold just the declared fields, and under a null type a set that is too small."""
+    own = labels.select("doc_type", F.array_sort(F.transform("fields", lambda f: f["field"])).alias("names")).distinct()
+    declared = dimension.groupBy("doc_type").agg(F.array_sort(F.collect_list("field")).alias("declared"))
+    other = own.join(F.broadcast(declared), "doc_type", "left").where(~F.col("names").eqNullSafe(F.col("declared")))
+    few = labels.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < LEAST_RECORDS)
+    return other.select("doc_type", F.lit("other fields").alias("violation")).distinct().unionByName(few.select(F.lit(None).cast("string").alias("doc_type"), F.lit("too few records").alias("violation")))
+
+
+def unclassified(failures: DataFrame) -> DataFrame:
+    """Failing points (key, code) that have no failure code."""
+    return failures.where("code = 'UNCLASSIFIED'").select("key")
+
+
+def case_count(labels: DataFrame, points: DataFrame) -> DataFrame:
+    """Fields of the labels and check points made of them, if they differ in number."""
+    fields = labels.agg(F.coalesce(F.sum(F.size("fields")), F.lit(0)).alias("n_fields"))
+    return fields.crossJoin(points.agg(F.count(F.lit(1)).alias("n_points"))).where("n_fields <> n_points")  # one row each

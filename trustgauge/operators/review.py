@@ -51,8 +51,11 @@ def with_status(results: DataFrame, dimension: DataFrame) -> DataFrame:
     return out.withColumn("dossier_status", F.when(F.col("reason").isNotNull(), S.NEEDS_SUPPLEMENT).otherwise(S.ELIGIBLE))
 
 
-def evidence_ledger(records: DataFrame, results: DataFrame, dimension: DataFrame, threshold: float) -> DataFrame:
-    """A row for each record: status, reason, fields with their flag, counts; a record without a result needs a supplement."""
+def evidence_ledger(records: DataFrame, results: DataFrame, dimension: DataFrame, threshold: float, files: DataFrame | None = None) -> DataFrame:
+    """A row for each record: status, reason, fields with their flag, counts; a record without a result needs a supplement.
+
+    With files (id, path, sha256) a record also has the path and hash of the file that it was read from.
+    """
     flagged = F.transform(
         "fields",
         lambda f: F.struct(f["field"].alias("field"), f["value"].alias("value"), f["confidence"].alias("confidence"), f["source"].alias("source"), needs_review(f["confidence"], F.lit(threshold)).alias("needs_review")),
@@ -63,6 +66,8 @@ def evidence_ledger(records: DataFrame, results: DataFrame, dimension: DataFrame
     out = out.withColumn("dossier_status", F.coalesce("dossier_status", F.lit(S.NEEDS_SUPPLEMENT)))
     n = F.coalesce(F.when(F.col("fields").isNotNull(), F.size("fields")), F.lit(0))
     flags = F.coalesce(F.when(F.col("fields").isNotNull(), F.size(F.filter("fields", lambda f: f["needs_review"]))), F.lit(0))
+    if files is not None:
+        out = out.join(files.select("id", "path", "sha256"), "id", "left")
     return out.withColumn("n_fields", n).withColumn("n_flagged", flags).drop("_has")
 
 
@@ -102,8 +107,15 @@ def wrongly_returned(records: DataFrame, ledger: DataFrame, by: str = "reason")
     return rows.groupBy(key.alias(by)).agg(F.count(F.lit(1)).alias("n_dossiers"))
 
 
+#: Characters of a file's hash in a log line.
+HASH_PREFIX = 12
+
+
 def log_lines(ledger: DataFrame, run_at: str) -> DataFrame:
-    """One pipe-delimited line a dossier; a dash for what is null."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
-    line = F.concat_ws(" | ", F.lit(run_at), F.col("id").cast("string"), text("dossier_status"), text("n_fields"), text("n_flagged"), text("reason"))
-    return ledger.select("id", line.alias("line"))
+    """One pipe-delimited line a dossier: run, id, start of the file's hash, milliseconds, status, counts and reason; a dash for what is null."""
+    have = set(ledger.columns)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-")) if c in have else F.lit("-")
+    parts = [F.lit(run_at), F.col("id").cast("string"), F.substring(text("sha256"), 1, HASH_PREFIX)]
+    parts.append(F.when(F.col("elapsed_ms").isNotNull(), F.format_string("%.1f", "elapsed_ms")).otherwise("-") if "elapsed_ms" in have else F.lit("-"))
+    parts += [text("dossier_status"), text("n_fields"), text("n_flagged"), text("reason")]
+    return ledger.select("id", F.concat_ws(" | ", *parts).alias("line"))

@@ -23,8 +23,10 @@ from trustgauge.operators import points as P
 from trustgauge.operators import quality as Q
 from trustgauge.operators import review as R
 from trustgauge.operators import words as W
+from trustgauge.operators.platform import doc_type_of_id
 from trustgauge.plans import scenarios as Z
 from trustgauge.plans.scenarios import points_sql
+from trustgauge.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -385,9 +387,41 @@ def wrongly_returned_by_tier(spark, sf):
     return R.wrongly_returned(Z.label_records(spark, sf), _ledger(spark, sf), "tier")
 
 
-@query(points_sql("SELECT id, '2026-01-01T00:00:00 | ' || id || ' | ' || CASE WHEN reason IS NULL THEN 'eligible' ELSE 'needs_supplement' END || ' | ' || n_given || ' | ' || n_flagged || ' | ' || coalesce(reason, '-') AS line FROM ledger"))
+def _files(spark, sf) -> DataFrame:
+    """The file that each record was read from; every 41st has none."""
+    ids = Z.label_records(spark, sf).select("id").where("id % 41 <> 0")
+    return ids.select("id", F.concat(F.lit("files/"), F.col("id").cast("string")).alias("path"), F.sha2(F.concat(F.lit("file-"), F.col("id").cast("string")), 256).alias("sha256"))
+
+
+def _full_ledger(spark, sf) -> DataFrame:
+    records = Z.label_records(spark, sf).select("id", "doc_type")
+    return R.evidence_ledger(records, Z.result_records(spark, sf), Z.dimension(spark), T, _files(spark, sf))
+
+
+@query(points_sql("""SELECT l.id, '2026-01-01T00:00:00 | ' || l.id || ' | ' || CASE WHEN l.id % 41 = 0 THEN '-' ELSE left(sha256('file-' || l.id), 12) END || ' | ' || coalesce(printf('%.1f', elapsed_ms), '-')
+  || ' | ' || CASE WHEN reason IS NULL THEN 'eligible' ELSE 'needs_supplement' END || ' | ' || n_given || ' | ' || n_flagged || ' | ' || coalesce(reason, '-') AS line
+  FROM ledger l JOIN (SELECT DISTINCT id, elapsed_ms FROM full_pts) e ON l.id = e.id"""))
 def worker_log_lines(spark, sf):
-    return R.log_lines(_ledger(spark, sf), "2026-01-01T00:00:00")
+    return R.log_lines(_full_ledger(spark, sf), "2026-01-01T00:00:00")
+
+
+@query("SELECT * FROM (SELECT doc_id AS id, CASE WHEN doc_id % 41 = 0 THEN 'no link' WHEN doc_id % 43 = 0 THEN 'no file' WHEN doc_id % 37 = 0 THEN 'other bytes' END AS violation FROM documents) WHERE violation IS NOT NULL")
+def dq_ledger_hash(spark, sf):
+    there = _files(spark, sf).where("id % 43 <> 0").withColumn("sha256", F.when(F.col("id") % 37 == 0, F.sha2("path", 256)).otherwise(F.col("sha256")))
+    return Q.bad_hashes(_full_ledger(spark, sf), there)
+
+
+@query("SELECT * FROM (SELECT doc_id AS id, CASE WHEN doc_id % 53 = 0 THEN 'not one line' WHEN doc_id % 59 = 0 THEN 'columns missing' END AS violation FROM documents) WHERE violation IS NOT NULL")
+def dq_log_lines(spark, sf):
+    lines = R.log_lines(_full_ledger(spark, sf), "2026-01-01T00:00:00").where("id % 53 <> 0")
+    broken = lines.withColumn("line", F.when(F.col("id") % 59 == 0, F.replace("line", F.lit("|"), F.lit("/"))).otherwise(F.col("line")))
+    return Q.bad_log_lines(Z.label_records(spark, sf), broken)
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN starts_with(CASE WHEN s_nationkey % 2 = 0 THEN 'cccd_' ELSE 'form_' END || s_suppkey, 'cccd') THEN 'cccd' ELSE 'mau_01' END AS doc_type FROM supplier")
+def doc_type_by_prefix(spark, sf):
+    made = F.concat(F.when(F.col("s_nationkey") % 2 == 0, "cccd_").otherwise("form_"), F.col("s_suppkey").cast("string"))
+    return Z.table(spark, sf, "supplier").select("s_suppkey", made.alias("id")).select(F.col("s_suppkey").alias("id"), doc_type_of_id().alias("doc_type"))
 
 
 # ---- label building and agreement --------------------------------------------------------
@@ -437,6 +471,11 @@ def agreement_rate(spark, sf):
     return rounded(L.agreement(_expected(spark, sf), ("exact",)))
 
 
+@query(_reads_sql("SELECT id, field, value AS drawn, second_read AS read FROM assigned WHERE legible AND trim(second_read) <> '' AND value <> second_read"))
+def disagreements(spark, sf):
+    return L.disagreements(_expected(spark, sf), ("exact",))
+
+
 @query("SELECT l_orderkey, l_partkey, count(*) AS n_rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_keys(spark, sf):
     return P.duplicate_keys(Z.table(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
@@ -532,8 +571,8 @@ def _fingerprint_rows(spark, sf) -> DataFrame:
     return labels.select(F.col("doc_id").alias("ord"), F.concat_ws("|", F.col("doc_id").cast("string"), F.col("quality").cast("string"), F.col("toxic").cast("string")).alias("text"))
 
 
-@query("""SELECT left(sha256(string_agg(h, '' ORDER BY block)), 16) AS fingerprint FROM (
-  SELECT doc_id // 4096 AS block, sha256(string_agg(concat_ws('|', doc_id, quality, toxic), '' ORDER BY doc_id, concat_ws('|', doc_id, quality, toxic))) AS h FROM labels GROUP BY 1)""")
+@query("""SELECT left(sha256(string_agg(h, '' ORDER BY top)), 16) AS fingerprint FROM (SELECT block // 4096 AS top, sha256(string_agg(h, '' ORDER BY block)) AS h FROM (
+  SELECT doc_id // 4096 AS block, sha256(string_agg(concat_ws('|', doc_id, quality, toxic), '' ORDER BY doc_id, concat_ws('|', doc_id, quality, toxic))) AS h FROM labels GROUP BY 1) GROUP BY 1)""")
 def data_fingerprint(spark, sf):
     return G.fingerprint(_fingerprint_rows(spark, sf))
 
@@ -715,6 +754,52 @@ def open_limits(spark, sf):
     return _limits(spark).where("status = 'open'").select("code")
 
 
+@query(_reads_sql("""SELECT n_compared, n_match, round(agreement, 6) AS agreement FROM (SELECT count(*) AS n_compared, count_if(value = second_read)::BIGINT AS n_match, avg((value = second_read)::INT) AS agreement
+  FROM assigned WHERE legible AND trim(second_read) <> '') WHERE n_compared < 30 OR agreement < 0.95"""))
+def dq_agreement(spark, sf):
+    return rounded(Q.weak_agreement(L.agreement(_expected(spark, sf), ("exact",))))
+
+
+@query(points_sql("SELECT tier FROM (SELECT unnest(['clean', 'light', 'medium', 'heavy', 'unreadable']) AS tier) WHERE tier NOT IN (SELECT tier FROM dossier WHERE id % 3 = 0 AND tier <> 'heavy')"))
+def dq_uncovered_tiers(spark, sf):
+    return Q.uncovered(Z.label_records(spark, sf).where("id % 3 = 0 and tier <> 'heavy'"), "tier", S.TIERS)
+
+
+@query(points_sql(f"SELECT key FROM (SELECT id || '::' || field AS key, {_CODE} AS code FROM full_pts WHERE expectation <> 'grey' AND verdict NOT IN ('CORRECT', 'ABSTAIN_OK')) WHERE code = 'UNCLASSIFIED'"))
+def dq_unclassified(spark, sf):
+    return Q.unclassified(P.failing(Z.check_points(spark, sf)).withColumn("code", G.failure_code(("ho_ten",), ("hinh_thuc",))))
+
+
+@query(points_sql("SELECT (SELECT count(*) FROM cells)::BIGINT AS n_fields, count(*) AS n_points FROM full_pts WHERE id % 10 <> 0"))
+def dq_case_count(spark, sf):
+    return Q.case_count(Z.label_records(spark, sf), Z.check_points(spark, sf).where("id % 10 <> 0"))
+
+
+@query(points_sql("SELECT doc_type, field, string_agg(error_type || '=' || n, ',' ORDER BY error_type) AS errors FROM (SELECT doc_type, field, error_type, count(*) AS n FROM scored WHERE expectation = 'must_extract' AND verdict IN ('WRONG', 'MISSED') GROUP BY 1, 2, 3) GROUP BY 1, 2"))
+def error_map_by_field(spark, sf):
+    text = F.transform(F.map_entries("errors"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return A.error_map(Z.check_points(spark, sf)).select("doc_type", "field", F.array_join(text, ",").alias("errors"))
+
+
+# ---- files: written in the format of the files and read back ------------------------------
+
+
+@query(points_sql("SELECT id::VARCHAR AS id, doc_type, tier, labelled AS readable, field, label, expectation FROM cells"))
+def labels_from_json_lines(spark, sf):
+    path = f"{writers.scratch(spark)}/labels.jsonl"
+    writers.labels(Z.label_records(spark, sf), path)
+    return readers.labels(spark, path).select("id", "doc_type", "tier", "readable", F.inline("fields")).select("id", "doc_type", "tier", "readable", "field", "label", "expectation")
+
+
+@query("SELECT c_custkey::VARCHAR AS id, 'ho_ten' AS field, c_custkey % 3 <> 0 AS legible, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name || ', ' || c_mktsegment END AS value FROM customer")
+def second_reads_from_csv(spark, sf):
+    path = f"{writers.scratch(spark)}/reads.csv"
+    legible = F.col("c_custkey") % 3 != 0
+    rows = Z.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.lit("ho_ten").alias("field"), legible.alias("legible"), F.when(legible, F.concat_ws(", ", "c_name", "c_mktsegment")).alias("value"))
+    writers.second_reads(rows, path)
+    return readers.second_reads(spark, path).select("id", "field", "legible", "value")
+
+
 # ---- words -------------------------------------------------------------------------------
 
 _W = "WITH " + Z.WORDS_SQL.strip() + "\n"

@@ -47,6 +47,9 @@ FIELDS = (
     Field("mau_01", "thu_nhap_hang_thang", "Thu nhập hàng tháng (đồng)", "medium", "money", ("Thu nhập hàng tháng:", "Thu nhap hang thang:")),
 )
 
+#: Document types by the prefix of an identifier, and that of all others.
+ID_PREFIXES, OTHER_TYPE = {"cccd": "cccd"}, "mau_01"
+
 LABELS = (
     "id string, path string, doc_type string, tier string, readable boolean, sampled boolean, "
     "fields array<struct<field:string,label:string,expectation:string,label_source:string,second_read:string,second_note:string>>"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trustgauge.operators import calibration as C
 from trustgauge.operators import metrics as A
+from trustgauge.operators import review as R
 from trustgauge.operators.extraction import Extractor
 
 DASH = "—"
@@ -37,8 +38,8 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict() for r in df.collect()]
 
 
-def markdown(points: DataFrame, threshold: float) -> str:
-    """The score report; its tables have a row a tier, field, bin, error type or threshold."""
+def markdown(points: DataFrame, threshold: float, records: DataFrame | None = None, ledger: DataFrame | None = None, limits: DataFrame | None = None) -> str:
+    """The score report; its tables have a row a tier, field, bin, error type, threshold, reason or limit."""
     head = A.headline(points).first().asDict()
     parts = [
         "# Extraction reliability",
@@ -55,8 +56,25 @@ def markdown(points: DataFrame, threshold: float) -> str:
         "Thresholds": C.threshold_sweep_suffix(points).orderBy("step"),
         f"Review gate at {threshold:.2f}": C.review_gate(points, threshold),
     }
+    if ledger is not None and records is not None:
+        sections["Dossiers"] = R.dossier_summary(records, ledger)
+        sections["Wrongly returned, by reason"] = R.wrongly_returned(records, ledger).orderBy(F.desc("n_dossiers"), "reason")
+    sections["Three kinds of silence"] = A.silent_kinds(points)
+    sections["Time by document type"] = A.timing(points.select("id", "doc_type", "elapsed_ms").distinct(), "doc_type").orderBy("overall", "key") if "elapsed_ms" in points.columns else None
+    if limits is not None:
+        sections["Open limits"] = limits.where("status = 'open'").select("code", "level", "title").orderBy("code")
     for title, df in sections.items():
-        parts += [f"## {title}", table(_rows(df), df.columns)]
+        if df is not None:
+            parts += [f"## {title}", table(_rows(df), df.columns)]
+    return "\n\n".join(parts) + "\n"
+
+
+def case_dossiers(cases: DataFrame) -> str:
+    """Test cases (case_id, field, label, model, confidence, outcome) as Markdown, a section a case; for as many as a reader asks for."""
+    parts: list[str] = ["# Test cases"]
+    rows = _rows(cases.select("case_id", "field", "label", "model", "confidence", "outcome").orderBy("case_id", "field"))
+    for case_id in dict.fromkeys(r["case_id"] for r in rows):
+        parts += [f"## {case_id}", table([r for r in rows if r["case_id"] == case_id], ["field", "label", "model", "confidence", "outcome"])]
     return "\n\n".join(parts) + "\n"
 
 
@@ -75,5 +93,3 @@ def gate_exit(spark: SparkSession, extractor: Extractor, gate: DataFrame | None,
 
 def regression_messages(tolerances: DataFrame) -> list[str]:
     return [f"tolerance: {r['metric']} fell by {abs(r['delta']):.4f}, more than {r['allowed']:.4f}" for r in tolerances.where("over").collect()]
-
-

@@ -2,10 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustgauge.operators.points import key
+from trustgauge.sources import readers
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which a cluster's machines share; where all runs on one machine and it is unset, a temporary one."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="files-")
+        atexit.register(shutil.rmtree, top, True)
+    return f"{top}/files-{uuid.uuid4().hex}"
+
+
+def _file_name(names: dict[str, str], c: Column) -> Column:
+    """The name that a value has in files."""
+    return readers.renamed({v: k for k, v in names.items()}, c)
+
+
+def labels(df: DataFrame, path: str) -> None:
+    """Label records as JSON lines with the files' key names."""
+
+    def field(f: Column) -> Column:
+        kind = _file_name(readers.EXPECTATION_NAMES, f["expectation"])
+        return F.struct(f["field"].alias("ten_truong"), f["label"].alias("gia_tri"), kind.alias("ky_vong"))
+
+    tier = _file_name(readers.TIER_NAMES, F.col("tier"))
+    out = df.select(F.col("id").cast("string").alias("id"), "doc_type", tier.alias("muc_chat_luong"), F.col("readable").alias("anh_doc_duoc"), F.transform("fields", field).alias("fields"))
+    json_lines(out, path)
+
+
+def second_reads(df: DataFrame, path: str) -> None:
+    """Second reads (id, field, legible, value) as CSV with the files' column names, in parts that each begin with the header."""
+    flag = F.when(F.col("legible"), "1").otherwise("0")
+    out = df.select("id", F.col("field").alias("ten_truong"), flag.alias("doc_duoc"), F.col("value").alias("gia_tri_doc_lai"), F.lit(None).cast("string").alias("ghi_chu"))
+    out.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def points(df: DataFrame, path: str) -> None:
