@@ -50,7 +50,7 @@ def test_run(spark, rows, tmp_path):
     data = [*data, data[3], (None, data[4][1], None, None, None), (70, "", "en", "src1", 0), (71, "word " * 30_000, "en", None, 0)]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").withColumn("_id", F.lit(1)).withColumn("_spans", F.lit("s"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    key = lambda df: sorted((r["doc_id"] or -1, r["text"], r["n_tokens"], r["bucket_end"]) for r in df.collect())
+    key = lambda df: sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"], r["n_tokens"], r["bucket_end"]) for r in df.collect())
     got = key(corpus_pipeline.run(spark, str(tmp_path)))
     step = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
