@@ -12,6 +12,7 @@ from trustgauge.operators import calibration as C
 from trustgauge.operators import extraction as X
 from trustgauge.operators import gate as G
 from trustgauge.operators import metrics as A
+from trustgauge.operators import ordered
 from trustgauge.operators import points as P
 from trustgauge.operators import quality as Q
 from trustgauge.operators import review as R
@@ -61,6 +62,34 @@ def test_upper_median(spark):
     assert got == {("a", 0): (4, 3.0, 1.0, 4.0), ("b", 0): (1, 5.0, 5.0, 5.0), (None, 1): (5, 3.0, 1.0, 5.0)}
 
 
+def test_running_sums_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "RANGES", 5)
+    monkeypatch.setattr(ordered, "DRAWN", 2)
+    data = [(["a", "b", None][i % 3], float("nan") if i == 7 else None if i == 11 else (i * 37 % 101) / 8, i) for i in range(90)]
+    df = spark.createDataFrame(data, "k string, v double, n int")
+    assert len(ordered.cuts(df, "v")) == 5
+    got = {(r["k"], r["n"]): (r["upto"], r["upto_all"]) for r in ordered.running(df, "v", ("k",), upto=F.col("n")).collect()}
+    order = lambda r: (r[1] is not None, r[1] != r[1], r[1])
+    want = {}
+    for k in ("a", "b", None):
+        own, total = sorted((r for r in data if r[0] == k), key=order), 0
+        for r in own:
+            total += r[2]
+            want[k, r[2]] = (total, sum(x[2] for x in own))
+    assert got == want
+    numbers = P.case_ids(spark.createDataFrame([(f"r{i:03d}", "x", "t") for i in range(120)], "id string, doc_type string, tier string")).collect()
+    assert {r["id"]: r["case_id"] for r in numbers} == {f"r{i:03d}": f"TC-X-T-{i + 1:02d}" for i in range(120)}
+    assert ordered.running(df.limit(0), "v", upto=F.col("n")).collect() == []
+
+
+def test_tolerance_of_runs_is_that_of_pairs(spark):
+    schema = "run int, trust_score double, accuracy_readable double, critical_accuracy double, abstain_ok_rate double, fabricated_rate double"
+    runs = spark.createDataFrame([(0, 0.5, 0.9, None, 0.2, 0.1), (1, 0.3, 0.8, 0.1, 0.3, 0.3), (2, 0.6, None, 0.4, 0.4, 0.2)], schema)
+    now, before = (G.metric_rows(runs.where(F.col("run") == r)) for r in (1, 0))
+    pairs = G.tolerance(now, before, A.run_stability(runs, tuple(G.WATCHED))).collect()
+    assert sorted(G.tolerance_of_runs(runs, 1, 0).collect()) == sorted(pairs) and len(pairs) == 4
+
+
 def test_missing_result_is_infra_and_first_value_wins(spark):
     dim = S.field_dimension(spark)
     labels = spark.createDataFrame(

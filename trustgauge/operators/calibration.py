@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustgauge import schemas as S
+from trustgauge.operators.ordered import running
 from trustgauge.operators.points import scored
 
 
@@ -56,8 +57,8 @@ def auc(points: DataFrame) -> DataFrame:
     by = judged(points).groupBy("confidence").agg(
         F.count_if(F.col("verdict") == S.CORRECT).alias("right"), F.count_if(F.col("verdict") == S.WRONG).alias("wrong")
     )
-    below = F.sum("wrong").over(Window.orderBy("confidence")) - F.col("wrong")
-    won = by.withColumn("won", F.col("right") * (below + 0.5 * F.col("wrong")))
+    below = F.col("upto") - F.col("wrong")
+    won = running(by, "confidence", upto=F.col("wrong")).withColumn("won", F.col("right") * (below + 0.5 * F.col("wrong")))
     return won.agg(F.try_divide(F.sum("won"), F.sum("right") * F.sum("wrong")).alias("auc"))
 
 
@@ -156,7 +157,7 @@ def critical_leaks(points: DataFrame, threshold: float) -> DataFrame:
 def boundary(points: DataFrame) -> DataFrame:
     """The upper middle of the distinct confidences, and how many points a review flag at just that threshold marks."""
     values = points.where("confidence is not null").select("confidence").distinct()
-    n = values.count()
-    at = values.orderBy("confidence").offset(n // 2).limit(1).withColumnRenamed("confidence", "threshold")
+    place = running(values, "confidence", place=F.lit(1))
+    at = place.where(F.col("place") == F.floor(F.col("place_all") / 2) + 1).select(F.col("confidence").alias("threshold"))  # one row
     marked = points.where("model is not null").join(F.broadcast(at), F.lit(True))
     return marked.groupBy("threshold").agg(F.count_if(F.col("confidence").isNull() | (F.col("confidence") < F.col("threshold"))).alias("n_flagged"), F.count(F.lit(1)).alias("n_points"))

@@ -16,10 +16,10 @@ SIGMAS = 3
 BLOCK = 4096
 
 
-def metric_rows(headline: DataFrame, metrics: tuple[str, ...] = tuple(WATCHED)) -> DataFrame:
-    """(metric, value) from the one headline row."""
+def metric_rows(headline: DataFrame, metrics: tuple[str, ...] = tuple(WATCHED), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(metric, value) from a headline row, with columns to keep in front."""
     pairs = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))
-    return headline.select(F.explode(pairs).alias("p")).select("p.metric", "p.value")
+    return headline.select(*keep, F.explode(pairs).alias("p")).select(*keep, "p.metric", "p.value")
 
 
 def gate_rows(headline: DataFrame, critical_leaks: Column | int, canary_ok: bool = True, limits: dict = LIMITS) -> DataFrame:
@@ -45,6 +45,18 @@ def tolerance(now: DataFrame, before: DataFrame, sigma: DataFrame | None = None,
     """Direction-aware change of each metric and whether it is a drop beyond the larger of 3 deviations and ``least``; nulls on either side are skipped."""
     joined = now.where("value is not null").join(before.where("value is not null").select("metric", F.col("value").alias("baseline")), "metric")
     joined = joined.join(sigma.select("metric", "sigma"), "metric", "left") if sigma is not None else joined.withColumn("sigma", F.lit(0.0))
+    return _allowed(joined, least)
+
+
+def tolerance_of_runs(runs: DataFrame, now: int, before: int, least: float = LIMITS["tolerance"]) -> DataFrame:
+    """The same from a table of headlines by run: both runs and the deviation over all of them in one aggregation."""
+    long = metric_rows(runs, keep=("run",)).where("value is not null")
+    of = lambda run: F.max(F.when(F.col("run") == run, F.col("value")))  # noqa: E731  (a headline is one row)
+    both = long.groupBy("metric").agg(of(now).alias("value"), of(before).alias("baseline"), F.stddev_pop("value").alias("sigma"))
+    return _allowed(both.where("value is not null and baseline is not null"), least)
+
+
+def _allowed(joined: DataFrame, least: float) -> DataFrame:
     down = [m for m, up in WATCHED.items() if not up]
     delta = F.when(F.col("metric").isin(*down), F.col("baseline") - F.col("value")).otherwise(F.col("value") - F.col("baseline"))
     allowed = F.greatest(SIGMAS * F.coalesce("sigma", F.lit(0.0)), F.lit(least))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trustgauge import schemas as S
 from trustgauge.functions.match import is_correct
+from trustgauge.operators.ordered import running
 from trustgauge.operators.points import population, scored
 
 
@@ -118,19 +119,17 @@ def timing(df: DataFrame, key: str, value: str = "elapsed_ms") -> DataFrame:
     """n, upper median, least, most and sum of a value by key and over all (key null), both from one pass.
 
     The upper median is the value at place n div 2 of the ascending order, without interpolation.
-    It is found from the counts of distinct values, so no group's values are gathered in a list.
+    It is found from the counts of distinct values in ranges, so no task or list holds a group's values.
     """
     rows = df.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(value).alias("v"))
     counted = rows.groupBy("key", "v").agg(F.count(F.lit(1)).alias("n"))
     both = counted.select("key", F.lit(0).alias("overall"), "v", "n").unionByName(
         counted.groupBy("v").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("key"), F.lit(1).alias("overall"), "v", "n")
     )
-    w = Window.partitionBy("key", "overall").orderBy("v")
-    total = Window.partitionBy("key", "overall")
-    ranked = both.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(total))
-    middle = F.floor(F.col("all") / 2)
+    ranked = running(both, "v", ("key", "overall"), upto=F.col("n"))
+    middle = F.floor(F.col("upto_all") / 2)
     return ranked.groupBy("key", "overall").agg(
-        F.max("all").alias("n"),
+        F.max("upto_all").alias("n"),
         F.min(F.when(F.col("upto") > middle, F.col("v"))).alias("upper_median"),
         F.min("v").alias("least"),
         F.max("v").alias("most"),

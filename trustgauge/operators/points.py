@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustgauge import schemas as S
 from trustgauge.functions import match
+from trustgauge.operators.ordered import running
 
 
 def unnest_labels(labels: DataFrame) -> DataFrame:
@@ -111,7 +112,7 @@ def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
 
 def case_ids(records: DataFrame) -> DataFrame:
     """Running case number of a record in its document type and tier, by id."""
-    w = Window.partitionBy("doc_type", "tier").orderBy("id")
-    n = F.row_number().over(w)
+    n = F.col("_number")
     padded = F.when(n < 10, F.lpad(n.cast("string"), 2, "0")).otherwise(n.cast("string"))
-    return records.withColumn("case_id", F.concat_ws("-", F.lit("TC"), F.upper("doc_type"), F.upper("tier"), padded))
+    numbered = running(records, "id", ("doc_type", "tier"), _number=F.lit(1))
+    return numbered.withColumn("case_id", F.concat_ws("-", F.lit("TC"), F.upper("doc_type"), F.upper("tier"), padded)).drop("_number", "_number_all")

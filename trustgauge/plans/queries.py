@@ -526,9 +526,7 @@ _TOL = """(SELECT metric, a.value AS baseline, b.value AS value, CASE WHEN metri
 
 
 def _tolerance(spark, sf) -> DataFrame:
-    sigma = A.run_stability(_runs(spark, sf), tuple(G.WATCHED))
-    before, now = (G.metric_rows(A.headline(Z.check_points(spark, sf, r))) for r in (0, 1))
-    return G.tolerance(now, before, sigma)
+    return G.tolerance_of_runs(_runs(spark, sf), 1, 0)
 
 
 @query(_three_runs(f"SELECT metric, round(baseline, 6) AS baseline, round(value, 6) AS value, round(delta, 6) AS delta, round(sigma, 6) AS sigma, round(allowed, 6) AS allowed, delta < -allowed AS over FROM {_TOL}"))
