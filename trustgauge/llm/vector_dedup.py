@@ -7,15 +7,17 @@ residual to all codewords by table lookup, and drops what is too far even after
 own error: by the triangle inequality that drops no linked vector. The rest is compared by
 exact cosine in double precision.
 
-Lists are cut into blocks of about ``BLOCK`` rows and so are the queries of a list; a task
-gets one pair of blocks and returns, per row, its number of links and the least linked id of
-its group in that pair, never the pairs themselves. Both quantisers are fitted in numpy on at
-most ``SAMPLE`` rows of least id hash; every row is indexed. A border is near enough within
+A list holds the codes of its rows, made once, and their vectors for the cosines. Lists are
+cut into blocks of about ``BLOCK`` rows and so are the queries of a list; a task gets one pair
+of blocks and returns, per row, its number of links and the least linked id of its group in
+that pair, never the pairs themselves. Both quantisers are fitted in numpy on at most
+``SAMPLE`` rows of least id hash; every row is indexed. Vectors travel as 32-bit numbers where
+these are their exact values. A border is near enough within
 ``REACH`` standard deviations of a random difference of link length projected on the normal
 of the border: recall is measured against brute force in the tests (1.0 on the given tables).
 
-Defined results: vectors that are null, zero, hold a null or non-finite component, or have
-another length than most of the sample link with nothing; rows of one id are one vector,
+Defined results: vectors that are null, zero, or hold a null or non-finite component link with
+nothing; vectors of one length link among themselves, by quantisers of their own; rows of one id are one vector,
 the least of them; a null id is an id; no rows give no rows; other columns are not read.
 """
 
@@ -106,17 +108,15 @@ class Quantiser:
 
 
 def fit(vectors: DataFrame, threshold: float = THRESHOLD) -> Quantiser | None:
-    """Quantisers for a table (id, v) of usable vectors; None if it is empty."""
+    """Quantisers for a table (id, v) of usable vectors of one length; None if it is empty."""
     n = vectors.count()
     hashed = vectors.select(F.xxhash64("id").alias("h"), "v")
     last = hashed.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
     if last is None:
         return None
-    rows = hashed.where(F.col("h") <= last).toPandas().sort_values("h")["v"][:SAMPLE].tolist()
-    sizes = np.array([len(v) for v in rows])
-    dim = int(np.bincount(sizes).argmax())
-    x = np.array([v for v in rows if len(v) == dim], np.float64)
-    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = hashed.where(F.col("h") <= last).toPandas().sort_values("h")["v"][:SAMPLE]
+    x = _unit(np.stack(rows.to_numpy()).astype(np.float64))
+    dim = x.shape[1]
     rng = np.random.default_rng(SEED)
     k = int(max(1, min(MAX_CELLS, n // PER_CELL, len(x) // 4)))
     cells = _kmeans(x, k, rng)
@@ -132,25 +132,41 @@ def _usable(vec: str):
     return F.coalesce(fine, F.lit(False))
 
 
-def _unit(values: pd.Series) -> np.ndarray:
-    x = np.stack(values.to_numpy()).astype(np.float64)
-    x /= np.abs(x).max(axis=1)[:, None]  # so that squares neither vanish nor overflow
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1)[:, None]  # so that squares neither vanish nor overflow
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+def _pack(x: np.ndarray) -> list[bytes]:
+    """The numbers of each row as bytes, in 32 bits if all of them are such numbers."""
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    exact = (short == x).all(axis=1)
+    return [(s if e else v).tobytes() for s, v, e in zip(short, x, exact, strict=True)]
+
+
+def _unpack(rows: pd.Series, dim: int) -> np.ndarray:
+    out = np.empty((len(rows), dim))
+    short = (rows.map(len) == 4 * dim).to_numpy()
+    for which, kind in ((short, np.float32), (~short, np.float64)):
+        out[which] = np.frombuffer(b"".join(rows[which]), kind).reshape(-1, dim)
+    return out
+
+
 def _place(model):
-    """Rows (cell, id, unit, probes): the cell of a vector and all cells that it probes."""
+    """Rows (cell, id, vec, codes, left, probes): a vector as a row of its cell's list, and all cells that it probes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = model.value
         for pdf in batches:
-            pdf = pdf[pdf["v"].map(len) == q.dim]
             for at in range(0, len(pdf), 1024):
                 part = pdf[at : at + 1024]
-                x = _unit(part["v"])
+                raw = np.stack(part["v"].to_numpy()).astype(np.float64)
+                x = _unit(raw)
                 cell = _nearest(x, q.cells)
+                codes, left = q.encode(x, cell)
                 to = q.probes(x, cell)
-                yield pd.DataFrame({"id": part["id"], "cell": cell, "unit": [v.tobytes() for v in x], "probes": [np.flatnonzero(p) for p in to]})
+                yield pd.DataFrame({"id": part["id"], "cell": cell, "vec": _pack(raw), "codes": [c.tobytes() for c in codes], "left": left, "probes": [np.flatnonzero(p) for p in to]})
 
     return run
 
@@ -176,9 +192,9 @@ def _compare(model):
         listed, asked = pdf[pdf["listed"]], pdf[~pdf["listed"]]
         if listed.empty or asked.empty:
             return out
-        x, y = (np.frombuffer(b"".join(t["unit"]), np.float64).reshape(len(t), -1) for t in (asked, listed))
+        x, y = (_unit(_unpack(t["vec"], q.dim)) for t in (asked, listed))
         cell = int(listed["cell"].iloc[0])
-        codes, left = q.encode(y, np.full(len(y), cell))
+        codes, left = np.frombuffer(b"".join(listed["codes"]), np.uint8).reshape(len(y), -1), listed["left"].to_numpy()
         ids_x, ids_y, own = asked["id"].to_numpy(), listed["id"].to_numpy(), asked["own"].to_numpy()
         found_a, found_b = [], []
         for i in range(0, len(x), 256):
@@ -203,11 +219,11 @@ def _compare(model):
 
 
 def links(vectors: DataFrame, model: Quantiser, scratch: Scratch) -> DataFrame:
-    """(id, n, other): parts of a vector's number of links, and an id of its group, for a table (id, v) of distinct ids."""
+    """(id, n, other): parts of a vector's number of links, and an id of its group, for a table (id, v) of distinct ids and one length."""
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast(model)  # as large as its cells and their gaps, at most MAX_CELLS squared numbers
-    placed = scratch.keep(vectors.mapInPandas(_place(shared), "id long, cell long, unit binary, probes array<long>"), "placed")
-    asked = placed.select("id", F.col("cell").alias("own"), "unit", F.explode("probes").alias("cell"))
+    placed = scratch.keep(vectors.mapInPandas(_place(shared), "id long, cell long, vec binary, codes binary, left double, probes array<long>"), f"placed{model.dim}")
+    asked = placed.select("id", F.col("cell").alias("own"), "vec", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("left"), F.explode("probes").alias("cell"))
     k = len(model.cells)
 
     def blocks(df: DataFrame):
@@ -221,7 +237,7 @@ def links(vectors: DataFrame, model: Quantiser, scratch: Scratch) -> DataFrame:
     n_asked = blocks(placed.select(F.explode("probes").alias("cell")))
     at = F.col("cell").cast("int")
     rows = (
-        placed.select("id", F.col("cell").alias("own"), "unit", "cell", F.lit(True).alias("listed"))
+        placed.select("id", F.col("cell").alias("own"), "vec", "codes", "left", "cell", F.lit(True).alias("listed"))
         .withColumn("lb", F.pmod(F.xxhash64("id"), F.get(n_listed, at)))
         .withColumn("ab", F.explode(F.sequence(F.lit(0).cast("long"), F.get(n_asked, at).cast("long") - 1)))
     ).unionByName(
@@ -238,11 +254,11 @@ def near_duplicates(df: DataFrame, vec: str = "embedding", id_col: str = "vec_id
     rows = df.groupBy(F.col(id_col).alias("id")).agg(F.min(F.when(_usable(vec), F.col(vec))).alias("v"))
     rows = scratch.keep(rows, "rows")
     usable = rows.where("v is not null and id is not null")
-    model = fit(usable, threshold)
-    if model is None:
-        found = rows.select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("other")).limit(0)
-    else:
-        found = scratch.keep(links(usable, model, scratch), "found")
+    found = rows.select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("other")).limit(0)
+    lengths = usable.groupBy(F.size("v").alias("n")).count().where("count > 1").collect()  # a row a length
+    for n in sorted(r["n"] for r in lengths):
+        same = usable.where(F.size("v") == n)
+        found = found.unionByName(scratch.keep(links(same, fit(same, threshold), scratch), f"found{n}"))
     counts = found.groupBy("id").agg(F.sum("n").alias("n_links"))
     of = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")), scratch)
     out = rows.select("id").join(counts, "id", "left").join(of, "id", "left")
