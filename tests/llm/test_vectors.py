@@ -20,9 +20,9 @@ def brute(ids, x, threshold=0.95):
     return {int(i): (int(n), int(ids[c])) for i, n, c in zip(ids, near.sum(1), label, strict=True)}
 
 
-def run(spark, rows, schema="vec_id long, embedding array<float>, label int"):
+def run(spark, rows, schema="vec_id long, embedding array<float>, label int", **how):
     df = spark.createDataFrame(rows, schema)
-    return {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in V.near_duplicates(df).collect()}
+    return {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in V.near_duplicates(df, **how).collect()}
 
 
 def test_against_brute_force(spark, monkeypatch):
@@ -50,7 +50,7 @@ def test_each_length_by_itself(spark):
         ids = np.arange(at, at + 60)
         rows += [(int(i), v.tolist(), 0) for i, v in zip(ids, x, strict=True)]
         want |= brute(ids, x)
-    got = run(spark, [*rows, (300, [1.0], 0)], "vec_id long, embedding array<double>, label int")
+    got = run(spark, [*rows, (300, [1.0], 0)], "vec_id long, embedding array<double>, label int", each_length=True)
     assert {i: got[i][:2] for i in got} == want | {300: (0, 300)}
 
 

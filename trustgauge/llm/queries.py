@@ -17,7 +17,7 @@ except ImportError:  # their documented folder
 
 
 def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), each_length=True)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ these are their exact values. A border is near enough within
 of the border: recall is measured against brute force in the tests (1.0 on the given tables).
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component link with
-nothing; vectors of one length link among themselves, by quantisers of their own; rows of one id are one vector,
+nothing; with ``each_length`` vectors of one length link among themselves, by quantisers of
+their own, else only those of the most frequent length (the least of several) link; rows of one id are one vector,
 the least of them; a null id is an id; no rows give no rows; other columns are not read.
 """
 
@@ -248,15 +249,16 @@ def links(vectors: DataFrame, model: Quantiser, scratch: Scratch) -> DataFrame:
     return rows.groupBy("cell", "lb", "ab").applyInPandas(_compare(shared), "id long, n long, other long")
 
 
-def near_duplicates(df: DataFrame, vec: str = "embedding", id_col: str = "vec_id", threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(df: DataFrame, vec: str = "embedding", id_col: str = "vec_id", threshold: float = THRESHOLD, each_length: bool = False) -> DataFrame:
     """id, n_links, component_id (least id that links reach, its own without any) and kept (whether that is its own)."""
     scratch = Scratch(df.sparkSession)
     rows = df.groupBy(F.col(id_col).alias("id")).agg(F.min(F.when(_usable(vec), F.col(vec))).alias("v"))
     rows = scratch.keep(rows, "rows")
     usable = rows.where("v is not null and id is not null")
     found = rows.select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("other")).limit(0)
-    lengths = usable.groupBy(F.size("v").alias("n")).count().where("count > 1").collect()  # a row a length
-    for n in sorted(r["n"] for r in lengths):
+    counted = usable.groupBy(F.size("v").alias("n")).count().collect()  # a row a length
+    lengths = sorted((-r["count"], r["n"]) for r in counted)
+    for _, n in [(c, n) for c, n in lengths if c < -1] if each_length else lengths[:1]:
         same = usable.where(F.size("v") == n)
         found = found.unionByName(scratch.keep(links(same, fit(same, threshold), scratch), f"found{n}"))
     counts = found.groupBy("id").agg(F.sum("n").alias("n_links"))
