@@ -4,10 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trustgauge.llm import bpe, jaccard_join, language_id, line_dedup, packing, passage_dedup, quality_rules, suffix_dedup, token_counts, vector_dedup
+from trustgauge.llm import bpe, jaccard_join, language_id, line_dedup, packing, passage_dedup, personal_data, quality_rules, suffix_dedup, token_counts, vector_dedup
 from trustgauge.llm.queries import vocabulary_file
 
-CLASH = ("_id", "_key", "_spans", "_starts", "_gone", "_host", "_cut", "_h", "_runs", "_short", "_other", "_failed", "_counts", "_rejected", "id", "text_", "n", "first")
+CLASH = ("_id", "_key", "_spans", "_starts", "_gone", "_host", "_cut", "_h", "_runs", "_short", "_other", "_failed", "_counts", "_rejected", "id", "text_", "n", "first", "_full", "_email", "_card", "kind")
 
 
 def _language(docs):
@@ -26,6 +26,8 @@ OPERATORS = {
     "language_id": (_language, True),
     "quality_rules": (quality_rules.keep, False),
     "quality_rules judged": (lambda d: quality_rules.judge(quality_rules.with_measures(d), quality_rules.host_verdicts(quality_rules.host_rates(quality_rules.with_measures(d)))), True),
+    "personal_data": (personal_data.with_spans, True),
+    "personal_data redacted": (personal_data.redacted, True),
     "token_counts": (lambda d: token_counts.with_merge_counts(d, vocabulary_file("piece_bpe_32k.model")), True),
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, language_id, line_dedup, packing, passage_dedup, quality_rules, suffix_dedup, token_counts, vector_dedup
+from . import ball_clusters, bpe, collocations, jaccard_join, language_id, line_dedup, packing, passage_dedup, personal_data, quality_rules, sql, suffix_dedup, token_counts, vector_dedup
 from .common import table
 
 try:  # the installed vocabulary files
@@ -64,6 +64,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     return token_counts.with_merge_counts(docs, vocabulary or vocabulary_file("piece_bpe_32k.model")).select("doc_id", "n_tokens")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_vector_dedup": op1_vector_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -75,6 +87,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op11_personal_data": op11_personal_data,
+    "op12_ball_clusters": op12_ball_clusters,
+    "op13_collocations": op13_collocations,
 }
 
 _OP9 = r"""
@@ -132,4 +147,7 @@ FROM b GROUP BY doc_id
 ORACLE_SQL = {
     "op7_line_dedup": _OP7,
     "op9_quality_rules": _OP9,
+    "op11_personal_data": sql.op11(),
+    "op12_ball_clusters": sql.op12(),
+    "op13_collocations": sql.op13(),
 }
