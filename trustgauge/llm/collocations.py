@@ -5,8 +5,8 @@
    whether an upper bound reaches it, so a finished sketch is a bit a cell.
 2. Phrases whose bounds all reach ``least`` are gathered as texts (so a hash never decides equality), with their words.
 3. They are compiled into Aho-Corasick automata, one a language, with a space before and behind each phrase and a single
-   space between words of a text, so overlapping matches share their guards. Tasks count matches of their texts; sums are
-   exact. Phrases beyond ``PART_CHARACTERS`` make further automata, each scanned for in a pass of its own.
+   space between words of a text, so overlapping matches share their guards. Tasks count matches of their texts and send
+   counts in blocks of terms; sums are exact. Phrases beyond ``PART_CHARACTERS`` make further automata, each scanned for in a pass of its own.
 4. Thresholds, cut scores, contained phrases and ranks are DataFrame work over the counted phrases.
 
 Sketch cells follow the bytes of the texts up to ``MOST_BITS``; beyond that bounds get looser and more phrases are
@@ -19,6 +19,7 @@ looked at. A task holds one text, its word places and hashes at a time: some 60
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterator
 from operator import itemgetter
@@ -37,6 +38,8 @@ LEAST, MOST_WORDS, TOP, COVERED_PERCENT = 100, 5, 2000, 100
 DEPTH, BYTES_A_CELL, LEAST_BITS, MOST_BITS, BLOCK_BITS = 2, 64, 16, 26, 16
 #: Characters of the phrases of one pass of automata.
 PART_CHARACTERS = 4 << 20
+#: Terms whose counts are sent together; texts, one in so many, whose phrases are gathered first, and their bytes a task.
+TERMS, SIEVE, SIEVE_BYTES = 256, 16, 16 << 20
 #: Bytes of text handled together, and gathered phrases that a task remembers.
 CHUNK, REMEMBERED = 1 << 21, 200_000
 
@@ -185,7 +188,7 @@ def _counting(rooms: list[Room], bits: int, least: int, most: int) -> Callable:
                 for r in range(DEPTH):
                     cell, n = np.unique(cells(hashes, r, bits), return_counts=True)
                     counters[r, cell] = np.minimum(counters[r, cell] + n, least)
-        per_row = max(1, 1 << (bits - BLOCK_BITS))
+        per_row = 1 << max(0, bits - BLOCK_BITS)
         for r in range(DEPTH):
             full = np.flatnonzero(counters[r])
             ends = np.searchsorted(full, np.arange(1, per_row + 1) << BLOCK_BITS)
@@ -231,7 +234,7 @@ def sketch(texts: DataFrame, rooms: list[Room], bits: int, least: int, most: int
     spark = texts.sparkSession
     counted = texts.mapInArrow(_counting(rooms, bits, least, most), "slot int, places binary, counts binary")
     summed = counted.repartition(parallelism(spark), "slot").sortWithinPartitions("slot").mapInArrow(_summing(least), "slot int, bits binary")
-    per_row, size = max(1, 1 << (bits - BLOCK_BITS)), 1 << (BLOCK_BITS - 3)
+    per_row, size = 1 << max(0, bits - BLOCK_BITS), 1 << (BLOCK_BITS - 3)
     rows = [bytearray(per_row * size) for _ in range(DEPTH)]
     for r in summed.toLocalIterator():
         row, block = divmod(r["slot"], per_row)
@@ -239,8 +242,8 @@ def sketch(texts: DataFrame, rooms: list[Room], bits: int, least: int, most: int
     return Room(bits, [bytes(x) for x in rows])
 
 
-def _gathering(rooms: list[Room], most: int) -> Callable:
-    """Batches of texts to the different phrases that may occur often enough."""
+def _gathering(rooms: list[Room], most: int, known) -> Callable:
+    """Batches of texts to the different phrases that may occur often enough and are not among the known ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, bytes]] = set()
@@ -259,82 +262,136 @@ def _gathering(rooms: list[Room], most: int) -> Callable:
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 seen |= fresh
-                langs, phrases = zip(*fresh, strict=True)
-                yield pa.record_batch([pa.array(langs), pa.array([b" ".join(p.split()).decode() for p in phrases])], ["lang", "phrase"])
+                new = {(lang, b" ".join(p.split()).decode()) for lang, p in fresh}
+                if known is not None:
+                    new = {(lang, p) for lang, p in new if p not in known.value.get(lang, ())}
+                langs, phrases = zip(*new, strict=True) if new else ((), ())
+                yield pa.record_batch([pa.array(langs, pa.string()), pa.array(phrases, pa.string())], ["lang", "phrase"])
 
     return tidied(run)
 
 
-def _scanning(terms, first: bool) -> Callable:
-    """Batches of texts to a task's counts of the phrases of one pass; in the first pass also of all words, beside a null phrase."""
+def _automata(terms: dict[str, list[str]]) -> dict[str, ahocorasick.Automaton]:
+    """An automaton a language; a phrase's value is its place among all of them."""
+    out, place = {}, 0
+    for lang, own in terms.items():
+        out[lang] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for p in own:
+            out[lang].add_word(f" {p} ", place)
+            place += 1
+        out[lang].make_automaton()
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_lang, phrases = {}, []
-        for lang, own in terms.value.items():
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for p in own:
-                automaton.add_word(f" {p} ", len(phrases))
-                phrases.append((lang, p))
-            automaton.make_automaton()
-            by_lang[lang] = automaton
-        counts, words = np.zeros(len(phrases), np.int64), {}
-
-        def scan(lang: str, texts: list[str]) -> None:
-            found = np.fromiter(map(itemgetter(1), by_lang[lang].iter("\n".join(texts))), np.int64)
-            if len(found):
-                seen, n = np.unique(found, return_counts=True)
-                counts[seen] += n
 
+def _scanning(terms) -> Callable:
+    """Batches of texts to a task's counts of the terms, in blocks of places, and in a row of slot -1 its words by language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata, words = _automata(terms.value), {}
+        counts = np.zeros(sum(map(len, terms.value.values())), np.int64)
         held: dict[str, list[str]] = {}
         size = 0
+
+        def scan() -> None:
+            nonlocal held, size
+            for lang, texts in held.items():
+                seen, n = np.unique(np.fromiter(map(itemgetter(1), automata[lang].iter("\n".join(texts))), np.int64), return_counts=True)
+                counts[seen] += n
+            held, size = {}, 0
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 pieces = [p.split() for p in text.as_py().translate(_PLAIN).split(b"\n")]
                 words[lang] = words.get(lang, 0) + sum(map(len, pieces))
-                if lang in by_lang:
+                if lang in automata:
                     held.setdefault(lang, []).append(b"\n".join(b" %b " % b" ".join(p) for p in pieces if p).decode())
                     size += len(held[lang][-1])
                     if size > CHUNK:
-                        for x, texts in held.items():
-                            scan(x, texts)
-                        held, size = {}, 0
-        for x, texts in held.items():
-            scan(x, texts)
+                        scan()
+        scan()
         some = np.flatnonzero(counts)
-        rows = [(*phrases[i], int(counts[i])) for i in some.tolist()] + [(x, None, n) for x, n in words.items() if first]
-        for at in range(0, len(rows), 10_000):
-            part = rows[at : at + 10_000]
-            yield pa.record_batch([pa.array([r[k] for r in part], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "phrase", "n"])
+        slots = np.unique(some // TERMS)
+        rows = [(-1, json.dumps(words).encode(), b"")] if words else []
+        for slot, own in zip(slots.tolist(), np.split(some, np.searchsorted(some, slots[1:] * TERMS)), strict=False):
+            rows.append((slot, (own - slot * TERMS).astype(np.uint16).tobytes(), counts[own].tobytes()))
+        for at in range(0, len(rows), 1000):
+            yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*rows[at : at + 1000], strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["slot", "places", "counts"])
 
     return tidied(run)
 
 
-def candidates(texts: DataFrame, least: int, most: int) -> DataFrame:
-    """(lang, phrase): all phrases of 2 words and more that occur ``least`` times, some others, and their words."""
+def _adding(terms) -> Callable:
+    """Sorted blocks of counts to the sums of their terms, one slot at a time; a language's words stand beside a null phrase."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [(lang, p) for lang, own in terms.value.items() for p in own]
+        now, held, words = None, np.zeros(TERMS, np.int64), {}
+
+        def done() -> pa.RecordBatch:
+            rows = [(*names[now * TERMS + i], int(held[i])) for i in np.flatnonzero(held).tolist()] if now >= 0 else [(x, None, n) for x, n in words.items()]
+            return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "phrase", "n"])
+
+        for batch in batches:
+            for slot, places, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if slot != now:
+                    if now is not None:
+                        yield done()
+                    now, held = slot, np.zeros(TERMS, np.int64)
+                if slot < 0:
+                    for lang, n in json.loads(places).items():
+                        words[lang] = words.get(lang, 0) + n
+                else:
+                    held[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.int64)
+        if now is not None:
+            yield done()
+
+    return run
+
+
+def _part(terms: DataFrame, part: int, n_parts: int) -> dict[str, list[str]]:
+    """One part of a written table of phrases by language: about PART_CHARACTERS characters."""
+    own: dict[str, list[str]] = {}
+    for r in terms.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(n_parts)) == part).toLocalIterator():
+        own.setdefault(r["lang"], []).append(r["phrase"])
+    return own
+
+
+def _parts(terms: DataFrame) -> int:
+    return max(1, math.ceil((terms.agg(F.sum(F.length("phrase") + 2)).first()[0] or 0) / PART_CHARACTERS))
+
+
+def candidates(texts: DataFrame, scratch: Scratch, least: int, most: int) -> DataFrame:
+    """(lang, phrase): all phrases of 2 words and more that occur ``least`` times, some others, and their words.
+
+    Most frequent phrases occur in one text of SIEVE, so these are gathered first, in few tasks; the tasks over all other texts
+    then return only what was not among them, or not in the part of them that is small enough to be sent along.
+    """
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, size / BYTES_A_CELL)))))
     rooms: list[Room] = []
     for _ in range(3):
         rooms.append(sketch(texts, rooms, bits, least, most))
-    phrases = texts.mapInArrow(_gathering(rooms, most), "lang string, phrase string")
-    every = phrases.withColumn("phrase", F.explode(F.array_append(F.split("phrase", " "), F.col("phrase"))))
+    schema, early = "lang string, phrase string", F.pmod(F.xxhash64("text"), F.lit(SIEVE)) == 0
+    first = texts.where(early).repartition(math.ceil((size + 1) / SIEVE / SIEVE_BYTES)).mapInArrow(_gathering(rooms, most, None), schema)
+    first = scratch.keep(first.distinct(), "first")
+    own = {lang: set(p) for lang, p in _part(first, 0, _parts(first)).items()}
+    known = texts.sparkSession.sparkContext.broadcast(own)  # bounded by PART_CHARACTERS
+    rest = texts.where(~early).mapInArrow(_gathering(rooms, most, known), schema)
+    every = first.unionByName(rest).withColumn("phrase", F.explode(F.array_append(F.split("phrase", " "), F.col("phrase"))))
     return every.distinct()
 
 
 def occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(lang, phrase, n): exact counts of a written table of phrases, and of all words of a language beside a null phrase."""
-    spark = texts.sparkSession
-    total = terms.agg(F.sum(F.length("phrase") + 2)).first()[0] or 0
-    n_parts = max(1, math.ceil(total / PART_CHARACTERS))
-    out = None
+    spark, n_parts, out = texts.sparkSession, _parts(terms), None
     for part in range(n_parts):
-        own: dict[str, list[str]] = {}
-        for r in terms.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(n_parts)) == part).toLocalIterator():
-            own.setdefault(r["lang"], []).append(r["phrase"])
-        held = spark.sparkContext.broadcast(own)  # bounded by PART_CHARACTERS
-        counted = texts.mapInArrow(_scanning(held, part == 0), "lang string, phrase string, n long")
-        out = counted if out is None else out.unionByName(counted)
-    return out.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+        held = spark.sparkContext.broadcast(_part(terms, part, n_parts))  # bounded by PART_CHARACTERS
+        counted = texts.mapInArrow(_scanning(held), "slot int, places binary, counts binary")
+        if part:  # words are counted once
+            counted = counted.where("slot >= 0")
+        summed = counted.repartition(parallelism(spark), "slot").sortWithinPartitions("slot").mapInArrow(_adding(held), "lang string, phrase string, n long")
+        out = summed if out is None else out.unionByName(summed)
+    return out
 
 
 def _contained(phrases: DataFrame) -> DataFrame:
@@ -381,6 +438,6 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
         raise ValueError(f"most must be 3 to {MOST_WORDS}")
     scratch = Scratch(docs.sparkSession)
     texts = docs.where(F.col(text).isNotNull()).select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text"))
-    terms = scratch.keep(candidates(texts, least, most), "terms")
+    terms = scratch.keep(candidates(texts, scratch, least, most), "terms")
     counts = scratch.keep(occurrences(texts, terms), "counts")
     return ranked(scored(counts, least, covered_percent), top)
