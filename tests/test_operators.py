@@ -64,10 +64,10 @@ def test_upper_median(spark):
 
 def test_running_sums_over_ranges(spark, monkeypatch):
     monkeypatch.setattr(ordered, "RANGES", 5)
-    monkeypatch.setattr(ordered, "DRAWN", 2)
     data = [(["a", "b", None][i % 3], float("nan") if i == 7 else None if i == 11 else (i * 37 % 101) / 8, i) for i in range(90)]
     df = spark.createDataFrame(data, "k string, v double, n int")
-    assert len(ordered.cuts(df, "v")) == 5
+    numbered = df.withColumn("v_", ordered.order_number(df, "v"))
+    assert len(ordered.cuts(numbered, "v_").first()["_cuts"]) == 4
     got = {(r["k"], r["n"]): (r["upto"], r["upto_all"]) for r in ordered.running(df, "v", ("k",), upto=F.col("n")).collect()}
     order = lambda r: (r[1] is not None, r[1] != r[1], r[1])
     want = {}
@@ -82,6 +82,24 @@ def test_running_sums_over_ranges(spark, monkeypatch):
     assert ordered.running(df.limit(0), "v", upto=F.col("n")).collect() == []
 
 
+def test_running_sums_start_no_job_before_they_are_asked_for(spark):
+    df = spark.createDataFrame([(i % 7, i) for i in range(50)], "v int, n int").groupBy("v").agg(F.sum("n").alias("n"))
+    spark.sparkContext.setJobGroup("building", "")
+    out = ordered.running(df, "v", upto=F.col("n"))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not jobs and [r["upto"] for r in out.orderBy("v").collect()][-1] == 1225
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "timestamp", "decimal(20,2)", "long"])
+def test_running_sums_over_any_order(spark, monkeypatch, kind):
+    monkeypatch.setattr(ordered, "RANGES", 4)
+    days = spark.range(40).select(F.expr("date_add(date'1960-01-01', cast(id * 397 % 41 * 333 as int))").alias("d"))
+    value = {"string": "concat('ä', cast(d as string))", "long": "unix_date(d) * 300000000000001", "decimal(20,2)": "cast(unix_date(d) as decimal(20,2)) / 7"}.get(kind, f"cast(d as {kind})")
+    got = [r["place"] for r in ordered.running(days.selectExpr(f"{value} as v"), "v", place=F.lit(1)).orderBy("v").collect()]
+    assert got == list(range(1, 41))
+
+
 def test_tolerance_of_runs_is_that_of_pairs(spark):
     schema = "run int, trust_score double, accuracy_readable double, critical_accuracy double, abstain_ok_rate double, fabricated_rate double"
     runs = spark.createDataFrame([(0, 0.5, 0.9, None, 0.2, 0.1), (1, 0.3, 0.8, 0.1, 0.3, 0.3), (2, 0.6, None, 0.4, 0.4, 0.2)], schema)

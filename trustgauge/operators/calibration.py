@@ -155,9 +155,11 @@ def critical_leaks(points: DataFrame, threshold: float) -> DataFrame:
 
 
 def boundary(points: DataFrame) -> DataFrame:
-    """The upper middle of the distinct confidences, and how many points a review flag at just that threshold marks."""
-    values = points.where("confidence is not null").select("confidence").distinct()
-    place = running(values, "confidence", place=F.lit(1))
-    at = place.where(F.col("place") == F.floor(F.col("place_all") / 2) + 1).select(F.col("confidence").alias("threshold"))  # one row
-    marked = points.where("model is not null").join(F.broadcast(at), F.lit(True))
-    return marked.groupBy("threshold").agg(F.count_if(F.col("confidence").isNull() | (F.col("confidence") < F.col("threshold"))).alias("n_flagged"), F.count(F.lit(1)).alias("n_points"))
+    """The upper middle of the distinct confidences, and how many points with a value a review flag at just that threshold marks.
+
+    From counts by distinct confidence alone; those without one come first in the running sums, as they are flagged.
+    """
+    by = points.groupBy("confidence").agg(F.count_if(F.col("model").isNotNull()).alias("n"))
+    sums = running(by, "confidence", place=F.col("confidence").isNotNull().cast("int"), upto=F.col("n"))
+    at = sums.where(F.col("confidence").isNotNull() & (F.col("place") == F.floor(F.col("place_all") / 2) + 1))
+    return at.where("upto_all > 0").select(F.col("confidence").alias("threshold"), (F.col("upto") - F.col("n")).alias("n_flagged"), F.col("upto_all").alias("n_points"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustgauge import schemas as S
+from trustgauge.operators.metrics import HEADLINE, headline_columns
+from trustgauge.operators.points import key, population
 
 #: Watched metrics and whether more of them is better.
 WATCHED = {"trust_score": True, "accuracy_readable": True, "critical_accuracy": True, "abstain_ok_rate": True, "fabricated_rate": False}
@@ -67,9 +69,54 @@ def _allowed(joined: DataFrame, least: float) -> DataFrame:
 def flips(now: DataFrame, before: DataFrame) -> DataFrame:
     """Points (key, verdict) that went from right to wrong or back; keys of one side only are ignored."""
     joined = before.select("key", F.col("verdict").alias("was")).join(now.select("key", F.col("verdict").alias("is_now")), "key")
-    good = lambda c: F.col(c).isin(*S.GOOD)
-    change = F.when(good("was") & ~good("is_now"), "worse").when(~good("was") & good("is_now"), "better")
-    return joined.withColumn("change", change).where("change is not null")
+    return joined.withColumn("change", _change(F.col("was"), F.col("is_now"))).where("change is not null")
+
+
+def _good(verdict: Column) -> Column:
+    return verdict.isin(*S.GOOD)
+
+
+def _change(was: Column, is_now: Column) -> Column:
+    return F.when(_good(was) & ~_good(is_now), "worse").when(~_good(was) & _good(is_now), "better")
+
+
+def flips_of_runs(points: DataFrame, now: int, before: int) -> DataFrame:
+    """The flips between two runs of a fact table with ``run``: one pivot of the key, no join."""
+    of = lambda run: F.max(F.when(F.col("run") == run, F.col("verdict")))  # noqa: E731  (a key is one point a run)
+    both = points.where(F.col("run").isin(now, before)).groupBy("id", "field").agg(of(before).alias("was"), of(now).alias("is_now"))
+    changed = both.withColumn("change", _change(F.col("was"), F.col("is_now"))).where("change is not null")
+    return changed.select(key().alias("key"), "was", "is_now", "change")
+
+
+def trend_of_runs(points: DataFrame, now: int, before: int, least: float = LIMITS["tolerance"]) -> DataFrame:
+    """The trend between two runs, with deviations over all runs of the fact table, in one reading of it.
+
+    Each point of ``now`` takes the verdict that its key had before beside it; one aggregation by run then gives
+    headlines and flips, and what is left is a row a run.
+    """
+    was = F.max(F.when(F.col("run") == before, F.col("verdict"))).over(Window.partitionBy("id", "field"))
+    beside = population(points.select("run", "id", "field", "verdict", "expectation", "severity", "weight")).withColumn("was", was)
+    change = F.when(F.col("run") == now, _change(F.col("was"), F.col("verdict")))
+    watched = [c for c, name in zip(headline_columns(), HEADLINE, strict=True) if name in WATCHED]
+    by_run = beside.groupBy("run").agg(*watched, F.count_if(change == "worse").alias("n_worse"), F.count_if(change == "better").alias("n_better"))
+
+    def row(metric: str, up: bool) -> Column:
+        value, of = F.col(metric).cast("double"), lambda run: F.max(F.when(F.col("run") == run, F.col(metric)))
+        delta = (of(now) - of(before)) * (1 if up else -1)
+        return F.struct(delta.alias("delta"), F.greatest(SIGMAS * F.coalesce(F.stddev_pop(value), F.lit(0.0)), F.lit(least)).alias("allowed"))
+
+    one = by_run.agg(F.array(*(row(m, up) for m, up in WATCHED.items())).alias("m"), F.coalesce(F.sum("n_worse"), F.lit(0)).alias("n_worse"), F.coalesce(F.sum("n_better"), F.lit(0)).alias("n_better"))
+    some = lambda test: F.exists("m", lambda x: F.coalesce(test(x), F.lit(False)))
+    flags = (some(lambda x: x["delta"] < -x["allowed"]), some(lambda x: x["delta"] > 1e-9), some(lambda x: x["delta"] < -1e-9))
+    return one.select(_said(*flags).alias("trend"), "n_worse", "n_better")
+
+
+def _said(over: Column, up: Column, down: Column) -> Column:
+    return (
+        F.when(over | ((F.col("n_worse") > 0) & (F.col("n_better") == 0)), "WORSE")
+        .when(up & ~down & (F.col("n_worse") == 0), "BETTER")
+        .otherwise("SAME")
+    )
 
 
 def trend(tolerances: DataFrame, changes: DataFrame) -> DataFrame:
@@ -80,12 +127,7 @@ def trend(tolerances: DataFrame, changes: DataFrame) -> DataFrame:
         F.coalesce(F.bool_or(F.col("delta") < -1e-9), F.lit(False)).alias("down"),
     )
     c = changes.agg(F.count_if(F.col("change") == "worse").alias("n_worse"), F.count_if(F.col("change") == "better").alias("n_better"))
-    said = (
-        F.when(F.col("over") | ((F.col("n_worse") > 0) & (F.col("n_better") == 0)), "WORSE")
-        .when(F.col("up") & ~F.col("down") & (F.col("n_worse") == 0), "BETTER")
-        .otherwise("SAME")
-    )
-    return t.crossJoin(c).select(said.alias("trend"), "n_worse", "n_better")  # one row each
+    return t.crossJoin(c).select(_said(F.col("over"), F.col("up"), F.col("down")).alias("trend"), "n_worse", "n_better")  # one row each
 
 
 def fingerprint(records: DataFrame) -> DataFrame:

@@ -38,12 +38,23 @@ def population_split(points: DataFrame) -> DataFrame:
     return population(points).groupBy("population").agg(F.count(F.lit(1)).alias("n_points"))
 
 
-def headline(points: DataFrame) -> DataFrame:
-    """All headline figures in one row and one pass."""
-    p = population(points)
+def headline(points: DataFrame, *keys: str) -> DataFrame:
+    """All headline figures in one pass, in a row for each value of the keys; without keys in one row."""
+    return population(points).groupBy(*keys).agg(*headline_columns())
+
+
+#: Names of the headline figures, in their order.
+HEADLINE = (
+    "n_records", "n_scored", "n_grey", "n_infra", "trust_score", "accuracy_readable", "weighted_accuracy_readable", "miss_rate", "wrong_rate", "abstain_ok_rate", "fabricated_rate", "n_fabricated",
+    "critical_accuracy",
+)
+
+
+def headline_columns() -> list[Column]:
+    """The headline figures as aggregates over points with a population."""
     read, unread = F.col("population") == "readable", F.col("population") == "unreadable"
     is_ = lambda v: F.col("verdict") == v
-    return p.agg(
+    return [
         F.count_distinct("id").alias("n_records"),
         _n(read | unread).alias("n_scored"),
         _n(F.col("population") == "grey").alias("n_grey"),
@@ -57,7 +68,7 @@ def headline(points: DataFrame) -> DataFrame:
         ratio(is_(S.FABRICATED), unread).alias("fabricated_rate"),
         _n(unread & is_(S.FABRICATED)).alias("n_fabricated"),
         ratio(is_(S.CORRECT), read & (F.col("severity") == "critical")).alias("critical_accuracy"),
-    )
+    ]
 
 
 def silent_kinds(points: DataFrame) -> DataFrame:

@@ -16,6 +16,11 @@ def unnest_labels(labels: DataFrame) -> DataFrame:
     return out.select("id", "doc_type", "tier", "field_pos", "f.field", "f.expectation", "f.label")
 
 
+def of_runs(points: DataFrame, n_runs: int) -> DataFrame:
+    """Every row once a run, as ``run`` from 0: a run that left no result for a record must show as such."""
+    return points.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1))))
+
+
 def first_values(results: DataFrame) -> DataFrame:
     """A row for each record and field that a result has; of several the first counts.
 
@@ -30,12 +35,13 @@ def with_results(points: DataFrame, results: DataFrame) -> DataFrame:
     """Left join on the record: one without a result is an infrastructure error, not a silent model.
 
     The result keeps its array through the join; a field is looked up in it, so there is one
-    shuffle on the record id whatever the number of fields.
+    shuffle on the record id whatever the number of fields. Results with a ``run`` meet the points of their run.
     """
+    keys = ["id", *(c for c in ("run",) if c in results.columns)]
     r = results.select(
-        "id", F.lit(True).alias("_has"), "error", "abstain_reason", F.coalesce("no_anchor", F.lit(False)).alias("no_anchor"), "elapsed_ms", F.col("fields").alias("_fields")
+        *keys, F.lit(True).alias("_has"), "error", "abstain_reason", F.coalesce("no_anchor", F.lit(False)).alias("no_anchor"), "elapsed_ms", F.col("fields").alias("_fields")
     )
-    joined = points.join(r, "id", "left")
+    joined = points.join(r, keys, "left")
     own = F.get(F.filter("_fields", lambda f: f["field"] == F.col("field")), F.lit(0))
     note = F.when(F.col("_has").isNull(), "no result for this record").otherwise(F.col("error"))
     return joined.withColumns(
@@ -60,10 +66,21 @@ def with_dimension(points: DataFrame, dimension: DataFrame) -> DataFrame:
 
 def check_points(labels: DataFrame, results: DataFrame, dimension: DataFrame, kinds: tuple[str, ...] = tuple(match.RULES), similarity: bool = True) -> DataFrame:
     """The fact table that all metrics read."""
-    points = with_dimension(with_results(unnest_labels(labels), results), dimension)
+    return _judged(unnest_labels(labels), results, dimension, kinds, similarity)
+
+
+def check_points_of_runs(
+    labels: DataFrame, results: DataFrame, dimension: DataFrame, n_runs: int, kinds: tuple[str, ...] = tuple(match.RULES), similarity: bool = True
+) -> DataFrame:
+    """The fact table of ``n_runs`` runs, with ``run`` in front; results have a run from 0. Labels are read once for all runs."""
+    return _judged(of_runs(unnest_labels(labels), n_runs), results, dimension, kinds, similarity, "run")
+
+
+def _judged(cells: DataFrame, results: DataFrame, dimension: DataFrame, kinds: tuple[str, ...], similarity: bool, *keep: str) -> DataFrame:
+    points = with_dimension(with_results(cells, results), dimension)
     out = match.with_verdict(points, kinds, similarity).withColumn("tier_ord", S.tier_ordinal(F.col("tier")))
     return out.select(
-        "id", "doc_type", "type_ord", "tier", "tier_ord", "field", "field_ord", "severity", "weight", "expectation", "label", "model", "confidence",
+        *keep, "id", "doc_type", "type_ord", "tier", "tier_ord", "field", "field_ord", "severity", "weight", "expectation", "label", "model", "confidence",
         "source", "verdict", "error_type", "similarity", "note", "abstain_reason", "no_anchor", "elapsed_ms",
     )
 
@@ -112,7 +129,7 @@ def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
 
 def case_ids(records: DataFrame) -> DataFrame:
     """Running case number of a record in its document type and tier, by id."""
-    n = F.col("_number")
+    n = F.col("_place")
     padded = F.when(n < 10, F.lpad(n.cast("string"), 2, "0")).otherwise(n.cast("string"))
-    numbered = running(records, "id", ("doc_type", "tier"), _number=F.lit(1))
-    return numbered.withColumn("case_id", F.concat_ws("-", F.lit("TC"), F.upper("doc_type"), F.upper("tier"), padded)).drop("_number", "_number_all")
+    numbered = running(records, "id", ("doc_type", "tier"), _place=F.lit(1))
+    return numbered.withColumn("case_id", F.concat_ws("-", F.lit("TC"), F.upper("doc_type"), F.upper("tier"), padded)).drop("_place", "_place_all")

@@ -492,11 +492,7 @@ def relabel_nested(spark, sf):
 
 
 def _runs(spark, sf) -> DataFrame:
-    out = None
-    for run in range(3):
-        one = A.headline(Z.check_points(spark, sf, run)).withColumn("run", F.lit(run))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return A.headline(Z.check_points_of_runs(spark, sf), "run")
 
 
 _METRICS = """m{run} AS (SELECT {run} AS run, unnest(['trust_score', 'accuracy_readable', 'critical_accuracy', 'abstain_ok_rate', 'fabricated_rate']) AS metric, unnest([trust_score, accuracy_readable, critical_accuracy, abstain_ok_rate, fabricated_rate]) AS value FROM (
@@ -534,23 +530,19 @@ def metric_tolerance(spark, sf):
     return rounded(_tolerance(spark, sf))
 
 
-def _keyed(spark, sf, run: int) -> DataFrame:
-    return Z.check_points(spark, sf, run).select(P.key().alias("key"), "verdict")
-
-
 _FLIPS = """(SELECT a.id || '::' || a.field AS key, a.verdict AS was, b.verdict AS is_now, CASE WHEN a.verdict IN ('CORRECT', 'ABSTAIN_OK') THEN 'worse' ELSE 'better' END AS change
   FROM full_pts0 a JOIN full_pts1 b USING (id, field) WHERE (a.verdict IN ('CORRECT', 'ABSTAIN_OK')) <> (b.verdict IN ('CORRECT', 'ABSTAIN_OK')))"""
 
 
 @query(_three_runs(f"SELECT * FROM {_FLIPS}"))
 def case_flips(spark, sf):
-    return G.flips(_keyed(spark, sf, 1), _keyed(spark, sf, 0))
+    return G.flips_of_runs(Z.check_points_of_runs(spark, sf, 2), 1, 0)
 
 
 @query(_three_runs(f"""SELECT CASE WHEN over OR (w > 0 AND b = 0) THEN 'WORSE' WHEN up AND NOT down AND w = 0 THEN 'BETTER' ELSE 'SAME' END AS trend, w AS n_worse, b AS n_better
   FROM (SELECT bool_or(delta < -allowed) AS over, bool_or(delta > 1e-9) AS up, bool_or(delta < -1e-9) AS down FROM {_TOL}), (SELECT count_if(change = 'worse')::BIGINT AS w, count_if(change = 'better')::BIGINT AS b FROM {_FLIPS})"""))
 def trend(spark, sf):
-    return G.trend(_tolerance(spark, sf), G.flips(_keyed(spark, sf, 1), _keyed(spark, sf, 0)))
+    return G.trend_of_runs(Z.check_points_of_runs(spark, sf), 1, 0)
 
 
 @query(points_sql(f"""SELECT tier, metric, round(value, 6) AS value, lim AS "limit", ok FROM (
@@ -592,8 +584,8 @@ def failing_points(spark, sf):
 @query(_three_runs("""SELECT b.id || '::' || b.field AS key, CASE WHEN b.expectation = 'grey' THEN 'skipped' WHEN k AND NOT ok THEN 'expected_failure' WHEN k THEN 'unexpected_pass' WHEN ok THEN 'pass' ELSE 'new_failure' END AS state
   FROM (SELECT *, verdict IN ('CORRECT', 'ABSTAIN_OK') AS ok FROM full_pts1) b JOIN (SELECT id, field, expectation <> 'grey' AND verdict NOT IN ('CORRECT', 'ABSTAIN_OK') AS k FROM full_pts0) a USING (id, field)"""))
 def xfail_states(spark, sf):
-    now = Z.check_points(spark, sf, 1).withColumn("key", P.key())
-    return G.xfail_states(now, P.failing(Z.check_points(spark, sf, 0)))
+    runs = Z.check_points_of_runs(spark, sf, 2)
+    return G.xfail_states(runs.where("run = 1").withColumn("key", P.key()), P.failing(runs.where("run = 0")))
 
 
 @query("SELECT 7::BIGINT AS n_killed, 1::BIGINT AS n_explained, 0::BIGINT AS n_gaps")

@@ -6,7 +6,7 @@ reading by field type. R3: three runs of R1. R4: conversations as pages of words
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustgauge import schemas as S
@@ -47,15 +47,19 @@ def label_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.col("doc_id").alias("id"), F.col("lang").alias("doc_type"), "tier", F.col("labelled").alias("readable"), fields.alias("fields"))
 
 
-def _value(run: int, i: int):
-    run_part = F.when(F.col("doc_id") % 11 == 0, F.lit(run)).otherwise(F.lit(0))
+def _value(run, i: int):
+    """run: a number or a column."""
+    run_part = F.when(F.col("doc_id") % 11 == 0, run if isinstance(run, Column) else F.lit(run)).otherwise(F.lit(0))
     silent = ((F.col("doc_id") * 7 + F.col("n_chars") + i * 3 + run_part) % 5 == 0) | (~F.col("labelled") & (F.col("n_chars") % 8 != 0))
     return F.when(~silent, F.when((F.col("doc_id") + F.col("n_chars") + i) % 4 == 0, "0").otherwise("1"))
 
 
-def result_records(spark: SparkSession, sf_dir: str, run: int = 0) -> DataFrame:
-    """R1 results: every 97th document failed, half of those without leaving a result."""
+def result_records(spark: SparkSession, sf_dir: str, run: int = 0, n_runs: int = 0) -> DataFrame:
+    """R1 results: every 97th document failed, half of those without leaving a result. R3 with ``n_runs``: those of all runs, with ``run``."""
     b = _base(spark, sf_dir).where(F.col("doc_id") % 194 != 0)
+    keys = ["run"] if n_runs else []
+    if n_runs:
+        b, run = P.of_runs(b, n_runs), F.col("run")
     failed = F.col("doc_id") % 97 == 0
 
     def field(i: int, name: str):
@@ -66,6 +70,7 @@ def result_records(spark: SparkSession, sf_dir: str, run: int = 0) -> DataFrame:
     given = F.filter(F.array(*(field(i, f.name) for i, f in enumerate(R1_FIELDS))), lambda f: f["value"].isNotNull())
     none = F.size(given) == 0
     return b.select(
+        *keys,
         F.col("doc_id").alias("id"),
         F.col("lang").alias("doc_type"),
         F.when(~failed, (F.col("doc_id") % 1000 + F.col("n_chars") / 10)).alias("elapsed_ms"),
@@ -84,6 +89,11 @@ def check_points(spark: SparkSession, sf_dir: str, run: int = 0) -> DataFrame:
     return P.check_points(label_records(spark, sf_dir), result_records(spark, sf_dir, run), dimension(spark), kinds=("exact",), similarity=False)
 
 
+def check_points_of_runs(spark: SparkSession, sf_dir: str, n_runs: int = 3) -> DataFrame:
+    """R3: the check points of all runs in one table."""
+    return P.check_points_of_runs(label_records(spark, sf_dir), result_records(spark, sf_dir, n_runs=n_runs), dimension(spark), n_runs, kinds=("exact",), similarity=False)
+
+
 #: The check points of R1 in DuckDB SQL, as the common table ``pts``; {run} is the run's number.
 POINTS_SQL = """
 base AS (
