@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustgauge import schemas as S
-from trustgauge.operators import review
+from trustgauge.functions import match
+from trustgauge.operators import connector, review
+from trustgauge.operators import points as P
 from trustgauge.operators.extraction import Extractor
 
 
@@ -60,3 +63,31 @@ class Dossiers:
         if self.extracted is not None:
             self.extracted.unpersist()
         self.records = self.extracted = None
+
+
+@dataclass(frozen=True)
+class Measurement:
+    """What came of a run: without its canary there are no points, so there is no score to be mistaken for a poor one."""
+
+    canary_ok: bool
+    canary: str
+    results: DataFrame | None = None
+    points: DataFrame | None = None
+
+
+def measure(
+    spark: SparkSession, extractor: Extractor, labels: DataFrame, records: DataFrame, dimension: DataFrame, n_runs: int = 1, kinds: tuple[str, ...] = tuple(match.RULES), store=None
+) -> Measurement:
+    """The canary first, then all runs in one pass over the records, then check points with ``run``.
+
+    Readings are costly and take another time whenever they are made again, so with a ``store`` (sources.runs.RunStore) they
+    are written as a version of it and all that follows reads that.
+    """
+    fine, said = extractor.self_test(spark)
+    if not fine:
+        return Measurement(False, said)
+    results = connector.of_runs(extractor.extract(connector.repeated(records, n_runs)))
+    if store is not None:
+        results = store.read("results", store.write({"results": results}, passed=False))
+    points = P.check_points_of_runs(labels, results, dimension, n_runs, kinds)
+    return Measurement(True, said, results, points)

@@ -27,6 +27,7 @@ from trustgauge.operators.platform import doc_type_of_id
 from trustgauge.plans import scenarios as Z
 from trustgauge.plans.scenarios import points_sql
 from trustgauge.sources import readers, writers
+from trustgauge.sources.runs import RunStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -790,6 +791,15 @@ def second_reads_from_csv(spark, sf):
     return readers.second_reads(spark, path).select("id", "field", "legible", "value")
 
 
+@query(_three_runs("SELECT v AS version, key, verdict FROM (SELECT 1::BIGINT AS v, id || '::' || field AS key, verdict FROM full_pts0 UNION ALL SELECT 2::BIGINT AS v, id || '::' || field AS key, verdict FROM full_pts1)"))
+def run_store_versions(spark, sf):
+    store = RunStore(spark, writers.scratch(spark))
+    runs = Z.check_points_of_runs(spark, sf, 2).withColumn("key", P.key())
+    versions = [store.write({"verdicts": runs.where(F.col("run") == run).select("key", "verdict")}) for run in range(2)]
+    read = [store.read("verdicts", v).select(F.lit(v).cast("long").alias("version"), "key", "verdict") for v in versions]
+    return read[0].unionByName(read[1])
+
+
 # ---- words -------------------------------------------------------------------------------
 
 _W = "WITH " + Z.WORDS_SQL.strip() + "\n"
@@ -855,6 +865,26 @@ def control_always_abstain(spark, sf):
     return rounded(A.headline(points).select("n_scored", "accuracy_readable", "abstain_ok_rate", "fabricated_rate"))
 
 
+_PAGES = "WITH " + Z.PAGES_SQL.strip() + "\n"
+
+
+@query(_PAGES + "SELECT id, field, value, confidence FROM read WHERE value <> ''")
+def page_fields(spark, sf):
+    found = X.extractor("page_fields").extract(Z.page_records(spark, sf)).where("error is null").select("id", F.explode("fields").alias("f"))
+    return found.select("id", "f.field", "f.value", "f.confidence")
+
+
+@query(_PAGES + "SELECT id, field, verdict FROM page_pts")
+def page_verdicts(spark, sf):
+    return Z.page_points(spark, sf, X.extractor("page_fields")).select("id", "field", "verdict")
+
+
+@query(_PAGES + """SELECT count(*) FILTER (verdict <> 'SYSTEM_ERROR') AS n_scored, count(*) FILTER (verdict = 'SYSTEM_ERROR') AS n_infra,
+  round(sum(weight) FILTER (verdict IN ('CORRECT', 'ABSTAIN_OK')) / sum(weight) FILTER (verdict <> 'SYSTEM_ERROR'), 6) AS trust_score FROM page_pts""")
+def page_headline(spark, sf):
+    return rounded(A.headline(Z.page_points(spark, sf, X.extractor("page_fields"))).select("n_scored", "n_infra", "trust_score"))
+
+
 @query()
 def anchor_match(spark, sf):
     fields = spark.createDataFrame([("greeting", "text", ["The thing:", "Hello:"]), ("number", "quantity", ["Total:"])], "field string, kind string, anchors array<string>")

@@ -138,6 +138,58 @@ def points_sql(select: str, run: int = 0) -> str:
     return "WITH " + POINTS_SQL.replace("{run}", str(run)).strip() + "\n" + select
 
 
+PAGE_FIELDS = (
+    S.Field("page", "page_title", "Title", "critical", "exact"),
+    S.Field("page", "page_heading", "Heading", "medium", "exact"),
+    S.Field("page", "page_language", "Language", "light", "exact"),
+)
+
+
+def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R6: pages as records of one document type; every 50th has no page, so that its call fails, every 70th an empty one."""
+    html = F.when(F.col("page_id") % 50 == 0, None).when(F.col("page_id") % 70 == 0, " ").otherwise(F.col("html"))
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("page").alias("doc_type"), html.alias("html"))
+
+
+def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R6 labels: the language that the address names, the title and heading by their tags; every ninth title as if it had a last character more."""
+    html, readable = F.col("html"), F.col("page_id") % 70 != 0
+    plain = lambda c: F.trim(F.regexp_replace(F.replace(c, F.lit("&amp;"), F.lit("&")), r"\s+", " "))
+    title = plain(F.regexp_extract(html, "<title>([^<]*)</title>", 1))
+    values = {
+        "page_title": F.when(F.col("page_id") % 9 == 0, F.concat(title, F.lit("x"))).otherwise(title),
+        "page_heading": plain(F.regexp_extract(html, "<h1>([^<]*)</h1>", 1)),
+        "page_language": F.regexp_extract("url", "^[^/]*//[^/]*/([a-z]{2})/", 1),
+    }
+    kind = F.when(readable, S.MUST_EXTRACT).otherwise(S.MUST_ABSTAIN)
+    cell = lambda n: F.struct(F.lit(n).alias("field"), F.when(readable, F.nullif(values[n], F.lit(""))).alias("label"), kind.alias("expectation"))
+    return table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("id"), F.lit("page").alias("doc_type"), F.lit("clean").alias("tier"), readable.alias("readable"), F.array(*(cell(f.name) for f in PAGE_FIELDS)).alias("fields")
+    )
+
+
+def page_points(spark: SparkSession, sf_dir: str, extractor) -> DataFrame:
+    """The check points of a run of an extractor over the pages."""
+    fields = S.field_dimension(spark, PAGE_FIELDS)
+    return P.check_points(page_labels(spark, sf_dir), extractor.extract(page_records(spark, sf_dir)), fields, ("exact",), similarity=False)
+
+
+#: R6 in DuckDB SQL, as the common tables ``read`` (what markup gives) and ``page_pts``.
+PAGES_SQL = r"""
+p AS (SELECT page_id AS id, url, html, page_id % 50 = 0 AS infra, page_id % 50 <> 0 AND page_id % 70 = 0 AS blank, page_id % 70 <> 0 AS readable,
+       trim(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
+       trim(regexp_replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS heading,
+       regexp_extract(html, '<html lang="([a-z]*)"', 1) AS lang FROM pages),
+read AS (SELECT id, unnest(['page_title', 'page_heading', 'page_language']) AS field, unnest([title, heading, lang]) AS value,
+       unnest([CASE WHEN title = heading THEN 0.95 ELSE 0.6 END, CASE WHEN title = heading THEN 0.95 ELSE 0.6 END, 0.9]::DOUBLE[]) AS confidence FROM p WHERE NOT infra AND NOT blank),
+cell AS (SELECT id, infra, readable, unnest(['page_title', 'page_heading', 'page_language']) AS field, unnest([3.0, 1.5, 1.0]::DOUBLE[]) AS weight,
+       unnest([CASE WHEN id % 9 = 0 THEN title || 'x' ELSE title END, heading, regexp_extract(url, '^[^/]*//[^/]*/([a-z]{2})/', 1)]) AS label FROM p),
+page_pts AS (SELECT cell.*, value, confidence, CASE WHEN infra THEN 'SYSTEM_ERROR'
+       WHEN NOT readable THEN CASE WHEN value IS NULL THEN 'ABSTAIN_OK' ELSE 'FABRICATED' END WHEN label = '' THEN CASE WHEN nullif(value, '') IS NULL THEN 'ABSTAIN_OK' ELSE 'FABRICATED' END
+       WHEN nullif(value, '') IS NULL THEN 'MISSED' WHEN label = value THEN 'CORRECT' ELSE 'WRONG' END AS verdict FROM cell LEFT JOIN read USING (id, field))
+"""
+
+
 def pairs(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """R2: (id, label, model) of one field type."""
     return {"id": _ids, "date": _dates, "money": _money, "quantity": _quantity, "enum": _enum, "name": _names, "address": _addresses}[kind](spark, sf_dir)
