@@ -1,8 +1,14 @@
 """Matching rules and normalisers, row by row."""
 
+import difflib
+import re
+
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from trustgauge import schemas as S
 from trustgauge.functions import match as M
 from trustgauge.functions import normalize as N
 
@@ -90,3 +96,46 @@ def test_post_processing(spark):
     ]
     df = spark.createDataFrame([(k, s) for k, s, _ in cases], "kind string, s string").select(N.post_process(F.col("kind"), F.col("s")).alias("v"))
     assert [r["v"] for r in df.collect()] == [x for _, _, x in cases]
+
+
+TEXTS = st.text(alphabet="ab cdéĐ", max_size=14)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(TEXTS, TEXTS), min_size=1, max_size=60))
+def test_bounds_hold_the_ratio(spark, pairs):
+    """Also for second texts so long that difflib leaves characters out."""
+    pairs = pairs + [(a * 20, b * 20) for a, b in pairs[:10]] + [("x" * 300, "x" * 300), ("ab" * 120, "ba" * 120), ("", "")]
+    df = spark.createDataFrame(pairs, "a string, b string").withColumn("r", M.ratio_bounds(F.col("a"), F.col("b")))
+    df = M.with_similarity(M.with_similarity(df, F.col("a"), F.col("b"), "exact"), F.col("a"), F.col("b"), "near", (0.9, 0.6))
+    for r in df.collect():
+        truth = difflib.SequenceMatcher(None, r["a"], r["b"]).ratio()
+        assert r["r"]["lower"] <= truth + 1e-12 and truth <= r["r"]["upper"] + 1e-12
+        assert r["exact"] == pytest.approx(truth) and all((r["near"] >= t) == (truth >= t) for t in (0.9, 0.6))
+
+
+def test_verdicts_by_bounds_are_those_by_ratio(spark):
+    """All pairs of parts' addresses in four forms; few of them reach Python."""
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").selectExpr("p_partkey as id", "concat_ws(' ', 'Thành phố', p_name, p_type) as label", "p_name", "p_type")
+    forms = parts.withColumn("model", F.explode(F.array(F.upper("label"), F.left("label", F.length("label") - 4), F.concat_ws(" ", "p_type", "p_name"), F.col("p_type"))))
+    rows = M.with_address_match(forms, F.col("label"), F.col("model"), similarity=False, out="fast")
+    rows = M.with_address_match(rows, F.col("label"), F.col("model"), out="full")
+    rows = rows.withColumn("open", ~M.decided(M.ratio_bounds(N.address(F.col("label")), N.address(F.col("model"))), M.ADDRESS_MATCH, M.ADDRESS_NEAR))
+    got = rows.collect()
+    for r in got:
+        truth = difflib.SequenceMatcher(None, address(r["label"]), address(r["model"])).ratio()
+        want = (S.CORRECT, None) if truth >= 0.9 else (S.WRONG, "beyond_threshold" if truth >= 0.6 else "all_wrong")
+        assert (r["fast"]["verdict"], r["fast"]["error_type"]) == (r["full"]["verdict"], r["full"]["error_type"]) == want
+        assert r["full"]["similarity"] == pytest.approx(truth) and r["fast"]["similarity"] is None
+    assert sum(r["open"] for r in got) < 0.3 * len(got)
+
+
+def address(text):
+    return " ".join(re.sub("[.,]", " ", text.lower().replace("thành phố", "tp")).split())
+
+
+def test_a_date_with_words_in_it_is_none(spark):
+    """Letters go, the spaces around them stay."""
+    texts = {"ngày 01 tháng 03 năm 1990": None, "ngày 01/03/1990": "1990-03-01", "  01 03  1990": "1990-03-01", "01 / 03 / 1990": None, "1990. 3.1": None, "(1990-3-1)": "1990-03-01"}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", N.date(F.col("t")).alias("d")).collect()
+    assert {r["t"]: r["d"] for r in got} == texts

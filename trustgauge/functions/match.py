@@ -23,12 +23,84 @@ ADDRESS_MATCH, ADDRESS_NEAR = 0.90, 0.6
 NAME_NEAR = 0.7
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 * matches / total length of Ratcliff and Obershelp; null if either is."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+similarity_ratio = F.pandas_udf(_ratio, T.DoubleType())
+#: So declared that its column stays one of its own, whatever is made of it.
+_ratio_once = F.pandas_udf(_ratio, T.DoubleType()).asNondeterministic()
+
+#: Longest common prefix that is looked for, and the length of the second text from which difflib leaves frequent characters out.
+LONGEST_PREFIX, JUNK_FROM = 1024, 200
+
+
+def common_characters(a: Column, b: Column) -> Column:
+    """How many characters two texts share, each as often as both have it: no matching can have more."""
+    count = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    every = lambda t: F.aggregate(F.array_distinct(F.split(t["a"], "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(count(t["a"], c), count(t["b"], c))))
+    return N.bind(F.struct(a.alias("a"), b.alias("b")), every)
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """Length of the common prefix, up to about LONGEST_PREFIX, by halving."""
+
+    def further(step: int) -> Callable[[Column], Column]:
+        def one(t: Column) -> Column:
+            to = t["p"] + step
+            fits = (to <= F.least(F.length(t["a"]), F.length(t["b"]))) & (F.left(t["a"], to) == F.left(t["b"], to))
+            return F.struct(t["a"].alias("a"), t["b"].alias("b"), F.when(fits, to).otherwise(t["p"]).alias("p"))
+
+        return one
+
+    state = F.struct(a.alias("a"), b.alias("b"), F.lit(0).alias("p"))
+    step = LONGEST_PREFIX // 2
+    while step:
+        state = N.bind(state, further(step))
+        step //= 2
+    return state["p"]
+
+
+def ratio_bounds(a: Column, b: Column) -> Column:
+    """Struct of lower and upper, between which ``similarity_ratio`` lies; equal ones are its value. Null if either text is.
+
+    Above: characters in common. Below: the longest common block is matched first and is at least the common prefix or suffix
+    (of a second text of JUNK_FROM characters or more difflib may leave the block out, so nothing is known from below).
+    """
+
+    def bounds(t: Column) -> Column:
+        a, b = t["a"], t["b"]
+        total = F.length(a) + F.length(b)
+        block = F.greatest(common_prefix(a, b), common_prefix(F.reverse(a), F.reverse(b)))
+        same = F.when(a == b, 1.0)
+        lower = same.when(F.length(b) >= JUNK_FROM, 0.0).otherwise(2.0 * block / F.greatest(total, F.lit(1)))
+        upper = F.when(a == b, 1.0).otherwise(2.0 * common_characters(a, b) / F.greatest(total, F.lit(1)))
+        return F.struct(lower.alias("lower"), upper.alias("upper"))
+
+    return N.bind(F.struct(a.alias("a"), b.alias("b")), lambda t: F.when(t["a"].isNotNull() & t["b"].isNotNull(), bounds(t)))
+
+
+def decided(bounds: Column, *thresholds: float) -> Column:
+    """Whether the bounds say for every threshold on which side of it the ratio lies."""
+    out = F.lit(True)
+    for t in thresholds:
+        out = out & ((bounds["lower"] >= t) | (bounds["upper"] < t))
+    return out
+
+
+def with_similarity(df: DataFrame, a: Column, b: Column, out: str = "similarity", thresholds: tuple[float, ...] = ()) -> DataFrame:
+    """df with ``similarity_ratio`` where it is needed, else a value on its side of every threshold: Python gets only pairs that the bounds leave open.
+
+    Without thresholds the value is exact for every pair. Texts and bounds are columns of their own before Python is called, so each is made once.
+    """
+    texts = N.bind(F.struct(a.alias("a"), b.alias("b")), lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"), ratio_bounds(t["a"], t["b"]).alias("bounds")))
+    bound = df.withColumn("_t", F.explode(F.array(texts)))  # one row each: no projection above it repeats what is in it
+    bounds = F.col("_t.bounds")
+    open_ = ~decided(bounds, *thresholds) if thresholds else bounds["lower"] < bounds["upper"]
+    return bound.withColumn(out, F.coalesce(_ratio_once(F.when(open_, F.col("_t.a")), F.col("_t.b")), bounds["lower"])).drop("_t")
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Places that differ; null for unequal lengths."""
     differ = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y).cast("int"))
@@ -116,12 +188,19 @@ def match_quantity(label: Column, model: Column, similarity: bool = False) -> Co
     return _judged(N.number(label), N.number(model), body)
 
 
-def match_address(label: Column, model: Column, similarity: bool = True) -> Column:
-    """By similarity, which is therefore always computed."""
-    close = similarity_ratio(N.address(label), N.address(model))
+def match_address(label: Column, model: Column, similarity: bool = True, close: Column | None = None) -> Column:
+    """By similarity; ``close`` is one that ``with_similarity`` has made before."""
+    close = similarity_ratio(N.address(label), N.address(model)) if close is None else close
     error = F.when(close >= ADDRESS_NEAR, "beyond_threshold").otherwise("all_wrong")
     right = close >= ADDRESS_MATCH
-    return F.struct(F.when(right, S.CORRECT).otherwise(S.WRONG).alias("verdict"), F.when(~right, error).alias("error_type"), close.alias("similarity"))
+    value = close if similarity else F.lit(None).cast("double")
+    return F.struct(F.when(right, S.CORRECT).otherwise(S.WRONG).alias("verdict"), F.when(~right, error).alias("error_type"), value.alias("similarity"))
+
+
+def with_address_match(df: DataFrame, label: Column, model: Column, similarity: bool = True, out: str = "match") -> DataFrame:
+    """df with the verdict on two addresses; its similarity is exact if it is asked for, else it is only computed as far as the verdict needs it."""
+    close = with_similarity(df, N.address(label), N.address(model), "_close", () if similarity else (ADDRESS_MATCH, ADDRESS_NEAR))
+    return close.withColumn(out, match_address(label, model, similarity, F.col("_close"))).drop("_close")
 
 
 def match_enum(label: Column, model: Column, similarity: bool = False) -> Column:
@@ -169,12 +248,18 @@ def with_verdict(df: DataFrame, kinds: tuple[str, ...] = tuple(RULES), similarit
     """
     label, model = F.col("label"), F.col("model")
     both = ~N.blank(label) & ~N.blank(model) & ~F.col("infra")
+    given: dict[str, dict] = {}
+    if "address" in kinds:
+        wanted = both & (F.col("kind") == "address")
+        own = (F.when(wanted, label), F.when(wanted, model))
+        df = with_similarity(df, N.address(own[0]), N.address(own[1]), "_close", () if similarity else (ADDRESS_MATCH, ADDRESS_NEAR))
+        given["address"] = {"close": F.col("_close")}
     compared = F.raise_error(F.concat(F.lit("no matching rule for field type "), F.coalesce("kind", F.lit("null"))))
     compared = compared.cast("struct<verdict:string,error_type:string,similarity:double>")
     for kind in kinds:
         wanted = both & (F.col("kind") == kind)
-        compared = F.when(F.col("kind") == kind, RULES[kind](F.when(wanted, label), F.when(wanted, model), similarity)).otherwise(compared)
-    return df.withColumn("_v", verdict(label, model, F.col("infra"), compared)).select("*", "_v.verdict", "_v.error_type", "_v.similarity").drop("_v")
+        compared = F.when(F.col("kind") == kind, RULES[kind](F.when(wanted, label), F.when(wanted, model), similarity, **given.get(kind, {}))).otherwise(compared)
+    return df.withColumn("_v", verdict(label, model, F.col("infra"), compared)).select("*", "_v.verdict", "_v.error_type", "_v.similarity").drop("_v", "_close")
 
 
 def is_correct(v: Column | str = "verdict") -> Column:

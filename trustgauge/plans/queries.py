@@ -324,12 +324,12 @@ def hamming(spark, sf):
 
 @query()
 def similarity_ratio(spark, sf):
-    return Z.pairs(spark, sf, "name").select("id", M.similarity_ratio("label", "model").alias("similarity"))
+    return M.with_similarity(Z.pairs(spark, sf, "name"), F.col("label"), F.col("model")).select("id", "similarity")
 
 
 @query()
 def match_address(spark, sf):
-    out = Z.pairs(spark, sf, "address").withColumn("m", M.match_address(F.col("label"), F.col("model")))
+    out = M.with_address_match(Z.pairs(spark, sf, "address"), F.col("label"), F.col("model"), out="m")
     return out.select("id", "m.verdict", "m.error_type", "m.similarity")
 
 
@@ -885,7 +885,53 @@ def page_headline(spark, sf):
     return rounded(A.headline(Z.page_points(spark, sf, X.extractor("page_fields"))).select("n_scored", "n_infra", "trust_score"))
 
 
+def _anchor_fields(spark) -> DataFrame:
+    return spark.createDataFrame([("greeting", "text", ["The thing:", "Hello:"]), ("number", "quantity", ["Total:"])], "field string, kind string, anchors array<string>")
+
+
 @query()
 def anchor_match(spark, sf):
-    fields = spark.createDataFrame([("greeting", "text", ["The thing:", "Hello:"]), ("number", "quantity", ["Total:"])], "field string, kind string, anchors array<string>")
-    return X.read_fields(Z.words(spark, sf), fields)
+    return X.read_fields(Z.words(spark, sf), _anchor_fields(spark))
+
+
+#: Spans of lines by begin and size, and those that characters and neighbouring pairs in common leave open.
+_SPANS = _W + f"""SELECT field, anchor_ord, count(DISTINCT (page, line)) AS n_lines, count(k)::BIGINT AS n_spans,
+  count(*) FILTER (least(shared, (length(want) + k + 1 + grams) // 3) * 2.0 / (length(want) + k) >= 0.7)::BIGINT AS n_scored FROM (
+  SELECT *, list_sum(list_transform(list_distinct(string_split(want, '')), lambda c: least(length(want) - length(replace(want, c, '')), k - length(replace(piece, c, ''))))) AS shared,
+    len(list_filter(range(1, k), lambda i: contains(want, substr(piece, i, 2)))) AS grams FROM (
+    SELECT *, substr(norm, b + 1, k) AS piece FROM (
+      SELECT *, unnest(range(0, least(8, length(norm)) + 1)) AS b FROM (
+        SELECT page, line, regexp_replace(lower(strip_accents(text)), '[^a-z0-9:/ ]', ' ', 'g') AS norm FROM {_LINES}),
+        (VALUES ('greeting', 0, 'the thing'), ('greeting', 1, 'hello'), ('number', 0, 'total')) a(field, anchor_ord, want)),
+      (SELECT unnest(range(3, 12)) AS k) WHERE k BETWEEN greatest(3, length(want) - 2) AND length(want) + 2 AND b + k <= length(norm))) GROUP BY ALL"""
+
+
+@query(_SPANS)
+def anchor_span_shares(spark, sf):
+    return rounded(X.span_shares(W.lines(Z.words(spark, sf)), _anchor_fields(spark)).where("n_spans > 0"))
+
+
+_BOUNDS = f"""(SELECT id, x, y, greatest(p, q) AS block, length(x) + length(y) AS total, list_sum(list_transform(list_distinct(string_split(x, '')), lambda c: least(length(x) - length(replace(x, c, '')), length(y) - length(replace(y, c, ''))))) AS shared FROM (
+  SELECT *, coalesce(list_min(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: x[i] <> y[i])) - 1, least(length(x), length(y))) AS p,
+    coalesce(list_min(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: reverse(x)[i] <> reverse(y)[i])) - 1, least(length(x), length(y))) AS q FROM ({{pairs}})))"""
+_ADDRESS_PAIRS = """SELECT id, trim(regexp_replace(regexp_replace(lower(label), '[.,]', ' ', 'g'), ' +', ' ', 'g')) AS x, trim(regexp_replace(regexp_replace(lower(model), '[.,]', ' ', 'g'), ' +', ' ', 'g')) AS y
+  FROM (SELECT p_partkey AS id, 'tp ' || p_name || ' ' || p_type AS label, CASE p_partkey % 4 WHEN 0 THEN 'tp ' || p_name || ' ' || p_type WHEN 1 THEN left('tp ' || p_name || ' ' || p_type, length('tp ' || p_name || ' ' || p_type) - p_partkey % 9)
+    WHEN 2 THEN p_type || ' ' || p_name ELSE left(p_brand || p_size, 12) END AS model FROM part)"""
+
+
+@query(f"""SELECT id, round(CASE WHEN x = y THEN 1.0 ELSE 2.0 * block / total END, 6) AS lower, round(CASE WHEN x = y THEN 1.0 ELSE 2.0 * shared / total END, 6) AS upper,
+  CASE WHEN x = y OR 2.0 * block / total >= 0.9 THEN 'CORRECT' WHEN 2.0 * shared / total < 0.9 THEN 'WRONG' END AS verdict FROM {_BOUNDS.format(pairs=_ADDRESS_PAIRS)}
+  WHERE x = y OR 2.0 * block / total >= 0.9 OR 2.0 * shared / total < 0.6 OR (2.0 * block / total >= 0.6 AND 2.0 * shared / total < 0.9)""")
+def address_decided_by_bounds(spark, sf):
+    p = Z.table(spark, sf, "part").withColumn("whole", F.concat_ws(" ", F.lit("Thành phố"), "p_name", "p_type")).withColumn("k", F.col("p_partkey") % 4)
+    cut = F.expr("left(whole, cast(length(whole) - p_partkey % 9 as int))")
+    model = F.when(F.col("k") == 0, F.col("whole")).when(F.col("k") == 1, cut).when(F.col("k") == 2, F.concat_ws(" ", "p_type", "p_name")).otherwise(F.left(F.concat("p_brand", F.col("p_size").cast("string")), F.lit(12)))
+    rows = p.select(F.col("p_partkey").alias("id"), N.address(F.col("whole")).alias("x"), N.address(model).alias("y"))
+    bounded = rows.withColumn("b", M.ratio_bounds(F.col("x"), F.col("y"))).where(M.decided(F.col("b"), M.ADDRESS_MATCH, M.ADDRESS_NEAR))
+    return rounded(bounded.select("id", "b.lower", "b.upper", F.when(F.col("b.lower") >= M.ADDRESS_MATCH, S.CORRECT).when(F.col("b.upper") < M.ADDRESS_MATCH, S.WRONG).alias("verdict")))
+
+
+@query()
+def match_address_verdicts(spark, sf):
+    out = M.with_address_match(Z.pairs(spark, sf, "address"), F.col("label"), F.col("model"), similarity=False, out="m")
+    return out.select("id", "m.verdict", "m.error_type")
