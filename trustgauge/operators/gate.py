@@ -145,6 +145,41 @@ def fingerprint(records: DataFrame) -> DataFrame:
     return top.select(F.substring(F.sha2(F.array_join(F.transform("rows", lambda r: r["text"]), ""), 256), 1, 16).alias("fingerprint"))
 
 
+def hash_tree(records: DataFrame, levels: int = 3) -> DataFrame:
+    """(level, node, hash) of a tree over (ord, text): level 0 has a hash a record, and a node of each next level one of up to BLOCK nodes below it.
+
+    Written once a version, with level as a folder, so that a comparison reads only what differs; no task gets more than a block.
+    """
+    rows = F.sort_array(F.collect_list("text"))  # texts of one place, in their own order
+    level = records.groupBy(F.col("ord").cast("long").alias("node")).agg(F.sha2(F.array_join(rows, "\n"), 256).alias("hash"))
+    out = level.select(F.lit(0).alias("level"), "node", "hash")
+    for k in range(1, levels):
+        below = F.sort_array(F.collect_list(F.struct("node", "hash")))
+        level = level.groupBy(F.expr(f"floor(node / {BLOCK})").alias("up")).agg(F.sha2(F.array_join(F.transform(below, lambda r: F.concat_ws(":", r["node"], r["hash"])), ","), 256).alias("hash"))
+        level = level.withColumnRenamed("up", "node")
+        out = out.unionByName(level.select(F.lit(k).alias("level"), "node", "hash"))
+    return out
+
+
+def tree_changes(now: DataFrame, before: DataFrame, levels: int = 3) -> DataFrame:
+    """(ord, change) between two trees: added, removed or changed records, found from the top down among the nodes below those that differ.
+
+    A level joins only children of the changed nodes above it, so equal versions cost the comparison of their top.
+    """
+    changed = None
+    for k in reversed(range(levels)):
+        sides = []
+        for tree in (now, before):
+            nodes = tree.where(F.col("level") == k).select("node", "hash")
+            if changed is not None:
+                nodes = nodes.withColumn("_up", F.expr(f"floor(node / {BLOCK})")).join(changed.select(F.col("node").alias("_up")), "_up", "left_semi").drop("_up")
+            sides.append(nodes)
+        both = sides[0].withColumnRenamed("hash", "_now").join(sides[1].withColumnRenamed("hash", "_before"), "node", "full_outer")
+        changed = both.where(~F.col("_now").eqNullSafe(F.col("_before")))
+    kind = F.when(F.col("_before").isNull(), "added").when(F.col("_now").isNull(), "removed").otherwise("changed")
+    return changed.select(F.col("node").alias("ord"), kind.alias("change"))
+
+
 def compare_fingerprints(now: DataFrame, before: str | None) -> str:
     """``no_baseline`` (absolute gates only), ``same`` or ``changed`` (a hard failure: no comparison means anything)."""
     if before is None:
@@ -180,6 +215,17 @@ def xfail_states(points: DataFrame, known: DataFrame) -> DataFrame:
     return marked.select("key", state.alias("state"))
 
 
+def mutation_outcomes(points: DataFrame, truth: Column, mutants: dict[str, Column], explained: tuple[str, ...] = ()) -> DataFrame:
+    """(mutant, n_changed, killed, explained): altered rules judged beside the true one in a single reading of the points.
+
+    A mutant is killed if it changes the outcome of any point; ``explained`` are those that can't on such data.
+    """
+    counts = points.agg(*(F.count_if(~truth.eqNullSafe(c)).alias(f"_{i}") for i, c in enumerate(mutants.values())))
+    rows = F.array(*(F.struct(F.lit(n).alias("mutant"), F.col(f"_{i}").alias("n_changed")) for i, n in enumerate(mutants)))
+    out = counts.select(F.explode(rows).alias("m")).select("m.mutant", "m.n_changed")
+    return out.withColumn("killed", F.col("n_changed") > 0).withColumn("explained", F.col("mutant").isin(*explained) if explained else F.lit(False))
+
+
 def mutation_summary(mutants: DataFrame) -> DataFrame:
     """Counts of (killed, explained) rows: killed, survivors with an explanation, gaps."""
     return mutants.agg(

@@ -589,10 +589,59 @@ def xfail_states(spark, sf):
     return G.xfail_states(runs.where("run = 1").withColumn("key", P.key()), P.failing(runs.where("run = 0")))
 
 
-@query("SELECT 7::BIGINT AS n_killed, 1::BIGINT AS n_explained, 0::BIGINT AS n_gaps")
+_VERSIONS = """(SELECT coalesce(a.doc_id, b.doc_id) AS id, CASE WHEN b.doc_id IS NULL THEN 'added' WHEN a.doc_id IS NULL THEN 'removed' WHEN a.t <> b.t THEN 'changed' END AS change FROM
+  (SELECT doc_id, string_agg(concat_ws('|', doc_id, quality, toxic), chr(10) ORDER BY 1) AS t FROM labels GROUP BY 1) a FULL JOIN
+  (SELECT CASE WHEN doc_id % 41 = 0 THEN doc_id + 100000000 ELSE doc_id END AS doc_id, concat_ws('|', doc_id, CASE WHEN doc_id % 37 = 0 THEN 1 - quality ELSE quality END, toxic) AS t FROM labels) b USING (doc_id))"""
+
+
+@query(f"SELECT id, change FROM {_VERSIONS} WHERE change IS NOT NULL")
+def changed_labels(spark, sf):
+    """The labels against an older version of them, in which some had another quality and some stood under another id."""
+    old = Z.table(spark, sf, "labels").withColumn("text", F.concat_ws("|", "doc_id", F.when(F.col("doc_id") % 37 == 0, 1 - F.col("quality")).otherwise(F.col("quality")), "toxic"))
+    old = old.select(F.when(F.col("doc_id") % 41 == 0, F.col("doc_id") + 100000000).otherwise(F.col("doc_id")).alias("ord"), "text")
+    store = RunStore(spark, writers.scratch(spark))
+    versions = [store.write({"tree": G.hash_tree(rows)}) for rows in (old, _fingerprint_rows(spark, sf))]
+    return G.tree_changes(store.read("tree", versions[1]), store.read("tree", versions[0])).withColumnRenamed("ord", "id")
+
+
+def _mutated(spark, sf) -> DataFrame:
+    """Rules of verdicts, flags, bins and populations, each altered in one place, over R1's points."""
+    infra = F.col("verdict") == S.SYSTEM_ERROR
+    label, model, conf = F.col("label"), F.col("model"), F.col("confidence")
+
+    def outcome(label=label, model=model, infra=infra, flag=conf.isNull() | (conf < T), conf=conf, counts=~infra & (F.col("expectation") != S.GREY)):
+        exact = M.RULES["exact"](label, model, False)
+        return F.struct(M.verdict(label, model, infra, exact)["verdict"], flag, C.bin_of(conf), counts)
+
+    mutants = {
+        "infra_not_first": outcome(infra=F.lit(False), counts=~infra & (F.col("expectation") != S.GREY)),
+        "missing_label_is_text": outcome(label=F.coalesce(label, F.lit("?"))),
+        "silent_model_is_text": outcome(model=F.coalesce(model, F.lit("?"))),
+        "sides_swapped": outcome(label=model, model=label),
+        "flag_at_threshold": outcome(flag=conf.isNull() | (conf <= T)),
+        "no_confidence_passes": outcome(flag=F.coalesce(conf < T, F.lit(False))),
+        "bins_closed_above": outcome(conf=conf - 1e-9),
+        "grey_counts": outcome(counts=~infra),
+        "case_ignored": outcome(label=F.lower(label), model=F.lower(model)),
+        "space_at_the_end": outcome(label=F.concat(label, F.lit(" "))),
+    }
+    # labels are single digits, and the rule takes white space as one
+    return G.mutation_outcomes(Z.check_points(spark, sf), outcome(), mutants, ("case_ignored", "space_at_the_end"))
+
+
+_MUTANTS = """(SELECT unnest(['infra_not_first', 'missing_label_is_text', 'silent_model_is_text', 'sides_swapped', 'flag_at_threshold', 'no_confidence_passes', 'bins_closed_above', 'grey_counts', 'case_ignored', 'space_at_the_end']) AS mutant,
+  unnest([count_if(infra), count_if(NOT infra AND label IS NULL), count_if(NOT infra AND model IS NULL), count_if(NOT infra AND (label IS NULL) <> (model IS NULL)), count_if(confidence = 0.8), count_if(confidence IS NULL),
+    count_if(confidence IN (0, 0.5, 0.6, 0.7, 0.8, 0.9)), count_if(NOT infra AND expectation = 'grey'), 0, 0]::BIGINT[]) AS n_changed FROM full_pts)"""
+
+
+@query(points_sql(f"SELECT mutant, n_changed, n_changed > 0 AS killed, mutant IN ('case_ignored', 'space_at_the_end') AS explained FROM {_MUTANTS}"))
+def mutation_outcomes(spark, sf):
+    return _mutated(spark, sf)
+
+
+@query(points_sql(f"SELECT count_if(n_changed > 0)::BIGINT AS n_killed, count_if(n_changed = 0 AND e)::BIGINT AS n_explained, count_if(n_changed = 0 AND NOT e)::BIGINT AS n_gaps FROM (SELECT *, mutant IN ('case_ignored', 'space_at_the_end') AS e FROM {_MUTANTS})"))
 def mutation_summary(spark, sf):
-    rows = spark.createDataFrame([(i != 3, i == 3) for i in range(8)], "killed boolean, explained boolean")
-    return G.mutation_summary(rows)
+    return G.mutation_summary(_mutated(spark, sf))
 
 
 # ---- shaping -----------------------------------------------------------------------------
