@@ -281,3 +281,62 @@ def test_streaming(spark, tmp_path):
     q = live.writeStream.foreachBatch(stream.count_batches(out)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {r["verdict"]: r["n_points"] for r in stream.totals(spark, out).collect()} == {S.CORRECT: 1, S.WRONG: 1, S.ABSTAIN_OK: 1}
+
+
+def test_hash_trees_find_what_changed(spark, monkeypatch):
+    monkeypatch.setattr(G, "BLOCK", 4)
+    rows = [(i, f"r{i}") for i in range(100) if i != 50] + [(7, "again")]
+    other = [(i, "x" if i in (3, 98) else t) for i, t in rows if i not in (10, 7)] + [(50, "new"), (7, "again"), (7, "r7")]
+    trees = [G.hash_tree(spark.createDataFrame(r, "ord long, text string"), 4).cache() for r in (rows, other)]
+    got = {(r["ord"], r["change"]) for r in G.tree_changes(trees[1], trees[0], 4).collect()}
+    assert got == {(3, "changed"), (98, "changed"), (10, "removed"), (50, "added")}
+    assert G.tree_changes(trees[0], trees[0], 4).count() == 0
+
+
+def test_each_broken_rule_of_a_dossier_is_a_row(spark):
+    dim = spark.createDataFrame([("t", "a", "critical"), ("t", "b", "light"), ("u", "c", "light")], "doc_type string, field string, severity string")
+    fields = lambda *names: [(n, v) for n, v in names]
+    ledger = spark.createDataFrame(
+        [(1, "t", S.ELIGIBLE, None, fields(("a", "x"))), (2, "t", S.ELIGIBLE, None, fields(("a", " "), ("b", "x"))), (3, "t", S.ELIGIBLE, None, None), (4, "t", S.NEEDS_SUPPLEMENT, " ", None), (5, "u", S.ELIGIBLE, None, fields())],
+        "id long, doc_type string, dossier_status string, reason string, fields array<struct<field:string,value:string>>",
+    )
+    labels = spark.createDataFrame([(1, False), (2, True), (3, False), (4, True), (5, True)], "id long, readable boolean")
+    got = {(r["id"], r["violation"]) for r in Q.abstain_violations(labels, ledger, dim).collect()}
+    gap, stays = "eligible with a critical gap", "unreadable not returned"
+    assert got == {(1, "value on unreadable"), (1, stays), (2, gap), (3, stays), (3, gap), (4, "no reason")}
+
+
+def test_limits_as_a_set(spark):
+    schema = "code string, level string, covers array<string>, status string, evidence string"
+    rows = [("1", "blocks_conclusion", ["a"], "open", None), ("2", "narrows", ["b"], "open", None), ("3", "note", [], "resolved", "see x/y.csv and z.json"), ("4", "note", ["a"], "open", "no.csv")]
+    limits, metrics = spark.createDataFrame(rows, schema), spark.createDataFrame([("a",), ("b",), ("b",)], "metric string")
+    got = {(r["violation"], r["metric"]) for r in Q.limit_set_violations(limits, metrics).collect()}
+    assert got == {("too few open limits", None), ("no blocking limit", "b")}
+    files = spark.createDataFrame([("elsewhere/y.csv",)], "path string")
+    assert [tuple(r) for r in Q.missing_evidence_files(limits, files).collect()] == [("3", "z.json")]
+
+
+def test_anchors_with_an_index_lose_nothing(spark):
+    """Against difflib on every span of every line, with long and short anchors."""
+    import difflib
+    import random
+
+    rng, anchors = random.Random(2), ["Full name:", "No", "Place of permanent residence:", "Total", "Date of birth:"]
+    lines = ["".join(rng.choice("abeflmnotu :") for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    for a in anchors * 8:
+        s = list(a.lower())
+        for _ in range(rng.randint(0, 4)):
+            s[rng.randrange(len(s))] = rng.choice("aeot ")
+        lines.append(" " * rng.randint(0, 9) + "".join(s) + " value")
+    table = spark.createDataFrame([(i, 0, t) for i, t in enumerate(lines)], "page long, line long, text string")
+    fields = spark.createDataFrame([("f", "text", anchors)], "field string, kind string, anchors array<string>")
+    got = {(r["page"], r["anchor_ord"]): r["score"] for r in X.candidates(table, fields).collect()}
+    want = {}
+    for i, t in enumerate(lines):
+        for k, a in enumerate(a.lower().rstrip(": ") for a in anchors):
+            ratios = [difflib.SequenceMatcher(None, t[b : b + n], a).ratio() for b in range(min(8, len(t)) + 1) for n in range(max(3, len(a) - 2), max(3, len(a) + 2) + 1) if b + n <= len(t)]
+            if max(ratios, default=0) >= 0.7:
+                want[i, k] = max(ratios)
+    assert got == want and len(want) > 25
+    shares = X.span_shares(table, fields).agg(F.sum("n_scored"), F.sum("n_spans")).first()
+    assert shares[0] < 0.5 * shares[1]

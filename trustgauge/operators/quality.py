@@ -29,16 +29,23 @@ def bad_flags(flags: DataFrame, threshold: float) -> DataFrame:
     return flags.where(F.col("needs_review") != needs_review(F.col("confidence"), F.lit(threshold))).select("id", "field", "confidence", "needs_review")
 
 
-def abstain_violations(labels: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Dossiers with a value although unreadable, without a reason although returned, or eligible with a critical gap."""
-    joined = ledger.join(labels.select("id", "readable"), "id")
-    has_value = F.exists(F.coalesce("fields", F.array().cast(ledger.schema["fields"].dataType)), lambda f: ~blank(f["value"]))
-    what = (
-        F.when(~F.col("readable") & has_value, "value on unreadable")
-        .when((F.col("dossier_status") == S.NEEDS_SUPPLEMENT) & blank(F.col("reason")), "no reason")
-        .when((F.col("dossier_status") == S.ELIGIBLE) & (F.col("n_fields") == 0), "eligible without fields")
-    )
-    return joined.select("id", what.alias("violation")).where("violation is not null")
+def abstain_violations(labels: DataFrame, ledger: DataFrame, dimension: DataFrame) -> DataFrame:
+    """(id, violation), a row for each rule that a dossier breaks: a value although unreadable, unreadable but not returned, returned without a reason, eligible with a critical gap.
+
+    The dimension is a row a declared field; its critical fields are broadcast as a list a document type.
+    """
+    critical = dimension.where("severity = 'critical'").groupBy("doc_type").agg(F.collect_list("field").alias("_critical"))
+    joined = ledger.join(labels.select("id", "readable"), "id").join(F.broadcast(critical), "doc_type", "left")
+    given = F.transform(F.filter(F.coalesce("fields", F.array().cast(ledger.schema["fields"].dataType)), lambda f: ~blank(f["value"])), lambda f: f["field"])
+    eligible = F.col("dossier_status") == S.ELIGIBLE
+    rules = {
+        "value on unreadable": ~F.col("readable") & (F.size("_given") > 0),
+        "unreadable not returned": ~F.col("readable") & (F.col("dossier_status") != S.NEEDS_SUPPLEMENT),
+        "no reason": (F.col("dossier_status") == S.NEEDS_SUPPLEMENT) & blank(F.col("reason")),
+        "eligible with a critical gap": eligible & F.exists("_critical", lambda c: ~F.array_contains("_given", c)),
+    }
+    broken = F.array_compact(F.array(*(F.when(cond, F.lit(name)) for name, cond in rules.items())))
+    return joined.withColumn("_given", given).select("id", F.explode(broken).alias("violation"))
 
 
 def label_violations(points: DataFrame) -> DataFrame:
@@ -57,6 +64,10 @@ def unbound(needed: DataFrame, bound: DataFrame, key: str) -> DataFrame:
     return needed.join(bound, key, "left_anti")
 
 
+#: How a file is named in a text of evidence.
+EVIDENCE_FILE = r"[\w/\-]+\.(?:csv|jsonl|json|md|py)"
+
+
 def limit_lints(limits: DataFrame) -> DataFrame:
     """(code, violation) of each rule that a limit breaks."""
     length = lambda c: F.length(F.trim(F.coalesce(F.col(c), F.lit(""))))
@@ -66,12 +77,34 @@ def limit_lints(limits: DataFrame) -> DataFrame:
         "no consequence": length("consequence") == 0,
         "unknown level": ~F.coalesce(F.col("level").isin(*S.LIMIT_LEVELS), F.lit(False)),
         "resolved without evidence": (F.col("status") == "resolved") & (length("evidence") < 40),
-        "resolved without a file": (F.col("status") == "resolved") & ~F.coalesce(F.col("evidence").rlike(r"[\w/\-]+\.(csv|json|jsonl|md|py)"), F.lit(False)),
+        "resolved without a file": (F.col("status") == "resolved") & ~F.coalesce(F.col("evidence").rlike(EVIDENCE_FILE), F.lit(False)),
     }
     broken = F.array_compact(F.array(*(F.when(cond, F.lit(name)) for name, cond in rules.items())))
     return limits.select("code", F.explode(broken).alias("violation"))
 
 
+#: Limits that stay open, at least: a measurement without any has not looked for them.
+LEAST_OPEN = 5
+
+
+def limit_set_violations(limits: DataFrame, headline_metrics: DataFrame) -> DataFrame:
+    """(violation, metric): too few open limits, and headline metrics (metric) that no limit covers that blocks a conclusion."""
+    few = limits.agg(F.count_if(F.col("status") == "open").alias("n")).where(F.col("n") < LEAST_OPEN)
+    blocking = limits.where(F.col("level") == S.LIMIT_LEVELS[0]).select(F.explode("covers").alias("metric")).distinct()
+    bare = headline_metrics.select("metric").distinct().join(blocking, "metric", "left_anti")
+    return few.select(F.lit("too few open limits").alias("violation"), F.lit(None).cast("string").alias("metric")).unionByName(
+        bare.select(F.lit("no blocking limit").alias("violation"), "metric")
+    )
+
+
+def missing_evidence_files(limits: DataFrame, files: DataFrame) -> DataFrame:
+    """(code, file) that resolved limits name as evidence and that are not among files (path)."""
+    base = lambda c: F.element_at(F.split(c, "/"), -1)
+    named = F.regexp_extract_all(F.col("evidence"), F.lit(EVIDENCE_FILE), F.lit(0))
+    rows = limits.where("status = 'resolved'").select("code", F.explode(named).alias("file")).withColumn("name", base(F.col("file")))
+    return rows.join(files.select(base(F.col("path")).alias("name")).distinct(), "name", "left_anti").select("code", "file")
+
+
 def wrong_prefix(values: DataFrame, prefix: str) -> DataFrame:
     """Identifiers that could be a real person's: those without the test prefix."""
     return values.where(~F.startswith(F.col("label"), F.lit(prefix))).select("id", "label")

@@ -90,9 +90,11 @@ def score_by_doc_type(spark, sf):
     return rounded(A.score_by(Z.check_points(spark, sf), "doc_type").orderBy("doc_type"))
 
 
-@query("SELECT t.d AS doc_type, f.field, f.severity, f.weight FROM (SELECT unnest(['de', 'en', 'es', 'fr']) AS d) t, (VALUES ('quality', 'critical', 3.0::DOUBLE), ('toxic', 'medium', 1.5::DOUBLE)) f(field, severity, weight)")
+@query("SELECT lang AS doc_type, f.field, f.severity, f.weight, count(*) AS n_records FROM documents, (VALUES ('quality', 'critical', 3.0::DOUBLE), ('toxic', 'medium', 1.5::DOUBLE)) f(field, severity, weight) GROUP BY ALL")
 def spec_flatten(spark, sf):
-    return Z.dimension(spark).select("doc_type", "field", "severity", "weight")
+    """The declared fields of the document types that occur, with their records."""
+    records = Z.table(spark, sf, "documents").groupBy(F.col("lang").alias("doc_type")).agg(F.count(F.lit(1)).alias("n_records"))
+    return records.join(F.broadcast(Z.dimension(spark)), "doc_type").select("doc_type", "field", "severity", "weight", "n_records")
 
 
 _HEAD = """SELECT (SELECT count(DISTINCT id) FROM full_pts) AS n_records, count(*) AS n_scored,
@@ -750,9 +752,19 @@ def dq_flag_boundary(spark, sf):
     return Q.bad_flags(flags, T)
 
 
-@query(points_sql("SELECT id, 'value on unreadable' AS violation FROM dossier WHERE NOT readable AND n_given > 0"))
+@query(points_sql("""SELECT id, violation FROM (SELECT id, unnest(['value on unreadable', 'unreadable not returned', 'eligible with a critical gap']) AS violation,
+  unnest([NOT readable AND n_given - (id % 31 = 0 AND has_critical)::INT > 0, NOT readable AND reason IS NULL, reason IS NULL AND id % 31 = 0]) AS broken FROM ledger) WHERE broken"""))
 def dq_abstain_violations(spark, sf):
-    return Q.abstain_violations(Z.label_records(spark, sf), _ledger(spark, sf))
+    """R1's ledger, in which every 31st dossier has lost its critical field."""
+    kept = F.when(F.col("id") % 31 == 0, F.filter("fields", lambda f: f["field"] != "quality")).otherwise(F.col("fields"))
+    return Q.abstain_violations(Z.label_records(spark, sf), _ledger(spark, sf).withColumn("fields", kept), Z.dimension(spark))
+
+
+@query(points_sql("SELECT DISTINCT doc_type, 'other fields' AS violation FROM cells WHERE doc_type = 'es' AND id % 43 = 0 UNION ALL SELECT NULL, 'too few records' WHERE (SELECT count(*) FROM base) < 30"))
+def dq_label_set(spark, sf):
+    """Label records, of which some of one type lack a field."""
+    fewer = F.when((F.col("doc_type") == "es") & (F.col("id") % 43 == 0), F.slice("fields", 1, 1)).otherwise(F.col("fields"))
+    return Q.label_set_violations(Z.label_records(spark, sf).withColumn("fields", fewer), Z.dimension(spark))
 
 
 @query(points_sql("SELECT DISTINCT id, field FROM full_pts WHERE label IS NOT NULL AND id % 31 = 0"))
@@ -766,32 +778,38 @@ def dq_id_prefix(spark, sf):
     return Q.wrong_prefix(Z.pairs(spark, sf, "id"), "00000")
 
 
-_LIMITS = [
-    ("L-01", "blocks_conclusion", ["trust_score"], "u" * 60, "e" * 30, "open", None, "c"),
-    ("L-02", "narrows", ["ece", "auc"], "u" * 10, "e" * 30, "open", None, "c"),
-    ("L-03", "severe", [], "u" * 60, "e", "resolved", "see data/labels.csv " + "x" * 40, ""),
-    ("L-04", "note", ["abstain_ok_rate"], "u" * 61, "e" * 31, "resolved", "short", "c"),
-]
-
-
-def _limits(spark) -> DataFrame:
-    return spark.createDataFrame(_LIMITS, "code string, level string, covers array<string>, unproved string, evidence_needed string, status string, evidence string, consequence string")
+_LIM = "WITH " + Z.LIMITS_SQL.strip() + "\n"
+_LINTS = """SELECT code, violation FROM (SELECT code, unnest(['unproved too short', 'evidence needed too short', 'no consequence', 'unknown level', 'resolved without evidence', 'resolved without a file']) AS violation,
+  unnest([length(unproved) < 60, length(evidence_needed) < 30, trim(consequence) = '', level = 'severe', status = 'resolved' AND length(trim(evidence)) < 40, status = 'resolved' AND NOT contains(evidence, '.csv')]) AS broken FROM lim) WHERE broken"""
 
 
-@query("SELECT unnest(['L-02', 'L-03', 'L-03', 'L-03', 'L-04', 'L-04']) AS code, unnest(['unproved too short', 'evidence needed too short', 'no consequence', 'unknown level', 'resolved without evidence', 'resolved without a file']) AS violation")
+@query(_LIM + _LINTS)
 def limit_lints(spark, sf):
-    return Q.limit_lints(_limits(spark))
+    return Q.limit_lints(Z.limits(spark, sf))
 
 
-@query("SELECT unnest(['fabricated_rate', 'critical_accuracy']) AS metric")
+@query("WITH " + Z.POINTS_SQL.replace("{run}", "0").strip() + ",\n" + Z.LIMITS_SQL.strip() + f"""
+SELECT metric FROM (SELECT unnest(['trust_score', 'accuracy_readable', 'critical_accuracy', 'abstain_ok_rate', 'fabricated_rate']) AS metric) WHERE (SELECT count(*) FROM scored) > 0 AND metric NOT IN (SELECT metric FROM lim WHERE metric IS NOT NULL)""")
 def uncovered_metrics(spark, sf):
-    published = spark.createDataFrame([(m,) for m in ("trust_score", "ece", "abstain_ok_rate", "fabricated_rate", "critical_accuracy")], "metric string")
-    return Q.uncovered_metrics(published, _limits(spark))
+    """Metrics that R1's run publishes, without a limit of any level."""
+    return Q.uncovered_metrics(G.metric_rows(A.headline(Z.check_points(spark, sf))).select("metric"), Z.limits(spark, sf))
+
+
+@query(_LIM + """SELECT 'too few open limits' AS violation, NULL::VARCHAR AS metric WHERE (SELECT count(*) FROM lim WHERE status = 'open') < 5
+  UNION ALL SELECT 'no blocking limit', m FROM (SELECT unnest(['trust_score', 'accuracy_readable', 'critical_accuracy', 'abstain_ok_rate', 'fabricated_rate']) AS m) WHERE m NOT IN (SELECT metric FROM lim WHERE metric IS NOT NULL AND level = 'blocks_conclusion')""")
+def limit_set_violations(spark, sf):
+    return Q.limit_set_violations(Z.limits(spark, sf), G.metric_rows(A.headline(Z.check_points(spark, sf))))
+
+
+@query(_LIM + "SELECT code, regexp_extract(evidence, '[A-Za-z0-9_/-]+[.]csv') AS file FROM lim WHERE contains(evidence, '.csv') AND regexp_extract(evidence, '[A-Za-z0-9_/-]+[.]csv') NOT IN (SELECT substring(c_name, 10) || '.csv' FROM customer WHERE c_custkey % 4 = 0)")
+def missing_evidence_files(spark, sf):
+    files = Z.table(spark, sf, "customer").where("c_custkey % 4 = 0").select(F.concat(F.lit("data/"), F.substring("c_name", 10, 100), F.lit(".csv")).alias("path"))
+    return Q.missing_evidence_files(Z.limits(spark, sf), files)
 
 
-@query("SELECT unnest(['L-01', 'L-02']) AS code")
+@query(_LIM + "SELECT code, level FROM lim WHERE status = 'open'")
 def open_limits(spark, sf):
-    return _limits(spark).where("status = 'open'").select("code")
+    return Z.limits(spark, sf).where("status = 'open'").select("code", "level")
 
 
 @query(_reads_sql("""SELECT n_compared, n_match, round(agreement, 6) AS agreement FROM (SELECT count(*) AS n_compared, count_if(value = second_read)::BIGINT AS n_match, avg((value = second_read)::INT) AS agreement

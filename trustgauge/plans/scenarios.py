@@ -138,6 +138,37 @@ def points_sql(select: str, run: int = 0) -> str:
     return "WITH " + POINTS_SQL.replace("{run}", str(run)).strip() + "\n" + select
 
 
+#: Metrics that a limit may cover; four of nine cover none.
+COVERED = ("trust_score", "accuracy_readable", "abstain_ok_rate", "ece", "auc")
+
+
+def limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R7: a limit a supplier, with texts of all lengths."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    level = F.get(F.array(*map(F.lit, (*S.LIMIT_LEVELS, "severe"))), (k % 4).cast("int"))
+    metric = F.get(F.array(*map(F.lit, COVERED)), (n % 9).cast("int"))
+    evidence = F.when(k % 3 == 0, F.when(k % 2 == 0, F.concat(F.lit("see data/"), "s_name", F.lit(".csv "), F.repeat(F.lit("x"), (n * 2).cast("int")))).otherwise(F.lit("none at all")))
+    return table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("L-"), k.cast("string")).alias("code"),
+        level.alias("level"),
+        F.array_compact(F.array(metric)).alias("covers"),
+        F.repeat("s_name", (k % 5).cast("int")).alias("unproved"),
+        F.repeat(F.lit("e"), (k % 10 + 25).cast("int")).alias("evidence_needed"),
+        F.when(k % 3 == 0, "resolved").otherwise("open").alias("status"),
+        evidence.alias("evidence"),
+        F.when(F.col("s_acctbal") > 0, "c").otherwise(" ").alias("consequence"),
+    )
+
+
+#: R7 in DuckDB SQL, as the common table ``lim``.
+LIMITS_SQL = f"""
+lim AS (SELECT 'L-' || s_suppkey AS code, ['blocks_conclusion', 'narrows', 'note', 'severe'][s_suppkey % 4 + 1] AS level, {list(COVERED)}[s_nationkey % 9 + 1] AS metric,
+  repeat(s_name, s_suppkey % 5) AS unproved, repeat('e', s_suppkey % 10 + 25) AS evidence_needed, CASE WHEN s_suppkey % 3 = 0 THEN 'resolved' ELSE 'open' END AS status,
+  CASE WHEN s_suppkey % 3 = 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'see data/' || s_name || '.csv ' || repeat('x', s_nationkey * 2) ELSE 'none at all' END END AS evidence,
+  CASE WHEN s_acctbal > 0 THEN 'c' ELSE ' ' END AS consequence FROM supplier)
+"""
+
+
 PAGE_FIELDS = (
     S.Field("page", "page_title", "Title", "critical", "exact"),
     S.Field("page", "page_heading", "Heading", "medium", "exact"),
