@@ -340,3 +340,44 @@ def test_anchors_with_an_index_lose_nothing(spark):
     assert got == want and len(want) > 25
     shares = X.span_shares(table, fields).agg(F.sum("n_scored"), F.sum("n_spans")).first()
     assert shares[0] < 0.5 * shares[1]
+
+
+def test_manifest_in_parts(spark, tmp_path):
+    rows = [(f"i{k}", f"{k}.jpg", "cccd", "heavy", k, ["blur"], [1, 2], {"ho_ten": f"n{k}", "ngay_sinh": None}) for k in range(50)]
+    images = spark.createDataFrame(rows, "id string, file string, doc_type string, tier string, seed long, distortions array<string>, size array<int>, drawn map<string,string>")
+    writers.manifest_parts(images, str(tmp_path), 7, "not real", part_images=10)
+    got = {(r["id"], r["field"]): (r["tier"], r["seed"], r["value"]) for r in readers.manifest_parts(spark, str(tmp_path)).collect()}
+    assert len(got) == 100 and got["i3", "ho_ten"] == ("heavy", 3, "n3") and got["i3", "ngay_sinh"] == ("heavy", 3, None)
+    parts = sorted((tmp_path / "parts").glob("part=*/*.json"))
+    assert len(parts) == 5 and all(len(json.loads(p.read_text())["anh"]) == json.loads(p.read_text())["so_anh"] for p in parts)
+    whole = json.loads(parts[0].read_text())
+    parts[0].write_text(json.dumps(whole | {"anh": whole["anh"][1:]}))
+    for crc in parts[0].parent.glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(Exception, match="of the manifest is not as it was written"):
+        readers.manifest_parts(spark, str(tmp_path)).collect()
+
+
+def test_logs_read_as_tables_and_streams(spark, tmp_path):
+    lines = [
+        "t | 1 | abc | 1.5 | eligible | 2 | 0 | -", "t | 2 | - | - | needs_supplement | 0 | 0 | missing: a | b", "t | 3 | abc | fast | eligible | 2 | 0 | -",
+        "t | - | abc | 1.0 | eligible | 2 | 0 | -", "t | 4 | abc | 1.0 | fine | 2 | 0 | -", "", "no bars at all",
+    ]
+    writers.log(spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1), str(tmp_path), ("head",))
+    got = {r["line"]: r for r in readers.log(spark, str(tmp_path)).collect()}
+    assert [got[x]["problem"] for x in lines] == [None, None, "not a number", "no record", "unknown status", "columns missing", "columns missing"]
+    assert (got[lines[1]]["id"], got[lines[1]]["sha256"], got[lines[1]]["reason"]) == ("2", None, "missing: a | b") and got[lines[2]]["id"] is None
+    assert all(r["file"].endswith(".txt") for r in got.values())
+    query = readers.log_stream(spark, str(tmp_path)).groupBy("problem").count().writeStream.format("memory").queryName("log_problems").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {r["problem"]: r["count"] for r in spark.table("log_problems").collect()} == {None: 2, "not a number": 1, "no record": 1, "unknown status": 1, "columns missing": 2}
+
+
+def test_one_document_of_the_whole_score(spark):
+    data = [(S.CORRECT, 0.9, "critical"), (S.WRONG, 0.95, "critical"), (S.MISSED, None, "medium"), (S.SYSTEM_ERROR, None, "medium"), (S.ABSTAIN_OK, None, "light")]
+    full = points(spark, data).withColumns({"note": F.lit('said "no"'), "elapsed_ms": F.col("id").cast("double"), "type_ord": F.lit(0), "field_ord": F.lit(0)})
+    doc = json.loads(writers.score_document(full, 0.8).first()["document"])
+    assert doc["summary"]["n_infra"] == 1 and doc["gate"]["n_critical_leaks"] == 1 and doc["infra_errors"] == [{"id": 3, "field": "f", "note": 'said "no"'}]
+    assert len(doc["sweep"]) == 21 and doc["by_tier"][0]["trust_score"] == pytest.approx(4 / 8.5) and doc["separation"] == {"auc": 0.0} and doc["grey"] == []
+    empty = json.loads(writers.score_document(full.limit(0), 0.8).first()["document"])
+    assert empty["n_scored"] == 0 and empty["summary"]["trust_score"] is None and empty["sweep"] == [] and empty["by_field"] == []

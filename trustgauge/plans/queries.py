@@ -867,6 +867,40 @@ def run_store_versions(spark, sf):
     return read[0].unionByName(read[1])
 
 
+@query(points_sql("""SELECT CASE WHEN l.id % 59 = 0 THEN NULL ELSE l.id::VARCHAR END AS id, CASE WHEN l.id % 59 = 0 THEN 'columns missing' WHEN l.id % 61 = 0 THEN 'not a number' END AS problem,
+  CASE WHEN l.id % 59 = 0 OR l.id % 61 = 0 THEN NULL WHEN reason IS NULL THEN 'eligible' ELSE 'needs_supplement' END AS dossier_status,
+  CASE WHEN l.id % 59 = 0 OR l.id % 61 = 0 THEN NULL ELSE n_given END AS n_fields, CASE WHEN l.id % 59 = 0 OR l.id % 61 = 0 THEN NULL ELSE n_flagged::BIGINT END AS n_flagged,
+  CASE WHEN l.id % 59 = 0 OR l.id % 61 = 0 THEN NULL ELSE reason END AS reason FROM ledger l""").replace("CASE WHEN l.id % 59 = 0 THEN NULL ELSE l.id", "CASE WHEN l.id % 59 = 0 OR l.id % 61 = 0 THEN NULL ELSE l.id"))
+def log_read_back(spark, sf):
+    """A log in which some lines have lost their bars and some a number, read as a table."""
+    path, lines = writers.scratch(spark), R.log_lines(_full_ledger(spark, sf), "2026-01-01T00:00:00")
+    slashed, worded = F.replace("line", F.lit("|"), F.lit("/")), F.regexp_replace("line", r"(eligible|needs_supplement) \| \d+", "$1 | many")
+    writers.log(lines.withColumn("line", F.when(F.col("id") % 59 == 0, slashed).when(F.col("id") % 61 == 0, worded).otherwise(F.col("line"))), path, ("log", "of a run"))
+    return readers.log(spark, path).select("id", "problem", "dossier_status", "n_fields", "n_flagged", "reason")
+
+
+@query("SELECT 'img_' || p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'cccd' ELSE 'mau_01' END AS doc_type, ['clean', 'light', 'medium', 'heavy', 'unreadable'][p_partkey % 5 + 1] AS tier, p_partkey * 977 AS seed, unnest(['ho_ten', 'noi_thuong_tru']) AS field, unnest([p_name, p_type]) AS value FROM part")
+def manifest_read_back(spark, sf):
+    path, k = writers.scratch(spark), F.col("p_partkey")
+    images = Z.table(spark, sf, "part").select(
+        F.concat(F.lit("img_"), k.cast("string")).alias("id"), F.concat(F.lit("data/"), k.cast("string"), F.lit(".jpg")).alias("file"), F.when(k % 2 == 0, "cccd").otherwise("mau_01").alias("doc_type"),
+        F.get(F.array(*map(F.lit, S.TIERS)), (k % 5).cast("int")).alias("tier"), (k * 977).alias("seed"), F.array(F.lit("noise")).alias("distortions"), F.array(F.lit(640), F.lit(480)).alias("size"),
+        F.create_map(F.lit("ho_ten"), "p_name", F.lit("noi_thuong_tru"), "p_type").alias("drawn"),
+    )
+    writers.manifest_parts(images, path, 42, "not real", part_images=100)
+    return readers.manifest_parts(spark, path)
+
+
+@query(points_sql(f"""SELECT (SELECT round(trust_score, 6) FROM ({_HEAD})) AS trust_score, (SELECT count(DISTINCT tier) FROM scored)::BIGINT AS n_tiers, (SELECT count(DISTINCT (doc_type, field)) FROM scored)::BIGINT AS n_fields,
+  (SELECT count(*) FROM full_pts WHERE verdict = 'SYSTEM_ERROR' AND note_ord <= 20)::BIGINT AS n_errors, (SELECT n_leaks FROM ({_GATE})) AS n_leaks""").replace("FROM full_pts WHERE verdict = 'SYSTEM_ERROR' AND note_ord <= 20", "FROM (SELECT 1 FROM full_pts WHERE verdict = 'SYSTEM_ERROR' LIMIT 20)"))
+def score_document(spark, sf):
+    """Figures read out of the one JSON document of the whole score."""
+    doc = writers.score_document(Z.check_points(spark, sf), T)
+    of = lambda path, kind: F.get_json_object("document", path).cast(kind)
+    size = lambda name: F.json_array_length(F.get_json_object("document", f"$.{name}")).cast("long")
+    return rounded(doc.select(of("$.summary.trust_score", "double").alias("trust_score"), size("by_tier").alias("n_tiers"), size("by_field").alias("n_fields"), size("infra_errors").alias("n_errors"), of("$.gate.n_leaks", "long").alias("n_leaks")))
+
+
 # ---- words -------------------------------------------------------------------------------
 
 _W = "WITH " + Z.WORDS_SQL.strip() + "\n"

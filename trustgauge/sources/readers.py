@@ -99,6 +99,53 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def manifest_parts(spark: SparkSession, path: str) -> DataFrame:
+    """The same from a manifest in parts (``writers.manifest_parts``). A part that doesn't hold what the index says of it raises, also if it is gone."""
+    raw = spark.read.schema(MANIFEST_FILE + ", part int").option("multiLine", True).option("mode", "FAILFAST").json(f"{path}/parts")
+    index = spark.read.schema("part int, n_images long, digest string").json(f"{path}/index")
+    ids = F.array_join(F.array_sort(F.transform("anh", lambda i: i["id"])), "\n")
+    held = raw.select("part", "anh", F.size("anh").cast("long").alias("n"), F.sha2(ids, 256).alias("d"))
+    joined = index.join(held, "part", "left")
+    whole = F.coalesce((F.col("n") == F.col("n_images")) & (F.col("d") == F.col("digest")), F.lit(False))
+    broken = F.raise_error(F.concat(F.lit("part "), F.col("part").cast("string"), F.lit(" of the manifest is not as it was written"))).cast(raw.schema["anh"].dataType)
+    images = joined.select(F.explode(F.when(whole, F.col("anh")).otherwise(broken)).alias("i"))
+    return images.select("i.id", "i.doc_type", renamed(TIER_NAMES, F.col("i.muc_chat_luong")).alias("tier"), "i.seed", F.explode("i.noi_dung_da_ve").alias("field", "value"))
+
+
+#: Columns of a log line and what stands between them.
+LOG_COLUMNS = ("run_at", "id", "sha256", "elapsed_ms", "dossier_status", "n_fields", "n_flagged", "reason")
+LOG_BAR = " | "
+
+
+def parsed_log(lines: DataFrame) -> DataFrame:
+    """Log lines (line, and whatever else) with their columns, a dash as null, and ``problem``, null for a good line; of a bad line no column is trusted.
+
+    The reason comes last and may hold bars of its own.
+    """
+    parts = F.split("line", " \\| ", len(LOG_COLUMNS))
+    text = {c: F.nullif(F.get("_parts", F.lit(i)), F.lit("-")) for i, c in enumerate(LOG_COLUMNS)}
+    typed = text | {"elapsed_ms": text["elapsed_ms"].try_cast("double")} | {c: text[c].try_cast("long") for c in ("n_fields", "n_flagged")}
+    odd = lambda c: text[c].isNotNull() & typed[c].isNull()
+    problem = (
+        F.when(F.size("_parts") < len(LOG_COLUMNS), "columns missing")
+        .when(odd("elapsed_ms") | odd("n_fields") | odd("n_flagged"), "not a number")
+        .when(text["id"].isNull(), "no record")
+        .when(~F.coalesce(text["dossier_status"].isin(S.ELIGIBLE, S.NEEDS_SUPPLEMENT), F.lit(False)), "unknown status")
+    )
+    out = lines.withColumn("_parts", parts).withColumn("problem", problem)
+    return out.withColumns({c: F.when(F.col("problem").isNull(), v) for c, v in typed.items()}).drop("_parts")
+
+
+def log(spark: SparkSession, path: str) -> DataFrame:
+    """A worker log as a table; lines that can't be read stay as rows, with the file they stand in and their problem."""
+    return parsed_log(spark.read.text(f"{path}/lines").select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file")))
+
+
+def log_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The same as a stream: files that are added to the log's folder are read once each."""
+    return parsed_log(spark.readStream.text(f"{path}/lines").select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file")))
+
+
 def second_reads(spark: SparkSession, path: str) -> DataFrame:
     """CSV with # comments; rows without an id are skipped and a key that occurs twice fails the load."""
     raw = spark.read.schema(READ_FILE).option("header", True).option("comment", "#").option("quote", '"').option("mode", "FAILFAST").csv(path)
