@@ -75,3 +75,36 @@ def test_odd_rows(spark):
 def test_columns_clash(spark, n):
     df = spark.createDataFrame([(i, [1.0, 2.0], 9) for i in range(n)], "vec_id long, embedding array<double>, n_links int")
     assert {r["n_links"] for r in V.near_duplicates(df).collect()} == {n - 1}
+
+
+def _low(rng, n, inner, sparse=False):
+    """Vectors of 64 components near a subspace of few dimensions, in pairs that differ by about the length of a link."""
+    base = rng.normal(size=(n // 2, inner))
+    step = rng.normal(size=base.shape)
+    if sparse:
+        step[:, 1:] = 0
+    step *= 0.9 * np.sqrt(2 - 2 * V.THRESHOLD) * rng.random((len(base), 1)) ** 0.3 * np.linalg.norm(base, axis=1)[:, None] / np.linalg.norm(step, axis=1)[:, None]
+    return np.r_[base, base + step] @ np.linalg.qr(rng.normal(size=(64, inner)))[0].T
+
+
+@pytest.mark.parametrize("inner,sparse", [(3, False), (4, False), (6, False), (4, True)])
+@pytest.mark.parametrize("cells", [30, 300])
+def test_probes_lose_no_link_near_a_subspace(inner, sparse, cells):
+    rng = np.random.default_rng(inner)
+    x = V._unit(_low(rng, 4000, inner, sparse))
+    centres = V._kmeans(x[rng.permutation(len(x))[:2000]], cells, rng)
+    gaps = np.sqrt(np.maximum(0, (centres**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * centres @ centres.T))
+    q = V.Quantiser(centres, [], gaps, V.THRESHOLD)
+    cell = V._nearest(x, centres)
+    probes = q.probes(x, cell)
+    a, b = np.nonzero(np.triu(x @ x.T >= V.THRESHOLD, 1))
+    low, high = np.where(cell[a] <= cell[b], a, b), np.where(cell[a] <= cell[b], b, a)
+    assert probes[low, cell[high]].all() and len(a) > 1000
+
+
+def test_near_a_subspace_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(V, "PER_CELL", 20)
+    rng = np.random.default_rng(9)
+    x = _low(rng, 1200, 3)
+    got = run(spark, [(int(i), v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    assert {i: got[i][:2] for i in got} == brute(np.arange(len(x)), x)

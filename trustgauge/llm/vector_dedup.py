@@ -12,9 +12,9 @@ cut into blocks of about ``BLOCK`` rows and so are the queries of a list; a task
 of blocks and returns, per row, its number of links and the least linked id of its group in
 that pair, never the pairs themselves. Both quantisers are fitted in numpy on at most
 ``SAMPLE`` rows of least id hash; every row is indexed. Vectors travel as 32-bit numbers where
-these are their exact values. A border is near enough within
-``REACH`` standard deviations of a random difference of link length projected on the normal
-of the border: recall is measured against brute force in the tests (1.0 on the given tables).
+these are their exact values. A border is near enough if a vector of link length can cross it, whatever
+its direction: no linked vector is beyond a border that is farther, so probes drop no link. They are as
+many as the data's clusters overlap; vectors without any clusters probe most cells.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component link with
 nothing; with ``each_length`` vectors of one length link among themselves, by quantisers of
@@ -40,7 +40,6 @@ THRESHOLD = 0.95
 SAMPLE, PER_CELL, MAX_CELLS = 20_000, 400, 4096
 SUBSPACE, CODEWORDS = 4, 16
 ROUNDS = 6
-REACH = 4.0
 BLOCK = 2048
 SEED = 11
 
@@ -90,11 +89,14 @@ class Quantiser:
         return codes, np.sqrt(left)
 
     def probes(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        """Rows of booleans: cells from the own one on in which a linked vector can lie; a pair meets once."""
+        """Rows of booleans: cells from the own one on in which a linked vector can lie; a pair meets once.
+
+        With own centre c and another one d, |y - d|^2 - |y - c|^2 changes by 2 r |c - d| at most on a way of length r, and must
+        fall to 0 for y to be nearer to d.
+        """
         d = (self.cells**2).sum(1) - 2 * x @ self.cells.T
         beyond = d - d[np.arange(len(x)), cell][:, None]
-        reach = min(1.0, REACH / np.sqrt(self.dim)) * self.radius
-        return (beyond <= 2 * reach * self.gaps[cell]) & (np.arange(len(self.cells)) >= cell[:, None])
+        return (beyond <= 2 * self.radius * self.gaps[cell] + 1e-9) & (np.arange(len(self.cells)) >= cell[:, None])
 
     def far(self, x: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Distances by table lookup: rows of x against the coded vectors of a cell."""
