@@ -102,9 +102,22 @@ def test_probes_lose_no_link_near_a_subspace(inner, sparse, cells):
     assert probes[low, cell[high]].all() and len(a) > 1000
 
 
-def test_near_a_subspace_against_brute_force(spark, monkeypatch):
+def test_reach_follows_the_spread_of_links():
+    rng = np.random.default_rng(3)
+    wide = rng.normal(size=(500, 64))
+    links = V._unit(np.r_[wide, wide + 0.15 * rng.normal(size=wide.shape)])
+    assert 0.45 < V._reach(links, V.THRESHOLD) < 0.75
+    edited = wide.copy()
+    edited[:, 0] += 1.5
+    assert V._reach(V._unit(np.r_[wide, edited]), V.THRESHOLD) == 1  # one component
+    assert V._reach(V._unit(_low(rng, 1000, 3)), V.THRESHOLD) == 1  # three dimensions
+    assert V._reach(V._unit(wide), V.THRESHOLD) == 1  # no links to measure
+
+
+@pytest.mark.parametrize("inner,sparse", [(3, False), (6, False), (4, True)])
+def test_near_a_subspace_against_brute_force(spark, monkeypatch, inner, sparse):
     monkeypatch.setattr(V, "PER_CELL", 20)
     rng = np.random.default_rng(9)
-    x = _low(rng, 1200, 3)
+    x = _low(rng, 1200, inner, sparse)
     got = run(spark, [(int(i), v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     assert {i: got[i][:2] for i in got} == brute(np.arange(len(x)), x)
