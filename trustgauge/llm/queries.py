@@ -56,7 +56,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.score(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
+    out = quality_rules.score(table(spark, sf_dir, "documents"))
+    return out.select(*(c for c in out.columns if c != "host_rate"), F.round("host_rate", 6).alias("host_rate"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
@@ -120,7 +121,7 @@ q AS (
 prior AS (SELECT mean, CASE WHEN share > 0 THEN least(1000.0, greatest(1.0, 1 / share - 1)) ELSE 1000.0 END AS k FROM q),
 v AS (SELECT source, (f + mean * k) / (n + k) AS rate FROM h, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       round(rate, 6) AS host_rate, NOT base_failed AND coalesce(rate <= 0.5, true) AS kept
+       NOT base_failed AND coalesce(rate <= 0.5, true) AS kept, round(rate, 6) AS host_rate
 FROM b LEFT JOIN v USING (source)
 """
 
