@@ -329,10 +329,19 @@ def similarity_ratio(spark, sf):
     return M.with_similarity(Z.pairs(spark, sf, "name"), F.col("label"), F.col("model")).select("id", "similarity")
 
 
-@query()
+#: Models are their label, in another case, or its first half: a prefix, all of whose characters difflib matches.
+_ADDRESS = """(SELECT id, CASE WHEN x = y THEN 1.0 ELSE 2.0 * length(y) / (length(x) + length(y)) END AS similarity FROM (
+  SELECT id, trim(regexp_replace(replace(regexp_replace(lower(label), '[.,]', ' ', 'g'), 'thành phố', 'tp'), ' +', ' ', 'g')) AS x,
+    trim(regexp_replace(replace(regexp_replace(lower(model), '[.,]', ' ', 'g'), 'thành phố', 'tp'), ' +', ' ', 'g')) AS y FROM (
+    SELECT id, label, CASE id % 3 WHEN 0 THEN replace(label, 'Thành phố', 'TP') WHEN 1 THEN left(label, length(label) // 2) ELSE label END AS model FROM (
+      SELECT p_partkey AS id, concat_ws(', ', 'Thành phố', p_name, p_type) AS label FROM part))))"""
+_ADDRESS_VERDICT = "CASE WHEN similarity >= 0.9 THEN 'CORRECT' ELSE 'WRONG' END AS verdict, CASE WHEN similarity < 0.6 THEN 'all_wrong' WHEN similarity < 0.9 THEN 'beyond_threshold' END AS error_type"
+
+
+@query(f"SELECT id, {_ADDRESS_VERDICT}, round(similarity, 6) AS similarity FROM {_ADDRESS}")
 def match_address(spark, sf):
     out = M.with_address_match(Z.pairs(spark, sf, "address"), F.col("label"), F.col("model"), out="m")
-    return out.select("id", "m.verdict", "m.error_type", "m.similarity")
+    return rounded(out.select("id", "m.verdict", "m.error_type", "m.similarity"))
 
 
 # ---- review, dossiers and the evidence ledger --------------------------------------------
@@ -1032,7 +1041,7 @@ def address_decided_by_bounds(spark, sf):
     return rounded(bounded.select("id", "b.lower", "b.upper", F.when(F.col("b.lower") >= M.ADDRESS_MATCH, S.CORRECT).when(F.col("b.upper") < M.ADDRESS_MATCH, S.WRONG).alias("verdict")))
 
 
-@query()
+@query(f"SELECT id, {_ADDRESS_VERDICT} FROM {_ADDRESS}")
 def match_address_verdicts(spark, sf):
     out = M.with_address_match(Z.pairs(spark, sf, "address"), F.col("label"), F.col("model"), similarity=False, out="m")
     return out.select("id", "m.verdict", "m.error_type")
