@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -227,6 +228,45 @@ def test_passages_behind_halves(spark):
     assert not any(n for i, n in got.items() if i not in later)
 
 
+def test_passages_behind_boilerplate(spark):
+    """Many earlier texts with the first or the last 40 words of a passage, none of them a match, hide no later passage."""
+    rng = np.random.default_rng(21)
+    fill = lambda n: [f"u{rng.integers(0, 10**9)}" for _ in range(n)]
+    texts, later, decoys = {}, [], 8
+    for k in range(20):
+        words = fill(50)
+        edited = [*words]
+        edited[int(rng.integers(8, 42))] = "edit"
+        rows = [[*fill(20), *words, *fill(20)]]
+        rows += [[*fill(20), *words[:40], *fill(20)] for _ in range(decoys)] + [[*fill(20), *words[-40:], *fill(20)] for _ in range(decoys)]
+        rows.append([*fill(20), *edited, *fill(20)])
+        texts |= {100 * k + i: " ".join(r) for i, r in enumerate(rows)}
+        later.append(100 * k + len(rows) - 1)
+    got = {r["doc_id"]: r["n_removed"] for r in passage_dedup.remove_passages(docs(spark, texts)).collect()}
+    found = sum(got[i] >= 49 for i in later)
+    print(f"passages found: {found} of {len(later)}")
+    assert found == len(later)
+    assert not any(n for i, n in got.items() if i not in later)
+
+
+def test_closest():
+    """Of windows that share enough, those of the first and the last passage and the one that shares most; halves are none."""
+    span, around = passage_dedup.SPAN, passage_dedup.AROUND
+    own = np.arange(1, around + 1, dtype="<u2")
+    rows = []
+    for i, (lo, hi) in enumerate([(0, span), (span - 1, around), (20, 20 + span), (0, 40), (51, around), (10, 10 + span)]):
+        other = np.arange(1000 * (i + 1), 1000 * (i + 1) + around).astype("<u2")
+        other[lo:hi] = own[lo:hi]
+        rows.append((i, other.tobytes()))
+    rows.append((9, own.tobytes()))
+    df = pd.DataFrame({"unit": 1, "id": [r[0] for r in rows], "codes": [r[1] for r in rows]})
+    df = df.assign(at=100, first=50, last=150, left=0, right=0, asked=df["id"] == 9, there=True)
+    (out,) = passage_dedup._closest(df)
+    assert set(out["id"]) == {9} and set(out["b"]) == {0, 1}
+    (out,) = passage_dedup._closest(df[df["id"].isin([3, 4, 9])])
+    assert out.empty
+
+
 def passage_brute(texts: dict) -> dict:
     """Places of words in a passage of 50 words that has an earlier one of similarity 0.8 or more, over all pairs of such passages."""
     span, low = 46, str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -16,6 +16,9 @@ takes no pairs of a group, only firsts, and nearly all copies are found by it. A
 found so covers is then laid beside all other earlier windows of its min-hash, inside the tasks that hold
 the key, in blocks where it has many, and joined with those that differ least from it on the left and on
 the right; so a first that is only half a passage hides no later one, and no pairs of a group leave a task.
+Where more of them fit than were compared, and the window is still open, it is crowded: a last round lays it
+beside all of them by 16-bit codes of every shingle around, which tell passages from halves. All passages of least length
+around one shingle run together, so the one of the least and the one of the greatest place that shares enough span them all.
 Texts of such pairs are fetched and the passages around the shared shingle are grown in both as
 long as four of five shingles are shared, or eight of nine; where that ends too early, as a change near
 an end costs more than what follows it gives, the passage of least length with most shared ones is
@@ -54,12 +57,16 @@ FREQUENT, MAX_FREQUENT = 8, 1 << 20
 TOGETHER = 400_000
 #: Windows that a task looks at together after the shuffle, and windows of a key that are laid beside each other as one block.
 CHUNK, BLOCK = 200_000, 20_000
-#: Least different windows, on either side, that an open window is compared with in each block.
+#: Least different windows, on either side, that an open window is compared with in each block at once; if more fit, codes decide.
 NEAREST = 2
 #: Shingles of a passage of least length, and how far surroundings reach.
 SPAN = MIN_WORDS - WIDTH + 1
 #: Shingles on a side of a window's own that are compared by parity, and bits that may differ: one word changed makes ten.
 SIDE, SIDE_BITS = SPAN // 2, 12
+#: Shingles in common that two passages of least length need, and that one needs to be four fifths of a set.
+ALIKE, PARTLY = -(-2 * SPAN * PERCENT // (100 + PERCENT)), -(-SPAN * PERCENT // 100)
+#: Places around a window's own that have codes.
+AROUND = 2 * SPAN - 1
 _PLACE = np.uint64((1 << 31) - 1)
 _LAST = np.uint64(1 << 63)
 
@@ -337,8 +344,39 @@ def _by_key(chunk: int):
 SMALL = 64
 
 
-def _nearest(nearest: int, chunk: int):
-    """(id, at, b, b_at): windows asked for of a unit (blocks of a key) with the earlier ones that differ least on the left and on the right."""
+def _whole_units(look, chunk: int):
+    """``look`` over rows in order of unit and place, some units at a time, each whole."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
+        for pdf in batches:
+            held.append(pdf)
+            size += len(pdf)
+            if size < chunk:
+                continue
+            df = pd.concat(held, ignore_index=True)
+            begin = int((df["unit"] == df["unit"].iloc[-1]).to_numpy().argmax())
+            if begin:
+                yield from look(df[:begin])
+            held, size = [df[begin:]], len(df) - begin
+        if size:
+            yield from look(pd.concat(held, ignore_index=True))
+
+    return run
+
+
+def _edges(df: pd.DataFrame) -> np.ndarray:
+    """Where units begin, and the end."""
+    unit = df["unit"].to_numpy()
+    return np.flatnonzero(np.r_[True, unit[1:] != unit[:-1], True])
+
+
+def _nearest(nearest: int):
+    """(id, at, b, b_at): windows asked for of a unit (blocks of a key) with the earlier ones that differ least on the left and on the right.
+
+    A window that more of them fit on a side is given beside itself too.
+    """
 
     def small(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
         """Of many small units: each row beside the one d places before it, for all d."""
@@ -360,7 +398,8 @@ def _nearest(nearest: int, chunk: int):
         i, side, j = i[by], side[by], j[by]
         fresh = np.r_[True, (i[1:] != i[:-1]) | (side[1:] != side[:-1])] if len(i) else np.empty(0, bool)
         place = np.arange(len(i)) - np.maximum.accumulate(np.where(fresh, np.arange(len(i)), 0))
-        i, j = i[place < nearest], j[place < nearest]
+        j = np.where(place < nearest, j, i)
+        i, j = i[place <= nearest], j[place <= nearest]
         yield pd.DataFrame({"id": ids[i], "at": at[i], "b": ids[j], "b_at": at[j]})
 
     def large(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -382,10 +421,11 @@ def _nearest(nearest: int, chunk: int):
                     a, b = i[rows], there[j[rows]]
                     yield pd.DataFrame({"id": ids[a], "at": at[a], "b": ids[b], "b_at": at[b]})
                     bits[np.arange(len(i)), j] = 255
+                a = i[(bits < 255).any(1)]
+                yield pd.DataFrame({"id": ids[a], "at": at[a], "b": ids[a], "b_at": at[a]})
 
     def units(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        unit = df["unit"].to_numpy()
-        edges = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1], True])
+        edges = _edges(df)
         size = np.diff(edges)
         few = np.repeat(size <= SMALL, size)
         if few.any():
@@ -393,23 +433,69 @@ def _nearest(nearest: int, chunk: int):
         for k in np.flatnonzero(size > SMALL):
             yield from large(df[edges[k] : edges[k + 1]])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        size = 0
-        for pdf in batches:  # a partition comes in order of unit and place
-            held.append(pdf)
-            size += len(pdf)
-            if size < chunk:
-                continue
-            df = pd.concat(held, ignore_index=True)
-            begin = int((df["unit"] == df["unit"].iloc[-1]).to_numpy().argmax())
-            if begin:
-                yield from units(df[:begin])
-            held, size = [df[begin:]], len(df) - begin
-        if size:
-            yield from units(pd.concat(held, ignore_index=True))
+    return units
 
-    return run
+
+def _coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Windows of texts with the codes of the shingles inside them, AROUND places about their own; 0 is none."""
+    about = np.arange(1 - SPAN, SPAN)
+    for pdf in batches:
+        at = 0
+        for raw in byte_parts(pdf["text"]):
+            grams, cut = _shingles(raw)
+            code = np.maximum(mix(grams, 57) >> np.uint64(48), 1).astype("<u2")
+            for k in range(len(raw)):
+                own, held = code[cut[k] : cut[k + 1]], pdf["windows"].iloc[at + k]
+                rows = pd.DataFrame({c: [w[c] for w in held] for c in ("at", *_SHAPE, "open")})
+                rows = rows[rows["at"] < len(own)]  # of another text of this id
+                for part in _slices(rows, 20_000):
+                    place = part["at"].to_numpy()[:, None] + about
+                    inside = (place >= part["first"].to_numpy()[:, None]) & (place <= part["last"].to_numpy()[:, None])
+                    near = np.where(inside, own[np.clip(place, 0, len(own) - 1)], 0).astype("<u2")
+                    yield part.assign(id=pdf["id"].iloc[at + k], codes=[x.tobytes() for x in near])
+            at += len(raw)
+
+
+def _closest(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """(id, at, b, b_at): windows asked for of a unit with the earlier ones that share most codes of a passage of least length.
+
+    And with those that share enough of the first such passage and of the last one.
+    """
+    ids, at, first, last, left, right, asked, there = (df[c].to_numpy() for c in ("id", "at", "first", "last", "left", "right", "asked", "there"))
+    codes = np.frombuffer(b"".join(df["codes"]), "<u2").reshape(-1, AROUND)
+    laid, edges, found = _laid(at, first, last, ids, left, right), _edges(df), []
+    where = np.zeros(1 << 16, np.int64)
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        sources = lo + np.flatnonzero(there[lo:hi])
+        for i in lo + np.flatnonzero(asked[lo:hi]):
+            j = sources[: np.searchsorted(sources, i)]
+            room, *sides = laid(i, j)
+            j = j[room & (np.minimum(*sides) <= SIDE_BITS)]
+            own, back = np.unique(codes[i], return_inverse=True)
+            where[own] = np.arange(1, len(own) + 1)
+            where[0] = 0
+            best: list[tuple] = []  # what to have least, and the row
+            for k in range(0, len(j), 4096):
+                some = j[k : k + 4096]
+                hit = np.zeros((len(some), len(own) + 1), bool)
+                hit[np.arange(len(some))[:, None], where[codes[some]]] = True
+                hit[:, 0] = False
+                total = np.cumsum(np.c_[np.zeros(len(some), np.int64), hit[:, back + 1]], axis=1)
+                common = total[:, SPAN:] - total[:, :-SPAN]
+                most, enough = common.max(1), common >= ALIKE
+                n = int(most.argmax())
+                here = [(-int(most[n]), some[n])] if most[n] >= PARTLY else [(1, -1)]
+                rows = np.flatnonzero(enough.any(1))
+                if len(rows):
+                    begin, end = enough[rows].argmax(1), -enough[rows, ::-1].argmax(1)
+                    here += [(int(begin.min()), some[rows[begin.argmin()]]), (int(-end.max()), some[rows[end.argmax()]])]
+                else:
+                    here += [(SPAN, -1)] * 2
+                best = [min(x, y, key=lambda t: t[0]) for x, y in zip(best, here, strict=True)] if best else here
+            where[own] = 0
+            found += [(i, x) for x in {int(x) for _, x in best if x >= 0}]
+    i, j = np.array(found, np.int64).reshape(-1, 2).T
+    yield pd.DataFrame({"id": ids[i], "at": at[i], "b": ids[j], "b_at": at[j]})
 
 
 def _reach(total: np.ndarray, start: int, step: int, most: int) -> int:
@@ -514,26 +600,52 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["id", "first", "last"])
 
 
-def _rest(shapes: DataFrame, firsts: DataFrame, spans: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, at, b, b_at): windows outside all spans with the least different earlier ones of their key but those already compared."""
-    kind = shapes.schema["id"].dataType.simpleString()
+def _outside(windows_: DataFrame, spans: DataFrame, *names: str) -> DataFrame:
+    """The columns of windows, and ``open``, whether a window's place is outside all spans of its text."""
     spans = spans.distinct().groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     inside = F.exists("spans", lambda s: (s["first"] <= F.col("at")) & (F.col("at") <= s["last"]))
-    marked = shapes.join(spans, "id", "left").select("id", "at", *_SHAPE, (~F.coalesce(inside, F.lit(False))).alias("open"))
-    marked = scratch.keep(marked, "marked")
+    return windows_.join(spans, "id", "left").select("id", "at", *names, (~F.coalesce(inside, F.lit(False))).alias("open"))
+
+
+def _dealt(marked: DataFrame, scratch: Scratch, name: str, *more: str) -> DataFrame:
+    """Rows of keys with an open window in units: all of a key, or where it has many a block of open ones beside a block of all."""
     sizes = marked.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("there"), F.ceil(F.count_if("open") / BLOCK).alias("here")).where("here > 0")
-    rows = marked.join(scratch.keep(sizes, "sizes"), "key")
+    rows = marked.join(scratch.keep(sizes, name), "key")
     own = F.xxhash64("id", "at")
     last_of = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     one, none = (F.col("there") == 1) & (F.col("here") == 1), F.lit(0).cast("long")
-    shape = ("id", "at", "first", "last", "left", "right")
+    shape = ("id", "at", "first", "last", "left", "right", *more)
     both = rows.where(one).select("key", none.alias("a"), none.alias("b"), F.col("open").alias("asked"), F.lit(True).alias("source"), *shape)
     there = rows.where(~one).select("key", F.explode(last_of("here")).alias("a"), F.pmod(own, "there").alias("b"), F.lit(False).alias("asked"), F.lit(True).alias("source"), *shape)
     here = rows.where(~one & F.col("open")).select("key", F.pmod(own, "here").alias("a"), F.explode(last_of("there")).alias("b"), F.lit(True).alias("asked"), F.lit(False).alias("source"), *shape)
     dealt = both.unionByName(there).unionByName(here).select(F.xxhash64("key", "a", "b").alias("unit"), "asked", F.col("source").alias("there"), *shape)
-    dealt = dealt.repartition("unit").sortWithinPartitions("unit", "id", "at")
-    pairs = dealt.mapInPandas(tidied(_nearest(NEAREST, CHUNK)), f"id {kind}, at int, b {kind}, b_at int").distinct()
-    return pairs.join(firsts, ["id", "at", "b", "b_at"], "left_anti")
+    return dealt.repartition("unit").sortWithinPartitions("unit", "id", "at")
+
+
+def _rest(marked: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, at, b, b_at): open windows with the least different earlier ones of their key, and beside themselves where more fit."""
+    kind = marked.schema["id"].dataType.simpleString()
+    near = _dealt(marked, scratch, "sizes").mapInPandas(tidied(_whole_units(_nearest(NEAREST), CHUNK)), f"id {kind}, at int, b {kind}, b_at int")
+    return scratch.keep(near.distinct(), "near")
+
+
+#: A row of ``_rest`` that names a crowded window.
+_SELF = "id = b AND at = b_at"
+
+
+def _crowds(docs: DataFrame, marked: DataFrame, crowded: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(id, at, b, b_at): crowded windows (id, at) with those of their key whose codes are alike; None if there are none."""
+    kind = marked.schema["id"].dataType.simpleString()
+    crowded = scratch.keep(crowded, "crowded")
+    if not crowded.take(1):
+        return None
+    asked = marked.join(crowded.withColumn("asked", F.lit(True)), ["id", "at"], "left").withColumn("open", F.col("open") & F.coalesce("asked", F.lit(False)))
+    keys = asked.where("open").select("key").distinct()
+    shapes = asked.join(keys, "key", "left_semi").groupBy("id").agg(F.collect_list(F.struct("at", *_SHAPE, "open")).alias("windows"))
+    row = f"id {kind}, at int, key long, first int, last int, left long, right long, open boolean, codes binary"
+    coded = docs.join(shapes.hint("merge"), "id").select("id", "text", "windows").mapInPandas(tidied(_coded), row)
+    dealt = _dealt(scratch.keep(coded, "coded"), scratch, "crowds", "codes")
+    return dealt.mapInPandas(tidied(_whole_units(_closest, CHUNK)), f"id {kind}, at int, b {kind}, b_at int").distinct()
 
 
 def _found(docs: DataFrame, places: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -563,8 +675,16 @@ def later_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     copies = met.where(F.col("kind") == GONE).select("id", F.greatest(F.lit(0), F.col("at") - SPAN + 1).alias("first"), (F.col("at") + SPAN - 1).alias("last"))
     firsts = met.where(F.col("kind") == 0).select("id", "at", "b", "b_at")
     found = _found(docs, firsts, scratch, "firsts")
-    rest = _found(docs, _rest(met.where(F.col("kind") == OPEN), firsts, copies.unionByName(found), scratch), scratch, "rest")
-    return copies.unionByName(found).unionByName(rest)
+    spans = copies.unionByName(found)
+    marked = scratch.keep(_outside(met.where(F.col("kind") == OPEN), spans, *_SHAPE), "marked")
+    near = _rest(marked, scratch)
+    rest = _found(docs, near.where(f"NOT ({_SELF})").join(firsts, ["id", "at", "b", "b_at"], "left_anti"), scratch, "rest")
+    crowded = _outside(near.where(_SELF).select("id", "at"), rest).where("open").select("id", "at")
+    close = _crowds(docs, marked, crowded, scratch)
+    if close is None:
+        return spans.unionByName(rest)
+    close = close.join(near, ["id", "at", "b", "b_at"], "left_anti").join(firsts, ["id", "at", "b", "b_at"], "left_anti")
+    return spans.unionByName(rest).unionByName(_found(docs, close, scratch, "close"))
 
 
 def _strip(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
