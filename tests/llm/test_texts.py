@@ -500,6 +500,23 @@ def test_language(spark):
     assert free_id.first()["h"] is True and language_id.predict(df.limit(0), model).count() == 0
 
 
+def test_training_bounds(spark, monkeypatch):
+    """Long texts are trained on by pieces from start to end, and rows of one id can't pass the bound."""
+    text = "".join(chr(97 + i % 26) for i in range(10_000))
+    most, size = 160, 10
+    df = spark.createDataFrame([(1, text, "aa"), (2, text[:160], "aa"), (3, "", "aa"), (4, None, "aa")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["t"] for r in df.select("doc_id", language_id.pieces_of(F.col("text"), most).alias("t")).collect()}
+    begins = [(len(text) - size) * i // 15 for i in range(16)]
+    assert got == {1: "\n".join(text[b : b + size] for b in begins), 2: text[:160], 3: "", 4: None}
+    assert begins[0] == 0 and begins[-1] + size == len(text)
+    seen: list = []
+    monkeypatch.setattr(language_id, "fit", seen.extend)
+    monkeypatch.setattr(language_id, "SAMPLE", 50)
+    many = spark.range(400).select(F.lit(1).alias("doc_id"), F.concat(F.lit("word "), F.repeat(F.lit("x"), F.col("id").cast("int") * 100)).alias("text"), F.lit("aa").alias("lang"))
+    language_id.train(many)
+    assert len(seen) == 50 and max(len(t) for t, _ in seen) <= language_id.CHARACTERS + language_id.PIECES
+
+
 def test_quality(spark, corpus):
     good = [prose(np.random.default_rng(k), 80) for k in range(6)]
     rows = [(i, t, "bad") for i, t in enumerate(corpus)] + [(1000 + i, t, "good") for i, t in enumerate(good)] + [(2000, good[0], None), (2001, None, None)]

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,8 @@ from .common import Recent, parts
 
 #: Labelled rows that training uses at most: the bound of what the driver gathers.
 SAMPLE = 4000
+#: Characters of one of them at most; a longer text is trained on by ``PIECES`` pieces, at equal distances from its start to its end.
+CHARACTERS, PIECES = 8192, 16
 #: Training examples drawn from them at most.
 EXAMPLES = 20_000
 BUCKETS = 1 << 15
@@ -237,14 +239,26 @@ def _predictor(model: Model) -> Predictor:
     return _PREDICTORS[model.key]
 
 
+def pieces_of(text: Column, most: int = CHARACTERS) -> Column:
+    """The text, or where it is longer than ``most`` characters, pieces of it that are about as long together, each on a line."""
+    size = most // PIECES
+    begin = lambda i: F.floor((F.length(text) - size) * i / (PIECES - 1)).cast("int") + 1
+    cut = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring(text, begin(i), F.lit(size)))
+    return F.when(F.length(text) > most, F.array_join(cut, "\n")).otherwise(text)
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> Model | None:
-    """Fit on the ``SAMPLE`` rows of least id hash that have a text and a label."""
+    """Fit on the ``SAMPLE`` rows of least id hash that have a text and a label; rows of one id go by their text.
+
+    Texts are cut in the executors, so the driver gathers ``SAMPLE`` times ``CHARACTERS`` characters at most, however long the texts and however often an id occurs.
+    """
     usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).withColumn("_h", F.xxhash64(id_col))
     last = usable.select("_h").orderBy("_h").limit(SAMPLE).agg(F.max("_h")).first()[0]  # hashes go to the driver before any text does
     if last is None:
         return None
-    rows = usable.where(F.col("_h") <= last).select("_h", text, lang).toPandas().sort_values(["_h", text, lang])[:SAMPLE]
-    return fit(list(zip(rows[text], rows[lang], strict=True)))
+    cut = usable.where(F.col("_h") <= last).select("_h", pieces_of(F.col(text)).alias("text"), F.col(lang).alias("lang"))
+    rows = cut.orderBy("_h", "text", "lang").limit(SAMPLE).toPandas()
+    return fit(list(zip(rows["text"], rows["lang"], strict=True)))
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
