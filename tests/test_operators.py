@@ -82,6 +82,21 @@ def test_running_sums_over_ranges(spark, monkeypatch):
     assert ordered.running(df.limit(0), "v", upto=F.col("n")).collect() == []
 
 
+def test_cuts_depend_on_the_rows_alone(spark, monkeypatch):
+    rows = spark.range(200_000).select((F.col("id") * F.col("id") % 1_000_003).cast("double").alias("v"))
+    dealt = [rows.repartition(n, *by) for n, by in ((2, ()), (5, ("v",)), (13, ()))]
+    found = {tuple(sorted(ordered.cuts(d, "v").first()["_cuts"])) for d in dealt}
+    assert len(found) == 1  # a plan that works them out twice must find the same
+    assert ordered.RANGES / 2 <= len(found.pop()) <= ordered.RANGES
+    sizes = sorted(r["count"] for r in ordered.running(rows, "v", c=F.lit(1)).groupBy(F.floor(F.col("c") / 10_000)).count().collect())
+    assert sizes[-1] <= 10_000 and sum(sizes) == 200_000
+    skewed = rows.select(F.when(F.col("v") % 2 == 0, 7.0).otherwise(F.col("v")).alias("v"))  # half of the rows have one number
+    at = ordered.cuts(skewed, "v").first()["_cuts"]
+    assert ordered.RANGES / 4 < len(at) < ordered.RANGES * 3 / 4
+    monkeypatch.setattr(ordered, "PICKED", 10)
+    assert 2 <= len(ordered.cuts(rows, "v").first()["_cuts"]) <= 10
+
+
 def test_running_sums_start_no_job_before_they_are_asked_for(spark):
     df = spark.createDataFrame([(i % 7, i) for i in range(50)], "v int, n int").groupBy("v").agg(F.sum("n").alias("n"))
     spark.sparkContext.setJobGroup("building", "")

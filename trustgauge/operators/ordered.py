@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Ranges that the values are cut into at most, and how closely a cut is placed: within one row in so many.
-RANGES, ACCURACY = 256, 10_000
+#: Ranges that the values are cut into at most, and how many different numbers the cuts are placed by.
+RANGES, PICKED = 256, 8192
 
 
 def order_number(df: DataFrame, by: str) -> Column:
@@ -24,9 +24,20 @@ def order_number(df: DataFrame, by: str) -> Column:
 
 
 def cuts(numbers: DataFrame, number: str) -> DataFrame:
-    """One row with the ascending numbers that cut the rows into ranges of about one size, from a quantile sketch of one partial aggregation."""
-    shares = [i / RANGES for i in range(1, RANGES)]
-    return numbers.agg(F.array_distinct(F.percentile_approx(number, shares, ACCURACY)).alias("_cuts"))
+    """One row with the numbers that cut the rows into ranges of about one size.
+
+    They depend on the rows alone, not on how these are dealt or on which task ends first: a plan may work them out more than
+    once, and a row must fall into the same range each time. All rows are counted by number; the numbers with the greatest
+    ratios of rows to a hash between 0 and 1 are picked, each standing for its rows or for the least ratio if that is more.
+    """
+    counted = numbers.where(F.col(number).isNotNull()).groupBy(number).agg(F.count(F.lit(1)).alias("_n"))
+    part = F.greatest(F.xxhash64(number) / F.lit(2.0**64) + F.lit(0.5), F.lit(1e-9))
+    picked = counted.withColumn("_ratio", F.col("_n") / part).orderBy(F.desc("_ratio"), number).limit(PICKED)
+    whole = Window.partitionBy()  # PICKED rows at most, here and below
+    weighed = picked.withColumn("_n", F.greatest(F.col("_n"), F.min("_ratio").over(whole).cast("long")))
+    upto = F.sum("_n").over(whole.orderBy(number).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = weighed.withColumn("_upto", upto).withColumn("_step", F.ceil(F.col("_upto") * RANGES / F.sum("_n").over(whole)))
+    return placed.where(F.col("_step") < RANGES).groupBy("_step").agg(F.max(number).alias("_cut")).agg(F.collect_set("_cut").alias("_cuts"))
 
 
 def running(df: DataFrame, by: str, within: tuple[str, ...] = (), keep: bool = True, **sums: Column) -> DataFrame:
