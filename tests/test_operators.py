@@ -406,3 +406,26 @@ def test_boxes_are_decided_by_the_lead_that_is_not_rounded(spark, tmp_path):
     spark.createDataFrame([(1, 0, "user", word(0, 70)), (1, 1, "user", word(1, 68))], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = top1_margin(spark, str(tmp_path)).first()
     assert 0.7 - 0.68 < 0.02 and (got["score"], got["margin"], got["ticked"], got["confidence"]) == (0.7, 0.02, False, None)
+
+
+def test_best_spans_are_those_of_every_span_with_few_calls_of_difflib(monkeypatch):
+    import difflib
+    import random
+
+    import pandas as pd
+
+    calls, ratio = [], difflib.SequenceMatcher.ratio
+    monkeypatch.setattr(difflib.SequenceMatcher, "ratio", lambda m: calls.append(m.a) or ratio(m))
+    rng, wants = random.Random(5), ["the thing", "no", "total", "place of permanent residence"]
+    rows = [("".join(rng.choice("aehtoln g\0ä") for _ in range(rng.randint(0, 24))), rng.choice(wants)) for _ in range(300)]
+    rows += [(" " * rng.randint(0, 9) + w[: rng.randint(1, len(w))] + rng.choice(["", ":", "x tail", w]), w) for w in wants * 30] + [(None, "no"), ("", "total")]
+    lines, want = (pd.Series(x, dtype=object) for x in zip(*rows))
+    best, counts, n_calls = X._best_spans(lines, want), X._span_counts(lines, want), len(calls)
+    for (line, w), score, end, n_spans in zip(rows, best["score"], best["end"], counts["n_spans"], strict=True):
+        line, sizes = line or "", range(max(3, len(w) - 2), max(3, len(w) + 2) + 1)
+        spans = [(b, b + k) for b in range(9) for k in sizes if b + k <= len(line)]
+        scores = [ratio(difflib.SequenceMatcher(None, line[b:e], w)) for b, e in spans]
+        top = max(scores, default=0)
+        assert n_spans == len(spans)
+        assert (score, end) == ((top, spans[scores.index(top)][1]) if top >= 0.7 else (-1, 0))
+    assert n_calls * 3 < counts["n_open"].sum()
