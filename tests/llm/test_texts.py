@@ -179,6 +179,21 @@ def test_nodes():
         assert [tuple(map(int, x)) for x in zip(*passage_dedup.nodes(h, cut, span), strict=True)] == want
 
 
+def test_passages_by_marks(monkeypatch):
+    """A passage that the first growth finds is not grown again, and no set is sorted to compare it."""
+    rng, calls = np.random.default_rng(12), []
+    shared = [f"w{i}" for i in rng.integers(0, 10**6, 80)]
+    own = lambda n: [f"w{i}" for i in rng.integers(10**6, 10**7, n)]
+    x, y = " ".join(own(30) + shared + own(30)), " ".join(own(10) + shared + own(40))
+    once = passage_dedup._reach
+    monkeypatch.setattr(passage_dedup, "_reach", lambda *a: calls.append(1) or once(*a))
+    for name in ("isin", "intersect1d", "unique"):
+        monkeypatch.setattr(passage_dedup.np, name, lambda *a, **b: pytest.fail("sorted"))
+    pairs = pd.DataFrame({"a": [2], "b": [1], "x": [x], "y": [y], "anchors": [[{"at": 50, "b_at": 30}, {"at": 70, "b_at": 50}]]})
+    (out,) = passage_dedup._verify([pairs])
+    assert out.values.tolist() == [[2, 30, 105]] and len(calls) == 4
+
+
 def test_passages(spark):
     rng = np.random.default_rng(4)
     words = [f"p{rng.integers(0, 10**6)}" for _ in range(80)]

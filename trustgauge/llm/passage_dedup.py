@@ -40,11 +40,10 @@ their length; no rows give no rows; other columns pass through; ``n_removed`` an
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, free, join_sized, most_frequent, tidied
@@ -93,23 +92,26 @@ def nodes(hashes: np.ndarray, cut: np.ndarray, span: int = SPAN) -> tuple[np.nda
     # what bounds a node on either side is itself least in a window of that size, so the rest needn't be looked at
     owner = np.searchsorted(cut, at, "right") - 1
     first, last = cut[owner].copy(), cut[owner + 1] - 1
-    left, right = [-1] * len(at), [-1] * len(at)
-    stack: list[int] = []
-    keys, owners, before = key[at].tolist(), owner.tolist(), -1
-    for i, k in enumerate(keys):
-        if owners[i] != before:
-            stack, before = [], owners[i]
-        while stack and keys[stack[-1]] > k:
-            right[stack.pop()] = i
-        if stack:
-            left[i] = stack[-1]
-        stack.append(i)
-    left, right = np.array(left, np.int64), np.array(right, np.int64)
+    fresh = np.r_[True, owner[1:] != owner[:-1], True][: len(at) + 1]
+    row = np.arange(len(at))
+    left = _smaller(key[at], np.where(fresh[:-1], -1, row - 1))
+    right = _smaller(key[at], np.where(fresh[1:], -1, row + 1))
     first[left >= 0] = at[left[left >= 0]] + 1
     last[right >= 0] = at[right[right >= 0]] - 1
     return at, first, last
 
 
+def _smaller(key: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The next row with a smaller key, -1 if none; ``to`` is the next row, -1 at a text's end, and is altered."""
+    open_ = np.flatnonzero(to >= 0)
+    while len(open_):
+        # what lies up to the row that one points to is larger than that one, so is what lies up to where that row points
+        open_ = open_[key[to[open_]] > key[open_]]
+        to[open_] = to[to[open_]]
+        open_ = open_[to[open_] >= 0]
+    return to
+
+
 class Frequent:
     """A bounded set of shingles; most lookups end at a bitmap."""
 
@@ -167,6 +169,11 @@ def windows(raw: list[bytes], frequent: Frequent) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
+def _both(key: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """One hash of a shingle and its surroundings."""
+    return mix(key.view(np.uint64) ^ mix(around.view(np.uint64)))
+
+
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """How many windows of different surroundings a shingle is least in; copies in other parts count again."""
     for pdf in batches:
@@ -175,9 +182,10 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             around, found = _around(grams, cut), []
             for k in range(HASHES):
                 at = least_places(mix(grams, 60 + k) & ~_LAST & ~_PLACE | np.arange(len(grams), dtype=np.uint64), cut, SPAN)
-                found.append(np.c_[grams[at].view(np.int64), around(at)[1]])
-            pairs = np.unique(np.concatenate(found), axis=0) if len(found) else np.empty((0, 2), np.int64)
-            key, n = np.unique(pairs[:, 0], return_counts=True)
+                found.append((grams[at], around(at)[1]))
+            key, near = (np.concatenate(x) for x in zip(*found, strict=True))
+            one = np.unique(_both(key, near), return_index=True)[1]
+            key, n = np.unique(key[one].view(np.int64), return_counts=True)
             yield pd.DataFrame({"key": key, "n": n})
 
 
@@ -189,22 +197,33 @@ OPEN = -2
 _SHAPE = ("key", "first", "last", "left", "right")
 
 
+def _repeated(ordered: np.ndarray) -> np.ndarray:
+    """For each of an ordered array whether a neighbour is equal."""
+    out, same = np.zeros(len(ordered), bool), ordered[1:] == ordered[:-1]
+    out[1:] |= same
+    out[:-1] |= same
+    return out
+
+
 def _together(df: pd.DataFrame) -> pd.DataFrame:
     """Windows by key and surroundings, one of each, the earliest; the others as GONE, for the first function only.
 
     Every ``SPAN`` places of a copied stretch have a window of the first function, so those cover it.
     """
-    key, around, ids, at = (df[c].to_numpy() for c in ("key", "around", "id", "at"))
-    by = np.lexsort([at, ids, around, key])
-    key, around, ids, at = key[by], around[by], ids[by], at[by]
+    key, around, kind = (df[c].to_numpy() for c in ("key", "around", "kind"))
+    both = _both(key, around)
+    by = np.argsort(both)
+    by = by[_repeated(both[by])]  # most are alone
+    key, around, ids, at = (df[c].to_numpy()[by] for c in ("key", "around", "id", "at"))
+    order = np.lexsort([at, ids, around, key])
+    by, key, around, ids, at = by[order], key[order], around[order], ids[order], at[order]
     fresh = np.ones(len(by), bool)
     fresh[1:] = (key[1:] != key[:-1]) | (around[1:] != around[:-1])
     first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-    kind = df["kind"].to_numpy()[by]
-    stays = fresh | ((kind == 0) & ((ids != ids[first]) | (at != at[first])))
-    out = df.iloc[by[stays]].copy()
-    out["kind"] = np.where(fresh, kind, GONE)[stays]
-    return out
+    stays, kinds = np.ones(len(df), bool), kind.copy()
+    stays[by] = fresh | ((kind[by] == 0) & ((ids != ids[first]) | (at != at[first])))
+    kinds[by[~fresh]] = GONE
+    return df.assign(kind=kinds)[stays]
 
 
 def _slices(df: pd.DataFrame, most: int = 200_000) -> Iterator[pd.DataFrame]:
@@ -269,8 +288,7 @@ def _by_key(chunk: int):
         yield from _slices(copies(df[gone]))
         df = df[~gone]
         if before is None:
-            _, where, count = np.unique(df["key"].to_numpy(), return_inverse=True, return_counts=True)
-            df = df[count[where] > 1]
+            df = df[_repeated(df["key"].to_numpy())]
         if df.empty:
             return
         # rows are in order of place, so the first of equal surroundings is the earliest
@@ -512,12 +530,13 @@ def _reach(total: np.ndarray, start: int, step: int, most: int) -> int:
         if not len(part):
             return reach
         top = np.maximum.accumulate(np.maximum(part, best))
-        end = np.flatnonzero(top - part > most)
-        part = part[: end[0]] if len(end) else part
-        if len(part) and part.max() > best:
-            best = int(part.max())
-            reach = done + int(part.argmax()) + 1
-        if len(end):
+        fell = top - part > most
+        end = int(fell.argmax())
+        ended = bool(fell[end])
+        high = int(top[end if ended else -1])
+        if high > best:
+            best, reach = high, done + int(top.searchsorted(high)) + 1
+        if ended:
             return reach
         done += size
         size = min(2 * size, n)
@@ -527,10 +546,44 @@ def _reach(total: np.ndarray, start: int, step: int, most: int) -> int:
 _COSTS = (4, 8)
 
 
-def passages(a: np.ndarray, b: np.ndarray, anchors, shift: int = 0) -> list[tuple[int, int]]:
-    """First and last shingle in a of passages near-equal to one in b around the anchors (place in a, place in b)."""
-    in_b, in_a = np.isin(a, b), np.isin(b, a)
-    n_b, n_a = np.r_[0, np.cumsum(in_b)], np.r_[0, np.cumsum(in_a)]
+def _sums(flags: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=out[1:])
+    return out
+
+
+class Marks:
+    """Sets of numbers below n, compared by marks at their places instead of sorts."""
+
+    def __init__(self, n: int):
+        self.marks, self.rows = np.zeros(n, bool), np.zeros(n, np.int64)
+
+    def among(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For each of a whether b holds it."""
+        self.marks[b] = True
+        out = self.marks[a]
+        self.marks[b] = False
+        return out
+
+    def firsts(self, a: np.ndarray) -> np.ndarray:
+        """One row of a for each of its numbers, as flags."""
+        row = np.arange(len(a))
+        self.rows[a] = row
+        return self.rows[a] == row
+
+    def alike(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether the sets of a and b have the similarity."""
+        one = self.firsts(a)
+        common = int(np.count_nonzero(self.among(a, b) & one))
+        return 100 * common >= PERCENT * (int(np.count_nonzero(one)) + int(np.count_nonzero(self.firsts(b))) - common)
+
+
+def passages(a: np.ndarray, b: np.ndarray, anchors, marks: Marks, shift: int = 0) -> list[tuple[int, int]]:
+    """First and last shingle in a of passages near-equal to one in b around the anchors (place in a, place in b).
+
+    a and b hold the shingles' numbers, which ``marks`` has places for.
+    """
+    n_b, n_a = _sums(marks.among(a, b)), _sums(marks.among(b, a))
     places = np.array(sorted(anchors), np.int64).reshape(-1, 2)
 
     def near(n: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -538,10 +591,13 @@ def passages(a: np.ndarray, b: np.ndarray, anchors, shift: int = 0) -> list[tupl
 
     # most places share little but the one shingle
     places = places[(near(n_b, places[:, 0]) >= SPAN * 4 // 9) & (near(n_a, places[:, 1]) >= SPAN * 4 // 9)]
-    gains = [((1 + c) * n_b - c * np.arange(len(n_b)), (1 + c) * n_a - c * np.arange(len(n_a)), c * SPAN) for c in _COSTS]
+    gains: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def grown(p: int, q: int) -> Iterator[tuple[tuple[int, int], tuple[int, int]]]:
-        for gain_a, gain_b, most in gains:
+        for c in _COSTS:
+            if c not in gains:
+                gains[c] = (1 + c) * n_b - c * np.arange(len(n_b)), (1 + c) * n_a - c * np.arange(len(n_a))
+            (gain_a, gain_b), most = gains[c], c * SPAN
             lo, hi = p - _reach(gain_a, p, -1, most), p + _reach(gain_a, p + 1, 1, most)
             lo_b, hi_b = q - _reach(gain_b, q, -1, most), q + _reach(gain_b, q + 1, 1, most)
             yield (lo, hi), (lo_b, hi_b)
@@ -556,22 +612,27 @@ def passages(a: np.ndarray, b: np.ndarray, anchors, shift: int = 0) -> list[tupl
             i = int((n_b[s + SPAN] - n_b[s] + n_a[u] - n_a[t]).argmax())
             yield (int(s[i]), int(s[i]) + SPAN - 1), (int(t[i]), int(u[i]) - 1)
 
+    def matches(x: tuple[int, int], y: tuple[int, int]) -> bool:
+        if x[1] - x[0] + 1 < SPAN or y[1] - y[0] + 1 < SPAN * PERCENT // 100:
+            return False
+        return marks.alike(a[x[0] : x[1] + 1], b[y[0] : y[1] + 1])
+
     out: list[tuple[int, int]] = []
     failed: list[tuple[int, int, int, int]] = []
     for p, q in places.tolist():
         if any(lo <= p <= hi for lo, hi in out) or any(lo <= p <= hi and lo_b <= q <= hi_b for lo, hi, lo_b, hi_b in failed[-8:]):
             continue
-        wide = list(grown(p, q))
-        for x, y in chain(wide, least(p, q, *wide[-1][0])):
-            if x[1] - x[0] + 1 < SPAN or y[1] - y[0] + 1 < SPAN * PERCENT // 100:
-                continue
-            u, v = np.unique(a[x[0] : x[1] + 1]), np.unique(b[y[0] : y[1] + 1])
-            common = len(np.intersect1d(u, v, assume_unique=True))
-            if 100 * common >= PERCENT * (len(u) + len(v) - common):
+        for x, y in grown(p, q):
+            if matches(x, y):
                 out.append(x)
                 break
         else:
-            failed.append((*wide[-1][0], *wide[-1][1]))  # the strictest: its other places would grow alike
+            strict = (*x, *y)  # its other places would grow alike
+            more = [x for x, y in least(p, q, *x) if matches(x, y)]
+            if more:
+                out += more
+            else:
+                failed.append(strict)
     return [(lo + shift, hi + shift) for lo, hi in out]
 
 
@@ -580,31 +641,34 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i in range(0, len(pdf), 256):
             part = pdf[i : i + 256]
             texts = list(dict.fromkeys([*part["x"], *part["y"]]))
-            sets: dict[str, np.ndarray] = {}
-            at = 0
-            for raw in byte_parts(texts):
-                grams, cut = _shingles(raw)
-                for j in range(len(raw)):
-                    sets[texts[at + j]] = grams[cut[j] : cut[j + 1]]
-                at += len(raw)
+            found = [_shingles(raw) for raw in byte_parts(texts)]
+            # shingles by number, so that sets of them are compared without sorting
+            number, every = pd.factorize(np.concatenate([grams for grams, _ in found]))
+            marks = Marks(len(every))
+            size = np.concatenate([np.diff(cut) for _, cut in found])
+            sets = dict(zip(texts, np.split(number, np.cumsum(size)[:-1]), strict=True))
             rows = []
             for a, b, x, y, anchors in zip(part["a"], part["b"], part["x"], part["y"], part["anchors"], strict=True):
                 u, v, pairs = sets[x], sets[y], [(p["at"], p["b_at"]) for p in anchors]
                 pairs = [(p, q) for p, q in pairs if p < len(u) and q < len(v)]
                 if a != b:
-                    rows += [(a, *s) for s in passages(u, v, pairs)]
+                    rows += [(a, *s) for s in passages(u, v, pairs, marks)]
                 else:  # a text against what of it lies before the middle of the two places
                     for p, q in pairs:
                         half = (p + q + 1) // 2
-                        rows += [(a, *s) for s in passages(u[half:], u[: max(0, half - WIDTH + 1)], [(p - half, q)], half)] if q < half - WIDTH + 1 else []
+                        rows += [(a, *s) for s in passages(u[half:], u[: max(0, half - WIDTH + 1)], [(p - half, q)], marks, half)] if q < half - WIDTH + 1 else []
             yield pd.DataFrame(rows, columns=["id", "first", "last"])
 
 
 def _outside(windows_: DataFrame, spans: DataFrame, *names: str) -> DataFrame:
     """The columns of windows, and ``open``, whether a window's place is outside all spans of its text."""
-    spans = spans.distinct().groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    inside = F.exists("spans", lambda s: (s["first"] <= F.col("at")) & (F.col("at") <= s["last"]))
-    return windows_.join(spans, "id", "left").select("id", "at", *names, (~F.coalesce(inside, F.lit(False))).alias("open"))
+    kinds = {f.name: f.dataType for f in windows_.schema}
+    ends = spans.select("id", F.col("first").cast("int").alias("at"), F.col("last").cast("int").alias("_end"), *(F.lit(None).cast(kinds[c]).alias(c) for c in names))
+    both = windows_.select("id", "at", F.lit(None).cast("int").alias("_end"), *names).unionByName(ends)
+    # in order of place, spans before windows, a window is inside if an end so far lies at its place or behind
+    w = Window.partitionBy("id").orderBy("at", F.col("_end").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    far = both.withColumn("_far", F.max("_end").over(w)).where("_end IS NULL")
+    return far.select("id", "at", *names, F.coalesce(F.col("_far") < F.col("at"), F.lit(True)).alias("open"))
 
 
 def _dealt(marked: DataFrame, scratch: Scratch, name: str, *more: str) -> DataFrame:
@@ -643,8 +707,12 @@ def _crowds(docs: DataFrame, marked: DataFrame, crowded: DataFrame, scratch: Scr
     keys = asked.where("open").select("key").distinct()
     shapes = asked.join(keys, "key", "left_semi").groupBy("id").agg(F.collect_list(F.struct("at", *_SHAPE, "open")).alias("windows"))
     row = f"id {kind}, at int, key long, first int, last int, left long, right long, open boolean, codes binary"
-    coded = docs.join(shapes.hint("merge"), "id").select("id", "text", "windows").mapInPandas(tidied(_coded), row)
-    dealt = _dealt(scratch.keep(coded, "coded"), scratch, "crowds", "codes")
+    shapes = scratch.keep(shapes, "shapes")
+    texts = join_sized(docs, shapes.select("id"), "id", "left_semi", 32)  # few texts have one
+    coded = texts.join(shapes.hint("merge"), "id").select("id", "text", "windows").mapInPandas(tidied(_coded), row)
+    coded = scratch.keep(coded, "coded")
+    scratch.drop("shapes")
+    dealt = _dealt(coded, scratch, "crowds", "codes")
     return dealt.mapInPandas(tidied(_whole_units(_closest, CHUNK)), f"id {kind}, at int, b {kind}, b_at int").distinct()
 
 
@@ -657,7 +725,10 @@ def _found(docs: DataFrame, places: DataFrame, scratch: Scratch, name: str) -> D
     texts = join_sized(docs, ids, "id", "left_semi", 32)
     x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
     joined = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y", "anchors")
-    return scratch.keep(joined.mapInPandas(tidied(_verify), f"id {kind}, first int, last int"), f"{name}-found")
+    found = joined.mapInPandas(tidied(_verify), f"id {kind}, first int, last int").distinct()
+    found = scratch.keep(found, f"{name}-found")
+    scratch.drop(f"{name}-pairs", f"{name}-ids")
+    return found
 
 
 def later_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -717,7 +788,7 @@ def remove_passages(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     own_id, own_spans, own_cut = free(docs, "_id", "_spans", "_cut")
     judged = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     spans = later_passages(judged, scratch).groupBy(F.col("id").alias(own_id)).agg(F.collect_list(F.struct("first", "last")).alias(own_spans))
-    spans = scratch.keep(spans, "spans")
+    spans = scratch.last(spans, "spans")
     out = docs.join(spans.hint("merge"), F.col(id_col) == F.col(own_id), "left")
     some = F.col(own_spans).isNotNull() & F.col(text).isNotNull()
     strip = F.pandas_udf(_strip, "kept string, n_removed long, n_spans long")
