@@ -1,10 +1,14 @@
 """The pipeline's stages on a small table: what each must catch and keep."""
 
+import glob
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from trustgauge.llm import common
 
 
 def prose(rng, n):
@@ -65,3 +69,14 @@ def test_empty(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "unused")
     assert docs.count() == 0
+
+
+def test_tables_go(spark, rows):
+    """A stage that is not yet written has left no table but the ones its result reads."""
+    docs = spark.createDataFrame(rows[0], "doc_id long, text string, lang string, source string, n_chars long")
+    top = common.shared_dir(spark).removeprefix("file://")
+    for stage, left in ((corpus_pipeline.lines, {"gone"}), (corpus_pipeline.near_copies, {"gone"}), (corpus_pipeline.passages, {"spans"})):
+        before = set(glob.glob(f"{top}/scratch-*/*"))
+        out = stage(spark, docs, "unused")
+        assert {os.path.basename(x) for x in set(glob.glob(f"{top}/scratch-*/*")) - before} == left
+        assert out.count() > 0

@@ -15,8 +15,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
 
     Each round every vertex points to its least neighbour if that is smaller, pointers are
     followed twice, and the edges between what they lead to go on to the next round. Rounds are
-    written to the shared folder, so a lost executor costs no earlier round. Edges of a vertex
-    with itself, repeated edges and an empty table are plain cases; null ends are left out.
+    written to the shared folder, so a lost executor costs no earlier round; a table goes when no
+    later one reads it. Edges of a vertex with itself, repeated edges and an empty table are plain
+    cases; null ends are left out.
     """
     e = scratch.keep(
         edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") < F.col("b")).distinct(), f"{name}-edges"
@@ -24,6 +25,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
     labels = e.select(F.col("a").alias("id"), F.col("a").alias("component")).limit(0)
     for k in count():
         if not e.take(1):
+            if k:
+                scratch.drop(f"{name}-edges{k - 1}")
             return labels
         up = (
             e.union(e.select("b", "a"))
@@ -42,3 +45,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
         a, b = top.select(F.col("id").alias("a"), F.col("top").alias("x")), top.select(F.col("id").alias("b"), F.col("top").alias("y"))
         rest = e.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         e = scratch.keep(rest, f"{name}-edges{k}")
+        scratch.drop(f"{name}-up{k}", f"{name}-edges{k - 1}" if k else f"{name}-edges")
+        if k:  # the first labels are the first top
+            scratch.drop(f"{name}-top{k}", f"{name}-labels{k - 1}" if k > 1 else f"{name}-top0")

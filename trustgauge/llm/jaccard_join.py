@@ -317,7 +317,9 @@ class Join:
         step = float(np.log(100 / self.bounds.percent))  # the larger of two similar sets is in the class of the smaller or the next
         own = F.floor(F.log("n") / step)
         sized = rare.unionByName(runs).withColumn("class", F.explode(F.array(own, own + 1)))
-        return self.shared(sized.select("id", "n", F.xxhash64("key", "class").alias("key")).distinct(), "index").drop("c")
+        out = self.shared(sized.select("id", "n", F.xxhash64("key", "class").alias("key")).distinct(), "index").drop("c")
+        self.scratch.drop("classes", "counted", "prefixes", "beyond", "more", "singles", "frequent", "runs")
+        return out
 
     def near(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """Pairs (a, b) that the bitmaps don't rule out."""
@@ -334,7 +336,9 @@ class Join:
         texts = join_sized(self.docs, ids, "id", "left_semi", 32)
         a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
         joined = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "x", "y")  # as for large tables
-        return self.scratch.keep(joined.mapInPandas(tidied(_exact(self.width, self.bounds)), f"a {self.kind}, b {self.kind}").distinct(), f"{tag}-links")
+        out = self.scratch.keep(joined.mapInPandas(tidied(_exact(self.width, self.bounds)), f"a {self.kind}, b {self.kind}").distinct(), f"{tag}-links")
+        self.scratch.drop(f"{tag}-pairs", f"{tag}-ids")
+        return out
 
     def star(self, index: DataFrame, nodes: DataFrame) -> DataFrame:
         """A link of each node with one centre: of the centres of its keys the one that shares most keys."""
@@ -345,7 +349,9 @@ class Join:
         pairs = self.scratch.keep(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")), "star")
         near = self.near(pairs.select("a", "b"), nodes).join(pairs, ["a", "b"])
         best = near.groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-        return self.linked(best, "centres")
+        out = self.linked(best, "centres")
+        self.scratch.drop("star")
+        return out
 
     def across(self, index: DataFrame, nodes: DataFrame, links: DataFrame, tag: str, best: bool) -> DataFrame:
         """Links of pairs under one key that ``links`` leave in different components: of each node's best one, or of all."""
@@ -366,7 +372,10 @@ class Join:
         if best:
             pairs = pairs.groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b"))
         pairs = self.scratch.keep(pairs.select("a", "b").distinct(), f"met-{tag}")
-        return self.linked(self.near(pairs, nodes), tag)
+        self.scratch.drop(f"placed-{tag}")
+        out = self.linked(self.near(pairs, nodes), tag)
+        self.scratch.drop(f"met-{tag}")
+        return out
 
     def run(self) -> DataFrame:
         """(id, n_shingles, component_id) of every row."""
@@ -375,7 +384,9 @@ class Join:
         links = self.star(index, nodes)
         for turn in range(1, ROUNDS + 1):
             links = self.scratch.keep(links.union(self.across(index, nodes, links, f"best{turn}", True)), f"links{turn}")
+            self.scratch.drop(f"best{turn}-links", f"links{turn - 1}" if turn > 1 else "centres-links")
         links = self.scratch.keep(links.union(self.across(index, nodes, links, "all", False)), "links")
+        self.scratch.drop("index", "all-links", f"links{ROUNDS}" if ROUNDS else "centres-links")
         of = components(links, self.scratch, "end").withColumnRenamed("id", "node")
         out = nodes.select("id", "n", "node").join(of, "node", "left")
         return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component_id"))
@@ -390,5 +401,5 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width:
     """The rows of docs whose id is the least of its group; those without id or shingles stay."""
     groups = Join(docs, text, id_col, width, percent)
     (own,) = free(docs, "_gone")
-    gone = groups.scratch.keep(groups.run().where("component_id <> id").select(F.col("id").alias(own)).distinct(), "gone")
+    gone = groups.scratch.last(groups.run().where("component_id <> id").select(F.col("id").alias(own)).distinct(), "gone")
     return join_sized(docs, gone, F.col(id_col) == F.col(own), "left_anti", 32)

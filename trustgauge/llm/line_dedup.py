@@ -104,7 +104,7 @@ def dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_lines
     if many.take(1):  # rows equal in id and text are one
         texts = texts.dropDuplicates(["id", "h"])
     runs = later_runs(texts, scratch, min_lines).groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("runs"))
-    gone = scratch.keep(runs.select(F.col("id").alias(own_id), F.col("h").alias(own_h), F.col("runs").alias(own_runs)), "gone")
+    gone = scratch.last(runs.select(F.col("id").alias(own_id), F.col("h").alias(own_h), F.col("runs").alias(own_runs)), "gone")
     on = (F.col(id_col) == F.col(own_id)) & (F.xxhash64(text) == F.col(own_h))
     out = docs.join(gone.hint("merge"), on, "left")  # as for large tables, where what goes is too much to broadcast
     some = F.col(own_runs).isNotNull()
