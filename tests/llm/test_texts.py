@@ -189,7 +189,7 @@ def test_passages_by_marks(monkeypatch):
     monkeypatch.setattr(passage_dedup, "_reach", lambda *a: calls.append(1) or once(*a))
     for name in ("isin", "intersect1d", "unique"):
         monkeypatch.setattr(passage_dedup.np, name, lambda *a, **b: pytest.fail("sorted"))
-    pairs = pd.DataFrame({"a": [2], "b": [1], "x": [x], "y": [y], "anchors": [[{"at": 50, "b_at": 30}, {"at": 70, "b_at": 50}]]})
+    pairs = pd.DataFrame({"a": [2], "b": [1], "x": [x], "y": [y], "at": [np.array([50, 70])], "b_at": [np.array([30, 50])]})
     (out,) = passage_dedup._verify([pairs])
     assert out.values.tolist() == [[2, 30, 105]] and len(calls) == 4
 

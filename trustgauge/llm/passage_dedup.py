@@ -40,9 +40,11 @@ their length; no rows give no rows; other columns pass through; ``n_removed`` an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -226,6 +228,39 @@ def _together(df: pd.DataFrame) -> pd.DataFrame:
     return df.assign(kind=kinds)[stays]
 
 
+#: Rows of Arrow batches that are made one table of pandas, as each conversion has its price.
+GATHERED = 50_000
+
+
+def _in_arrow(run, columns: dict[str, pa.DataType | str]):
+    """``run`` over tables for mapInArrow: batches go in together; columns name a type or the column that goes in with the same one."""
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= GATHERED:
+                yield pa.Table.from_batches(held).to_pandas()
+                held, size = [], 0
+        if size:
+            yield pa.Table.from_batches(held).to_pandas()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        schema = pa.schema([(c, first.schema.field(t).type if isinstance(t, str) else t) for c, t in columns.items()])
+        for df in run(gathered(chain([first], batches))):
+            yield pa.RecordBatch.from_pandas(df[schema.names], schema=schema, preserve_index=False)
+
+    return whole
+
+
+_PAIR = {"id": "id", "at": pa.int32(), "b": "id", "b_at": pa.int32()}
+_MET = {"kind": pa.int32(), **_PAIR, "key": pa.int64(), "first": pa.int32(), "last": pa.int32(), "left": pa.int64(), "right": pa.int64()}
+
+
 def _slices(df: pd.DataFrame, most: int = 200_000) -> Iterator[pd.DataFrame]:
     for i in range(0, len(df), most):
         yield df[i : i + most]
@@ -281,7 +316,7 @@ def _by_key(chunk: int):
     none = dict.fromkeys(_SHAPE, 0)
 
     def copies(df: pd.DataFrame) -> pd.DataFrame:
-        return df[["kind", "id", "at"]].assign(b=-1, b_at=-1, **none)
+        return df[["kind", "id", "at"]].assign(b=df["id"], b_at=-1, **none)
 
     def found(df: pd.DataFrame, before: pd.DataFrame | None) -> Iterator[pd.DataFrame]:
         gone = df["kind"] == GONE
@@ -399,10 +434,12 @@ def _nearest(nearest: int):
     def small(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
         """Of many small units: each row beside the one d places before it, for all d."""
         ids, at, first, last, left, right = (df[c].to_numpy() for c in ("id", "at", "first", "last", "left", "right"))
-        unit, asked, there = df["unit"].to_numpy(), df["asked"].to_numpy(), df["there"].to_numpy()
-        laid, found = _laid(at, first, last, ids, left, right), []
+        there, edges = df["there"].to_numpy(), _edges(df)
+        rank = np.arange(len(df)) - np.repeat(edges[:-1], np.diff(edges))
+        laid, found, own = _laid(at, first, last, ids, left, right), [], np.flatnonzero(df["asked"].to_numpy())
         for d in range(1, SMALL):
-            i = np.flatnonzero((unit[d:] == unit[:-d]) & asked[d:] & there[:-d]) + d
+            own = own[rank[own] >= d]
+            i = own[there[own - d]]
             if not len(i):
                 continue
             room, *sides = laid(i, i - d)
@@ -455,23 +492,29 @@ def _nearest(nearest: int):
 
 
 def _coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Windows of texts with the codes of the shingles inside them, AROUND places about their own; 0 is none."""
-    about = np.arange(1 - SPAN, SPAN)
+    """Windows of texts with the codes of the shingles inside them, AROUND places about their own; 0 is none.
+
+    A row has a text and its windows, an array for each of their columns.
+    """
+    about, wide = np.arange(1 - SPAN, SPAN), 2 * AROUND
     for pdf in batches:
-        at = 0
+        done = 0
         for raw in byte_parts(pdf["text"]):
             grams, cut = _shingles(raw)
             code = np.maximum(mix(grams, 57) >> np.uint64(48), 1).astype("<u2")
-            for k in range(len(raw)):
-                own, held = code[cut[k] : cut[k + 1]], pdf["windows"].iloc[at + k]
-                rows = pd.DataFrame({c: [w[c] for w in held] for c in ("at", *_SHAPE, "open")})
-                rows = rows[rows["at"] < len(own)]  # of another text of this id
-                for part in _slices(rows, 20_000):
-                    place = part["at"].to_numpy()[:, None] + about
-                    inside = (place >= part["first"].to_numpy()[:, None]) & (place <= part["last"].to_numpy()[:, None])
-                    near = np.where(inside, own[np.clip(place, 0, len(own) - 1)], 0).astype("<u2")
-                    yield part.assign(id=pdf["id"].iloc[at + k], codes=[x.tobytes() for x in near])
-            at += len(raw)
+            part = pdf[done : done + len(raw)]
+            done += len(raw)
+            count = part["at"].map(len).to_numpy()
+            rows = pd.DataFrame({c: np.concatenate(part[c].to_list()) for c in ("at", *_SHAPE, "open")})
+            rows["id"], text = np.repeat(part["id"].to_numpy(), count), np.repeat(np.arange(len(raw)), count)
+            own = rows["at"].to_numpy() < np.diff(cut)[text]  # the others are of another text of this id
+            rows, text = rows[own], text[own]
+            for i in range(0, len(rows), 20_000):
+                some, base = rows[i : i + 20_000], cut[text[i : i + 20_000], None]
+                place = some["at"].to_numpy()[:, None] + about
+                inside = (place >= some["first"].to_numpy()[:, None]) & (place <= some["last"].to_numpy()[:, None])
+                near = np.where(inside, code[np.clip(place + base, 0, len(code) - 1)], 0).astype("<u2").tobytes()
+                yield some.assign(codes=[near[k : k + wide] for k in range(0, len(near), wide)])
 
 
 def _closest(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -578,13 +621,13 @@ class Marks:
         return 100 * common >= PERCENT * (int(np.count_nonzero(one)) + int(np.count_nonzero(self.firsts(b))) - common)
 
 
-def passages(a: np.ndarray, b: np.ndarray, anchors, marks: Marks, shift: int = 0) -> list[tuple[int, int]]:
-    """First and last shingle in a of passages near-equal to one in b around the anchors (place in a, place in b).
+def passages(a: np.ndarray, b: np.ndarray, anchors: np.ndarray, marks: Marks, shift: int = 0) -> list[tuple[int, int]]:
+    """First and last shingle in a of passages near-equal to one in b around the anchors, rows of (place in a, place in b).
 
     a and b hold the shingles' numbers, which ``marks`` has places for.
     """
     n_b, n_a = _sums(marks.among(a, b)), _sums(marks.among(b, a))
-    places = np.array(sorted(anchors), np.int64).reshape(-1, 2)
+    places = anchors[np.lexsort(anchors.T[::-1])]
 
     def near(n: np.ndarray, at: np.ndarray) -> np.ndarray:
         return n[np.minimum(at + SPAN, len(n) - 1)] - n[np.maximum(at - SPAN, 0)]
@@ -648,15 +691,15 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             size = np.concatenate([np.diff(cut) for _, cut in found])
             sets = dict(zip(texts, np.split(number, np.cumsum(size)[:-1]), strict=True))
             rows = []
-            for a, b, x, y, anchors in zip(part["a"], part["b"], part["x"], part["y"], part["anchors"], strict=True):
-                u, v, pairs = sets[x], sets[y], [(p["at"], p["b_at"]) for p in anchors]
-                pairs = [(p, q) for p, q in pairs if p < len(u) and q < len(v)]
+            for a, b, x, y, at, b_at in zip(part["a"], part["b"], part["x"], part["y"], part["at"], part["b_at"], strict=True):
+                u, v, pairs = sets[x], sets[y], np.array([at, b_at], np.int64).T
+                pairs = pairs[(pairs[:, 0] < len(u)) & (pairs[:, 1] < len(v))]
                 if a != b:
                     rows += [(a, *s) for s in passages(u, v, pairs, marks)]
                 else:  # a text against what of it lies before the middle of the two places
-                    for p, q in pairs:
+                    for p, q in pairs.tolist():
                         half = (p + q + 1) // 2
-                        rows += [(a, *s) for s in passages(u[half:], u[: max(0, half - WIDTH + 1)], [(p - half, q)], marks, half)] if q < half - WIDTH + 1 else []
+                        rows += [(a, *s) for s in passages(u[half:], u[: max(0, half - WIDTH + 1)], np.array([[p - half, q]]), marks, half)] if q < half - WIDTH + 1 else []
             yield pd.DataFrame(rows, columns=["id", "first", "last"])
 
 
@@ -677,19 +720,23 @@ def _dealt(marked: DataFrame, scratch: Scratch, name: str, *more: str) -> DataFr
     rows = marked.join(scratch.keep(sizes, name), "key")
     own = F.xxhash64("id", "at")
     last_of = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
-    one, none = (F.col("there") == 1) & (F.col("here") == 1), F.lit(0).cast("long")
+    one, none, yes, no = (F.col("there") == 1) & (F.col("here") == 1), F.lit(0).cast("long"), F.lit(True), F.lit(False)
+
+    def unit(a, b, asked, source):
+        return F.struct(F.xxhash64("key", a, b).alias("unit"), asked.alias("asked"), source.alias("there"))
+
+    there = F.transform(last_of("here"), lambda k: unit(k, F.pmod(own, "there"), no, yes))
+    here = F.transform(last_of("there"), lambda k: unit(F.pmod(own, "here"), k, yes, no))
+    units = F.when(one, F.array(unit(none, none, F.col("open"), yes))).when(F.col("open"), F.concat(there, here)).otherwise(there)
     shape = ("id", "at", "first", "last", "left", "right", *more)
-    both = rows.where(one).select("key", none.alias("a"), none.alias("b"), F.col("open").alias("asked"), F.lit(True).alias("source"), *shape)
-    there = rows.where(~one).select("key", F.explode(last_of("here")).alias("a"), F.pmod(own, "there").alias("b"), F.lit(False).alias("asked"), F.lit(True).alias("source"), *shape)
-    here = rows.where(~one & F.col("open")).select("key", F.pmod(own, "here").alias("a"), F.explode(last_of("there")).alias("b"), F.lit(True).alias("asked"), F.lit(False).alias("source"), *shape)
-    dealt = both.unionByName(there).unionByName(here).select(F.xxhash64("key", "a", "b").alias("unit"), "asked", F.col("source").alias("there"), *shape)
+    dealt = rows.select(F.explode(units).alias("_unit"), *shape).select("_unit.unit", "_unit.asked", "_unit.there", *shape)
     return dealt.repartition("unit").sortWithinPartitions("unit", "id", "at")
 
 
 def _rest(marked: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, at, b, b_at): open windows with the least different earlier ones of their key, and beside themselves where more fit."""
     kind = marked.schema["id"].dataType.simpleString()
-    near = _dealt(marked, scratch, "sizes").mapInPandas(tidied(_whole_units(_nearest(NEAREST), CHUNK)), f"id {kind}, at int, b {kind}, b_at int")
+    near = _dealt(marked, scratch, "sizes").mapInArrow(tidied(_in_arrow(_whole_units(_nearest(NEAREST), CHUNK), _PAIR)), f"id {kind}, at int, b {kind}, b_at int")
     return scratch.keep(near.distinct(), "near")
 
 
@@ -709,7 +756,7 @@ def _crowds(docs: DataFrame, marked: DataFrame, crowded: DataFrame, scratch: Scr
     row = f"id {kind}, at int, key long, first int, last int, left long, right long, open boolean, codes binary"
     shapes = scratch.keep(shapes, "shapes")
     texts = join_sized(docs, shapes.select("id"), "id", "left_semi", 32)  # few texts have one
-    coded = texts.join(shapes.hint("merge"), "id").select("id", "text", "windows").mapInPandas(tidied(_coded), row)
+    coded = texts.join(shapes.hint("merge"), "id").select("id", "text", *(F.col(f"windows.{c}").alias(c) for c in ("at", *_SHAPE, "open"))).mapInPandas(tidied(_coded), row)
     coded = scratch.keep(coded, "coded")
     scratch.drop("shapes")
     dealt = _dealt(coded, scratch, "crowds", "codes")
@@ -724,7 +771,7 @@ def _found(docs: DataFrame, places: DataFrame, scratch: Scratch, name: str) -> D
     ids = scratch.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
     texts = join_sized(docs, ids, "id", "left_semi", 32)
     x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    joined = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y", "anchors")
+    joined = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y", "anchors.at", "anchors.b_at")
     found = joined.mapInPandas(tidied(_verify), f"id {kind}, first int, last int").distinct()
     found = scratch.keep(found, f"{name}-found")
     scratch.drop(f"{name}-pairs", f"{name}-ids")
@@ -742,7 +789,7 @@ def later_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     made = docs.mapInPandas(tidied(_windows(frequent)), row)
     spread = made.repartition(F.when(F.col("kind") == GONE, F.xxhash64("id", "at")).otherwise(F.col("key"))).sortWithinPartitions("key", "id", "at")
     met = f"kind int, id {kind}, at int, b {kind}, b_at int, key long, first int, last int, left long, right long"
-    met = scratch.keep(spread.mapInPandas(tidied(_by_key(CHUNK)), met), "met")
+    met = scratch.keep(spread.mapInArrow(tidied(_in_arrow(_by_key(CHUNK), _MET)), met), "met")
     copies = met.where(F.col("kind") == GONE).select("id", F.greatest(F.lit(0), F.col("at") - SPAN + 1).alias("first"), (F.col("at") + SPAN - 1).alias("last"))
     firsts = met.where(F.col("kind") == 0).select("id", "at", "b", "b_at")
     found = _found(docs, firsts, scratch, "firsts")
