@@ -121,3 +121,47 @@ def test_near_a_subspace_against_brute_force(spark, monkeypatch, inner, sparse):
     x = _low(rng, 1200, inner, sparse)
     got = run(spark, [(int(i), v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     assert {i: got[i][:2] for i in got} == brute(np.arange(len(x)), x)
+
+
+def test_vectors_are_not_sent_to_the_lists_they_probe(spark, monkeypatch):
+    """Rows without clusters probe about every cell; what is shuffled must follow the rows, not the probes."""
+    monkeypatch.setattr(V, "PER_CELL", 50)
+    x = np.random.default_rng(1).normal(size=(4000, 32))
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty(30_000)
+        executors = context.statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    before = shuffled()
+    run(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    assert shuffled() - before < 2 * x.nbytes
+
+
+@pytest.mark.parametrize("most", [40, 300, 100_000])
+def test_lists_dealt_to_blocks(monkeypatch, most):
+    monkeypatch.setattr(V, "BLOCK", most)
+    counts = {0: 10, 2: 35, 3: 1000, 4: 1, 7: 39, 8: 900}
+    first, parts, n = V._dealt(counts, 10)
+    took = [range(first[c], first[c] + parts[c]) for c in counts]
+    assert sorted({b for own in took for b in own}) == list(range(n))
+    assert all(a[-1] <= b[0] for a, b in zip(took, took[1:], strict=False))  # so lists of a later block are of no earlier cell
+    assert all(counts[c] <= min(most, 256) * parts[c] for c in counts)
+
+
+def test_groups_that_hold_all_rows_of_many_blocks(spark, monkeypatch):
+    for name, value in (("BLOCK", 64), ("LEAST_BLOCK", 16), ("PAIRS", 256), ("HELD", 100), ("PER_CELL", 100)):
+        monkeypatch.setattr(V, name, value)
+    rng = np.random.default_rng(4)
+    x = np.r_[np.repeat(rng.normal(size=(1, 16)), 300, axis=0), np.repeat(rng.normal(size=(20, 16)), 15, axis=0)]
+    x += 0.03 * rng.normal(size=x.shape)
+    got = run(spark, [(int(i), v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    assert {i: got[i][:2] for i in got} == brute(np.arange(len(x)), x)
+
+
+def test_few_true_ones():
+    for shape in ((5, 7), (16, 8), (1, 3)):
+        table = np.random.default_rng(2).random(shape) < 0.2
+        table[-1, -1] = True
+        assert all((a == b).all() for a, b in zip(V._few_true(table), np.nonzero(table), strict=True))
