@@ -177,3 +177,27 @@ def test_scores_beyond_64_bits(spark):
     big = 3 * 10**14
     counts = spark.createDataFrame([("en", "a b", big), ("en", "a", big + 7), ("en", "b", big + 1), ("en", None, 10**17)], "lang string, phrase string, n long")
     assert C.scored(counts).first()["score"] == 1000 * big * 10**17 // ((big + 7) * (big + 1))
+
+
+def test_many_automata_read_the_texts_once(spark, monkeypatch):
+    monkeypatch.setattr(C, "PART_CHARACTERS", 60)
+    plans, keep = {}, C.Scratch.keep
+
+    def noted(self, df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return keep(self, df, name)
+
+    monkeypatch.setattr(C.Scratch, "keep", noted)
+    rows = [("en", "one two three four five. six seven eight  nine ten")] * 9 + [("de", "one two. three four five")] * 9
+    got = sorted(tuple(r) for r in C.mine(spark.createDataFrame(rows, "lang string, text string"), least=8).collect())
+    assert got == mined(rows, 8)
+    assert plans["counts"].count("MapInArrow") == 3  # terms to their parts, texts to theirs, and counts there
+
+
+def test_stretches_hold_each_word_with_its_room():
+    chunk = C.Chunk([b"a b c d  e. f g h", b"i j,k l\tm", b""], ["en", "de", "en"])
+    room = np.array([2, 0, 1, 2, 0, 1, 2, 0, 1, 0, 2, 0, 0])
+    group = np.array([1, 0, 1, 0, 0, 0, 0, 1, 0, 0, 1, 1, 1])
+    groups, texts = C.stretches(chunk, room, group)
+    assert list(zip(groups.tolist(), texts, strict=True)) == [(0, b"d e"), (0, b"f g h"), (0, b"i"), (1, b"a b c"), (1, b"k l")]
+    assert C.stretches(chunk, 0 * room, group)[1] == []

@@ -6,7 +6,9 @@
 2. Phrases whose bounds all reach ``least`` are gathered as texts (so a hash never decides equality), with their words.
 3. They are compiled into Aho-Corasick automata, one a language, with a space before and behind each phrase and a single
    space between words of a text, so overlapping matches share their guards. Tasks count matches of their texts and send
-   counts in blocks of terms; sums are exact. Phrases beyond ``PART_CHARACTERS`` make further automata, each scanned for in a pass of its own.
+   counts in blocks of terms; sums are exact. Phrases beyond ``PART_CHARACTERS`` make further automata, parted by the hash of the first
+   word. Then the texts are read once more, not once an automaton: a word goes, with the words behind it as far as the sketches leave
+   room for a phrase, to the automaton of its own part, so a stretch of text is scanned for what can begin in it.
 4. Thresholds, cut scores, contained phrases and ranks are DataFrame work over the counted phrases.
 
 Sketch cells follow the bytes of the texts up to ``MOST_BITS``; beyond that bounds get looser and more phrases are
@@ -27,6 +29,7 @@ from operator import itemgetter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +43,8 @@ DEPTH, BYTES_A_CELL, LEAST_BITS, MOST_BITS, BLOCK_BITS = 2, 64, 16, 26, 16
 PART_CHARACTERS = 4 << 20
 #: Terms whose counts are sent together; texts, one in so many, whose phrases are gathered first, and their bytes a task.
 TERMS, SIEVE, SIEVE_BYTES = 256, 16, 16 << 20
+#: Bytes of text that a task scans for a part of the phrases.
+DEALT = 128 << 20
 #: Bytes of text handled together, and gathered phrases that a task remembers.
 CHUNK, REMEMBERED = 1 << 21, 200_000
 
@@ -83,6 +88,19 @@ class Chunk:
         names = np.array([hash_text(x) for x in langs], np.uint64)
         self.lang = names[self.text]
 
+    @property
+    def wide(self) -> np.ndarray:
+        """Whether more than a space is behind a word, in its piece."""
+        out = np.zeros(len(self.starts), bool)
+        out[:-1] = (self.starts[1:] - self.ends[:-1] > 1) & (self.piece[1:] == self.piece[:-1])
+        return out
+
+    def named(self) -> tuple[list[str], np.ndarray]:
+        """The different languages, and for each word the place of its own among them."""
+        names = sorted(set(self.langs))
+        place = {name: k for k, name in enumerate(names)}
+        return names, np.array([place[x] for x in self.langs], np.int64)[self.text]
+
     def grams(self, size: int, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """First words, as places, and hashes of the phrases of a size that lie in one piece, of those with ``keep`` at their first word."""
         n = len(self.starts) - size + 1
@@ -95,9 +113,6 @@ class Chunk:
             h += self.words[at + k] * _ODD[k]
         return at, _mix(h)
 
-    def phrase(self, at: int, size: int) -> bytes:
-        return self.raw[self.starts[at] : self.ends[at + size - 1]]
-
 
 def hash_text(text: str) -> int:
     """A 64-bit number of a short text that is the same in every process."""
@@ -246,27 +261,33 @@ def _gathering(rooms: list[Room], most: int, known) -> Callable:
     """Batches of texts to the different phrases that may occur often enough and are not among the known ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, bytes]] = set()
+        seen: dict[str, set[bytes]] = {}
         for chunk in chunks(batches):
-            fresh = set()
+            names, lang = chunk.named()
+            found: list[set[bytes]] = [set() for _ in names]
             pair = _pairs(chunk, rooms)
             for size in range(2, most + 1):
                 at = np.flatnonzero(pair)
                 if size > 2:
                     at, hashes = chunk.grams(size, _run(pair, size - 1))
                     at = at[rooms[2].of(hashes)]
-                for i, text in zip(at.tolist(), chunk.text[at].tolist(), strict=True):
-                    fresh.add((chunk.langs[text], chunk.phrase(i, size)))
-            fresh -= seen
-            if fresh:
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                seen |= fresh
-                new = {(lang, b" ".join(p.split()).decode()) for lang, p in fresh}
+                own = lang[at]
+                for k, phrases in enumerate(found):
+                    some = at[own == k]
+                    phrases.update([chunk.raw[a:b] for a, b in zip(chunk.starts[some].tolist(), chunk.ends[some + size - 1].tolist(), strict=True)])
+            spaced = chunk.wide.any()
+            if sum(map(len, seen.values())) > REMEMBERED:
+                seen = {}
+            for name, phrases in zip(names, found, strict=True):
+                before = seen.setdefault(name, set())
+                new = phrases - before
+                before |= new
+                if spaced:
+                    new = {b" ".join(p.split()) for p in new}
                 if known is not None:
-                    new = {(lang, p) for lang, p in new if p not in known.value.get(lang, ())}
-                langs, phrases = zip(*new, strict=True) if new else ((), ())
-                yield pa.record_batch([pa.array(langs, pa.string()), pa.array(phrases, pa.string())], ["lang", "phrase"])
+                    new -= new & known.value.get(name, set())
+                if new:
+                    yield pa.record_batch([pa.array([name] * len(new), pa.string()), pa.array(list(new), pa.binary()).cast(pa.string())], ["lang", "phrase"])
 
     return tidied(run)
 
@@ -348,6 +369,115 @@ def _adding(terms) -> Callable:
     return run
 
 
+def _part_of(hashes: np.ndarray, n_parts: int) -> np.ndarray:
+    return ((hashes >> np.uint64(33)) % np.uint64(n_parts)).astype(np.int64)
+
+
+def _parting(n_parts: int) -> Callable:
+    """Batches of terms to these with the part of their first word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, phrases = (c.to_pylist() for c in batch.columns)
+            if not phrases:
+                continue
+            chunk = Chunk([p.encode() for p in phrases], langs)
+            first = np.flatnonzero(np.diff(chunk.text, prepend=-1))
+            part = _part_of(chunk.grams(1)[1][first], n_parts)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(part, pa.int32())], ["lang", "phrase", "part"])
+
+    return run
+
+
+def _room(chunk: Chunk, rooms: list[Room], most: int) -> np.ndarray:
+    """For each word the most words of a phrase that begins there and may be a term."""
+    out = rooms[0].starting(chunk, 1).astype(np.int64)
+    pair = _pairs(chunk, rooms)
+    out[pair] = 2
+    for size in range(3, most + 1):
+        at, hashes = chunk.grams(size, _run(pair, size - 1))
+        out[at[rooms[2].of(hashes)]] = size
+    return out
+
+
+def stretches(chunk: Chunk, room: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Of the words with room, and those behind them as far as it goes, the stretches of one group and piece: their groups, ascending, and texts."""
+    at = np.flatnonzero(room)
+    at = at[np.argsort(group[at], kind="stable")]
+    own = group[at]
+    beyond = own * (len(room) + MOST_WORDS + 1)
+    stop = np.maximum.accumulate(at + room[at] + beyond) - beyond
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (own[1:] != own[:-1]) | (at[1:] > stop[:-1]) | (chunk.piece[at[1:]] != chunk.piece[at[:-1]])
+    first = np.flatnonzero(fresh)
+    lo, hi = at[first], stop[np.r_[first[1:], len(at)] - 1] - 1 if len(at) else at
+    texts = [chunk.raw[a:b] for a, b in zip(chunk.starts[lo].tolist(), chunk.ends[hi].tolist(), strict=True)]
+    wide = np.zeros(len(room) + 1, np.int64)  # places with more than a space behind a word, so far
+    np.cumsum(chunk.wide, out=wide[1:])
+    for i in np.flatnonzero(wide[hi] > wide[lo]).tolist():
+        texts[i] = b" ".join(texts[i].split())
+    return own[first], texts
+
+
+def _dealing(rooms: list[Room], most: int, n_parts: int, salts: int) -> Callable:
+    """Batches of texts to their stretches by part and language, and in rows of part -1 their words by language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, int] = {}
+        salt = TaskContext.get().partitionId()
+        for chunk in chunks(batches):
+            salt += 1
+            names, lang = chunk.named()
+            for name, n in zip(names, np.bincount(lang, minlength=len(names)).tolist(), strict=True):
+                words[name] = words.get(name, 0) + n
+            groups, texts = stretches(chunk, _room(chunk, rooms, most), _part_of(chunk.grams(1)[1], n_parts) * len(names) + lang)
+            own, cuts = np.unique(groups, return_index=True)
+            bodies = [b" %b " % b" \n ".join(texts[a:b]) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(texts)], strict=True)]
+            yield _dealt(own // len(names), salt % salts, [names[k] for k in (own % len(names)).tolist()], bodies)
+        yield _dealt(np.full(len(words), -1), 0, list(words), [b"%d" % n for n in words.values()])
+
+    return tidied(run)
+
+
+def _dealt(part: np.ndarray, salt: int, langs: list[str], bodies: list[bytes]) -> pa.RecordBatch:
+    n = len(bodies)
+    return pa.record_batch([pa.array(part, pa.int32()), pa.array([salt] * n, pa.int32()), pa.array([1] * n, pa.int32()), pa.array(langs, pa.string()), pa.array(bodies, pa.binary())], DEALT_NAMES)
+
+
+DEALT_NAMES = ["part", "salt", "kind", "lang", "body"]
+DEALT_SCHEMA = "part int, salt int, kind int, lang string, body binary"
+
+
+def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of a part, its terms (kind 0) before the stretches dealt to it (kind 1), to (lang, phrase, n); words of a language stand beside a null phrase."""
+    key, terms, automata, counts, words = None, {}, {}, np.zeros(0, np.int64), {}
+
+    def done() -> Iterator[pa.RecordBatch]:
+        names = [(lang, p) for lang, own in terms.items() for p in own]
+        rows = [(*names[i], int(counts[i])) for i in np.flatnonzero(counts).tolist()] + [(lang, None, n) for lang, n in words.items()]
+        for at in range(0, len(rows), 50_000):
+            yield pa.record_batch([pa.array([r[k] for r in rows[at : at + 50_000]], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "phrase", "n"])
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            part, salt, kind, lang, body = (c[i].as_py() for c in batch.columns)
+            if (part, salt) != key:
+                yield from done()
+                key, terms, automata, counts, words = (part, salt), {}, {}, np.zeros(0, np.int64), {}
+            if part < 0:
+                words[lang] = words.get(lang, 0) + int(body)
+            elif kind == 0:
+                terms.setdefault(lang, []).extend(body.decode().split("\n"))
+            else:
+                if not automata:
+                    automata = _automata(terms)
+                    counts = np.zeros(sum(map(len, terms.values())), np.int64)
+                if lang in automata:
+                    seen, n = np.unique(np.fromiter(map(itemgetter(1), automata[lang].iter(body.decode())), np.int64), return_counts=True)
+                    counts[seen] += n
+    yield from done()
+
+
 def _part(terms: DataFrame, part: int, n_parts: int) -> dict[str, list[str]]:
     """One part of a written table of phrases by language: about PART_CHARACTERS characters."""
     own: dict[str, list[str]] = {}
@@ -360,38 +490,48 @@ def _parts(terms: DataFrame) -> int:
     return max(1, math.ceil((terms.agg(F.sum(F.length("phrase") + 2)).first()[0] or 0) / PART_CHARACTERS))
 
 
-def candidates(texts: DataFrame, scratch: Scratch, least: int, most: int) -> DataFrame:
-    """(lang, phrase): all phrases of 2 words and more that occur ``least`` times, some others, and their words.
+def text_bytes(texts: DataFrame) -> int:
+    return texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
-    Most frequent phrases occur in one text of SIEVE, so these are gathered first, in few tasks; the tasks over all other texts
-    then return only what was not among them, or not in the part of them that is small enough to be sent along.
-    """
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+def sketches(texts: DataFrame, size: int, least: int, most: int) -> list[Room]:
+    """Of words, of pairs and of all longer phrases."""
     bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, size / BYTES_A_CELL)))))
     rooms: list[Room] = []
     for _ in range(3):
         rooms.append(sketch(texts, rooms, bits, least, most))
+    return rooms
+
+
+def candidates(texts: DataFrame, scratch: Scratch, rooms: list[Room], size: int, most: int) -> DataFrame:
+    """(lang, phrase): all phrases of 2 words and more that occur ``least`` times, some others, and their words.
+
+    Most frequent phrases occur in one text of SIEVE, so these are gathered first, in few tasks; the tasks over all other texts
+    then return only what was not among them, or not in the part of them that is small enough to be sent along.
+    """
     schema, early = "lang string, phrase string", F.pmod(F.xxhash64("text"), F.lit(SIEVE)) == 0
     first = texts.where(early).repartition(math.ceil((size + 1) / SIEVE / SIEVE_BYTES)).mapInArrow(_gathering(rooms, most, None), schema)
     first = scratch.keep(first.distinct(), "first")
-    own = {lang: set(p) for lang, p in _part(first, 0, _parts(first)).items()}
+    own = {lang: {x.encode() for x in p} for lang, p in _part(first, 0, _parts(first)).items()}
     known = texts.sparkSession.sparkContext.broadcast(own)  # bounded by PART_CHARACTERS
     rest = texts.where(~early).mapInArrow(_gathering(rooms, most, known), schema)
-    every = first.unionByName(rest).withColumn("phrase", F.explode(F.array_append(F.split("phrase", " "), F.col("phrase"))))
-    return every.distinct()
+    every = scratch.keep(first.unionByName(rest).distinct(), "every")
+    return every.unionByName(every.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct())
 
 
-def occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
+def occurrences(texts: DataFrame, terms: DataFrame, rooms: list[Room], size: int, most: int) -> DataFrame:
     """(lang, phrase, n): exact counts of a written table of phrases, and of all words of a language beside a null phrase."""
-    spark, n_parts, out = texts.sparkSession, _parts(terms), None
-    for part in range(n_parts):
-        held = spark.sparkContext.broadcast(_part(terms, part, n_parts))  # bounded by PART_CHARACTERS
+    spark, n_parts = texts.sparkSession, _parts(terms)
+    if n_parts == 1:
+        held = spark.sparkContext.broadcast(_part(terms, 0, 1))  # bounded by PART_CHARACTERS
         counted = texts.mapInArrow(_scanning(held), "slot int, places binary, counts binary")
-        if part:  # words are counted once
-            counted = counted.where("slot >= 0")
-        summed = counted.repartition(parallelism(spark), "slot").sortWithinPartitions("slot").mapInArrow(_adding(held), "lang string, phrase string, n long")
-        out = summed if out is None else out.unionByName(summed)
-    return out
+        return counted.repartition(parallelism(spark), "slot").sortWithinPartitions("slot").mapInArrow(_adding(held), "lang string, phrase string, n long")
+    salts = math.ceil((size + 1) / n_parts / DEALT)
+    parted = terms.mapInArrow(_parting(n_parts), "lang string, phrase string, part int").groupBy("part", "lang").agg(F.array_join(F.collect_list("phrase"), "\n").cast("binary").alias("body"))
+    asked = parted.select("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), "lang", "body")
+    every = asked.unionByName(texts.mapInArrow(_dealing(rooms, most, n_parts, salts), DEALT_SCHEMA))
+    dealt = every.repartition(max(parallelism(spark), n_parts * salts), "part", "salt").sortWithinPartitions("part", "salt", "kind")
+    return dealt.mapInArrow(tidied(_matching), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def _contained(phrases: DataFrame) -> DataFrame:
@@ -438,6 +578,9 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
         raise ValueError(f"most must be 3 to {MOST_WORDS}")
     scratch = Scratch(docs.sparkSession)
     texts = docs.where(F.col(text).isNotNull()).select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text"))
-    terms = scratch.keep(candidates(texts, scratch, least, most), "terms")
-    counts = scratch.keep(occurrences(texts, terms), "counts")
+    size = text_bytes(texts)
+    rooms = sketches(texts, size, least, most)
+    terms = scratch.keep(candidates(texts, scratch, rooms, size, most), "terms")
+    scratch.drop("first", "every")
+    counts = scratch.keep(occurrences(texts, terms, rooms, size, most), "counts")
     return ranked(scored(counts, least, covered_percent), top)
